@@ -13,3 +13,8 @@ def amount(text_or_number: Column) -> Column:
 
 def rounded(value: Column, places: int) -> Column:
     return F.bround(value.cast(MONEY), places)
+
+
+def money_text(value: Column, places: int) -> Column:
+    """Plain decimal text with exactly ``places`` digits after the point."""
+    return rounded(value, places).cast(f"decimal(38,{places})").cast("string")

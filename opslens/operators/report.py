@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opslens import schemas as S
 from opslens import values as V
-from opslens.functions.money import rounded
+from opslens.functions.money import money_text
 
 
 def source_structs(sources: DataFrame) -> DataFrame:
@@ -76,10 +76,6 @@ def reports(projects: DataFrame, metrics: DataFrame, one_row: DataFrame, activit
     )
 
 
-def _fixed(value: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", rounded(value, places))
-
-
 def activity_text(stats: Column) -> Column:
     """Text of the activity section; NULL if the project has none."""
     github = stats["github"]
@@ -101,7 +97,7 @@ def usage_text(stats: Column) -> Column:
                 stats[n]["model"],
                 stats[n]["tokens_in"],
                 stats[n]["tokens_out"],
-                rounded(stats[n]["cost"], 4),
+                money_text(stats[n]["cost"], 4),
             ),
         )
         for n in V.AI_PROVIDERS
@@ -111,7 +107,7 @@ def usage_text(stats: Column) -> Column:
 
 def cost_text(stats: Column) -> Column:
     lines = [
-        F.when(stats[n].isNotNull(), F.format_string(V.COST_FORMAT, F.upper(F.lit(n)), rounded(stats[n]["cost"], 2)))
+        F.when(stats[n].isNotNull(), F.format_string(V.COST_FORMAT, F.upper(F.lit(n)), money_text(stats[n]["cost"], 2)))
         for n in V.CLOUD_PROVIDERS
     ]
     return _section(V.COST_TITLE, lines)

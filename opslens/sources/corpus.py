@@ -12,8 +12,8 @@ from opslens import values as V
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*" + V.DOCUMENT_SUFFIX) -> DataFrame:
     """Whole files (path, content) under ``path`` at any depth; unreadable files are skipped."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    files = reader.option("ignoreCorruptFiles", True).text(path)
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    files = reader.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 

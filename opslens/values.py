@@ -154,8 +154,9 @@ ACTIVITY_FORMAT = (
     "• *Bugs Closed:* %d\n"
     "• *Releases:* %d"
 )
+# Money is formatted before it is inserted: 4 digits for usage, 2 for infrastructure.
 USAGE_TITLE = "🤖 *AI Usage Metrics*"
-USAGE_FORMAT = "• *%s*: model `%s` | In: %d | Out: %d | Cost: $%.4f"
+USAGE_FORMAT = "• *%s*: model `%s` | In: %d | Out: %d | Cost: $%s"
 COST_TITLE = "☁️ *Infrastructure Costs*"
-COST_FORMAT = "• *%s:* $%.2f"
+COST_FORMAT = "• *%s:* $%s"
 WARNING_FORMAT = ":warning: _%s_"
