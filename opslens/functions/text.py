@@ -1,6 +1,6 @@
 """Scalar text functions. Every function maps a Column to a Column and stays in the JVM."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ SPACE_CHARS = (
 # Line ends of a text document, and line ends of a file read in text mode.
 DOCUMENT_LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 FILE_LINE_END = r"\r\n|[\n\r]"
+# Words of which every trace pattern needs at least one.
+TRACE_WORDS = ["Traceback", "panic", "Error", "stack backtrace:", "Exception"]
 
 
 def strip(text: Column) -> Column:
@@ -27,9 +29,16 @@ def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(SPACE_CHARS))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _lines(text: Column, line_end: str) -> Column:
-    pieces = F.split(text, line_end)
-    return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+    return bound(
+        F.split(text, line_end),
+        lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p),
+    )
 
 
 def document_lines(text: Column) -> Column:
@@ -132,11 +141,12 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
 
 
 def matches_trace(line: Column) -> Column:
-    return F.coalesce(line.rlike(any_pattern(V.TRACE_PATTERNS)), F.lit(False))
+    """The plain words come first: lines without any of them never reach the regex."""
+    return F.coalesce(contains_any(line, TRACE_WORDS) & line.rlike(any_pattern(V.TRACE_PATTERNS)), F.lit(False))
 
 
 def matches_call_site(line: Column) -> Column:
-    return F.coalesce(line.rlike(f"^{SPACE_CLASS}*at "), F.lit(False))
+    return F.coalesce(F.startswith(F.ltrim(line, F.lit(SPACE_CHARS)), F.lit("at ")), F.lit(False))
 
 
 def matches_vendor(line: Column) -> Column:
@@ -166,21 +176,33 @@ def first_error_lines(lines: Column) -> Column:
     The first line that matches a trace pattern is kept with the lines after it; a call-site line that comes
     first is kept with the line before it; without either, the closing lines remain. All in one row, no shuffle.
     """
-    clean = F.transform(lines, rstrip)
-    marks = F.transform(
-        clean, lambda line: F.when(matches_trace(line), F.lit("t")).when(matches_call_site(line), F.lit("c"))
-    )
-    first = F.coalesce(F.array_min(F.transform(marks, lambda m, i: F.when(m.isNotNull(), i + 1))), F.lit(0))
-    size = F.size(clean)
-    start = F.when(first == 0, F.greatest(F.lit(1), size - V.TAIL_ROWS + 1)).when(
-        (F.get(marks, first - 1) == "c") & (first > 1), first - 1
-    ).otherwise(first)
-    length = F.when((F.get(marks, first - 1) == "c") & (first == 1), F.lit(V.TRACE_ROWS - 1)).otherwise(F.lit(V.TRACE_ROWS))
-    return F.slice(clean, start, length)
+
+    def kept(clean: Column) -> Column:
+        marks = F.transform(
+            clean, lambda line, i: F.when(matches_trace(line), F.struct(i.alias("i"), F.lit("t").alias("kind"))).when(matches_call_site(line), F.struct(i.alias("i"), F.lit("c").alias("kind")))
+        )
+        return bound(F.array_min(marks), lambda first: around(clean, first))
+
+    def around(clean: Column, first: Column) -> Column:
+        at, call, size = first["i"] + 1, first["kind"] == "c", F.size(clean)
+        tail = F.slice(clean, F.greatest(F.lit(1), size - V.TAIL_ROWS + 1), F.lit(V.TAIL_ROWS))
+        return (
+            F.when(first.isNull(), tail)
+            .when(call & (at == 1), F.slice(clean, F.lit(1), F.lit(V.TRACE_ROWS - 1)))
+            .otherwise(F.slice(clean, F.when(call, at - 1).otherwise(at), F.lit(V.TRACE_ROWS)))
+        )
+
+    return bound(F.transform(lines, rstrip), kept)
 
 
 def prune_lines(lines: Column) -> Column:
     """Lines of one log without the vendor lines that follow an error line."""
-    first = F.array_min(F.transform(lines, lambda line, i: F.when(matches_error(line), i)))
-    late = F.coalesce(first, F.lit(2**31 - 1))
-    return F.filter(lines, lambda line, i: ~matches_vendor(line) | matches_error(line) | (i < late))
+
+    def kept(found: Column) -> Column:
+        first = F.array_min(F.transform(found, lambda line, i: F.when(matches_error(line), i)))
+        return bound(
+            F.coalesce(first, F.lit(2**31 - 1)),
+            lambda late: F.filter(found, lambda line, i: ~matches_vendor(line) | (i < late) | matches_error(line)),
+        )
+
+    return bound(lines, kept)

@@ -63,21 +63,35 @@ def _violations(phase: int) -> list[Column]:
     raise ValueError(f"phase must be one of {PHASES}")
 
 
-def artifact_gate(
+def artifact_gates(
     artifacts: DataFrame,
-    phase: int,
+    phases: Sequence[int] = PHASES,
     workspace: Sequence[str] = ("workspace",),
     path: str = "path",
     content: str = "content",
 ) -> DataFrame:
-    """(workspace, passed, violations) for one phase.
+    """(workspace, phase, passed, violations) for every phase, from one aggregate over the artifacts.
 
     Contents are tested in the scan, before the shuffle: only one row of flags per workspace and task travels, never
     the text.
     """
     rows = artifacts.select(*workspace, F.col(path).alias("_path"), F.col(content).alias("_content"))
-    found = rows.groupBy(*workspace).agg(F.array_compact(F.array(*_violations(phase))).alias("violations"))
-    return found.select(*workspace, (F.size("violations") == 0).alias("passed"), "violations")
+    found = rows.groupBy(*workspace).agg(*[F.array_compact(F.array(*_violations(p))).alias(f"_{p}") for p in phases])
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), F.col(f"_{p}").alias("violations")) for p in phases]))
+    return found.select(*workspace, each.alias("_g")).select(
+        *workspace, "_g.phase", (F.size("_g.violations") == 0).alias("passed"), "_g.violations"
+    )
+
+
+def artifact_gate(
+    artifacts: DataFrame,
+    phase: int,
+    workspace: Sequence[str] = ("workspace",),
+    path: str = "path",
+    content: str = "content",
+) -> DataFrame:
+    """(workspace, passed, violations) for one phase."""
+    return artifact_gates(artifacts, [phase], workspace, path, content).drop("phase")
 
 
 def preferred_artifact(
