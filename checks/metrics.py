@@ -190,7 +190,7 @@ USAGE_SQL = f"""
                      WHEN 'anthropic' THEN 'claude-3-opus' ELSE 'gemini-1.5-pro' END ELSE 'model-' || (k % 3) END ELSE 'unknown' END AS model,
            CASE WHEN error IS NULL THEN k ELSE 0 END AS tokens_in,
            CASE WHEN error IS NULL AND k % 6 <> 0 THEN user_id ELSE 0 END AS tokens_out,
-           CASE WHEN error IS NULL THEN 1 ELSE 0 END AS prompts,
+           CAST(CASE WHEN error IS NULL THEN 1 ELSE 0 END AS BIGINT) AS prompts,
            CASE WHEN error IS NULL THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END AS cost
     FROM (
       SELECT *, {K} AS k, {PROVIDER_SQL} AS provider,

@@ -65,7 +65,7 @@ TOOLS = {
 }
 
 FORCED_SQL = f"""
-    SELECT project, stack, position, category, name, coalesce(type, '') AS type FROM ({STACK_SQL}),
+    SELECT project, stack, CAST(position AS BIGINT) AS position, category, name, coalesce(type, '') AS type FROM ({STACK_SQL}),
       (VALUES (1, 'frontend', 'browser', 'mcp', ['frontend']), (2, 'frontend', 'browser-notes', 'skill', ['frontend', 'php']),
               (3, 'backend', 'types', NULL, ['python', 'typescript']), (4, 'backend', 'crates', 'mcp', ['rust']),
               (5, 'universal', 'beans', NULL, ['(java/'])) t(position, category, name, type, words)

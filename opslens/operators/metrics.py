@@ -73,12 +73,13 @@ def payload_metrics(activity: DataFrame, as_of: AsOf, days: int = V.WINDOW_DAYS)
 
 
 def repo_metrics(activity: DataFrame, as_of: AsOf, days: int = V.WINDOW_DAYS) -> DataFrame:
-    """One row per repo: counters summed over its payload pages, and its first error text if any page failed."""
-    return (
-        payload_metrics(activity, as_of, days)
-        .groupBy("repo")
-        .agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS], F.min("error").alias("error"))
-    )
+    """One row per repo: counters summed over its payload pages, and its first error text if any page failed.
+
+    Grouping by (repo, error) first keeps the large aggregate a hash aggregate: a text in its key is fine, a text in
+    its buffer would make Spark sort all payloads.
+    """
+    pages = payload_metrics(activity, as_of, days).groupBy("repo", "error").agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS])
+    return pages.groupBy("repo").agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS], F.min("error").alias("error"))
 
 
 def change_counters(
@@ -193,9 +194,16 @@ def enabled_only(records: DataFrame, enabled: Sequence[str], source: str = "prov
 
 
 def latest_per_source(records: DataFrame, source: str = "provider", newest: str = "fetched_at") -> DataFrame:
-    """The newest record of each source, by a map-side combined maximum; equal times fall back on the values."""
-    rest = [c for c in records.columns if c not in (source, newest)]
-    return records.groupBy(source).agg(F.max(F.struct(newest, *rest)).alias("_r")).select(source, "_r.*")
+    """The newest record of each source; equal times fall back on the values.
+
+    The newest time per source is a hash aggregate with one row per source; only records of that time are compared
+    as a whole. Records without a readable time count as the oldest.
+    """
+    timed = records.withColumn("_at", F.coalesce(parse_iso(F.col(newest)), F.lit("0001-01-01").cast("timestamp_ntz")))
+    tops = timed.groupBy(source).agg(F.max("_at").alias("_top"))
+    rest = [c for c in records.columns if c != source]
+    same = timed.join(tops, source).where(F.col("_at") == F.col("_top"))
+    return same.groupBy(source).agg(F.max(F.struct(*rest)).alias("_r")).select(source, "_r.*")
 
 
 def source_union(usage: DataFrame, costs: DataFrame) -> DataFrame:

@@ -22,29 +22,37 @@ def position_chunk(position: str | Column, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(position / rows)
 
 
-def running_sums(
-    rows: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Column, sums: dict[str, Column]
-) -> DataFrame:
-    """Add running sums (current row included) in ``order`` within ``key``.
-
-    Each chunk is summed with map-side combine; the sums of earlier chunks are the offset of the next one.
-    """
+def _running(rows: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Column, sums: dict[str, Column]) -> DataFrame:
     group = [*key, "_chunk"]
     names = list(sums)
     tagged = rows.withColumns({"_chunk": chunk, **{f"_v{i}": sums[n] for i, n in enumerate(names)}})
     per_chunk = tagged.groupBy(*group).agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))])
     before = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.select(*group, *[F.sum(f"_s{i}").over(before).alias(f"_o{i}") for i in range(len(names))])
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = _inside(key, order).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumns({f"_l{i}": F.sum(f"_v{i}").over(inside) for i in range(len(names))})
-    joined = local.join(offsets, group)
     total = {
         n: F.when(F.col(f"_o{i}").isNull(), F.col(f"_l{i}"))
         .when(F.col(f"_l{i}").isNull(), F.col(f"_o{i}"))
         .otherwise(F.col(f"_o{i}") + F.col(f"_l{i}"))
         for i, n in enumerate(names)
     }
-    return joined.select(*rows.columns, *[total[n].alias(n) for n in names])
+    kept = [c for c in rows.columns if c != "_chunk"]
+    return local.join(offsets, group).select(*kept, "_chunk", *[total[n].alias(n) for n in names])
+
+
+def _inside(key: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*key, "_chunk").orderBy(*order)
+
+
+def running_sums(
+    rows: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Column, sums: dict[str, Column]
+) -> DataFrame:
+    """Add running sums (current row included) in ``order`` within ``key``.
+
+    Each chunk is summed with map-side combine; the sums of earlier chunks are the offset of the next one.
+    """
+    return _running(rows, key, order, chunk, sums).drop("_chunk")
 
 
 def row_numbers(
@@ -80,26 +88,22 @@ def first_error_rows(
     """Rows around the first match of each key, or its last ``tail`` rows if nothing matches.
 
     A ``match`` row is kept with the ``keep - 1`` rows after it. A ``call_site`` row that comes first is kept with
-    the row before it and ``keep - 2`` rows after it. Per-chunk counts tell which chunks can hold kept rows; only
-    those are read back and ordered.
+    the row before it and ``keep - 2`` rows after it. Row counts per chunk tell which chunks can hold kept rows; only
+    those are read back and ordered. Counts are hash-aggregated; only matching rows take part in the search for the
+    first one.
     """
     at = F.struct(*order)
     kind = F.when(match, 0) if call_site is None else F.when(match, 0).when(call_site, 1)
-    tagged = rows.withColumns({"_chunk": chunk, "_at": at, "_kind": kind})
-    per_chunk = tagged.groupBy(*key, "_chunk").agg(
-        F.count("*").alias("_n"),
-        F.min(F.when(F.col("_kind").isNotNull(), F.struct("_at", "_kind", "_chunk"))).alias("_hit"),
-    )
+    tagged = rows.withColumns({"_chunk": chunk, "_at": at})
+    counts = tagged.groupBy(*key, "_chunk").agg(F.count("*").alias("_n"))
+    hits = tagged.withColumn("_kind", kind).where(F.col("_kind").isNotNull())
+    first = hits.groupBy(*key).agg(F.min(F.struct("_at", "_kind", "_chunk")).alias("_first"))
     whole = Window.partitionBy(*key)
     earlier = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     later = whole.orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
     none = F.lit(0).cast("bigint")
-    placed = per_chunk.withColumns(
-        {
-            "_first": F.min("_hit").over(whole),
-            "_before": F.coalesce(F.sum("_n").over(earlier), none),
-            "_after": F.coalesce(F.sum("_n").over(later), none),
-        }
+    placed = counts.join(first, [*key], "left").withColumns(
+        {"_before": F.coalesce(F.sum("_n").over(earlier), none), "_after": F.coalesce(F.sum("_n").over(later), none)}
     )
     in_hit = F.col("_chunk") == F.col("_first._chunk")
     placed = placed.withColumns(
@@ -135,13 +139,13 @@ def prune_rows(
     Error rows and other rows pass in the scan; only vendor rows are matched with the first error.
     """
     error, vendor = F.coalesce(error, F.lit(False)), F.coalesce(vendor, F.lit(False))
-    tagged = rows.withColumns({"_chunk": chunk, "_error": error, "_vendor": vendor & ~error})
+    tagged = rows.withColumns({"_chunk": chunk, "_vendor": vendor & ~error})
     passing = tagged.where(~F.col("_vendor")).select(*rows.columns)
-    per_chunk = tagged.groupBy(*key, "_chunk").agg(F.min(F.when(F.col("_error"), F.struct(*order))).alias("_error_at"))
-    first = per_chunk.select(*key, "_chunk", F.min("_error_at").over(Window.partitionBy(*key)).alias("_first"))
+    first = rows.where(error).groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
+    late = tagged.where("_vendor")
+    chunks = late.select(*key, "_chunk").distinct().join(first, [*key], "left")
     early = (
-        tagged.where("_vendor")
-        .join(first, [*key, "_chunk"])
+        late.join(chunks, [*key, "_chunk"])
         .where(F.col("_first").isNull() | (F.struct(*order) < F.col("_first")))
         .select(*rows.columns)
     )
@@ -153,18 +157,17 @@ def repeated_runs(
 ) -> DataFrame:
     """Runs of at least ``times`` equal calls in a row: key, call, ``run_start`` (first order column), ``run_length``."""
     group = [*key, "_chunk"]
-    tagged = rows.withColumns({"_chunk": chunk, "_call": F.struct(*call), "_at": F.struct(*order)})
-    lasts = tagged.groupBy(*group).agg(F.max_by("_call", "_at").alias("_last"))
-    carried = lasts.select(
-        *group, F.lag("_last").over(Window.partitionBy(*key).orderBy("_chunk")).alias("_carried")
-    )
-    inside = Window.partitionBy(*group).orderBy(*order)
-    joined = tagged.withColumn("_local", F.lag("_call").over(inside)).join(carried, group)
+    narrow = rows.select(*key, *order, F.struct(*call).alias("_call"), chunk.alias("_chunk"))
+    inside = _inside(key, order)
+    local = narrow.withColumns({"_local": F.lag("_call").over(inside), "_next": F.lead(F.lit(True)).over(inside)})
+    lasts = local.where(F.col("_next").isNull()).select(*group, F.col("_call").alias("_last"))
+    carried = lasts.select(*group, F.lag("_last").over(Window.partitionBy(*key).orderBy("_chunk")).alias("_carried"))
+    joined = local.drop("_next").join(carried, group)
     previous = F.coalesce(F.col("_local"), F.col("_carried"))
     starts = F.when(previous.isNotNull() & previous.eqNullSafe(F.col("_call")), 0).otherwise(1).cast("bigint")
-    runs = running_sums(joined, key, order, F.col("_chunk"), {"_run": starts})
+    runs = _running(joined, key, order, F.col("_chunk"), {"_run": starts})
     found = runs.groupBy(*key, "_run").agg(
-        F.min("_at").alias("_start"), F.count("*").alias("run_length"), F.min("_call").alias("_call")
+        F.min(F.struct(*order)).alias("_start"), F.count("*").alias("run_length"), F.min("_call").alias("_call")
     )
     return found.where(F.col("run_length") >= times).select(
         *key, "_call.*", F.col("_start")[order[0]].alias("run_start"), "run_length"
@@ -186,22 +189,20 @@ def first_breach(
     seconds since the first row of the key with ``max_seconds``.
     """
     names = list(spent)
-    totals = running_sums(rows, key, order, chunk, {f"_t{i}": spent[n][0] for i, n in enumerate(names)})
-    checks = [
-        F.struct(F.lit(n).alias("name"), F.col(f"_t{i}").cast("double").alias("total"), F.lit(float(spent[n][1])).alias("cap"))
-        for i, n in enumerate(names)
-    ]
+    totals = _running(rows, key, order, chunk, {f"_t{i}": spent[n][0] for i, n in enumerate(names)})
+    limits = {n: (F.col(f"_t{i}").cast("double"), float(spent[n][1])) for i, n in enumerate(names)}
     if clock is not None:
         begun = rows.withColumn("_chunk", chunk).groupBy(*key, "_chunk").agg(F.min(clock).alias("_b"))
         begun = begun.select(*key, "_chunk", F.min("_b").over(Window.partitionBy(*key)).alias("_begun"))
-        totals = totals.withColumn("_chunk", chunk).join(begun, [*key, "_chunk"])
-        seconds = F.timestamp_diff("MICROSECOND", F.col("_begun"), clock) / 1e6
-        checks.append(
-            F.struct(F.lit("wall_clock").alias("name"), seconds.alias("total"), F.lit(float(max_seconds)).alias("cap"))
-        )
-    over = totals.select(*key, F.struct(*order).alias("_at"), F.explode(F.array(*checks)).alias("_c")).where(
-        F.col("_c.total") > F.col("_c.cap")
+        totals = totals.join(begun, [*key, "_chunk"])
+        limits["wall_clock"] = (F.timestamp_diff("MICROSECOND", F.col("_begun"), clock) / 1e6, float(max_seconds))
+    # Only the first row over a cap within its chunk can be the first of the key.
+    fresh = lambda over: over & ~F.coalesce(F.lag(over).over(_inside(key, order)), F.lit(False))
+    marked = totals.withColumns(
+        {f"_c{i}": F.when(fresh(F.coalesce(total > cap, F.lit(False))), total) for i, (total, cap) in enumerate(limits.values())}
     )
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_c{i}").alias("total")) for i, n in enumerate(limits)])
+    over = marked.select(*key, F.struct(*order).alias("_at"), F.explode(each).alias("_c")).where("_c.total is not null")
     first = over.groupBy(*key, F.col("_c.name").alias("budget")).agg(
         F.min(F.struct("_at", F.col("_c.total").alias("total"))).alias("_f")
     )

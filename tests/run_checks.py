@@ -10,6 +10,8 @@ import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
 
 def normal(value):
     if isinstance(value, Decimal):
@@ -30,6 +32,14 @@ def compare(spark, con, folder, name, query, sql):
     if sorted(names) != columns:
         return took, len(mine), f"COLUMNS {columns} vs {sorted(names)}", []
     at = [names.index(c) for c in columns]
+    kinds = {d[0]: str(d[1]) for d in result.description}
+    odd = [
+        (f.name, f.dataType.simpleString(), kinds[f.name])
+        for f in got.schema
+        if TYPES.get(f.dataType.simpleString()) != kinds[f.name]
+    ]
+    if odd:
+        print("    types", name, odd)
     theirs = sorted((tuple(normal(r[i]) for i in at) for r in result.fetchall()), key=repr)
     if mine == theirs:
         return took, len(mine), "ok", []
