@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.logs import LINES
-from checks.registry import check, table
+from checks.registry import check, spread_table, table
 from opslens.functions import jsontext, paths
 from opslens.functions import text as T
 from opslens.operators import closure as C
@@ -18,7 +18,7 @@ LONG_LINES = f"SELECT * FROM ({LONG_LINES}) WHERE length(line) > 20"
 
 
 def texts(spark, folder):
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    return spread_table(spark, folder, "documents", "doc_id", "text").toDF("path", "content")
 
 
 @check(
@@ -28,7 +28,7 @@ def texts(spark, folder):
     """
 )
 def shared_lines(spark, folder):
-    return P.line_redundancy(texts(spark, folder).select("content")).withColumn("documents", F.col("documents").cast("bigint"))
+    return P.line_redundancy(texts(spark, folder))
 
 
 @check(
@@ -65,7 +65,7 @@ def redundancy_summary(spark, folder):
 def document_predicates(spark, folder):
     rules = [("License", "failed"), (" of the ", " REPRODUCIBLE "), ("token", "[USER INPUT REQUIRED]")]
     text = T.replace_in_order(F.col("text"), rules)
-    docs = table(spark, folder, "documents").select("doc_id", text.alias("t"))
+    docs = spread_table(spark, folder, "documents", "doc_id", "text").select("doc_id", text.alias("t"))
     flag = lambda c, n: c.cast("int").alias(n)
     return docs.select(
         "doc_id",
@@ -173,7 +173,7 @@ def linked_documents(spark, folder):
     note = F.concat(
         F.col("text"), F.lit("\nSee [a](d"), doc + 1, F.lit(".md), [b](../w/./d"), F.floor(doc / 2), F.lit(".md) and [c](gone.md)")
     )
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents", "doc_id", "text").select(
         F.concat(F.lit("w/d"), doc, F.lit(".md")).alias("path"), note.alias("content")
     )
 
@@ -209,7 +209,7 @@ def document_reference_payload(spark, folder):
 )
 def page_paths(spark, folder):
     p = F.col("path")
-    pages = table(spark, folder, "pages").select(
+    pages = spread_table(spark, folder, "pages", "page_id", "url", "html").select(
         "page_id", "html", F.regexp_extract("url", r"^https?://[^/?#]*(/[^?#]*)?", 1).alias("path")
     )
     return pages.select(
@@ -249,7 +249,7 @@ def rendered_documents(spark, folder):
         F.replace(F.col("text"), F.lit(" the "), F.lit(" replace ")),
         F.lit("\n- read_file glob {{HARNESS_DIR}} {{SUBAGENT_SYNTAX}}@boilerplate-agent"),
     )
-    files = table(spark, folder, "documents").select("doc_id", name.alias("path"), noted.alias("content"))
+    files = spread_table(spark, folder, "documents", "doc_id", "text").select("doc_id", name.alias("path"), noted.alias("content"))
     return D.render_templates(files, "claude", ".x").select("doc_id", "content")
 
 
@@ -267,7 +267,7 @@ def recovered_json(spark, folder):
         .otherwise(F.concat(F.lit("Sure:\n```json\n"), props, F.lit("\n``` done")))
     )
     found = jsontext.recover_json(reply, "struct<k: bigint>", F.named_struct(F.lit("k"), F.lit(-1).cast("bigint")))
-    return table(spark, folder, "events").select("event_id", found["k"].alias("k"))
+    return spread_table(spark, folder, "events", "event_id", "event_type", "props").select("event_id", found["k"].alias("k"))
 
 
 @check(
@@ -289,7 +289,7 @@ def filled_templates(spark, folder):
             F.when(F.col("p_size") % 2 == 0, F.array("p_type")).alias("domain_events"),
         )
     )
-    rows = table(spark, folder, "part").withColumn("reply", F.concat(F.lit("Reply: "), profile))
+    rows = spread_table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").withColumn("reply", F.concat(F.lit("Reply: "), profile))
     return D.fill_documents(rows, template, D.profile_slots(F.col("reply"))).select("p_partkey", "document")
 
 
@@ -430,6 +430,6 @@ INCLUDED_SQL = """
 def expanded_documents(spark, folder):
     doc = F.col("doc_id")
     content = F.concat(F.col("text"), F.lit("\n@d"), F.floor(doc / 10), F.lit("\n @none"), doc, F.lit("\n@ d1"))
-    docs = table(spark, folder, "documents").select(F.concat(F.lit("d"), doc).alias("path"), content.alias("content"))
+    docs = spread_table(spark, folder, "documents", "doc_id", "text").select(F.concat(F.lit("d"), doc).alias("path"), content.alias("content"))
     position = F.array_join(F.transform("position", lambda p: p.cast("string")), ".")
     return C.expand_includes(docs).withColumn("position", position)

@@ -5,7 +5,7 @@ A user's events are one log, ordered by (ts, event_id), in day-long chunks.
 
 from pyspark.sql import functions as F
 
-from checks.registry import check, table
+from checks.registry import check, spread_table, table
 from opslens.functions import text as T
 from opslens.operators import ordered as O
 from opslens.sources.corpus import line_rows
@@ -147,7 +147,7 @@ LINES = """
 
 @check(f"SELECT doc_id, line_no, line FROM ({LINES.format(text='text')})")
 def document_line_numbers(spark, folder):
-    rows = line_rows(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    rows = line_rows(spread_table(spark, folder, "documents", "doc_id", "text"), "text")
     return rows.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
@@ -179,7 +179,7 @@ def noisy():
 )
 def document_error_traces(spark, folder):
     kept = T.first_error_lines(T.document_lines(noisy()))
-    docs = table(spark, folder, "documents").select("doc_id", kept.alias("lines"))
+    docs = spread_table(spark, folder, "documents", "doc_id", "text").select("doc_id", kept.alias("lines"))
     return docs.select("doc_id", F.size("lines").cast("bigint").alias("kept"), F.array_join("lines", "\n").alias("trace"))
 
 
@@ -197,5 +197,5 @@ def document_error_traces(spark, folder):
 def pruned_documents(spark, folder):
     text = F.replace(F.replace(F.col("text"), F.lit("License"), F.lit("FAILED")), F.lit(" of "), F.lit(" venv/of "))
     pruned = T.prune_lines(T.document_lines(text))
-    docs = table(spark, folder, "documents").select("doc_id", pruned.alias("lines"))
+    docs = spread_table(spark, folder, "documents", "doc_id", "text").select("doc_id", pruned.alias("lines"))
     return docs.where(F.size("lines") > 0).select("doc_id", F.array_join("lines", "\n").alias("pruned"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import check, table
+from checks.registry import check, spread_table, table
 from opslens import schemas as S
 from opslens.functions import money, temporal
 from opslens.operators import enrich as E
@@ -120,7 +120,7 @@ REPO_SQL = """
 """
 
 
-def landed_activity(spark, folder):
+def activity_payloads(orders):
     created = temporal.iso_format(F.col("o_orderdate"))
     merged = F.when(
         F.col("o_orderstatus") == "F", temporal.iso_format(F.col("o_orderdate") + F.make_dt_interval(F.lit(3)))
@@ -139,7 +139,7 @@ def landed_activity(spark, folder):
         nodes(status == "P", created.alias("createdAt")).alias("releases"),
     )
     body = F.to_json(F.struct(F.struct(repository.alias("repository")).alias("data")))
-    return table(spark, folder, "orders").select(
+    return orders.select(
         F.concat(F.lit("org/"), F.col("o_custkey")).alias("repo"),
         F.lit(True).alias("has_token"),
         F.when(F.col("o_orderkey") % 97 == 0, 404).otherwise(200).alias("http_status"),
@@ -148,6 +148,10 @@ def landed_activity(spark, folder):
     )
 
 
+def landed_activity(spark, folder):
+    return activity_payloads(spread_table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"))
+
+
 @check(f"SELECT * REPLACE (coalesce(error, '') AS error) FROM ({REPO_SQL})")
 def nested_activity_by_repo(spark, folder):
     return M.repo_metrics(landed_activity(spark, folder), ORDERS_AS_OF).withColumn("error", F.coalesce("error", F.lit("")))
@@ -211,7 +215,7 @@ def landed_usage(spark, folder):
             F.when(k() % 4 != 0, F.concat(F.lit("model-"), (k() % 3).cast("string"))).alias("model"),
         )
     )
-    return table(spark, folder, "events").select(
+    return spread_table(spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value", "props").select(
         "event_id",
         provider.alias("provider"),
         (k() % 13 != 0).alias("has_key"),
@@ -242,7 +246,7 @@ def landed_costs(spark, folder):
     body = F.to_json(
         F.struct(F.array(day(F.col("o_totalprice").cast("decimal(18,2)").cast("string")), day(F.lit("2.50")), day(F.lit("n/a"))).alias("ResultsByTime"))
     )
-    return table(spark, folder, "orders").select(
+    return spread_table(spark, folder, "orders", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate").select(
         "o_orderkey",
         F.when(F.col("o_orderstatus") == "P", "gcp").otherwise("aws").alias("provider"),
         (F.col("o_orderkey") % 10 != 0).alias("has_credentials"),

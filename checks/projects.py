@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from checks import metrics as CM
-from checks.registry import check, table
+from checks.registry import check, spread_table, table
 from opslens import values as V
 from opslens.operators import classify as C
 from opslens.operators import enrich as E
@@ -196,7 +196,7 @@ def artifacts(spark, folder):
         .otherwise(F.when(doc % 3 == 0, V.QA_REPORT).otherwise(V.PLAN_CANDIDATES[1]))
     )
     note = F.when(F.col("quality") == 1, "\n## Verification Criteria FAILED\nroot Reproducible").otherwise("")
-    joined = table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    joined = spread_table(spark, folder, "documents", "doc_id", "text").join(labels, "doc_id", "left")
     return joined.select(F.floor(doc / 4).alias("workspace"), path.alias("path"), F.concat("text", note).alias("content"))
 
 

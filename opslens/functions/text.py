@@ -150,11 +150,11 @@ def matches_call_site(line: Column) -> Column:
 
 
 def matches_vendor(line: Column) -> Column:
-    return F.coalesce(contains_any(line, V.VENDOR_PATTERNS), F.lit(False))
+    return line.isNotNull() & contains_any(line, V.VENDOR_PATTERNS)
 
 
 def matches_error(line: Column) -> Column:
-    return F.coalesce(contains_any(line, V.ERROR_KEYWORDS), F.lit(False))
+    return line.isNotNull() & contains_any(line, V.ERROR_KEYWORDS)
 
 
 def matches_failure(text: Column) -> Column:

@@ -7,32 +7,41 @@ from pyspark.sql import functions as F
 
 from opslens import values as V
 from opslens.functions.paths import basename, dirname, markdown_links, resolve
-from opslens.functions.text import document_lines, strip, tokens_at_least_one
+from opslens.functions.text import bound, document_lines, strip, tokens_at_least_one
 from opslens.operators.ordered import row_numbers
 
 
-def _long_lines(documents: DataFrame, text: str, min_len: int) -> DataFrame:
-    lines = F.filter(F.transform(document_lines(F.col(text)), strip), lambda line: F.length(line) > min_len)
+def _line_counts(documents: DataFrame, text: str, min_len: int) -> DataFrame:
+    """One row per document and distinct long line: the other columns, ``line`` and its ``occurrences``.
+
+    A document is one row, so its lines are sorted and counted in place, without a shuffle.
+    """
+    long_lines = F.sort_array(F.filter(F.transform(document_lines(F.col(text)), strip), lambda line: F.length(line) > min_len))
+
+    def runs(lines: Column) -> Column:
+        firsts = F.array_compact(F.transform(lines, lambda line, i: F.when((i == 0) | (F.get(lines, i - 1) != line), i)))
+        return bound(
+            firsts,
+            lambda at: F.transform(
+                at,
+                lambda first, j: F.struct(
+                    F.get(lines, first).alias("line"),
+                    (F.coalesce(F.get(at, j + 1), F.size(lines)) - first).cast("bigint").alias("occurrences"),
+                ),
+            ),
+        )
+
     kept = [c for c in documents.columns if c != text]
-    return documents.select(*kept, F.sort_array(lines).alias("_lines"))
+    return documents.select(*kept, F.explode(bound(long_lines, runs)).alias("_l")).select(*kept, "_l.*")
 
 
 def line_redundancy(documents: DataFrame, text: str = "content", min_len: int = V.MIN_SHARED_LINE_CHARS) -> DataFrame:
     """Lines longer than ``min_len`` that occur more than once: (line, occurrences, documents).
 
-    Each document is one row, so its lines are sorted in place and the first of equal lines carries the document
-    count. That leaves a single shuffle of pre-counted lines, and a line found everywhere costs one row per task.
+    One shuffle of lines that are already counted per document; a line found everywhere costs one row per task.
     """
-    marked = _long_lines(documents, text, min_len).select(
-        F.explode(
-            F.transform(
-                "_lines",
-                lambda line, i: F.struct(line.alias("line"), F.when((i > 0) & (F.get("_lines", i - 1) == line), 0).otherwise(1).alias("fresh")),
-            )
-        ).alias("_m")
-    )
-    counted = marked.groupBy("_m.line").agg(
-        F.count("*").alias("occurrences"), F.sum("_m.fresh").alias("documents")
+    counted = _line_counts(documents.select(text), text, min_len).groupBy("line").agg(
+        F.sum("occurrences").alias("occurrences"), F.count("*").alias("documents")
     )
     return counted.where(F.col("occurrences") > 1)
 
@@ -41,11 +50,8 @@ def line_postings(
     documents: DataFrame, doc: str = "path", text: str = "content", min_len: int = V.MIN_SHARED_LINE_CHARS
 ) -> DataFrame:
     """The inverted index of shared lines as rows (line, doc, occurrences), instead of a list per line."""
-    base = documents.select(doc, text)
-    shared = line_redundancy(base.select(text), text, min_len).select("line")
-    each = _long_lines(base, text, min_len).select(doc, F.explode("_lines").alias("line"))
-    postings = each.groupBy("line", doc).agg(F.count("*").alias("occurrences"))
-    return postings.join(shared, "line", "left_semi")
+    shared = line_redundancy(documents, text, min_len).select("line")
+    return _line_counts(documents.select(doc, text), text, min_len).join(shared, "line", "left_semi")
 
 
 def redundancy_summary(documents: DataFrame, text: str = "content", min_len: int = V.MIN_SHARED_LINE_CHARS) -> DataFrame:

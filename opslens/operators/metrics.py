@@ -78,8 +78,13 @@ def repo_metrics(activity: DataFrame, as_of: AsOf, days: int = V.WINDOW_DAYS) ->
     Grouping by (repo, error) first keeps the large aggregate a hash aggregate: a text in its key is fine, a text in
     its buffer would make Spark sort all payloads.
     """
-    pages = payload_metrics(activity, as_of, days).groupBy("repo", "error").agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS])
-    return pages.groupBy("repo").agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS], F.min("error").alias("error"))
+    return combined_pages(payload_metrics(activity, as_of, days))
+
+
+def combined_pages(pages: DataFrame) -> DataFrame:
+    """Payload metrics summed per repo, with the first error text."""
+    counted = pages.groupBy("repo", "error").agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS])
+    return counted.groupBy("repo").agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS], F.min("error").alias("error"))
 
 
 def change_counters(

@@ -48,3 +48,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/opslens/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Redistribute a small input that would keep most cores idle, ahead of costly row-wise work.
+
+    An input that fills at least half of the cores passes untouched, so large tables are never shuffled here.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
