@@ -67,19 +67,13 @@ def pruned_events(spark, folder):
 
 @check(
     """
-    WITH e AS (
-      SELECT user_id, event_type, ts, event_id,
-             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)
-             - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS island
-      FROM events
-    )
-    SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS run_start, count(*) AS run_length
-    FROM e GROUP BY user_id, event_type, island HAVING count(*) >= 3
+    SELECT user_id, event_id, event_type FROM events
+    QUALIFY event_type = lag(event_type, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+        AND event_type = lag(event_type, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id)
     """
 )
 def repeated_event_types(spark, folder):
-    runs = O.repeated_runs(log(spark, folder), KEY, ORDER, day(), ["event_type"], times=3)
-    return runs.withColumn("run_start", F.date_format("run_start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return O.repeated_calls(log(spark, folder), KEY, ORDER, day(), ["event_type"], times=3).drop("ts")
 
 
 @check(

@@ -68,12 +68,12 @@ def reference_payload(sizes: DataFrame, links: DataFrame, doc: str = "doc", targ
     """Own tokens plus the tokens of every linked document, one hop deep: (doc, links, payload).
 
     ``sizes`` is (doc, tokens) with one row per document; ``links`` is (doc, target) and may repeat. Links to
-    documents that do not exist add nothing. Repeats are counted before the join, and the sums per document are
-    combined map-side.
+    documents that do not exist add nothing. Links meet the sizes of their targets once and are summed per document
+    with map-side combine; a target that very many documents link to is a skewed join side, which adaptive execution
+    splits.
     """
-    counted = links.groupBy(doc, target).agg(F.count("*").alias("_n"))
-    found = counted.join(sizes.select(F.col(doc).alias(target), F.col("tokens").alias("_t")), target)
-    linked = found.groupBy(doc).agg(F.sum("_n").alias("links"), F.sum(F.col("_n") * F.col("_t")).alias("_linked"))
+    found = links.select(doc, target).join(sizes.select(F.col(doc).alias(target), F.col("tokens").alias("_t")), target)
+    linked = found.groupBy(doc).agg(F.count("*").alias("links"), F.sum("_t").alias("_linked"))
     none = F.lit(0).cast("bigint")
     return sizes.join(linked, doc, "left").select(
         doc, F.coalesce("links", none).alias("links"), (F.col("tokens") + F.coalesce("_linked", none)).alias("payload")

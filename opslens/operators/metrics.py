@@ -198,16 +198,22 @@ def enabled_only(records: DataFrame, enabled: Sequence[str], source: str = "prov
     return records.where(F.col(source).isin(*enabled)) if enabled else records.where(F.lit(False))
 
 
-def latest_per_source(records: DataFrame, source: str = "provider", newest: str = "fetched_at") -> DataFrame:
-    """The newest record of each source; equal times fall back on the values.
-
-    The newest time per source is a hash aggregate with one row per source; only records of that time are compared
-    as a whole. Records without a readable time count as the oldest.
+def latest_per_source(
+    records: DataFrame,
+    source: str = "provider",
+    newest: str = "fetched_at",
+    sources: Sequence[str] = (*V.AI_PROVIDERS, *V.CLOUD_PROVIDERS),
+) -> DataFrame:
+    """The newest record of each of the named ``sources``; equal times fall back on the values.
+
+    The newest time per source is a hash aggregate. It has at most one row per name of the list, so it is broadcast
+    and only records of that time are compared as a whole. Records without a readable time count as the oldest.
     """
-    timed = records.withColumn("_at", F.coalesce(parse_iso(F.col(newest)), F.lit("0001-01-01").cast("timestamp_ntz")))
-    tops = timed.groupBy(source).agg(F.max("_at").alias("_top"))
+    known = records.where(F.col(source).isin(*sources))
+    timed = known.withColumn("_at", F.coalesce(parse_iso(F.col(newest)), F.lit("0001-01-01").cast("timestamp_ntz")))
+    tops = timed.groupBy(source).agg(F.max("_at").alias("_at"))
     rest = [c for c in records.columns if c != source]
-    same = timed.join(tops, source).where(F.col("_at") == F.col("_top"))
+    same = timed.join(F.broadcast(tops), [source, "_at"])
     return same.groupBy(source).agg(F.max(F.struct(*rest)).alias("_r")).select(source, "_r.*")
 
 

@@ -22,13 +22,28 @@ def position_chunk(position: str | Column, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(position / rows)
 
 
-def _running(rows: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Column, sums: dict[str, Column]) -> DataFrame:
+def _running(
+    rows: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    sums: dict[str, Column],
+    lowest: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Rows with their ``_chunk``, running sums, and for each entry of ``lowest`` its minimum over the whole key."""
     group = [*key, "_chunk"]
-    names = list(sums)
+    names, lowest = list(sums), lowest or {}
     tagged = rows.withColumns({"_chunk": chunk, **{f"_v{i}": sums[n] for i, n in enumerate(names)}})
-    per_chunk = tagged.groupBy(*group).agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))])
-    before = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.select(*group, *[F.sum(f"_s{i}").over(before).alias(f"_o{i}") for i in range(len(names))])
+    per_chunk = tagged.groupBy(*group).agg(
+        *[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))], *[F.min(c).alias(f"_m_{n}") for n, c in lowest.items()]
+    )
+    whole = Window.partitionBy(*key)
+    before = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_chunk.select(
+        *group,
+        *[F.sum(f"_s{i}").over(before).alias(f"_o{i}") for i in range(len(names))],
+        *[F.min(f"_m_{n}").over(whole).alias(n) for n in lowest],
+    )
     inside = _inside(key, order).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumns({f"_l{i}": F.sum(f"_v{i}").over(inside) for i in range(len(names))})
     total = {
@@ -38,7 +53,7 @@ def _running(rows: DataFrame, key: Sequence[str], order: Sequence[str], chunk: C
         for i, n in enumerate(names)
     }
     kept = [c for c in rows.columns if c != "_chunk"]
-    return local.join(offsets, group).select(*kept, "_chunk", *[total[n].alias(n) for n in names])
+    return local.join(offsets, group).select(*kept, "_chunk", *[total[n].alias(n) for n in names], *lowest)
 
 
 def _inside(key: Sequence[str], order: Sequence[str]):
@@ -136,14 +151,14 @@ def prune_rows(
 ) -> DataFrame:
     """Drop vendor rows that come after the first error row of their key.
 
-    Error rows and other rows pass in the scan; only vendor rows are matched with the first error.
+    Error rows and other rows pass in the scan; only vendor rows are matched with the first error, chunk by chunk.
     """
     error, vendor = F.coalesce(error, F.lit(False)), F.coalesce(vendor, F.lit(False))
     tagged = rows.withColumns({"_chunk": chunk, "_vendor": vendor & ~error})
     passing = tagged.where(~F.col("_vendor")).select(*rows.columns)
     first = rows.where(error).groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
     late = tagged.where("_vendor")
-    chunks = late.select(*key, "_chunk").distinct().join(first, [*key], "left")
+    chunks = rows.select(*key, chunk.alias("_chunk")).distinct().join(first, [*key], "left")
     early = (
         late.join(chunks, [*key, "_chunk"])
         .where(F.col("_first").isNull() | (F.struct(*order) < F.col("_first")))
@@ -152,26 +167,39 @@ def prune_rows(
     return passing.unionByName(early)
 
 
-def repeated_runs(
+def repeated_calls(
     rows: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Column, call: Sequence[str], times: int = 3
 ) -> DataFrame:
-    """Runs of at least ``times`` equal calls in a row: key, call, ``run_start`` (first order column), ``run_length``."""
-    group = [*key, "_chunk"]
+    """Rows (key, order, call) whose call equals the ``times - 1`` calls before it.
+
+    A chunk hands its last ``times - 1`` calls on to the chunks after it.
+    """
+    group, back = [*key, "_chunk"], times - 1
     narrow = rows.select(*key, *order, F.struct(*call).alias("_call"), chunk.alias("_chunk"))
     inside = _inside(key, order)
-    local = narrow.withColumns({"_local": F.lag("_call").over(inside), "_next": F.lead(F.lit(True)).over(inside)})
-    lasts = local.where(F.col("_next").isNull()).select(*group, F.col("_call").alias("_last"))
-    carried = lasts.select(*group, F.lag("_last").over(Window.partitionBy(*key).orderBy("_chunk")).alias("_carried"))
-    joined = local.drop("_next").join(carried, group)
-    previous = F.coalesce(F.col("_local"), F.col("_carried"))
-    starts = F.when(previous.isNotNull() & previous.eqNullSafe(F.col("_call")), 0).otherwise(1).cast("bigint")
-    runs = _running(joined, key, order, F.col("_chunk"), {"_run": starts})
-    found = runs.groupBy(*key, "_run").agg(
-        F.min(F.struct(*order)).alias("_start"), F.count("*").alias("run_length"), F.min("_call").alias("_call")
+    local = narrow.withColumns(
+        {
+            "_rn": F.row_number().over(inside),
+            "_follows": F.lead(F.lit(True), back).over(inside),
+            **{f"_l{j}": F.lag("_call", j).over(inside) for j in range(1, times)},
+        }
     )
-    return found.where(F.col("run_length") >= times).select(
-        *key, "_call.*", F.col("_start")[order[0]].alias("run_start"), "run_length"
+    ends = local.where(F.col("_follows").isNull()).groupBy(*group).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_call"))), lambda r: r["_call"]).alias("_tail")
     )
+    steps = Window.partitionBy(*key).orderBy("_chunk")
+    none = F.array().cast(ends.schema["_tail"].dataType)
+    handed = F.concat(*[F.coalesce(F.lag("_tail", j).over(steps), none) for j in range(back, 0, -1)])
+    joined = local.join(ends.select(*group, handed.alias("_handed")), group)
+
+    def before(j: int) -> Column:
+        carried = F.get("_handed", F.size("_handed") - (j - F.col("_rn") + 1))
+        return F.when(F.col("_rn") > j, F.col(f"_l{j}")).otherwise(carried)
+
+    same = F.lit(True)
+    for j in range(1, times):
+        same = same & before(j).isNotNull() & before(j).eqNullSafe(F.col("_call"))
+    return joined.where(same).select(*key, *order, "_call.*")
 
 
 def first_breach(
@@ -185,16 +213,14 @@ def first_breach(
 ) -> DataFrame:
     """First row of each key whose running total exceeds a cap, one result row per key and broken limit.
 
-    ``spent`` maps a limit name to (amount per row, cap). With ``clock``, the limit ``wall_clock`` compares the
+    ``spent`` maps a limit name to (amount per row, cap); amounts are summed as decimals. With ``clock``, the limit ``wall_clock`` compares the
     seconds since the first row of the key with ``max_seconds``.
     """
     names = list(spent)
-    totals = _running(rows, key, order, chunk, {f"_t{i}": spent[n][0] for i, n in enumerate(names)})
+    amounts = {f"_t{i}": spent[n][0].cast("decimal(28,9)") for i, n in enumerate(names)}
+    totals = _running(rows, key, order, chunk, amounts, {} if clock is None else {"_begun": clock})
     limits = {n: (F.col(f"_t{i}").cast("double"), float(spent[n][1])) for i, n in enumerate(names)}
     if clock is not None:
-        begun = rows.withColumn("_chunk", chunk).groupBy(*key, "_chunk").agg(F.min(clock).alias("_b"))
-        begun = begun.select(*key, "_chunk", F.min("_b").over(Window.partitionBy(*key)).alias("_begun"))
-        totals = totals.join(begun, [*key, "_chunk"])
         limits["wall_clock"] = (F.timestamp_diff("MICROSECOND", F.col("_begun"), clock) / 1e6, float(max_seconds))
     # Only the first row over a cap within its chunk can be the first of the key.
     fresh = lambda over: over & ~F.coalesce(F.lag(over).over(_inside(key, order)), F.lit(False))

@@ -49,11 +49,13 @@ def reports(projects: DataFrame, metrics: DataFrame, one_row: DataFrame, activit
     A failed source keeps its zero row in ``stats`` and its error text moves to ``warnings`` of every project.
     """
     known = metrics.select(
-        "repo",
+        F.col("repo").alias("_repo"),
         F.struct(*[F.col(n) for n in V.ACTIVITY_FIELDS]).alias("_github"),
         F.col("error").alias("_github_error"),
     )
-    joined = projects.join(known, "repo", "left") if activity_enabled else projects
+    # Projects without a repo match nothing; a key of their own keeps them from meeting in one task.
+    own = F.coalesce("repo", F.concat(F.lit("\0"), F.col("project")))
+    joined = projects.join(known, own == F.col("_repo"), "left") if activity_enabled else projects
     if activity_enabled:
         wanted = F.col("has_repo")
         zero = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in V.ACTIVITY_FIELDS])

@@ -45,9 +45,36 @@ def isolated_cost(
     chunk: Column | None = None,
     tokens=tokens_floor,
 ) -> DataFrame:
-    """As :func:`running_cost`, with the history dropped at the start of every task."""
-    tasked = with_tasks(messages, session, turn, role, chunk)
-    return running_cost(tasked, [*session, "task"], turn, text, chunk, tokens)
+    """As :func:`running_cost`, with the history dropped at the start of every task; adds ``task`` too.
+
+    The isolated context of a row is its running total less the total before its task. That base is the running
+    maximum of the totals before user messages, so one pass over the chunks gives all of it.
+    """
+    session = list(session)
+    group = [*session, "_chunk"]
+    chunk = position_chunk(turn) if chunk is None else chunk
+    begins = F.col(role) == "user"
+    inside = Window.partitionBy(*group).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+    local = (
+        messages.withColumns({"tokens": tokens(F.col(text)), "_chunk": chunk, "_asked": F.when(begins, 1).otherwise(0).cast("bigint")})
+        .withColumns({"_run": F.sum("tokens").over(inside), "_task": F.sum("_asked").over(inside)})
+        .withColumn("_base", F.max(F.when(begins, F.col("_run") - F.col("tokens"))).over(inside))
+    )
+    per_chunk = local.groupBy(*group).agg(F.sum("tokens").alias("_s"), F.sum("_asked").alias("_a"), F.max("_base").alias("_b"))
+    before = Window.partitionBy(*session).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    placed = per_chunk.withColumns(
+        {"_offset": F.coalesce(F.sum("_s").over(before), none), "_tasks": F.coalesce(F.sum("_a").over(before), none)}
+    )
+    placed = placed.withColumn("_carried", F.coalesce(F.max(F.col("_b") + F.col("_offset")).over(before), none))
+    joined = local.join(placed.select(*group, "_offset", "_tasks", "_carried"), group)
+    base = F.coalesce(F.col("_base") + F.col("_offset"), F.col("_carried"))
+    return joined.select(
+        *messages.columns,
+        "tokens",
+        (F.col("_tasks") + F.col("_task")).alias("task"),
+        (F.col("_run") + F.col("_offset") - base).alias("context_tokens"),
+    )
 
 
 def session_totals(

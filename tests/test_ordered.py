@@ -73,21 +73,14 @@ CALLS = st.lists(st.tuples(st.sampled_from("kl"), st.sampled_from(["a", "b", Non
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(calls=CALLS, step=st.sampled_from([1, 3, 100]))
-def test_repeated_runs(spark, calls, step):
+def test_repeated_calls(spark, calls, step):
     rows = spark.createDataFrame([(k, i, c) for i, (k, c) in enumerate(calls)], "k string, i bigint, call string")
-    got = O.repeated_runs(rows, ["k"], ["i"], O.position_chunk("i", step), ["call"], times=3)
-    found = sorted((r["k"], r["run_start"], r["run_length"], r["call"] or "") for r in got.collect())
+    got = O.repeated_calls(rows, ["k"], ["i"], O.position_chunk("i", step), ["call"], times=3)
+    found = sorted((r["k"], r["i"], r["call"] or "") for r in got.collect())
     expected = []
     for key in "kl":
         mine = [(i, c) for i, (k, c) in enumerate(calls) if k == key]
-        j = 0
-        while j < len(mine):
-            n = 1
-            while j + n < len(mine) and mine[j + n][1] == mine[j][1]:
-                n += 1
-            if n >= 3:
-                expected.append((key, mine[j][0], n, mine[j][1] or ""))
-            j += n
+        expected += [(key, mine[j][0], mine[j][1] or "") for j in range(2, len(mine)) if len({c for _, c in mine[j - 2 : j + 1]}) == 1]
     assert found == sorted(expected)
 
 
