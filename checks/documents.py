@@ -290,7 +290,7 @@ def filled_templates(spark, folder):
         )
     )
     rows = spread_table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").withColumn("reply", F.concat(F.lit("Reply: "), profile))
-    return D.fill_documents(rows, template, D.profile_slots(F.col("reply"))).select("p_partkey", "document")
+    return D.fill_documents(D.with_profile(rows), template, D.profile_slots(F.col("profile"))).select("p_partkey", "document")
 
 
 CHECKLIST_SQL = """

@@ -12,6 +12,7 @@ from opslens.operators import enrich as E
 from opslens.operators import gates as G
 from opslens.operators import report as R
 from opslens.operators.metrics import repo_metrics
+from opslens.plans.onboarding import domain_documents
 from opslens.sources import landing as L
 
 NAMES = [*V.TECH_MARKERS, "README.md", "main.c", "deep"]
@@ -96,6 +97,42 @@ def forced_checklists(spark, folder):
     return C.forced_checklists(stacks(spark, folder), tools()).drop("stack")
 
 
+def _holds(*words):
+    return " OR ".join(f"contains(lower(s.stack), '{w}')" for w in words)
+
+
+@check(
+    f"""
+    SELECT project, 'Stack: ' || stack || chr(10) || 'Area ' || project || ' by owner-' || project || chr(10) || '1. rule ' || project || chr(10)
+           || coalesce(nullif(concat_ws(chr(10), CASE WHEN notes THEN '- [x] browser-notes (http://notes) <!-- type:skill -->' END,
+                CASE WHEN types THEN '- [x] types (http://types) <!-- type:skill -->' END, CASE WHEN beans THEN '- [x] beans (http://beans) <!-- type:skill -->' END,
+                CASE WHEN project % 2 = 0 AND NOT types THEN '- [x] types (http://other) <!-- type:skill -->' END,
+                CASE WHEN project % 2 = 0 THEN '- [x] extra (http://extra) <!-- type:extension -->' END), ''), '- [ ] No skills recommended') || chr(10)
+           || coalesce(nullif(concat_ws(chr(10), CASE WHEN browser THEN '- [x] browser (npx browser)' END, CASE WHEN crates THEN '- [x] crates (npx crates)' END,
+                CASE WHEN project % 3 = 0 AND NOT crates THEN '- [x] crates (npx mine)' END), ''), '- [ ] No MCPs recommended') AS document
+    FROM (SELECT *, {_holds('frontend')} AS browser, {_holds('frontend', 'php')} AS notes, {_holds('python', 'typescript')} AS types,
+                 {_holds('rust')} AS crates, {_holds('(java/')} AS beans FROM ({STACK_SQL}) s)
+    """
+)
+def project_documents(spark, folder):
+    project = F.col("project")
+    suggestion = lambda name, **given: F.struct(F.lit(name).alias("name"), *[F.lit(v).alias(k) for k, v in given.items()])
+    reply = F.to_json(
+        F.struct(
+            F.concat(F.lit("Owner-"), project).alias("sme_name"),
+            F.array(F.concat(F.lit("rule "), project)).alias("invariants"),
+            F.when(
+                project % 2 == 0,
+                F.array(suggestion("types", url="http://other", type="skill"), *[suggestion("extra", url="http://extra", type="extension")] * 2),
+            ).alias("skills"),
+            F.when(project % 3 == 0, F.array(suggestion("crates", command="npx mine"))).alias("mcps"),
+        )
+    )
+    template = F.lit("Stack: {{TECH_STACK}}\nArea {{DOMAIN_SUMMARY}} by {{SME_NAME}}\n{{INVARIANTS}}\n{{SKILLS_MD}}\n{{MCPS_MD}}")
+    rows = stacks(spark, folder).withColumns({"reply": F.concat(F.lit("Here it is: "), reply), "summary": project.cast("string")})
+    return domain_documents(rows, tools(), template).select("project", "document")
+
+
 @check(
     """
     WITH f AS (SELECT o_custkey, o_orderpriority AS name, o_orderkey AS position FROM orders WHERE o_orderstatus = 'F'),

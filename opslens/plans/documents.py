@@ -65,9 +65,13 @@ PROFILE = (
 )
 
 
-def profile_slots(reply: Column) -> dict[str, Column]:
-    """Template slots of a domain profile given as JSON in free text; gaps get placeholders."""
-    found = jsontext.recover_json(reply, PROFILE)
+def with_profile(rows: DataFrame, reply: str = "reply", name: str = "profile", schema: str = PROFILE) -> DataFrame:
+    """Add ``name``: the profile found as JSON in the free text of ``reply``, NULL if there is none."""
+    return rows.withColumn(name, jsontext.recover_json(F.col(reply), schema))
+
+
+def profile_slots(found: Column) -> dict[str, Column]:
+    """Template slots of a domain profile; gaps get placeholders."""
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     named = F.when(found["sme_name"] != "", found["sme_name"])
     return {

@@ -10,6 +10,8 @@ from opslens.operators import enrich as E
 from opslens.operators import gates as G
 from opslens.operators.ordered import position_chunk
 from opslens.plans import documents as D
+from opslens.plans import logs as G2
+from opslens.operators import report as R
 from opslens.sources import corpus as SC
 from opslens.sources import landing as L
 
@@ -209,7 +211,7 @@ def test_document_plans(spark):
         "reply string",
     )
     template = F.lit("{{SME_NAME}}|{{CORE_DOMAIN_VALUE}}|{{INVARIANTS}}|{{GLOSSARY}}|{{DOMAIN_EVENTS}}")
-    filled = [r["document"] for r in D.fill_documents(replies, template, D.profile_slots(F.col("reply"))).collect()]
+    filled = [r["document"] for r in D.fill_documents(D.with_profile(replies), template, D.profile_slots(F.col("profile"))).collect()]
     assert filled[0] == "boss|v|1. i\n2. j|*   **t**: d|*   **e**"
     assert filled[1].startswith("domain-sme|[USER INPUT REQUIRED]|1. [USER")
     merged = spark.range(1).select(
@@ -236,3 +238,22 @@ def test_file_sources(spark, tmp_path):
     assert rows(SC.first_existing(manifest, ["a/wiki", "b/wiki", "c/wiki"], ["project"]).where("location is not null")) == [("p", "b/wiki")]
     assert SC.within_depth(spark.createDataFrame([("a/b/c",), ("a/b",), ("a",)], "path string")).count() == 2
     assert position_chunk("x") is not None
+
+
+def test_log_plans(spark):
+    text = "a  \n  at f()\nvenv/x\nError: y\nvenv/z"
+    logs = spark.createDataFrame([("l", text)], "doc string, content string")
+    assert G2.extract_first_error_text(logs).first()["trace"] == "a\n  at f()\nvenv/x\nError: y\nvenv/z"
+    assert G2.prune_log_text(logs).first()["pruned"] == "a  \n  at f()\nvenv/x\nError: y"
+    lines = SC.line_rows(logs)
+    step = position_chunk("line_no", 2)
+    got = G2.extract_first_error(lines, ["doc"], ["line_no"], step, keep=3).orderBy("line_no")
+    assert [r["line"] for r in got.collect()] == ["a", "  at f()", "venv/x"]
+    got = G2.prune_log_lines(lines, ["doc"], ["line_no"], step).orderBy("line_no")
+    assert [r["line"] for r in got.collect()] == ["a  ", "  at f()", "venv/x", "Error: y"]
+
+
+def test_snapshot(spark, tmp_path):
+    rows = spark.createDataFrame([("a", {"k": "v"})], "name string, terms map<string,string>")
+    R.write_snapshot(rows, str(tmp_path / "s"))
+    assert json.loads(spark.read.text(str(tmp_path / "s")).first()[0]) == {"name": "a", "terms": {"k": "v"}}
