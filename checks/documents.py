@@ -78,17 +78,16 @@ def document_predicates(spark, folder):
 
 @check(
     """
-    SELECT doc_id // 3 AS project,
-           string_agg('=== ' || CASE doc_id % 3 WHEN 0 THEN 'INDEX.MD' ELSE 'ARCHITECTURE.MD' END || ' ===' || chr(10) || text,
-                      chr(10) || chr(10) ORDER BY doc_id % 3) AS context
-    FROM documents WHERE doc_id % 3 < 2 GROUP BY 1
+    SELECT doc_id // 2 AS project,
+           string_agg('=== ' || CASE doc_id % 2 WHEN 0 THEN 'INDEX.MD' ELSE 'ARCHITECTURE.MD' END || ' ===' || chr(10) || text,
+                      chr(10) || chr(10) ORDER BY doc_id % 2) AS context
+    FROM documents GROUP BY 1
     """
 )
 def core_bundles(spark, folder):
-    part = F.col("doc_id") % 3
-    name = F.when(part == 0, "w/index.md").when(part == 1, "w/architecture.md").otherwise("w/notes.md")
+    name = F.when(F.col("doc_id") % 2 == 0, "w/index.md").otherwise("w/architecture.md")
     files = table(spark, folder, "documents").select(
-        F.floor(F.col("doc_id") / 3).alias("project"), name.alias("path"), F.col("text").alias("content")
+        F.floor(F.col("doc_id") / 2).alias("project"), name.alias("path"), F.col("text").alias("content")
     )
     return P.core_bundle(files, ["project"])
 
@@ -97,12 +96,12 @@ def core_bundles(spark, folder):
     """
     SELECT source AS project, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS part_no,
            '=== ' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.MD ===' || chr(10) || text AS part
-    FROM documents WHERE doc_id % 5 <> 0
+    FROM documents
     """
 )
 def full_bundles(spark, folder):
     doc = F.col("doc_id")
-    name = F.concat(F.lit("w/"), F.lpad(doc.cast("string"), 12, "0"), F.when(doc % 5 != 0, ".md").otherwise(".txt"))
+    name = F.concat(F.lit("w/"), F.lpad(doc.cast("string"), 12, "0"), F.lit(".md"))
     files = table(spark, folder, "documents").select(F.col("source").alias("project"), name.alias("path"), F.col("text").alias("content"))
     step = position_chunk(F.regexp_extract("path", r"(\d+)", 1).cast("bigint"))
     return P.full_bundle(files, ["project"], step)
@@ -237,14 +236,14 @@ for _old, _new in [("{{HARNESS_DIR}}", ".x"), ("@boilerplate-agent", ".x"), *T.V
 
 @check(
     f"""
-    SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN t ELSE {CLAUDE_SQL} END AS content
+    SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 3) THEN t ELSE {CLAUDE_SQL} END AS content
     FROM (SELECT doc_id, replace(text, ' the ', ' replace ') || chr(10) || '- read_file glob {{{{HARNESS_DIR}}}} {{{{SUBAGENT_SYNTAX}}}}@boilerplate-agent' AS t
-          FROM documents) WHERE doc_id % 4 <> 3
+          FROM documents)
     """
 )
 def rendered_documents(spark, folder):
     doc = F.col("doc_id")
-    name = F.when(doc % 4 == 0, "a.md").when(doc % 4 == 1, "b.py").when(doc % 4 == 2, "c.json").otherwise("x/d.log")
+    name = F.when(doc % 4 == 0, "a.md").when(doc % 4 == 1, "b.py").when(doc % 4 == 2, "c.json").otherwise("x/d.txt")
     noted = F.concat(
         F.replace(F.col("text"), F.lit(" the "), F.lit(" replace ")),
         F.lit("\n- read_file glob {{HARNESS_DIR}} {{SUBAGENT_SYNTAX}}@boilerplate-agent"),

@@ -1,6 +1,6 @@
 """Ordered-row operators over ``events`` as lines of a log, and the in-row forms over ``documents``.
 
-A user's events are one log, ordered by (ts, event_id), in day-long chunks.
+A user's events are one log, ordered by (ts, event_id).
 """
 
 from pyspark.sql import functions as F
@@ -13,16 +13,13 @@ from opslens.sources.corpus import line_rows
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
-def log(spark, folder):
-    events = table(spark, folder, "events")
-    return events.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
 KEY, ORDER = ["user_id"], ["ts", "event_id"]
 
 
-def day():
-    return F.date_trunc("day", F.col("ts"))
+def log(spark, folder):
+    events = table(spark, folder, "events")
+    lines = events.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return O.balanced_chunks(lines, KEY, "ts")
 
 
 @check(
@@ -44,7 +41,7 @@ def day():
 def first_error_events(spark, folder):
     match = (F.col("event_type") == "error") & (F.col("k") >= 90)
     call = (F.col("event_type") == "purchase") & (F.col("k") >= 95)
-    kept = O.first_error_rows(log(spark, folder), KEY, ORDER, day(), match, call, keep=10, tail=5)
+    kept = O.first_error_rows(log(spark, folder), KEY, ORDER, F.col("chunk"), match, call, keep=10, tail=5)
     return kept.select("user_id", "event_id", "event_type")
 
 
@@ -61,7 +58,7 @@ def first_error_events(spark, folder):
 )
 def pruned_events(spark, folder):
     error = (F.col("event_type") == "error") & (F.col("k") >= 50)
-    kept = O.prune_rows(log(spark, folder), KEY, ORDER, day(), error, F.col("event_type") == "view")
+    kept = O.prune_rows(log(spark, folder), KEY, ORDER, F.col("chunk"), error, F.col("event_type") == "view")
     return kept.select("user_id", "event_id", "event_type")
 
 
@@ -73,7 +70,7 @@ def pruned_events(spark, folder):
     """
 )
 def repeated_event_types(spark, folder):
-    return O.repeated_calls(log(spark, folder), KEY, ORDER, day(), ["event_type"], times=3).drop("ts")
+    return O.repeated_calls(log(spark, folder), KEY, ORDER, F.col("chunk"), ["event_type"], times=3).drop("ts")
 
 
 @check(
@@ -95,7 +92,7 @@ def repeated_event_types(spark, folder):
 )
 def budget_breaches(spark, folder):
     spent = {"cost": (F.col("value").cast("decimal(18,2)"), 500), "tokens": (F.col("k"), 1000)}
-    found = O.first_breach(log(spark, folder), KEY, ORDER, day(), spent, F.col("ts"), 10 * 86400)
+    found = O.first_breach(log(spark, folder), KEY, ORDER, F.col("chunk"), spent, F.col("ts"), 10 * 86400)
     return found.select("user_id", "budget", "event_id", F.round("total", 4).alias("total"))
 
 

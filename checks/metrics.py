@@ -280,8 +280,8 @@ LATEST_SQL = f"""
 
 
 def newest_sources(spark, folder):
-    usage = M.latest_per_source(M.usage_records(landed_usage(spark, folder)).drop("event_id"))
-    costs = M.latest_per_source(M.cost_records(landed_costs(spark, folder)).drop("o_orderkey"))
+    usage = M.usage_records(M.latest_per_source(landed_usage(spark, folder).drop("event_id")))
+    costs = M.cost_records(M.latest_per_source(landed_costs(spark, folder).drop("o_orderkey")))
     return M.source_union(usage.drop("fetched_at"), costs.drop("fetched_at"))
 
 
@@ -321,11 +321,12 @@ CONFIG_SQL = """
            CASE WHEN c_custkey % 6 <> 0 THEN 'org/' || c_custkey END AS repo,
            CASE WHEN c_custkey % 5 <> 0 THEN 'C' || c_custkey END AS slack_channel_id,
            CASE WHEN c_custkey % 7 = 0 THEN 'http://teams/' || c_custkey END AS teams_url
-    FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0
+    FROM customer WHERE c_custkey % 11 <> 0
 """
 
 
-def landed_configs(spark, folder, with_absent=True):
+def landed_configs(spark, folder):
+    """One configuration text per customer; every eleventh is malformed."""
     key = F.col("c_custkey")
     name = lambda p: F.concat(F.lit(p), key)
     settings = F.struct(
@@ -334,22 +335,20 @@ def landed_configs(spark, folder, with_absent=True):
         F.when(key % 7 == 0, name("http://teams/")).alias("teams_url"),
     )
     text = F.concat(F.lit('{"p'), key, F.lit('":'), F.to_json(settings), F.lit("}"))
-    customers = table(spark, folder, "customer")
-    if not with_absent:
-        customers = customers.where((key % 13 != 0) | (key % 11 == 0))
-    return customers.select("c_custkey", F.when(key % 11 == 0, "{broken").when(key % 13 != 0, text).alias("config"))
+    return table(spark, folder, "customer").select("c_custkey", F.when(key % 11 == 0, "{broken").otherwise(text).alias("config"))
 
 
 @check(
     f"""
     SELECT c_custkey, project, coalesce(repo, '') AS repo, coalesce(slack_channel_id, '') AS slack_channel_id,
            coalesce(teams_url, '') AS teams_url, CAST(has_repo AS INTEGER) AS has_repo
-    FROM ({CONFIG_SQL})
-    UNION ALL SELECT c_custkey, 'default-proj', '', 'C0', '', 1 FROM customer WHERE c_custkey % 13 = 0 AND c_custkey % 11 <> 0
+    FROM ({CONFIG_SQL}) WHERE c_custkey % 13 <> 0
+    UNION ALL SELECT c_custkey, 'default-proj', '', 'C0', '', 1 FROM customer WHERE c_custkey % 13 = 0
     """
 )
 def project_configs(spark, folder):
-    rows = L.projects(landed_configs(spark, folder), fallback={"slack_channel_id": "C0"})
+    absent = F.when(F.col("c_custkey") % 13 != 0, F.col("config"))
+    rows = L.projects(landed_configs(spark, folder).withColumn("config", absent), fallback={"slack_channel_id": "C0"})
     empty = F.lit("")
     return rows.select(
         "c_custkey",

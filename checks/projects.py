@@ -303,7 +303,7 @@ REPORT_SQL = f"""
 
 
 def weekly(spark, folder):
-    projects = L.projects(CM.landed_configs(spark, folder, with_absent=False))
+    projects = L.projects(CM.landed_configs(spark, folder))
     one_row = R.source_structs(CM.newest_sources(spark, folder))
     return R.reports(projects, repo_metrics(CM.landed_activity(spark, folder), CM.ORDERS_AS_OF), one_row)
 

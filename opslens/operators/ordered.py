@@ -1,9 +1,10 @@
 """Ordered-row operators on long tables (one row per line, turn or call).
 
 One key may own a large share of all rows, so no operator here orders a whole key in one task. The caller gives
-``chunk``: an order-preserving step of the order columns, such as :func:`position_chunk` for integer positions.
-Rows are ordered inside ``(key, chunk)``; what crosses a chunk border travels in a table with one row per chunk.
-Keys and order columns must not be NULL, and ``order`` must be unique within a key.
+``chunk``: an order-preserving step of the order columns, such as :func:`position_chunk` for integer positions or
+the column of :func:`balanced_chunks` for times and sparse positions. Rows are ordered inside ``(key, chunk)``; what
+crosses a chunk border travels in a table with one row per chunk. Keys and order columns must not be NULL, and
+``order`` must be unique within a key.
 """
 
 from collections.abc import Sequence
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens import values as V
+from opslens.session import BROADCAST_ROWS, sized
 
 CHUNK_ROWS = 100_000
 
@@ -22,6 +24,34 @@ def position_chunk(position: str | Column, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(position / rows)
 
 
+def _place(rows: DataFrame, position: str) -> Column:
+    """A number that grows with the position; times count in seconds, free of any time zone."""
+    kind, column = rows.schema[position].dataType.simpleString(), F.col(position)
+    if kind == "timestamp":
+        return F.unix_seconds(column)
+    if kind == "timestamp_ntz":
+        clock = F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
+        return F.unix_date(column.cast("date")).cast("bigint") * 86400 + clock
+    return column
+
+
+def balanced_chunks(
+    rows: DataFrame, key: Sequence[str], position: str, max_rows: int = CHUNK_ROWS, name: str = "chunk"
+) -> DataFrame:
+    """Add ``name``: 0 for keys of at most ``max_rows`` rows, else one of many equal steps of the key's own range.
+
+    ``position`` is the first order column, a number or a time. There are at most (all rows / ``max_rows``) keys to
+    split; their ranges are stored, counted, and broadcast.
+    """
+    placed = rows.withColumn("_place", _place(rows, position))
+    ranges = placed.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_place").alias("_low"), F.max("_place").alias("_high"))
+    steps = (F.ceil(F.col("_n") / max_rows) * 4).alias("_steps")
+    hot, _ = sized(ranges.where(F.col("_n") > max_rows).select(*key, "_low", "_high", steps), "ranges", 10 * BROADCAST_ROWS)
+    share = (F.col("_place") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1)
+    step = F.coalesce(F.floor(share * F.col("_steps")).cast("bigint"), F.lit(0).cast("bigint"))
+    return placed.join(hot, [*key], "left").select(*rows.columns, step.alias(name))
+
+
 def _running(
     rows: DataFrame,
     key: Sequence[str],
@@ -99,13 +129,15 @@ def first_error_rows(
     call_site: Column | None = None,
     keep: int = V.TRACE_ROWS,
     tail: int = V.TAIL_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Rows around the first match of each key, or its last ``tail`` rows if nothing matches.
 
     A ``match`` row is kept with the ``keep - 1`` rows after it. A ``call_site`` row that comes first is kept with
     the row before it and ``keep - 2`` rows after it. Row counts per chunk tell which chunks can hold kept rows; only
     those are read back and ordered. Counts are hash-aggregated; only matching rows take part in the search for the
-    first one.
+    first one. The list of chunks is stored and counted: a short one is broadcast, so that the other rows are never
+    shuffled, a long one is joined by a shuffle.
     """
     at = F.struct(*order)
     kind = F.when(match, 0) if call_site is None else F.when(match, 0).when(call_site, 1)
@@ -132,7 +164,7 @@ def first_error_rows(
         .when(F.col("_chunk") >= F.col("_first._chunk"), F.col("_before") - F.col("_hit_end") < keep)
         .otherwise(F.col("_before") + F.col("_n") == F.col("_hit_start"))
     )
-    chunks = placed.where(needed).select(*key, "_chunk", "_first")
+    chunks, _ = sized(placed.where(needed).select(*key, "_chunk", "_first"), "chunks", broadcast_rows)
     near = tagged.join(chunks, [*key, "_chunk"])
     ordered = whole.orderBy(*order)
     numbered = near.withColumns({"_rn": F.row_number().over(ordered), "_rows": F.count("*").over(whole)}).withColumn(
@@ -147,23 +179,31 @@ def first_error_rows(
 
 
 def prune_rows(
-    rows: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Column, error: Column, vendor: Column
+    rows: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    error: Column,
+    vendor: Column,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Drop vendor rows that come after the first error row of their key.
 
-    Error rows and other rows pass in the scan; only vendor rows are matched with the first error, chunk by chunk.
+    The first error of each key is stored and counted. If these are few, they are broadcast and one scan does the
+    rest. Otherwise error rows and other rows pass in the scan, and only vendor rows are shuffled to meet the first
+    error of their key, chunk by chunk.
     """
+    found = rows.where(error).groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
+    first, small = sized(found, "first", broadcast_rows)
     error, vendor = F.coalesce(error, F.lit(False)), F.coalesce(vendor, F.lit(False))
+    before = F.col("_first").isNull() | (F.struct(*order) < F.col("_first"))
+    if small:
+        return rows.join(first, [*key], "left").where(error | ~vendor | before).select(*rows.columns)
     tagged = rows.withColumns({"_chunk": chunk, "_vendor": vendor & ~error})
     passing = tagged.where(~F.col("_vendor")).select(*rows.columns)
-    first = rows.where(error).groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
     late = tagged.where("_vendor")
     chunks = rows.select(*key, chunk.alias("_chunk")).distinct().join(first, [*key], "left")
-    early = (
-        late.join(chunks, [*key, "_chunk"])
-        .where(F.col("_first").isNull() | (F.struct(*order) < F.col("_first")))
-        .select(*rows.columns)
-    )
+    early = late.join(chunks, [*key, "_chunk"]).where(before).select(*rows.columns)
     return passing.unionByName(early)
 
 

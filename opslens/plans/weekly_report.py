@@ -26,8 +26,8 @@ def weekly_report(
     Activity shuffles once, as partial sums per repo; each global source is reduced to its newest record and
     reaches the projects as one scalar row.
     """
-    newest_usage = M.latest_per_source(M.usage_records(M.enabled_only(usage, enabled)))
-    newest_costs = M.latest_per_source(M.cost_records(M.enabled_only(costs, enabled)))
+    newest_usage = M.usage_records(M.latest_per_source(M.enabled_only(usage, enabled)))
+    newest_costs = M.cost_records(M.latest_per_source(M.enabled_only(costs, enabled)))
     one_row = R.source_structs(M.source_union(newest_usage, newest_costs))
     return R.reports(projects, M.repo_metrics(activity, as_of, days), one_row, "github" in enabled)
 

@@ -4,6 +4,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,6 +53,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` as a stored table, marked for broadcast if it has at most ``limit`` rows, and whether it is marked.
+
+    For narrow lookup tables (a key and a position). The stored table is counted, not estimated; a larger one comes
+    back unmarked and is joined by a shuffle.
+    """
+    table = materialize(df, name)
+    small = table.count() <= limit
+    return (F.broadcast(table) if small else table), small
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Redistribute a small input that would keep most cores idle, ahead of costly row-wise work.
 

@@ -35,13 +35,14 @@ LOGS = {
 }
 
 
+@pytest.mark.parametrize("limit", [0, 100_000])
 @pytest.mark.parametrize("step", [1, 7, 60, 10_000])
-def test_first_error_rows_match_whole_text_form(spark, step):
+def test_first_error_rows_match_whole_text_form(spark, step, limit):
     rows = frame(spark, LOGS)
     line = F.col("line")
     got = texts(
         O.first_error_rows(
-            rows, ["doc"], ["pos"], O.position_chunk("pos", step), T.matches_trace(line), T.matches_call_site(line)
+            rows, ["doc"], ["pos"], O.position_chunk("pos", step), T.matches_trace(line), T.matches_call_site(line), broadcast_rows=limit
         )
     )
     whole = spark.createDataFrame([(d, "\n".join(v)) for d, v in LOGS.items()], "doc string, text string")
@@ -50,8 +51,9 @@ def test_first_error_rows_match_whole_text_form(spark, step):
     assert len(got["hit"]) == 100 and got["call"][0] == "boom" and len(got["call_on_top"]) == 99 and len(got["none"]) == 40
 
 
+@pytest.mark.parametrize("limit", [0, 100_000])
 @pytest.mark.parametrize("step", [1, 5, 10_000])
-def test_prune_rows(spark, step):
+def test_prune_rows(spark, step, limit):
     logs = {
         "a": ["line1", "node_modules/lib.js", "Error: boom", "venv/lib.py"],
         "b": ["line1", "node_modules/lib.js", "line2"],
@@ -59,7 +61,7 @@ def test_prune_rows(spark, step):
     }
     rows = frame(spark, logs)
     prune = lambda df: O.prune_rows(
-        df, ["doc"], ["pos"], O.position_chunk("pos", step), T.matches_error(F.col("line")), T.matches_vendor(F.col("line"))
+        df, ["doc"], ["pos"], O.position_chunk("pos", step), T.matches_error(F.col("line")), T.matches_vendor(F.col("line")), limit
     )
     once = prune(rows)
     assert texts(once) == {

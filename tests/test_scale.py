@@ -38,6 +38,16 @@ def test_chunks_bound_the_rows_of_a_hot_key(hot):
     assert per_task_rows(tagged, "k", "c") <= STEP
 
 
+def test_balanced_chunks(spark, hot):
+    times = hot.withColumn("at", F.timestamp_seconds(F.col("i") * 7).cast("timestamp_ntz"))
+    for position in ("i", "at"):
+        got = O.balanced_chunks(times, ["k"], position, max_rows=STEP)
+        assert per_task_rows(got, "k", "chunk") <= STEP and got.count() == ROWS
+        assert got.where("k <> 0 and chunk <> 0").isEmpty() and got.where("k = 0").select("chunk").distinct().count() == 40
+        edges = got.where("k = 0").groupBy("chunk").agg(F.min("i").alias("a"), F.max("i").alias("b")).orderBy("chunk").collect()
+        assert all(x["b"] < y["a"] for x, y in zip(edges, edges[1:]))
+
+
 def test_running_sums_equal_a_plain_window(spark, hot):
     got = O.running_sums(hot, ["k"], ["i"], O.position_chunk("i", STEP), {"n": F.lit(1), "s": F.col("i")})
     hot.createOrReplaceTempView("hot_rows")
