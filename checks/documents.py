@@ -92,6 +92,25 @@ def core_bundles(spark, folder):
     return P.core_bundle(files, ["project"])
 
 
+@check(
+    """
+    WITH f AS (
+      SELECT doc_id // 4 AS project, doc_id, CASE source WHEN 'src1' THEN 'bundle/wiki' WHEN 'src2' THEN 'elsewhere' ELSE '.local/wiki' END AS folder FROM documents
+    )
+    SELECT f.project, folder || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.md' AS path FROM f
+    JOIN (SELECT project, bool_or(folder = 'bundle/wiki') AS first FROM f GROUP BY project) b ON b.project = f.project
+    WHERE folder = CASE WHEN b.first THEN 'bundle/wiki' ELSE '.local/wiki' END
+    """
+)
+def located_documents(spark, folder):
+    doc, source = F.col("doc_id"), F.col("source")
+    where = F.when(source == "src1", "bundle/wiki").when(source == "src2", "elsewhere").otherwise(".local/wiki")
+    files = table(spark, folder, "documents").select(
+        F.floor(doc / 4).alias("project"), F.concat(where, F.lit("/"), F.lpad(doc.cast("string"), 12, "0"), F.lit(".md")).alias("path")
+    )
+    return P.in_first_location(files, ["project"], ["bundle/wiki", "bundle/.local/wiki", ".local/wiki"])
+
+
 @check(
     """
     SELECT source AS project, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS part_no,

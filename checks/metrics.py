@@ -125,7 +125,7 @@ def activity_payloads(orders):
     merged = F.when(
         F.col("o_orderstatus") == "F", temporal.iso_format(F.col("o_orderdate") + F.make_dt_interval(F.lit(3)))
     )
-    nodes = lambda keep, *fields: F.struct(F.filter(F.array(F.struct(*fields)), lambda _: keep).alias("nodes"))
+    nodes = lambda keep, *fields: F.struct(F.array_compact(F.array(F.when(keep, F.struct(*fields)))).alias("nodes"))
     status = F.col("o_orderstatus")
     repository = F.struct(
         nodes(
@@ -251,7 +251,7 @@ def landed_costs(spark, folder):
         F.when(F.col("o_orderstatus") == "P", "gcp").otherwise("aws").alias("provider"),
         (F.col("o_orderkey") % 10 != 0).alias("has_credentials"),
         F.when(F.col("o_orderkey") % 17 == 0, "denied").alias("exception"),
-        F.concat_ws("#", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("fetched_at"),
+        temporal.iso_format(F.col("o_orderdate") + F.make_dt_interval(secs=(F.col("o_orderkey") / 1e6).cast("decimal(18,6)"))).alias("fetched_at"),
         F.from_json(body, S.COST_BODY).alias("body"),
     )
 

@@ -9,6 +9,7 @@ from opslens import values as V
 from opslens.functions.paths import basename, dirname, markdown_links, resolve
 from opslens.functions.text import bound, document_lines, strip, tokens_at_least_one
 from opslens.operators.ordered import row_numbers
+from opslens.session import sized
 
 
 def _line_counts(documents: DataFrame, text: str, min_len: int) -> DataFrame:
@@ -49,8 +50,11 @@ def line_redundancy(documents: DataFrame, text: str = "content", min_len: int =
 def line_postings(
     documents: DataFrame, doc: str = "path", text: str = "content", min_len: int = V.MIN_SHARED_LINE_CHARS
 ) -> DataFrame:
-    """The inverted index of shared lines as rows (line, doc, occurrences), instead of a list per line."""
-    shared = line_redundancy(documents, text, min_len).select("line")
+    """The inverted index of shared lines as rows (line, doc, occurrences), instead of a list per line.
+
+    The shared lines are stored and measured. If they are few, they are broadcast and the documents are not shuffled.
+    """
+    shared, _ = sized(line_redundancy(documents, text, min_len).select("line"), "shared")
     return _line_counts(documents.select(doc, text), text, min_len).join(shared, "line", "left_semi")
 
 
@@ -123,3 +127,13 @@ def full_bundle(
     wanted = documents.where(F.endswith(F.col(path), F.lit(V.DOCUMENT_SUFFIX)))
     numbered = row_numbers(wanted.select(*key, path, text), list(key), [path], chunk, "part_no")
     return numbered.select(*key, "part_no", _part(basename(F.col(path)), F.col(text)).alias("part"))
+
+
+def in_first_location(
+    documents: DataFrame, key: Sequence[str], candidates: Sequence[str], path: str = "path"
+) -> DataFrame:
+    """Documents of each key that lie under the first of its ``candidates`` folders that holds any file."""
+    rank = F.coalesce(*[F.when(F.startswith(F.col(path), F.lit(c.rstrip("/") + "/")), F.lit(i)) for i, c in enumerate(candidates)])
+    ranked = documents.withColumn("_rank", rank).where(F.col("_rank").isNotNull())
+    best, _ = sized(ranked.groupBy(*key).agg(F.min("_rank").alias("_rank")), "locations")
+    return ranked.join(best, [*key, "_rank"], "left_semi").drop("_rank")

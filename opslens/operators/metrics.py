@@ -212,9 +212,9 @@ def latest_per_source(
     known = records.where(F.col(source).isin(*sources))
     timed = known.withColumn("_at", F.coalesce(parse_iso(F.col(newest)), F.lit("0001-01-01").cast("timestamp_ntz")))
     tops = timed.groupBy(source).agg(F.max("_at").alias("_at"))
-    rest = [c for c in records.columns if c != source]
+    rest = [c for c in records.columns if c not in (source, newest)]
     same = timed.join(F.broadcast(tops), [source, "_at"])
-    return same.groupBy(source).agg(F.max(F.struct(*rest)).alias("_r")).select(source, "_r.*")
+    return same.groupBy(source).agg(F.max(F.struct(newest, *rest)).alias("_r")).select(source, "_r.*")
 
 
 def source_union(usage: DataFrame, costs: DataFrame) -> DataFrame:

@@ -148,3 +148,10 @@ def session_savings(
         F.sum("_billed").alias("cumulative"), F.sum(F.col("_billed") - F.col("_n") * F.col("_base")).alias("isolated")
     )
     return both.withColumn("savings_pct", savings_pct(F.col("cumulative"), F.col("isolated")))
+
+
+def session_cost(messages: DataFrame, mode: str = "cumulative", **columns) -> DataFrame:
+    """Context cost per message: ``cumulative`` keeps the history of the session, ``isolated`` that of the task."""
+    if mode not in ("cumulative", "isolated"):
+        raise ValueError("mode must be 'cumulative' or 'isolated'")
+    return (running_cost if mode == "cumulative" else isolated_cost)(messages, **columns)

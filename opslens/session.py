@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,14 +54,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` as a stored table, marked for broadcast if it has at most ``limit`` rows, and whether it is marked.
+def sized(
+    df: DataFrame, name: str, limit: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> tuple[DataFrame, bool]:
+    """``df`` as a stored table, marked for broadcast if it is small, and whether it is marked.
 
-    For narrow lookup tables (a key and a position). The stored table is counted, not estimated; a larger one comes
-    back unmarked and is joined by a shuffle.
+    Small means at most ``limit`` rows and ``max_bytes`` of text, as measured on the stored table. A larger table
+    comes back unmarked and is joined by a shuffle.
     """
     table = materialize(df, name)
-    small = table.count() <= limit
+    texts = [f.name for f in table.schema if f.dataType.simpleString() == "string"]
+    text = sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts), F.lit(0))
+    rows, size = table.agg(F.count("*"), text).first()
+    small = rows <= limit and size <= max_bytes
     return (F.broadcast(table) if small else table), small
 
 

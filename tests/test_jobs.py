@@ -66,6 +66,11 @@ def test_bundles(spark):
     ]
 
 
+def test_first_location(spark):
+    files = spark.createDataFrame([("p", "b/x.md"), ("p", "c/y.md"), ("q", "c/z.md"), ("r", "bb/z.md")], "project string, path string")
+    assert rows(P.in_first_location(files, ["project"], ["a", "b", "c/"])) == [("p", "b/x.md"), ("q", "c/z.md")]
+
+
 def test_classify(spark):
     files = [
         ("js", "package.json"), ("ts", "package.json"), ("ts", "tsconfig.json"), ("go", "a/go.mod"), ("deep", "a/b/go.mod"),
