@@ -206,14 +206,14 @@ GATE_SQL = f"""
              bool_or(path = 'artifacts/diagnosis_report.md' AND (contains(content, 'Root Cause') OR contains(lower(content), 'reproducible'))) AS diag_ok
       FROM a GROUP BY workspace
     ), v AS (
-      SELECT workspace, 1 AS phase, [CASE WHEN NOT diag THEN 'MISSING ARTIFACT: artifacts/diagnosis_report.md' END,
-                                     CASE WHEN diag AND NOT diag_ok THEN 'INVALID ARTIFACT: artifacts/diagnosis_report.md' END] AS found FROM w
-      UNION ALL SELECT workspace, 3, [CASE WHEN NOT plan1 AND NOT plan2 THEN 'MISSING ARTIFACT: artifacts/plan.md' END,
-                                      CASE WHEN plan1 AND NOT plan1_ok THEN 'INVALID ARTIFACT: artifacts/implementation_plan.md'
-                                           WHEN NOT plan1 AND plan2 AND NOT plan2_ok THEN 'INVALID ARTIFACT: artifacts/plan.md' END] FROM w
-      UNION ALL SELECT workspace, 4, [CASE WHEN NOT plan1 AND NOT plan2 THEN 'MISSING ARTIFACT: artifacts/plan.md' END,
-                                      CASE WHEN NOT log THEN 'MISSING ARTIFACT: artifacts/tdd_failing_test.log' END,
-                                      CASE WHEN log AND NOT log_ok THEN 'INVALID ARTIFACT: artifacts/tdd_failing_test.log' END] FROM w
+      SELECT workspace, 1 AS phase, [CASE WHEN NOT diag THEN 'artifacts/diagnosis_report.md is missing. You MUST perform a diagnosis before discovery.' END,
+                                     CASE WHEN diag AND NOT diag_ok THEN 'artifacts/diagnosis_report.md lacks a clear Root Cause or reproduction steps.' END] AS found FROM w
+      UNION ALL SELECT workspace, 3, [CASE WHEN NOT plan1 AND NOT plan2 THEN 'No implementation plan found in artifacts/.' END,
+                                      CASE WHEN plan1 AND NOT plan1_ok THEN 'Plan in artifacts/implementation_plan.md is missing strict Verification Criteria (Sphinch Marks).'
+                                           WHEN NOT plan1 AND plan2 AND NOT plan2_ok THEN 'Plan in artifacts/plan.md is missing strict Verification Criteria (Sphinch Marks).' END] FROM w
+      UNION ALL SELECT workspace, 4, [CASE WHEN NOT plan1 AND NOT plan2 THEN 'MISSING ARTIFACT: artifacts/plan.md (Required for Phase 4)' END,
+                                      CASE WHEN NOT log THEN 'MISSING ARTIFACT: artifacts/tdd_failing_test.log (Required to prove TDD Hard Gate)' END,
+                                      CASE WHEN log AND NOT log_ok THEN 'INVALID ARTIFACT: artifacts/tdd_failing_test.log does not contain a verifiable failure trace. You must run the tests and capture the failure before implementation.' END] FROM w
       UNION ALL SELECT workspace, 5, [CASE WHEN NOT review THEN 'MISSING ARTIFACT: artifacts/code_review_report.md' END,
                                       CASE WHEN NOT qa THEN 'MISSING ARTIFACT: artifacts/qa_report.md' END] FROM w
     )

@@ -41,25 +41,25 @@ def _violations(phase: int) -> list[Column]:
     if phase == 1:
         there = _exists(V.DIAGNOSIS_REPORT)
         return [
-            F.when(~there, V.MISSING_ARTIFACT + V.DIAGNOSIS_REPORT),
-            F.when(there & ~_holds(V.DIAGNOSIS_REPORT, has_diagnosis(content)), V.INVALID_ARTIFACT + V.DIAGNOSIS_REPORT),
+            F.when(~there, V.NO_DIAGNOSIS % V.DIAGNOSIS_REPORT),
+            F.when(there & ~_holds(V.DIAGNOSIS_REPORT, has_diagnosis(content)), V.WEAK_DIAGNOSIS % V.DIAGNOSIS_REPORT),
         ]
     if phase == 3:
         first, second = V.PLAN_CANDIDATES
         strict = F.when(plan == first, _holds(first, has_criteria(content))).otherwise(_holds(second, has_criteria(content)))
         return [
-            F.when(plan.isNull(), V.MISSING_ARTIFACT + second),
-            F.when(plan.isNotNull() & ~strict, F.concat(F.lit(V.INVALID_ARTIFACT), plan)),
+            F.when(plan.isNull(), V.NO_PLAN),
+            F.when(plan.isNotNull() & ~strict, F.format_string(V.WEAK_PLAN, plan)),
         ]
     if phase == 4:
         log = _exists(V.FAILING_TEST_LOG)
         return [
-            F.when(plan.isNull(), V.MISSING_ARTIFACT + V.PLAN_CANDIDATES[-1]),
-            F.when(~log, V.MISSING_ARTIFACT + V.FAILING_TEST_LOG),
-            F.when(log & ~_holds(V.FAILING_TEST_LOG, matches_failure(content)), V.INVALID_ARTIFACT + V.FAILING_TEST_LOG),
+            F.when(plan.isNull(), V.NO_PLAN_TO_EXECUTE % V.PLAN_CANDIDATES[-1]),
+            F.when(~log, V.NO_FAILING_TEST % V.FAILING_TEST_LOG),
+            F.when(log & ~_holds(V.FAILING_TEST_LOG, matches_failure(content)), V.NO_FAILURE_IN_LOG % V.FAILING_TEST_LOG),
         ]
     if phase == 5:
-        return [F.when(~_exists(p), V.MISSING_ARTIFACT + p) for p in (V.REVIEW_REPORT, V.QA_REPORT)]
+        return [F.when(~_exists(p), V.NO_REPORT % p) for p in (V.REVIEW_REPORT, V.QA_REPORT)]
     raise ValueError(f"phase must be one of {PHASES}")
 
 

@@ -140,8 +140,17 @@ QA_REPORT = "artifacts/qa_report.md"
 ROOT_CAUSE_TEXT = "Root Cause"
 REPRODUCIBLE_TEXT = "reproducible"
 PLAN_HEADINGS = ["## Sphinch Marks", "## Verification Criteria"]
-MISSING_ARTIFACT = "MISSING ARTIFACT: "
-INVALID_ARTIFACT = "INVALID ARTIFACT: "
+NO_DIAGNOSIS = "%s is missing. You MUST perform a diagnosis before discovery."
+WEAK_DIAGNOSIS = "%s lacks a clear Root Cause or reproduction steps."
+NO_PLAN = "No implementation plan found in artifacts/."
+WEAK_PLAN = "Plan in %s is missing strict Verification Criteria (Sphinch Marks)."
+NO_PLAN_TO_EXECUTE = "MISSING ARTIFACT: %s (Required for Phase 4)"
+NO_FAILING_TEST = "MISSING ARTIFACT: %s (Required to prove TDD Hard Gate)"
+NO_FAILURE_IN_LOG = (
+    "INVALID ARTIFACT: %s does not contain a verifiable failure trace. You must run the tests and capture the "
+    "failure before implementation."
+)
+NO_REPORT = "MISSING ARTIFACT: %s"
 
 # --- Fixed values: report formats ----------------------------------------------------------------
 HEADER_FORMAT = "Project Report: %s"

@@ -134,12 +134,12 @@ def test_gates(spark):
     df = spark.createDataFrame(files, "workspace string, path string, content string")
     gate = lambda p: {r["workspace"]: (r["passed"], r["violations"]) for r in G.artifact_gate(df, p).collect()}
     four = gate(4)
-    assert four["ok"] == (True, []) and four["plan"] == (False, [f"MISSING ARTIFACT: {log}"])
-    assert four["bad"] == (False, [f"INVALID ARTIFACT: {log}"]) and len(four["empty"][1]) == 2
+    assert four["ok"] == (True, []) and four["plan"] == (False, [V.NO_FAILING_TEST % log])
+    assert four["bad"] == (False, [V.NO_FAILURE_IN_LOG % log]) and len(four["empty"][1]) == 2
     one = gate(1)
-    assert one["ok"][0] and one["bad"][1] == [f"INVALID ARTIFACT: {V.DIAGNOSIS_REPORT}"] and one["plan"][1] == [f"MISSING ARTIFACT: {V.DIAGNOSIS_REPORT}"]
+    assert one["ok"][0] and one["bad"][1] == [V.WEAK_DIAGNOSIS % V.DIAGNOSIS_REPORT] and one["plan"][1] == [V.NO_DIAGNOSIS % V.DIAGNOSIS_REPORT]
     three = gate(3)
-    assert three["ok"][0] and three["bad"][0] and three["both"][1] == [f"INVALID ARTIFACT: {plan}"] and not three["empty"][0] and not three["plan"][0]
+    assert three["ok"][0] and three["bad"][0] and three["both"][1] == [V.WEAK_PLAN % plan] and not three["empty"][0] and not three["plan"][0]
     assert gate(5)["ok"] == (True, []) and len(gate(5)["bad"][1]) == 2
     assert rows(G.preferred_artifact(df, V.PLAN_CANDIDATES).select("workspace", "path")) == [
         ("bad", other), ("both", plan), ("ok", plan), ("plan", other),

@@ -81,6 +81,33 @@ def test_large_aggregates_are_hash_based(spark, hot):
     assert "SortAggregate" not in plan(S.session_totals(messages)) and "SortAggregate" not in plan(S.session_savings(messages))
 
 
+@pytest.fixture
+def eager_skew_splits(spark):
+    """Small inputs count as skewed, and nothing is broadcast by estimate."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_link_target_is_split(spark, hot, eager_skew_splits):
+    sizes = spark.range(1001).select(F.col("id").cast("string").alias("doc"), F.lit(2).cast("bigint").alias("tokens"))
+    links = hot.repartition(8).select((F.col("i") % 1001).cast("string").alias("doc"), F.col("k").cast("string").alias("target"))
+    got = P.reference_payload(sizes, links)
+    total = got.agg(F.sum("links"), F.sum("payload"))
+    assert tuple(total.first()) == (ROWS, 2 * ROWS + 2 * 1001)
+    got.collect()
+    assert "skew=true" in plan(got)
+
+
 def test_no_cartesian_products(spark, hot):
     stats = hot.agg(F.count("*").alias("n"))
     from opslens.operators.report import attach_sources
