@@ -29,7 +29,7 @@ def ingested_activity(spark, folder):
     out = run_folder(spark)
     landed = CM.activity_payloads(stream(spark, folder, "orders"))
     metrics = M.payload_metrics(landed, CM.ORDERS_AS_OF)
-    finished(R.ingest(metrics, f"{out}/activity", f"{out}/checkpoint"))
+    finished(R.append_batches(metrics, f"{out}/activity", f"{out}/checkpoint"))
     table = spark.read.schema(metrics.schema).parquet(f"{out}/activity").select(*metrics.columns)
     return M.combined_pages(table).withColumn("error", F.coalesce("error", F.lit("")))
 
@@ -82,6 +82,6 @@ def streamed_budget_alarms(spark, folder):
 def streamed_repeat_alarms(spark, folder):
     out = run_folder(spark)
     result = A.repeat_alarms(stream(spark, folder, "events"), "user_id", "event_id", "event_type")
-    finished(A.write_alarms(result, f"{out}/alarms", f"{out}/checkpoint"))
+    finished(R.append_batches(result, f"{out}/alarms", f"{out}/checkpoint"))
     table = spark.read.schema(result.schema).parquet(f"{out}/alarms")
     return table.select(F.col("session").alias("user_id"), F.col("position").alias("event_id"), F.col("call").alias("event_type"))

@@ -1,26 +1,42 @@
 """Jobs over Markdown documents and templates."""
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opslens import schemas as S
 from opslens import values as V
 from opslens.functions import jsontext, markdown
 from opslens.functions.paths import basename, has_suffix, is_ignored
-from opslens.functions.text import bold_list, fill_template, has_placeholder, numbered_list, platform_rules, replace_in_order, term_list
+from opslens.functions.text import (
+    bold_list,
+    fill_template,
+    has_placeholder,
+    numbered_list,
+    platform_rules,
+    replace_in_order,
+    term_list,
+)
 
 
 def parse_checklists(documents: DataFrame, doc: str = "doc", text: str = "content") -> DataFrame:
     """Ticked rows of both checklists: (doc, kind, pos, name, target, type), ``pos`` from 1 within doc and kind."""
-    skills = F.transform(
-        markdown.checked_rows(markdown.section(F.col(text), V.SKILLS_HEADING)),
-        lambda r, i: F.struct(F.lit("skill").alias("kind"), (i + 1).alias("pos"), r["name"].alias("name"), r["target"].alias("target"), r["type"].alias("type")),
-    )
-    mcps = F.transform(
-        markdown.checked_rows(markdown.section(F.col(text), V.MCPS_HEADING)),
-        lambda r, i: F.struct(F.lit("mcp").alias("kind"), (i + 1).alias("pos"), r["name"].alias("name"), r["target"].alias("target"), F.lit("mcp").alias("type")),
-    )
+
+    def rows(kind: str, heading: str, type_of: Callable[[Column], Column]) -> Column:
+        return F.transform(
+            markdown.checked_rows(markdown.section(F.col(text), heading)),
+            lambda r, i: F.struct(
+                F.lit(kind).alias("kind"),
+                (i + 1).alias("pos"),
+                r["name"].alias("name"),
+                r["target"].alias("target"),
+                type_of(r).alias("type"),
+            ),
+        )
+
+    skills = rows("skill", V.SKILLS_HEADING, lambda r: r["type"])
+    mcps = rows("mcp", V.MCPS_HEADING, lambda r: F.lit("mcp"))
     return documents.select(doc, F.explode(F.concat(skills, mcps)).alias("_r")).select(doc, "_r.*")
 
 
@@ -59,13 +75,7 @@ def inject_routing(files: DataFrame, agents: Column, path: str = "path", text: s
     return files.withColumn(text, F.when(wanted, filled).otherwise(F.col(text)))
 
 
-PROFILE = (
-    "struct<sme_name: string, core_domain_value: string, invariants: array<string>, glossary: map<string, string>,"
-    " domain_events: array<string>>"
-)
-
-
-def with_profile(rows: DataFrame, reply: str = "reply", name: str = "profile", schema: str = PROFILE) -> DataFrame:
+def with_profile(rows: DataFrame, reply: str = "reply", name: str = "profile", schema: str = S.PROFILE) -> DataFrame:
     """Add ``name``: the profile found as JSON in the free text of ``reply``, NULL if there is none."""
     return rows.withColumn(name, jsontext.recover_json(F.col(reply), schema))
 

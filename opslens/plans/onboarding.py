@@ -3,17 +3,15 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opslens import schemas as S
 from opslens import values as V
 from opslens.operators import classify as C
-from opslens.plans.documents import PROFILE, fill_documents, profile_slots, with_profile
-
-SUGGESTION = "struct<name: string, url: string, command: string, type: string>"
-REPLY = PROFILE[:-1] + f", skills: array<{SUGGESTION}>, mcps: array<{SUGGESTION}>>"
+from opslens.plans.documents import fill_documents, profile_slots, with_profile
 
 
 def _as_suggestions(tools: Column) -> Column:
     narrow = F.transform(tools, lambda t: F.struct(*[t[n].alias(n) for n in ("name", "url", "command", "type")]))
-    return F.coalesce(narrow, F.array().cast(f"array<{SUGGESTION}>"))
+    return F.coalesce(narrow, F.array().cast(f"array<{S.SUGGESTION}>"))
 
 
 def with_new_names(known: Column, more: Column) -> Column:
@@ -48,7 +46,7 @@ def domain_documents(
 ) -> DataFrame:
     """Add ``document`` to projects that have a stack text, a domain summary and a reply with their profile."""
     profile = F.col("_profile")
-    picked = recommend_tools(with_profile(projects, reply, "_profile", REPLY), tools, profile, stack)
+    picked = recommend_tools(with_profile(projects, reply, "_profile", S.REPLY), tools, profile, stack)
     skill_lines = F.transform("skills", lambda t: C.skill_line(t["name"], t["url"], t["type"]))
     mcp_lines = F.transform("mcps", lambda t: C.mcp_line(t["name"], t["command"]))
     slots = {

@@ -21,12 +21,23 @@ COST = f"provider string, has_credentials boolean, exception string, fetched_at
 
 PROJECT_CONFIG = "map<string, map<string, string>>"
 
-TOOL = (
-    "struct<name: string, url: string, command: string, type: string,"
-    " keywords: array<string>, force_if_keywords: array<string>>"
+TOOL_FIELDS = (
+    "name: string, url: string, command: string, type: string, keywords: array<string>, force_if_keywords: array<string>"
 )
+TOOL = f"struct<{TOOL_FIELDS}>"
+FLAT_TOOL = f"struct<category: string, {TOOL_FIELDS}>"
 REGISTRY = f"struct<categories: map<string, array<{TOOL}>>>"
 
-ACTIVITY_STATS = "struct<prs_submitted: bigint, lines_added: bigint, lines_deleted: bigint, bugs_closed: bigint, releases_done: bigint>"
+SUGGESTION = "struct<name: string, url: string, command: string, type: string>"
+PROFILE_FIELDS = (
+    "sme_name: string, core_domain_value: string, invariants: array<string>, glossary: map<string, string>,"
+    " domain_events: array<string>"
+)
+PROFILE = f"struct<{PROFILE_FIELDS}>"
+REPLY = f"struct<{PROFILE_FIELDS}, skills: array<{SUGGESTION}>, mcps: array<{SUGGESTION}>>"
+
+ACTIVITY_STATS = (
+    "struct<prs_submitted: bigint, lines_added: bigint, lines_deleted: bigint, bugs_closed: bigint, releases_done: bigint>"
+)
 USAGE_STATS = f"struct<model: string, tokens_in: bigint, tokens_out: bigint, prompts: bigint, cost: {MONEY}>"
 COST_STATS = f"struct<cost: {MONEY}, status: string>"

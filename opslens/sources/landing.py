@@ -74,7 +74,7 @@ def registry_tools(registry: Column) -> Column:
             ),
         )
     )
-    return F.coalesce(flat, F.array().cast(f"array<struct<category: string, {S.TOOL[len('struct<') :]}>"))
+    return F.coalesce(flat, F.array().cast(f"array<{S.FLAT_TOOL}>"))
 
 
 def tool_rows(registries: DataFrame, registry: str = "registry") -> DataFrame:

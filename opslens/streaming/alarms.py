@@ -11,9 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def budget_alarms(stream: DataFrame, session: Sequence[str], spent: dict[str, tuple[Column, float]]) -> DataFrame:
     """Sessions above a cap: (session, budget, total). A plain streaming aggregate, combined before the shuffle."""
     totals = stream.groupBy(*session).agg(*[F.sum(amount).cast("double").alias(n) for n, (amount, _) in spent.items()])
-    checks = F.array(
-        *[F.struct(F.lit(n).alias("budget"), F.col(n).alias("total"), F.lit(float(cap)).alias("cap")) for n, (_, cap) in spent.items()]
-    )
+    check = lambda n, cap: F.struct(F.lit(n).alias("budget"), F.col(n).alias("total"), F.lit(float(cap)).alias("cap"))
+    checks = F.array(*[check(n, cap) for n, (_, cap) in spent.items()])
     over = totals.select(*session, F.explode(checks).alias("_c")).where(F.col("_c.total") > F.col("_c.cap"))
     return over.select(*session, "_c.budget", "_c.total")
 
@@ -37,7 +36,7 @@ def repeat_alarms(stream: DataFrame, session: str, position: str, call: str, tim
         nth = rows.groupby(run).cumcount() + 1 + (run == 0) * length
         state.update((rows["call"].iloc[-1], int(nth.iloc[-1])))
         hits = rows[nth == times]
-        yield pd.DataFrame({"session": [key[0]] * len(hits), "position": hits["position"].to_list(), "call": hits["call"].to_list()})
+        yield hits.assign(session=key[0])[["session", "position", "call"]]
 
     return narrow.groupBy("session").applyInPandasWithState(
         advance,
@@ -46,13 +45,3 @@ def repeat_alarms(stream: DataFrame, session: str, position: str, call: str, tim
         "append",
         GroupStateTimeout.NoTimeout,
     )
-
-
-def write_alarms(alarms: DataFrame, table: str, checkpoint: str, mode: str = "append"):
-    """Append alarms to a Parquet table, one folder per batch."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-
-    query = alarms.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
-    return query.trigger(availableNow=True).start()

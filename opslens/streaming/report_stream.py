@@ -10,16 +10,18 @@ from pyspark.sql.streaming import StreamingQuery
 from opslens import values as V
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append the new records of a stream to a Parquet table and stop.
+def append_batches(result: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Append what a stream yields to a Parquet table, take in all that has landed, and stop.
 
     Every batch owns one folder and overwrites it, so a batch that is repeated after a failure leaves no duplicates.
+    Works for new records, for windows that the watermark has closed (their state is dropped) and for alarms.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = result.writeStream.outputMode("append").foreachBatch(write)
+    return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sliding_metrics(
@@ -33,13 +35,14 @@ def sliding_metrics(
     """Counters per key over ``days``-long windows that start every day; boundaries lie on whole days."""
     window = F.window(time, f"{days} days", "1 day")
     grouped = stream.withWatermark(time, late).groupBy(window.alias("_w"), *key).agg(*counters)
-    return grouped.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *[c for c in grouped.columns if c != "_w"])
+    rest = [c for c in grouped.columns if c != "_w"]
+    return grouped.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *rest)
 
 
 def write_complete(result: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Keep a Parquet table equal to the newest complete result of a streaming aggregate.
 
-    All groups stay in the state store. For an endless stream use :func:`write_closed`.
+    All groups stay in the state store. For an endless stream of windows use :func:`append_batches`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -49,16 +52,6 @@ def write_complete(result: DataFrame, table: str, checkpoint: str) -> StreamingQ
     return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def write_closed(result: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append windows once the watermark has passed their end; their state is dropped then."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-
-    query = result.writeStream.outputMode("append").foreachBatch(write)
-    return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def as_of_window(windows: DataFrame, as_of: str | datetime) -> DataFrame:
     """The window that ends at the day of ``as_of``."""
     return windows.where(F.col("window_end") == F.lit(str(as_of)[:10]).cast("timestamp"))

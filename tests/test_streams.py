@@ -24,9 +24,9 @@ def test_repeat_alarms_keep_state_between_batches(spark, tmp_path):
     write_file(landing, "a.json", [("x", 2, "read"), ("x", 1, "read"), ("y", 1, "read")])
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     result = A.repeat_alarms(calls(spark, landing), "s", "i", "c")
-    A.write_alarms(result, out, check).awaitTermination()
+    R.append_batches(result, out, check).awaitTermination()
     write_file(landing, "b.json", [("x", 3, "read"), ("x", 4, "read"), ("x", 5, "edit"), ("x", 6, "edit"), ("x", 7, "edit"), ("y", 2, "edit")])
-    A.write_alarms(A.repeat_alarms(calls(spark, landing), "s", "i", "c"), out, check).awaitTermination()
+    R.append_batches(A.repeat_alarms(calls(spark, landing), "s", "i", "c"), out, check).awaitTermination()
     got = spark.read.schema(result.schema).parquet(out).collect()
     assert sorted((r["session"], r["position"], r["call"]) for r in got) == [("x", 3, "read"), ("x", 7, "edit")]
 
@@ -47,7 +47,7 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     stream = lambda: spark.readStream.schema(ACTIVITY).json(str(landing))
     for name in ("a.json", "b.json"):
         (landing / name).write_text(json.dumps(activity("o/mixed", MIXED)))
-        R.ingest(stream(), out, check).awaitTermination()
+        R.append_batches(stream(), out, check).awaitTermination()
     table = spark.read.schema(ACTIVITY).parquet(out)
     assert [tuple(r) for r in M.repo_metrics(table, AS_OF).collect()] == [("o/mixed", 6, 800, 140, 2, 0, None)]
     assert L.read_activity(spark, str(landing)).count() == 2
@@ -65,7 +65,7 @@ def test_closed_windows(spark, tmp_path):
     days = ["2024-01-01", "2024-01-02", "2024-01-20"]
     for name, day in zip("abc", days):
         (landing / f"{name}.json").write_text(json.dumps({"k": "u", "ts": f"{day}T10:00:00Z"}))
-        R.write_closed(result(), out, check).awaitTermination()
+        R.append_batches(result(), out, check).awaitTermination()
     got = spark.read.parquet(out)
     assert got.where("window_end <= '2024-01-09'").agg(F.sum("n")).first()[0] == 14
     # The window ending with 2024-01-08 holds both early events.
