@@ -20,9 +20,8 @@ def section(text: Column, heading: str) -> Column:
 
 def checked_rows(block: Column) -> Column:
     """Ticked rows of a checklist as ``array<struct<name,target,type>>`` in row order."""
-    rows = F.filter(
-        F.transform(F.split(block, "\n"), strip), lambda line: F.startswith(F.lower(line), F.lit("- [x]")) & line.rlike(CHECKED_ROW)
-    )
+    ticked = lambda line: F.startswith(F.lower(line), F.lit("- [x]")) & line.rlike(CHECKED_ROW)
+    rows = F.filter(F.transform(F.split(block, "\n"), strip), ticked)
     kind = lambda line: strip(F.regexp_extract(line, CHECKED_ROW, 3))
     return F.transform(
         rows,

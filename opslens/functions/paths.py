@@ -34,11 +34,12 @@ def extension(path: Column) -> Column:
 def normalize(path: Column) -> Column:
     """Resolve ``.``, ``..`` and repeated slashes without looking at any file system."""
     rooted = F.startswith(path, F.lit("/"))
+    last = lambda done: F.element_at(F.concat(F.array(F.lit("")), done), -1)
     kept = F.aggregate(
         F.filter(F.split(path, "/"), lambda s: (s != "") & (s != ".")),
         F.array().cast("array<string>"),
         lambda done, s: F.when(s != "..", F.array_append(done, s))
-        .when((F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("")), done), -1) != ".."), F.slice(done, F.lit(1), F.size(done) - 1))
+        .when((F.size(done) > 0) & (last(done) != ".."), F.slice(done, F.lit(1), F.size(done) - 1))
         .when(rooted, done)
         .otherwise(F.array_append(done, s)),
     )

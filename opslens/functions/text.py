@@ -178,8 +178,10 @@ def first_error_lines(lines: Column) -> Column:
     """
 
     def kept(clean: Column) -> Column:
+        mark = lambda i, kind: F.struct(i.alias("i"), F.lit(kind).alias("kind"))
         marks = F.transform(
-            clean, lambda line, i: F.when(matches_trace(line), F.struct(i.alias("i"), F.lit("t").alias("kind"))).when(matches_call_site(line), F.struct(i.alias("i"), F.lit("c").alias("kind")))
+            clean,
+            lambda line, i: F.when(matches_trace(line), mark(i, "t")).when(matches_call_site(line), mark(i, "c")),
         )
         return bound(F.array_min(marks), lambda first: around(clean, first))
 

@@ -22,7 +22,9 @@ def include_closure(
         edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst")).where(F.col("_src") != F.col("_dst")).distinct(),
         "edges",
     )
-    starts = links if roots is None else links.join(roots.select(F.col("root").alias("_src")).distinct(), "_src", "left_semi")
+    starts = links
+    if roots is not None:
+        starts = links.join(roots.select(F.col("root").alias("_src")).distinct(), "_src", "left_semi")
     depth = 1
     frontier = materialize(
         starts.select(F.col("_src").alias("root"), F.col("_dst").alias("node"), F.lit(depth).alias("depth")), "round"

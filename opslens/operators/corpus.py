@@ -17,7 +17,8 @@ def _line_counts(documents: DataFrame, text: str, min_len: int) -> DataFrame:
 
     A document is one row, so its lines are sorted and counted in place, without a shuffle.
     """
-    long_lines = F.sort_array(F.filter(F.transform(document_lines(F.col(text)), strip), lambda line: F.length(line) > min_len))
+    clean = F.transform(document_lines(F.col(text)), strip)
+    long_lines = F.sort_array(F.filter(clean, lambda line: F.length(line) > min_len))
 
     def runs(lines: Column) -> Column:
         firsts = F.array_compact(F.transform(lines, lambda line, i: F.when((i == 0) | (F.get(lines, i - 1) != line), i)))
@@ -133,7 +134,8 @@ def in_first_location(
     documents: DataFrame, key: Sequence[str], candidates: Sequence[str], path: str = "path"
 ) -> DataFrame:
     """Documents of each key that lie under the first of its ``candidates`` folders that holds any file."""
-    rank = F.coalesce(*[F.when(F.startswith(F.col(path), F.lit(c.rstrip("/") + "/")), F.lit(i)) for i, c in enumerate(candidates)])
+    under = lambda folder: F.startswith(F.col(path), F.lit(folder.rstrip("/") + "/"))
+    rank = F.coalesce(*[F.when(under(c), F.lit(i)) for i, c in enumerate(candidates)])
     ranked = documents.withColumn("_rank", rank).where(F.col("_rank").isNotNull())
     best, _ = sized(ranked.groupBy(*key).agg(F.min("_rank").alias("_rank")), "locations")
     return ranked.join(best, [*key, "_rank"], "left_semi").drop("_rank")

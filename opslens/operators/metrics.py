@@ -17,6 +17,10 @@ def _zero() -> Column:
     return F.lit(0).cast("bigint")
 
 
+def _status_error(status: Column) -> Column:
+    return F.concat(F.lit(V.API_ERROR_PREFIX), F.coalesce(status.cast("string"), F.lit("None")))
+
+
 # --- activity ------------------------------------------------------------------------------------
 
 
@@ -34,7 +38,7 @@ def activity_error(row: str = "body") -> Column:
         F.when(missing, V.MISSING_TOKEN_OR_REPO)
         .when(F.size(F.split(repo, "/")) != 2, V.INVALID_REPO_FORMAT)
         .when(F.col("exception").isNotNull(), F.col("exception"))
-        .when(~status.eqNullSafe(F.lit(200)), F.concat(F.lit(V.API_ERROR_PREFIX), F.coalesce(status.cast("string"), F.lit("None"))))
+        .when(~status.eqNullSafe(F.lit(200)), _status_error(status))
         .when(body["errors"].isNotNull(), F.concat(F.lit(V.QUERY_ERROR_PREFIX), message))
         .when(empty, V.REPOSITORY_NOT_FOUND)
     )
@@ -126,7 +130,7 @@ def usage_error() -> Column:
     return (
         F.when(~F.coalesce(F.col("has_key"), F.lit(False)), V.MISSING_API_KEY)
         .when(F.col("exception").isNotNull(), F.col("exception"))
-        .when(~status.eqNullSafe(F.lit(200)), F.concat(F.lit(V.API_ERROR_PREFIX), F.coalesce(status.cast("string"), F.lit("None"))))
+        .when(~status.eqNullSafe(F.lit(200)), _status_error(status))
     )
 
 
@@ -140,13 +144,14 @@ def default_model(provider: Column) -> Column:
 def usage_records(usage: DataFrame) -> DataFrame:
     """Each usage payload with typed defaults; a failed one becomes the zero row plus its error text."""
     judged = usage.withColumn("error", usage_error())
+    model = F.coalesce(F.col("body.model"), default_model(F.col("provider")))
     fine = F.col("error").isNull()
     count = lambda n: F.when(fine, F.coalesce(F.col("body")[n], _zero())).otherwise(_zero()).alias(n)
     free = F.lit(0).cast(MONEY)
     kept = [c for c in usage.columns if c not in ("has_key", "http_status", "exception", "body")]
     return judged.select(
         *kept,
-        F.when(fine, F.coalesce(F.col("body.model"), default_model(F.col("provider")))).otherwise(V.UNKNOWN_MODEL).alias("model"),
+        F.when(fine, model).otherwise(V.UNKNOWN_MODEL).alias("model"),
         count("tokens_in"),
         count("tokens_out"),
         count("prompts"),

@@ -44,7 +44,9 @@ def balanced_chunks(
     split; their ranges are stored, counted, and broadcast.
     """
     placed = rows.withColumn("_place", _place(rows, position))
-    ranges = placed.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_place").alias("_low"), F.max("_place").alias("_high"))
+    ranges = placed.groupBy(*key).agg(
+        F.count("*").alias("_n"), F.min("_place").alias("_low"), F.max("_place").alias("_high")
+    )
     steps = (F.ceil(F.col("_n") / max_rows) * 4).alias("_steps")
     hot, _ = sized(ranges.where(F.col("_n") > max_rows).select(*key, "_low", "_high", steps), "ranges", 10 * BROADCAST_ROWS)
     share = (F.col("_place") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1)
@@ -65,7 +67,8 @@ def _running(
     names, lowest = list(sums), lowest or {}
     tagged = rows.withColumns({"_chunk": chunk, **{f"_v{i}": sums[n] for i, n in enumerate(names)}})
     per_chunk = tagged.groupBy(*group).agg(
-        *[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))], *[F.min(c).alias(f"_m_{n}") for n, c in lowest.items()]
+        *[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))],
+        *[F.min(c).alias(f"_m_{n}") for n, c in lowest.items()],
     )
     whole = Window.partitionBy(*key)
     before = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -253,8 +256,8 @@ def first_breach(
 ) -> DataFrame:
     """First row of each key whose running total exceeds a cap, one result row per key and broken limit.
 
-    ``spent`` maps a limit name to (amount per row, cap); amounts are summed as decimals. With ``clock``, the limit ``wall_clock`` compares the
-    seconds since the first row of the key with ``max_seconds``.
+    ``spent`` maps a limit name to (amount per row, cap); amounts are summed as decimals. With ``clock``, the limit
+    ``wall_clock`` compares the seconds since the first row of the key with ``max_seconds``.
     """
     names = list(spent)
     amounts = {f"_t{i}": spent[n][0].cast("decimal(28,9)") for i, n in enumerate(names)}
@@ -264,9 +267,8 @@ def first_breach(
         limits["wall_clock"] = (F.timestamp_diff("MICROSECOND", F.col("_begun"), clock) / 1e6, float(max_seconds))
     # Only the first row over a cap within its chunk can be the first of the key.
     fresh = lambda over: over & ~F.coalesce(F.lag(over).over(_inside(key, order)), F.lit(False))
-    marked = totals.withColumns(
-        {f"_c{i}": F.when(fresh(F.coalesce(total > cap, F.lit(False))), total) for i, (total, cap) in enumerate(limits.values())}
-    )
+    candidate = lambda total, cap: F.when(fresh(F.coalesce(total > cap, F.lit(False))), total)
+    marked = totals.withColumns({f"_c{i}": candidate(*limit) for i, limit in enumerate(limits.values())})
     each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_c{i}").alias("total")) for i, n in enumerate(limits)])
     over = marked.select(*key, F.struct(*order).alias("_at"), F.explode(each).alias("_c")).where("_c.total is not null")
     first = over.groupBy(*key, F.col("_c.name").alias("budget")).agg(

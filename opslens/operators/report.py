@@ -64,9 +64,10 @@ def reports(projects: DataFrame, metrics: DataFrame, one_row: DataFrame, activit
         github_error = F.when(wanted & no_repo, F.lit(V.MISSING_TOKEN_OR_REPO)).when(wanted, F.col("_github_error"))
     else:
         github, github_error = F.lit(None).cast(S.ACTIVITY_STATS), F.lit(None).cast("string")
-    attached = attach_sources(
-        joined.select("project", "slack_channel_id", "teams_url", github.alias("github"), github_error.alias("_error")), one_row
+    known_of = joined.select(
+        "project", "slack_channel_id", "teams_url", github.alias("github"), github_error.alias("_error")
     )
+    attached = attach_sources(known_of, one_row)
     names = ["github", *V.AI_PROVIDERS, *V.CLOUD_PROVIDERS]
     warnings = present(F.map_concat(F.create_map(F.lit("github"), F.col("_error")), F.col("errors")))
     return attached.select(
@@ -169,7 +170,8 @@ def raw_payload(report: DataFrame) -> DataFrame:
 def routed(report: DataFrame) -> DataFrame:
     """One row per report and destination that is set: (project, sink, destination, payload)."""
     given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    rendered = raw_payload(message_payload(report).withColumnRenamed("payload", "_message")).withColumnRenamed("payload", "_raw")
+    messages = message_payload(report).withColumnRenamed("payload", "_message")
+    rendered = raw_payload(messages).withColumnRenamed("payload", "_raw")
     entry = lambda sink, where, body: F.when(
         given(where), F.struct(F.lit(sink).alias("sink"), F.col(where).alias("destination"), F.col(body).alias("payload"))
     )

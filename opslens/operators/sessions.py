@@ -53,14 +53,16 @@ def isolated_cost(
     session = list(session)
     group = [*session, "_chunk"]
     chunk = position_chunk(turn) if chunk is None else chunk
-    begins = F.col(role) == "user"
+    begins = F.coalesce(F.col(role) == "user", F.lit(False))
     inside = Window.partitionBy(*group).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
     local = (
-        messages.withColumns({"tokens": tokens(F.col(text)), "_chunk": chunk, "_asked": F.when(begins, 1).otherwise(0).cast("bigint")})
+        messages.withColumns({"tokens": tokens(F.col(text)), "_chunk": chunk, "_asked": begins.cast("bigint")})
         .withColumns({"_run": F.sum("tokens").over(inside), "_task": F.sum("_asked").over(inside)})
         .withColumn("_base", F.max(F.when(begins, F.col("_run") - F.col("tokens"))).over(inside))
     )
-    per_chunk = local.groupBy(*group).agg(F.sum("tokens").alias("_s"), F.sum("_asked").alias("_a"), F.max("_base").alias("_b"))
+    per_chunk = local.groupBy(*group).agg(
+        F.sum("tokens").alias("_s"), F.sum("_asked").alias("_a"), F.max("_base").alias("_b")
+    )
     before = Window.partitionBy(*session).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("bigint")
     placed = per_chunk.withColumns(
@@ -95,7 +97,11 @@ def session_totals(
     chunk = position_chunk(turn) if chunk is None else chunk
     group = [*session, "_chunk"]
     counted = messages.select(
-        *session, F.col(turn).alias("_turn"), F.col(role).alias("_role"), tokens(F.col(text)).alias("_t"), chunk.alias("_chunk")
+        *session,
+        F.col(turn).alias("_turn"),
+        F.col(role).alias("_role"),
+        tokens(F.col(text)).alias("_t"),
+        chunk.alias("_chunk"),
     )
     inside = Window.partitionBy(*group).orderBy("_turn").rowsBetween(Window.unboundedPreceding, 0)
     per_chunk = (

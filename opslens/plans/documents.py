@@ -40,7 +40,9 @@ def parse_checklists(documents: DataFrame, doc: str = "doc", text: str = "conten
     return documents.select(doc, F.explode(F.concat(skills, mcps)).alias("_r")).select(doc, "_r.*")
 
 
-def extract_domain_sections(documents: DataFrame, doc: str = "doc", text: str = "content", legacy: bool = False) -> DataFrame:
+def extract_domain_sections(
+    documents: DataFrame, doc: str = "doc", text: str = "content", legacy: bool = False
+) -> DataFrame:
     """(doc, owner, invariants, glossary, incomplete)"""
     content = F.col(text)
     return documents.select(

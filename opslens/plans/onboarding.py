@@ -42,7 +42,12 @@ def recommend_tools(projects: DataFrame, tools: Column, found: Column, stack: st
 
 
 def domain_documents(
-    projects: DataFrame, tools: Column, template: Column, reply: str = "reply", summary: str = "summary", stack: str = "stack"
+    projects: DataFrame,
+    tools: Column,
+    template: Column,
+    reply: str = "reply",
+    summary: str = "summary",
+    stack: str = "stack",
 ) -> DataFrame:
     """Add ``document`` to projects that have a stack text, a domain summary and a reply with their profile."""
     profile = F.col("_profile")

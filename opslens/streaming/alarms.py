@@ -11,8 +11,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def budget_alarms(stream: DataFrame, session: Sequence[str], spent: dict[str, tuple[Column, float]]) -> DataFrame:
     """Sessions above a cap: (session, budget, total). A plain streaming aggregate, combined before the shuffle."""
     totals = stream.groupBy(*session).agg(*[F.sum(amount).cast("double").alias(n) for n, (amount, _) in spent.items()])
-    check = lambda n, cap: F.struct(F.lit(n).alias("budget"), F.col(n).alias("total"), F.lit(float(cap)).alias("cap"))
-    checks = F.array(*[check(n, cap) for n, (_, cap) in spent.items()])
+
+    def against(name: str, cap: float) -> Column:
+        return F.struct(F.lit(name).alias("budget"), F.col(name).alias("total"), F.lit(float(cap)).alias("cap"))
+
+    checks = F.array(*[against(n, cap) for n, (_, cap) in spent.items()])
     over = totals.select(*session, F.explode(checks).alias("_c")).where(F.col("_c.total") > F.col("_c.cap"))
     return over.select(*session, "_c.budget", "_c.total")
 
