@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.paths import dirname, resolve
@@ -65,12 +65,15 @@ def include_targets(documents: DataFrame, path: str = "path", text: str = "conte
     return each.where(_is_include(F.col("line"))).withColumn("target", resolve(folder, named))
 
 
-def expand_includes(documents: DataFrame, path: str = "path", text: str = "content", max_depth: int = 64) -> DataFrame:
+def expand_includes(
+    documents: DataFrame, path: str = "path", text: str = "content", max_depth: int = 64, roots: Column | None = None
+) -> DataFrame:
     """Text of every document with its includes replaced by the included text: (root, position, line).
 
     ``position`` is an array of line numbers that sorts the lines of a root. A line stays as it is if its target
     does not exist or is already open on the way from the root. Each round inlines one level; only lines that still
-    are includes take part, and lines never come together in one group.
+    are includes take part, and lines never come together in one group. ``roots`` is a condition on the path column
+    that says which documents to expand; all of them can be included.
     """
     each = _lines_of(documents, path, text)
     plain = each.where(~_is_include(F.col("line"))).withColumn("target", F.lit(None).cast("string"))
@@ -78,7 +81,8 @@ def expand_includes(documents: DataFrame, path: str = "path", text: str = "conte
     named = include_targets(documents, path, text).join(there, "target", "left")
     named = named.select("path", "line_no", "line", F.when(F.col("_there"), F.col("target")).alias("target"))
     linked = materialize(plain.unionByName(named), "linked")
-    current = linked.select(
+    chosen = linked if roots is None else linked.where(roots)
+    current = chosen.select(
         F.col("path").alias("root"),
         F.array("line_no").alias("position"),
         "line",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens import values as V
-from opslens.functions.paths import basename, dirname, markdown_links, resolve
+from opslens.functions.paths import basename, depth, dirname, markdown_links, resolve
 from opslens.functions.text import bound, document_lines, strip, tokens_at_least_one
 from opslens.operators.ordered import row_numbers
 from opslens.session import sized
@@ -105,12 +105,14 @@ def core_bundle(
 ) -> DataFrame:
     """The named core documents of each key, each under a header, in fixed order: (key, context).
 
-    A key holds each name once, so the aggregate keeps at most ``len(names)`` texts per key. Keys without any core
-    document give no row.
+    Of files with the same name the one nearest to the root counts, so the aggregate keeps at most ``len(names)``
+    texts per key. Keys without any core document give no row.
     """
+    nearest = F.struct(depth(F.col(path)), F.col(path))
     core = documents.where(basename(F.col(path)).isin(*names))
     parts = [
-        F.max(F.when(basename(F.col(path)) == n, _part(F.lit(n), F.col(text)))).alias(f"_p{i}") for i, n in enumerate(names)
+        F.min_by(_part(F.lit(n), F.col(text)), F.when(basename(F.col(path)) == n, nearest)).alias(f"_p{i}")
+        for i, n in enumerate(names)
     ]
     return core.groupBy(*key).agg(*parts).select(
         *key, F.concat_ws("\n\n", *[F.col(f"_p{i}") for i in range(len(names))]).alias("context")

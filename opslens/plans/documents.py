@@ -18,6 +18,7 @@ from opslens.functions.text import (
     replace_in_order,
     term_list,
 )
+from opslens.operators.closure import expand_includes
 
 
 def parse_checklists(documents: DataFrame, doc: str = "doc", text: str = "content") -> DataFrame:
@@ -67,6 +68,20 @@ def render_templates(
     )
 
 
+def inline_templates(
+    files: DataFrame, platform: str, folder: str, path: str = "path", text: str = "content"
+) -> DataFrame:
+    """Lines (root, position, line) of the template files after rendering, with their includes inlined.
+
+    Any file can be included, and its text is rendered like that of a template.
+    """
+    kept = files.where(~is_ignored(F.col(path)))
+    rendered = kept.select(
+        F.col(path).alias("path"), replace_in_order(F.col(text), platform_rules(platform, folder)).alias("content")
+    )
+    return expand_includes(rendered, roots=has_suffix(F.col("path")))
+
+
 def inject_routing(files: DataFrame, agents: Column, path: str = "path", text: str = "content") -> DataFrame:
     """Name the given agents in front of the negative rules of each dispatch-rules file."""
     marker = V.ROUTING_MARKER

@@ -57,12 +57,13 @@ def test_reference_payload(spark):
 
 def test_bundles(spark):
     files = spark.createDataFrame(
-        [("p", "w/architecture.md", "A"), ("p", "w/index.md", "I"), ("p", "w/z.md", "Z"), ("p", "w/z.txt", "T"), ("q", "w/z.md", "Z")],
+        [("p", "w/architecture.md", "A"), ("p", "w/index.md", "I"), ("p", "w/sub/index.md", "S"), ("p", "w/z.md", "Z"), ("p", "w/z.txt", "T"), ("q", "w/z.md", "Z")],
         "project string, path string, content string",
     )
     assert rows(P.core_bundle(files, ["project"])) == [("p", "=== INDEX.MD ===\nI\n\n=== ARCHITECTURE.MD ===\nA")]
     assert rows(P.full_bundle(files, ["project"], F.ascii(F.substring("path", 3, 1)))) == [
-        ("p", 1, "=== ARCHITECTURE.MD ===\nA"), ("p", 2, "=== INDEX.MD ===\nI"), ("p", 3, "=== Z.MD ===\nZ"), ("q", 1, "=== Z.MD ===\nZ"),
+        ("p", 1, "=== ARCHITECTURE.MD ===\nA"), ("p", 2, "=== INDEX.MD ===\nI"), ("p", 3, "=== INDEX.MD ===\nS"),
+        ("p", 4, "=== Z.MD ===\nZ"), ("q", 1, "=== Z.MD ===\nZ"),
     ]
 
 
@@ -198,6 +199,12 @@ def test_expand_includes(spark):
     ]
 
 
+def test_inline_templates(spark):
+    docs = {"r.md": "go\n@part.txt\n@x.log", "part.txt": "- glob {{HARNESS_DIR}}\n@r.md", "x.log": "noise", "s.py": "@r.md"}
+    got = expanded_text(D.inline_templates(documents(spark, docs), "claude", ".c"))
+    assert got == {"r.md": "go\n- Glob .c\n@r.md\n@x.log"}
+
+
 def test_document_plans(spark):
     content = "\n## Proposed Skills\n- [x] one (u1) <!-- type:extension -->\n- [ ] two (u2)\n- [X] three (u3)\n## Proposed MCP Tools\n- [x] m (npx m)\n"
     docs = spark.createDataFrame([("d", content), ("e", "")], "doc string, content string")
