@@ -3,15 +3,19 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opslens.functions.text import strip
+from opslens.functions.text import bound, strip
 
 
 def json_span(text: Column) -> Column:
     """Text without code fences, cut to its first ``{`` and last ``}`` where it has both."""
-    bare = strip(F.replace(F.replace(text, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
-    first = F.instr(bare, "{")
-    last = F.length(bare) - F.instr(F.reverse(bare), "}") + 1
-    return F.when((first > 0) & (F.instr(bare, "}") > 0), F.substring(bare, first, last - first + 1)).otherwise(bare)
+
+    def cut(bare: Column) -> Column:
+        first = F.instr(bare, "{")
+        last = F.length(bare) - F.instr(F.reverse(bare), "}") + 1
+        both = (first > 0) & (F.instr(bare, "}") > 0)
+        return F.when(both, F.substring(bare, first, last - first + 1)).otherwise(bare)
+
+    return bound(strip(F.replace(F.replace(text, F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))), cut)
 
 
 def recover_json(text: Column, schema: str, fallback: Column | None = None) -> Column:
@@ -21,5 +25,5 @@ def recover_json(text: Column, schema: str, fallback: Column | None = None) -> C
     """
     wrapped = F.concat(F.lit("["), json_span(text), F.lit("]"))
     parsed = F.from_json(wrapped, f"array<{schema}>", {"allowSingleQuotes": "false"})
-    found = F.when(F.size(parsed) == 1, F.get(parsed, 0))
+    found = bound(parsed, lambda p: F.when(F.size(p) == 1, F.get(p, 0)))
     return found if fallback is None else F.coalesce(found, fallback.cast(schema))
