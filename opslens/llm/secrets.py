@@ -34,7 +34,7 @@ NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
 PART = r"(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|([^\x00-\x20\"',;(){}\[\]<>+]++))"
 PAIR = re.compile(rf"(?<![A-Za-z0-9_.-])({NAME})[\"'\]]?[\x20\t]*+(?::=|=>|={{1,3}}|:)[\x20\t]*+{PART}")
 MORE = re.compile(rf"[\x20\t]*+\+[\x20\t]*+{PART}")
-LINE = re.compile(r"[^\n]*[:=][^\n]*")
+OPERATOR = re.compile(r"[:=]")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: How much a word in a name says that its value is secret.
@@ -74,8 +74,10 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
     """(name, literal, start, end) of each assignment, with constants put in; a sum spans its first to its last part."""
     known: dict[str, tuple[str, int, int]] = {}
     found = []
-    for line in LINE.finditer(text):
-        at, stop = line.span()
+    stop = 0
+    while operator := OPERATOR.search(text, stop):
+        at, stop = text.rfind("\n", stop, operator.start()) + 1 or stop, text.find("\n", operator.start())
+        stop = len(text) if stop < 0 else stop
         while pair := PAIR.search(text, at, stop):
             literal, start, end = "", None, None
             part = pair
