@@ -336,12 +336,25 @@ def masked(text: str, weights: dict[str, float]) -> str:
     return "".join(out) + text[done:]
 
 
-def mask_pii(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all columns, the spans of the text replaced by their kind; a null text stays null."""
+def mask_pii(
+    docs: DataFrame,
+    weights: dict[str, float] | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length_col: str | None = None,
+) -> DataFrame:
+    """``docs`` with all columns, the spans of the text replaced by their kind; a null text stays null.
+
+    If ``length_col`` is given, it takes the length of the new text, wherever that has changed.
+    """
     weights = train(docs, id_col, text_col) if weights is None else weights
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else masked(t, weights))
 
-    return docs.withColumn(text_col, mask(text_col))
+    out = docs.withColumn("__masked", mask(text_col))
+    if length_col:
+        changed = ~F.col("__masked").eqNullSafe(F.col(text_col))
+        out = out.withColumn(length_col, F.when(changed, F.length("__masked")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return out.withColumn(text_col, F.col("__masked")).drop("__masked")
