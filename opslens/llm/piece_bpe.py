@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opslens.llm.spans import slices
+
 MARK = "▁"
 MOST_KNOWN = 400_000
 SHIFT = 21  # characters outside the vocabulary are symbols above it; all symbols are under 2 ** SHIFT
@@ -229,7 +231,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             made = pieces(model).encode([t or "" for t in batch.column(1).to_pylist()])
             ends = np.cumsum([0] + [len(m) // 4 for m in made]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), "<i4")))

@@ -2,7 +2,9 @@
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,16 @@ SPANS = T.ArrayType(
 )
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 * 1024 * 1024) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts have about ``most_bytes`` together, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    runs = np.cumsum(sizes, dtype=np.int64) // most_bytes
+    borders = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(batch)]
+    for start, end in zip(borders, borders[1:], strict=False):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def map_texts(
     docs: DataFrame,
     id_col: str,
@@ -40,7 +52,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = functions()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = [one(text or "") for text in batch.column(1).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
             made = [pa.array(c, type=arrow.field(len(head) + i).type) for i, c in enumerate(columns)]
