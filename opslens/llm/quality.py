@@ -93,7 +93,7 @@ OWN_RULES: dict[str, Rule] = {
     "symbols": lambda text, words: 10 * symbols(text) > F.size(words),
     "capitals": lambda text, words: 2 * F.regexp_count(text, F.lit(r"\p{Lu}")) > word_chars(words),
     "exclamations": lambda text, words: 2 * F.regexp_count(text, F.lit("!")) > F.size(words),
-    "word_length": lambda text, words: ~(word_chars(words) / F.size(words)).between(2, 20),
+    "word_length": lambda text, words: ~word_chars(words).between(2 * F.size(words), 20 * F.size(words)),
     "duplicate_lines": lambda text, words: 2 * duplicate_lines(text) > F.size(F.split(text, "\n")),
     "few_distinct": lambda text, words: 20 * F.size(F.array_distinct(words)) < F.size(words),
 }

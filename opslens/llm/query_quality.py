@@ -31,7 +31,7 @@ WORDS = r"'[^\x20\x09-\x0D]+'"
              10 * n_symbols > n_words
              OR 2 * len(regexp_extract_all(t, '\p{{Lu}}')) > word_chars
              OR 2 * len(regexp_extract_all(t, '!')) > n_words
-             OR word_chars / n_words NOT BETWEEN 2 AND 20
+             OR word_chars NOT BETWEEN 2 * n_words AND 20 * n_words
              OR 2 * n_dup_lines > len(string_split(t, chr(10)))
              OR 20 * len(list_distinct(w)) < n_words AS rejected
       FROM counted)
