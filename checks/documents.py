@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.logs import LINES
-from checks.registry import check, spread_table, table
+from checks.registry import check, table
 from opslens.functions import jsontext, paths
 from opslens.functions import text as T
 from opslens.operators import closure as C
@@ -18,7 +18,7 @@ LONG_LINES = f"SELECT * FROM ({LONG_LINES}) WHERE length(line) > 20"
 
 
 def texts(spark, folder):
-    return spread_table(spark, folder, "documents", "doc_id", "text").toDF("path", "content")
+    return table(spark, folder, "documents").select("doc_id", "text").toDF("path", "content")
 
 
 @check(
@@ -65,7 +65,7 @@ def redundancy_summary(spark, folder):
 def document_predicates(spark, folder):
     rules = [("License", "failed"), (" of the ", " REPRODUCIBLE "), ("token", "[USER INPUT REQUIRED]")]
     text = T.replace_in_order(F.col("text"), rules)
-    docs = spread_table(spark, folder, "documents", "doc_id", "text").select("doc_id", text.alias("t"))
+    docs = table(spark, folder, "documents").select("doc_id", "text").select("doc_id", text.alias("t"))
     flag = lambda c, n: c.cast("int").alias(n)
     return docs.select(
         "doc_id",
@@ -78,18 +78,19 @@ def document_predicates(spark, folder):
 
 @check(
     """
-    SELECT doc_id // 2 AS project,
-           string_agg('=== ' || CASE doc_id % 2 WHEN 0 THEN 'INDEX.MD' ELSE 'ARCHITECTURE.MD' END || ' ===' || chr(10) || text,
-                      chr(10) || chr(10) ORDER BY doc_id % 2) AS context
-    FROM documents GROUP BY 1
+    SELECT doc_id // 4 AS project,
+           string_agg('=== ' || CASE doc_id % 4 WHEN 0 THEN 'INDEX.MD' ELSE 'ARCHITECTURE.MD' END || ' ===' || chr(10) || text,
+                      chr(10) || chr(10) ORDER BY doc_id % 4) AS context
+    FROM documents WHERE doc_id % 4 < 2 AND doc_id % 12 <> 8 GROUP BY 1
     """
 )
 def core_bundles(spark, folder):
-    name = F.when(F.col("doc_id") % 2 == 0, "w/index.md").otherwise("w/architecture.md")
-    files = table(spark, folder, "documents").select(
-        F.floor(F.col("doc_id") / 2).alias("project"), name.alias("path"), F.col("text").alias("content")
-    )
-    return P.core_bundle(files, ["project"])
+    """Projects of four documents; of two with each name, one lies deeper, and some locations hold no index at all."""
+    doc = F.col("doc_id")
+    name = F.when(doc % 12 == 8, "w/other/index.md").when(doc % 4 == 0, "w/index.md").when(doc % 4 == 1, "w/architecture.md")
+    name = name.when(doc % 4 == 2, "w/a/index.md").otherwise("architecture.md")
+    files = table(spark, folder, "documents").select(F.floor(doc / 4).alias("project"), name.alias("path"), F.col("text").alias("content"))
+    return P.core_bundle(files, ["project"], "w")
 
 
 @check(
@@ -191,7 +192,7 @@ def linked_documents(spark, folder):
     note = F.concat(
         F.col("text"), F.lit("\nSee [a](d"), doc + 1, F.lit(".md), [b](../w/./d"), F.floor(doc / 2), F.lit(".md) and [c](gone.md)")
     )
-    return spread_table(spark, folder, "documents", "doc_id", "text").select(
+    return table(spark, folder, "documents").select("doc_id", "text").select(
         F.concat(F.lit("w/d"), doc, F.lit(".md")).alias("path"), note.alias("content")
     )
 
@@ -227,7 +228,7 @@ def document_reference_payload(spark, folder):
 )
 def page_paths(spark, folder):
     p = F.col("path")
-    pages = spread_table(spark, folder, "pages", "page_id", "url", "html").select(
+    pages = table(spark, folder, "pages").select("page_id", "url", "html").select(
         "page_id", "html", F.regexp_extract("url", r"^https?://[^/?#]*(/[^?#]*)?", 1).alias("path")
     )
     return pages.select(
@@ -267,7 +268,7 @@ def rendered_documents(spark, folder):
         F.replace(F.col("text"), F.lit(" the "), F.lit(" replace ")),
         F.lit("\n- read_file glob {{HARNESS_DIR}} {{SUBAGENT_SYNTAX}}@boilerplate-agent"),
     )
-    files = spread_table(spark, folder, "documents", "doc_id", "text").select("doc_id", name.alias("path"), noted.alias("content"))
+    files = table(spark, folder, "documents").select("doc_id", "text").select("doc_id", name.alias("path"), noted.alias("content"))
     return D.render_templates(files, "claude", ".x").select("doc_id", "content")
 
 
@@ -285,7 +286,7 @@ def recovered_json(spark, folder):
         .otherwise(F.concat(F.lit("Sure:\n```json\n"), props, F.lit("\n``` done")))
     )
     found = jsontext.recover_json(reply, "struct<k: bigint>", F.named_struct(F.lit("k"), F.lit(-1).cast("bigint")))
-    return spread_table(spark, folder, "events", "event_id", "event_type", "props").select("event_id", found["k"].alias("k"))
+    return table(spark, folder, "events").select("event_id", "event_type", "props").select("event_id", found["k"].alias("k"))
 
 
 @check(
@@ -307,7 +308,7 @@ def filled_templates(spark, folder):
             F.when(F.col("p_size") % 2 == 0, F.array("p_type")).alias("domain_events"),
         )
     )
-    rows = spread_table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").withColumn("reply", F.concat(F.lit("Reply: "), profile))
+    rows = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").withColumn("reply", F.concat(F.lit("Reply: "), profile))
     return D.fill_documents(D.with_profile(rows), template, D.profile_slots(F.col("profile"))).select("p_partkey", "document")
 
 
@@ -403,25 +404,6 @@ def merged_settings(spark, folder):
     return table(spark, folder, "part").select("p_partkey", F.array_join(F.array_sort(pairs), ",").alias("settings"))
 
 
-@check(
-    """
-    WITH RECURSIVE edges AS (
-      SELECT DISTINCT user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst FROM events
-    ), reach AS (
-      SELECT src AS root, dst AS node, 1 AS depth FROM edges WHERE src <> dst
-      UNION
-      SELECT r.root, e.dst, r.depth + 1 FROM reach r JOIN edges e ON r.node = e.src WHERE r.root <> e.dst AND r.depth < 12
-    )
-    SELECT root, node, min(depth) AS depth FROM reach GROUP BY root, node
-    """
-)
-def include_reachability(spark, folder):
-    edges = table(spark, folder, "events").select(
-        F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("bigint").alias("dst")
-    )
-    return C.include_closure(edges)
-
-
 INCLUDED_SQL = """
     SELECT 'd' || doc_id AS path, text || chr(10) || '@d' || (doc_id // 10) || chr(10) || ' @none' || doc_id || chr(10) || '@ d1' AS content FROM documents
 """
@@ -448,6 +430,27 @@ INCLUDED_SQL = """
 def expanded_documents(spark, folder):
     doc = F.col("doc_id")
     content = F.concat(F.col("text"), F.lit("\n@d"), F.floor(doc / 10), F.lit("\n @none"), doc, F.lit("\n@ d1"))
-    docs = spread_table(spark, folder, "documents", "doc_id", "text").select(F.concat(F.lit("d"), doc).alias("path"), content.alias("content"))
+    docs = table(spark, folder, "documents").select("doc_id", "text").select(F.concat(F.lit("d"), doc).alias("path"), content.alias("content"))
     position = F.array_join(F.transform("position", lambda p: p.cast("string")), ".")
     return C.expand_includes(docs).withColumn("position", position)
+
+
+@check(
+    """
+    WITH RECURSIVE edges AS (
+      SELECT doc_id AS src, doc_id // 10 AS dst FROM documents UNION ALL SELECT doc_id, doc_id // 7 FROM documents
+    ), reach AS (
+      SELECT 'd' || src AS root, dst AS node, 1 AS depth FROM edges WHERE src <> dst AND src % 3 = 0
+      UNION
+      SELECT r.root, e.dst, r.depth + 1 FROM reach r JOIN edges e ON r.node = e.src WHERE r.root <> 'd' || e.dst AND e.src <> e.dst
+    )
+    SELECT root, 'd' || node AS node, min(depth) AS depth FROM reach GROUP BY root, node
+    """
+)
+def include_reachability(spark, folder):
+    """What every third document includes, over the include lines of the documents."""
+    doc = F.col("doc_id")
+    content = F.concat(F.col("text"), F.lit("\n@d"), F.floor(doc / 10), F.lit("\n@d"), F.floor(doc / 7))
+    docs = table(spark, folder, "documents").select(F.concat(F.lit("d"), doc).alias("path"), content.alias("content"), doc)
+    roots = docs.where(doc % 3 == 0).select(F.col("path").alias("root"))
+    return C.include_closure(C.edge_table(docs), roots)

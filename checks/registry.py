@@ -4,8 +4,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslens.session import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -44,8 +42,3 @@ SCHEMAS = {
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
-
-
-def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table for costly row-wise work; a file too small to split is spread over the cores."""
-    return spread(table(spark, folder, name).select(*columns))

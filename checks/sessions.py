@@ -5,16 +5,65 @@ from pyspark.sql import functions as F
 from checks.registry import check, table
 from opslens.functions import text as T
 from opslens.operators import sessions as S
+from opslens.operators.ordered import item_chunks, ranked_chunks, row_numbers
 
-RUNNING = """
+RUNNING_SQL = """
     SELECT conv_id, turn, role, length(text) // 4 AS tokens,
-           SUM(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn) AS context_tokens,
-           SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS task
-    FROM conversations
-"""
-ISOLATED = f"""
-    SELECT *, SUM(tokens) OVER (PARTITION BY conv_id, task ORDER BY turn) AS isolated_tokens FROM ({RUNNING})
+           SUM(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS context_tokens,
+           SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS task
+    FROM {conversations}
 """
+ISOLATED_SQL = "SELECT *, SUM(tokens) OVER (PARTITION BY conv_id, task ORDER BY turn NULLS FIRST) AS isolated_tokens FROM ({running})"
+RUNNING = RUNNING_SQL.format(conversations="conversations")
+ISOLATED = ISOLATED_SQL.format(running=RUNNING)
+
+#: A tenth of the sessions lose their key, the second turn of the others loses its number, and turns lie far apart.
+GAPS_SQL = """(SELECT CASE WHEN conv_id % 10 <> 3 THEN conv_id END AS conv_id, role, text,
+                      CASE WHEN turn <> 1 OR conv_id % 10 = 3 THEN conv_id * 1000000 + turn * 1000 END AS turn FROM conversations)"""
+RUNNING_GAPS = RUNNING_SQL.format(conversations=GAPS_SQL)
+ISOLATED_GAPS = ISOLATED_SQL.format(running=RUNNING_GAPS)
+
+
+def with_gaps(spark, folder):
+    conv, turn = F.col("conv_id"), F.col("turn")
+    messages = table(spark, folder, "conversations").select(
+        F.when(conv % 10 != 3, conv).alias("conv_id"),
+        F.when((turn != 1) | (conv % 10 == 3), conv * 1000000 + turn * 1000).alias("turn"),
+        "role",
+        "text",
+    )
+    return ranked_chunks(messages, ["conv_id"], ["turn"])
+
+
+@check(
+    f"SELECT conv_id, turn, CAST(tokens AS BIGINT) AS tokens, CAST(context_tokens AS BIGINT) AS context_tokens FROM ({RUNNING_GAPS})"
+)
+def session_running_cost_with_gaps(spark, folder):
+    cost = S.session_cost(with_gaps(spark, folder), "cumulative", chunk=F.col("chunk"))
+    return cost.select("conv_id", "turn", "tokens", "context_tokens")
+
+
+@check(
+    f"SELECT conv_id, turn, CAST(task AS BIGINT) AS task, CAST(isolated_tokens AS BIGINT) AS context_tokens FROM ({ISOLATED_GAPS})"
+)
+def session_isolated_cost_with_gaps(spark, folder):
+    cost = S.session_cost(with_gaps(spark, folder), "isolated", chunk=F.col("chunk"))
+    return cost.select("conv_id", "turn", "task", "context_tokens")
+
+
+@check("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS row_no FROM " + GAPS_SQL)
+def numbered_turns_with_gaps(spark, folder):
+    rows = with_gaps(spark, folder).select("conv_id", "turn", "chunk")
+    return row_numbers(rows, ["conv_id"], ["turn"], F.col("chunk")).drop("chunk")
+
+
+@check(
+    "SELECT conv_id, turn, CAST(ceil(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) / 4.0) AS BIGINT) AS chunk_no FROM "
+    + GAPS_SQL
+)
+def turn_groups_with_gaps(spark, folder):
+    rows = with_gaps(spark, folder).select("conv_id", "turn", "chunk")
+    return item_chunks(rows, ["conv_id"], ["turn"], F.col("chunk"), items=4).drop("chunk")
 
 
 @check(

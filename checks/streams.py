@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import metrics as CM
 from checks.registry import SCHEMAS, check
@@ -17,7 +18,7 @@ def stream(spark, folder, name):
 
 
 def run_folder(spark):
-    return f"{shared_folder(spark)}/opslens/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def finished(query):
@@ -37,15 +38,17 @@ def ingested_activity(spark, folder):
 @check(
     """
     SELECT user_id, strftime(w, '%Y-%m-%d') AS window_start, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors
-    FROM (SELECT *, date_trunc('day', ts) - to_days(CAST(unnest(range(0, 7)) AS INTEGER)) AS w FROM events) GROUP BY user_id, w
+    FROM (SELECT *, date_trunc('day', ts) - to_days(CAST(unnest(range(0, 7)) AS INTEGER)) AS w FROM events)
+    WHERE w + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY user_id, w
     """
 )
 def sliding_event_metrics(spark, folder):
+    """Append form: the windows that the watermark, a day behind the newest event, has closed."""
     out = run_folder(spark)
     events = stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counters = [F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors")]
     result = R.sliding_metrics(events, "ts", ["user_id"], counters)
-    finished(R.write_complete(result, f"{out}/windows", f"{out}/checkpoint"))
+    finished(R.append_batches(result, f"{out}/windows", f"{out}/checkpoint"))
     table = spark.read.schema(result.schema).parquet(f"{out}/windows")
     return table.select("user_id", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "events", "errors")
 
@@ -65,8 +68,9 @@ def streamed_budget_alarms(spark, folder):
         "cost": (F.col("value").cast("decimal(18,2)"), 1000),
     }
     result = A.budget_alarms(stream(spark, folder, "events"), ["user_id"], spent)
-    finished(R.write_complete(result, f"{out}/alarms", f"{out}/checkpoint"))
-    return spark.read.schema(result.schema).parquet(f"{out}/alarms")
+    finished(R.write_updates(result, f"{out}/alarms", f"{out}/checkpoint"))
+    table = spark.read.schema(T.StructType([*result.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/alarms")
+    return R.newest_rows(table, ["user_id", "budget"])
 
 
 @check(
@@ -81,7 +85,7 @@ def streamed_budget_alarms(spark, folder):
 )
 def streamed_repeat_alarms(spark, folder):
     out = run_folder(spark)
-    result = A.repeat_alarms(stream(spark, folder, "events"), "user_id", "event_id", "event_type")
-    finished(R.append_batches(result, f"{out}/alarms", f"{out}/checkpoint"))
-    table = spark.read.schema(result.schema).parquet(f"{out}/alarms")
+    events = stream(spark, folder, "events").select("user_id", "event_id", "event_type")
+    finished(A.write_repeat_alarms(events, "user_id", "event_id", "event_type", f"{out}/alarms", f"{out}/state", f"{out}/checkpoint"))
+    table = spark.read.parquet(f"{out}/alarms")
     return table.select(F.col("session").alias("user_id"), F.col("position").alias("event_id"), F.col("call").alias("event_type"))

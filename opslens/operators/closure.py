@@ -7,42 +7,46 @@ from pyspark.sql import functions as F
 
 from opslens.functions.paths import dirname, resolve
 from opslens.functions.text import document_lines, strip
-from opslens.session import materialize
+from opslens.session import materialize, sized
+
+ROUNDS_AT_ONCE = 8
+HOT_LINES = 10_000
 
 
 def include_closure(
-    edges: DataFrame, roots: DataFrame | None = None, max_depth: int | None = None, src: str = "src", dst: str = "dst"
+    edges: DataFrame, roots: DataFrame, max_depth: int | None = None, src: str = "src", dst: str = "dst"
 ) -> DataFrame:
-    """Everything each root includes, directly or not: (root, node, depth) with the smallest depth.
+    """Everything each of ``roots`` (column ``root``) includes, directly or not: (root, node, depth), the smallest depth.
 
-    Each round extends only the pairs found in the round before and drops pairs already known. A root never
-    includes itself. ``roots`` has one column ``root``; by default every source is a root.
+    Each round extends only the pairs found in the round before. They are compared with the earlier pairs of the roots
+    that are still growing; a root that has reached all it can takes no further part. A root never includes itself.
     """
     links = materialize(
         edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst")).where(F.col("_src") != F.col("_dst")).distinct(),
         "edges",
     )
-    starts = links
-    if roots is not None:
-        starts = links.join(roots.select(F.col("root").alias("_src")).distinct(), "_src", "left_semi")
+    starts = links.join(roots.select(F.col("root").alias("_src")).distinct(), "_src", "left_semi")
     depth = 1
     frontier = materialize(
         starts.select(F.col("_src").alias("root"), F.col("_dst").alias("node"), F.lit(depth).alias("depth")), "round"
     )
-    rounds = [frontier]
+    rounds, growing = [frontier], frontier
     while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
-        known = reduce(DataFrame.unionByName, rounds).select("root", "node")
         reached = (
             frontier.select("root", F.col("node").alias("_src"))
             .join(links, "_src")
             .select("root", F.col("_dst").alias("node"))
             .where(F.col("root") != F.col("node"))
             .distinct()
-            .join(known, ["root", "node"], "left_anti")
+            .join(growing.select("root", "node"), ["root", "node"], "left_anti")
         )
         frontier = materialize(reached.select("root", "node", F.lit(depth).alias("depth")), "round")
         rounds.append(frontier)
+        still, _ = sized(frontier.select("root").distinct(), "growing")
+        growing = growing.join(still, "root", "left_semi").unionByName(frontier)
+        if depth % ROUNDS_AT_ONCE == 0:
+            growing = materialize(growing, "known")
     return reduce(DataFrame.unionByName, rounds)
 
 
@@ -66,14 +70,17 @@ def include_targets(documents: DataFrame, path: str = "path", text: str = "conte
 
 
 def expand_includes(
-    documents: DataFrame, path: str = "path", text: str = "content", max_depth: int = 64, roots: Column | None = None
+    documents: DataFrame, path: str = "path", text: str = "content", roots: Column | None = None, hot: int = HOT_LINES
 ) -> DataFrame:
     """Text of every document with its includes replaced by the included text: (root, position, line).
 
     ``position`` is an array of line numbers that sorts the lines of a root. A line stays as it is if its target
-    does not exist or is already open on the way from the root. Each round inlines one level; only lines that still
-    are includes take part, and lines never come together in one group. ``roots`` is a condition on the path column
-    that says which documents to expand; all of them can be included.
+    does not exist or is already open on the way from the root, so every chain ends, however deep it is. Each round
+    inlines one level; only lines that still are includes take part, and lines never come together in one group.
+    ``roots`` is a condition on the path column that says which documents to expand; all of them can be included.
+
+    Lines of documents that more than ``hot`` lines include are joined by broadcast if they measure small, so an include
+    that is found everywhere is not one join key; the others are joined by a shuffle.
     """
     each = _lines_of(documents, path, text)
     plain = each.where(~_is_include(F.col("line"))).withColumn("target", F.lit(None).cast("string"))
@@ -81,6 +88,12 @@ def expand_includes(
     named = include_targets(documents, path, text).join(there, "target", "left")
     named = named.select("path", "line_no", "line", F.when(F.col("_there"), F.col("target")).alias("target"))
     linked = materialize(plain.unionByName(named), "linked")
+    counts = linked.where(F.col("target").isNotNull()).groupBy(F.col("target").alias("path")).count()
+    names = counts.where(F.col("count") > hot).select("path", F.lit(True).alias("_hot"))
+    hot_lines, small = sized(linked.join(names.select("path"), "path", "left_semi"), "hot")
+    marks = hot_lines.select(F.col("path").alias("target")).distinct().withColumn("_hot", F.lit(True)) if small else None
+    if small and hot_lines.isEmpty():
+        marks = None
     chosen = linked if roots is None else linked.where(roots)
     current = chosen.select(
         F.col("path").alias("root"),
@@ -91,14 +104,16 @@ def expand_includes(
     )
     done: list[DataFrame] = [current.where(F.col("target").isNull()).select("root", "position", "line")]
     pending = materialize(current.where(F.col("target").isNotNull()), "pending")
-    depth = 0
     while not pending.isEmpty():
-        depth += 1
-        if depth > max_depth:
-            raise ValueError(f"includes are nested deeper than {max_depth}")
-        inlined = pending.select(
+        asked = pending.select(
             "root", "position", F.col("target").alias("path"), F.array_append("open", F.col("target")).alias("open")
-        ).join(linked, "path")
+        )
+        if marks is None:
+            inlined = asked.join(linked, "path")
+        else:
+            told = asked.join(F.broadcast(marks.withColumnRenamed("target", "path")), "path", "left")
+            everywhere = told.where("_hot").drop("_hot").join(hot_lines, "path")
+            inlined = told.where("_hot IS NULL").drop("_hot").join(linked, "path").unionByName(everywhere)
         level = materialize(
             inlined.select(
                 "root",

@@ -1,15 +1,16 @@
 """Document-corpus operators: shared lines, link payloads, bundles."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens import values as V
-from opslens.functions.paths import basename, depth, dirname, markdown_links, resolve
+from opslens.functions.paths import basename, dirname, markdown_links, resolve
 from opslens.functions.text import bound, document_lines, strip, tokens_at_least_one
 from opslens.operators.ordered import row_numbers
-from opslens.session import sized
+from opslens.session import meet, sized
 
 
 def _line_counts(documents: DataFrame, text: str, min_len: int) -> DataFrame:
@@ -99,24 +100,26 @@ def _part(name: Column, text: Column) -> Column:
 def core_bundle(
     documents: DataFrame,
     key: Sequence[str],
+    location: str | Column = "",
     path: str = "path",
     text: str = "content",
     names: Sequence[str] = tuple(V.CORE_DOCUMENTS),
 ) -> DataFrame:
     """The named core documents of each key, each under a header, in fixed order: (key, context).
 
-    Of files with the same name the one nearest to the root counts, so the aggregate keeps at most ``len(names)``
-    texts per key. Keys without any core document give no row.
+    Only files directly in ``location`` (a folder relative to the root, or a column of ``documents``) count, so a path
+    names at most one document of a key. Paths are compared first; texts of the few files that match are then joined
+    by key. Keys without any core document give no row.
     """
-    nearest = F.struct(depth(F.col(path)), F.col(path))
-    core = documents.where(basename(F.col(path)).isin(*names))
+    folder = F.lit(location) if isinstance(location, str) else location
+    place = F.when(F.coalesce(folder, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.rtrim(folder, F.lit("/")), F.lit("/")))
     parts = [
-        F.min_by(_part(F.lit(n), F.col(text)), F.when(basename(F.col(path)) == n, nearest)).alias(f"_p{i}")
+        documents.where(F.col(path) == F.concat(place, F.lit(n))).select(*key, _part(F.lit(n), F.col(text)).alias(f"_p{i}"))
         for i, n in enumerate(names)
     ]
-    return core.groupBy(*key).agg(*parts).select(
-        *key, F.concat_ws("\n\n", *[F.col(f"_p{i}") for i in range(len(names))]).alias("context")
-    )
+    held = reduce(DataFrame.unionByName, [part.select(*key) for part in parts]).distinct()
+    joined = reduce(lambda left, part: meet(left, part, key, "left"), parts, held)
+    return joined.select(*key, F.concat_ws("\n\n", *[F.col(f"_p{i}") for i in range(len(names))]).alias("context"))
 
 
 def full_bundle(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from opslens import values as V
 from opslens.functions.money import MONEY, amount
 from opslens.functions.temporal import in_date_range, in_trailing_window, parse_iso
+from opslens.session import meet
 
 AsOf = str | datetime
 
@@ -24,7 +25,12 @@ def _status_error(status: Column) -> Column:
 # --- activity ------------------------------------------------------------------------------------
 
 
-def activity_error(row: str = "body") -> Column:
+def malformed(records: DataFrame) -> Column:
+    """True for a landed line that could not be parsed; readers keep its text in ``malformed``."""
+    return F.col("malformed").isNotNull() if "malformed" in records.columns else F.lit(False)
+
+
+def activity_error(row: str = "body", broken: Column | None = None) -> Column:
     """Why an activity record has no usable payload; NULL if it has one. The first reason that applies wins."""
     repo, status = F.col("repo"), F.col("http_status")
     body = F.col(row)
@@ -35,7 +41,8 @@ def activity_error(row: str = "body") -> Column:
     message = F.coalesce(F.get(body["errors"], 0)["message"], F.lit(V.UNKNOWN_QUERY_ERROR))
     missing = ~F.coalesce(F.col("has_token"), F.lit(False)) | (F.coalesce(repo, F.lit("")) == "")
     return (
-        F.when(missing, V.MISSING_TOKEN_OR_REPO)
+        F.when(F.lit(False) if broken is None else broken, V.MALFORMED_RECORD)
+        .when(missing, V.MISSING_TOKEN_OR_REPO)
         .when(F.size(F.split(repo, "/")) != 2, V.INVALID_REPO_FORMAT)
         .when(F.col("exception").isNotNull(), F.col("exception"))
         .when(~status.eqNullSafe(F.lit(200)), _status_error(status))
@@ -68,7 +75,7 @@ def payload_metrics(activity: DataFrame, as_of: AsOf, days: int = V.WINDOW_DAYS)
         "bugs_closed": count("issues", "closedAt"),
         "releases_done": count("releases", "createdAt"),
     }
-    judged = activity.withColumn("error", activity_error())
+    judged = activity.withColumn("error", activity_error(broken=malformed(activity)))
     return judged.select(
         "repo",
         *[F.when(F.col("error").isNull(), counters[n]).otherwise(_zero()).alias(n) for n in V.ACTIVITY_FIELDS],
@@ -125,10 +132,11 @@ def zero_filled(projects: DataFrame, metrics: DataFrame, on: Sequence[str], coun
 # --- usage ---------------------------------------------------------------------------------------
 
 
-def usage_error() -> Column:
+def usage_error(broken: Column | None = None) -> Column:
     status = F.col("http_status")
     return (
-        F.when(~F.coalesce(F.col("has_key"), F.lit(False)), V.MISSING_API_KEY)
+        F.when(F.lit(False) if broken is None else broken, V.MALFORMED_RECORD)
+        .when(~F.coalesce(F.col("has_key"), F.lit(False)), V.MISSING_API_KEY)
         .when(F.col("exception").isNotNull(), F.col("exception"))
         .when(~status.eqNullSafe(F.lit(200)), _status_error(status))
     )
@@ -143,12 +151,12 @@ def default_model(provider: Column) -> Column:
 
 def usage_records(usage: DataFrame) -> DataFrame:
     """Each usage payload with typed defaults; a failed one becomes the zero row plus its error text."""
-    judged = usage.withColumn("error", usage_error())
+    judged = usage.withColumn("error", usage_error(malformed(usage)))
     model = F.coalesce(F.col("body.model"), default_model(F.col("provider")))
     fine = F.col("error").isNull()
     count = lambda n: F.when(fine, F.coalesce(F.col("body")[n], _zero())).otherwise(_zero()).alias(n)
     free = F.lit(0).cast(MONEY)
-    kept = [c for c in usage.columns if c not in ("has_key", "http_status", "exception", "body")]
+    kept = [c for c in usage.columns if c not in ("has_key", "http_status", "exception", "body", "malformed")]
     return judged.select(
         *kept,
         F.when(fine, model).otherwise(V.UNKNOWN_MODEL).alias("model"),
@@ -175,12 +183,12 @@ def cost_records(costs: DataFrame) -> DataFrame:
     missing = F.when(provider == "gcp", V.MISSING_CREDENTIALS["gcp"]).otherwise(V.MISSING_CREDENTIALS["aws"])
     judged = costs.withColumn(
         "error",
-        F.when(~F.coalesce(F.col("has_credentials"), F.lit(False)), missing).when(
-            F.col("exception").isNotNull(), F.col("exception")
-        ),
+        F.when(malformed(costs), V.MALFORMED_RECORD)
+        .when(~F.coalesce(F.col("has_credentials"), F.lit(False)), missing)
+        .when(F.col("exception").isNotNull(), F.col("exception")),
     )
     fine, stub = F.col("error").isNull(), provider == "gcp"
-    kept = [c for c in costs.columns if c not in ("has_credentials", "exception", "body")]
+    kept = [c for c in costs.columns if c not in ("has_credentials", "exception", "body", "malformed")]
     return judged.select(
         *kept,
         F.when(fine & ~stub, summed).otherwise(F.lit(0).cast(MONEY)).alias("cost"),
@@ -199,26 +207,34 @@ def cost_total(days: Column, text_amount: Column, as_of: AsOf, span: int = V.WIN
 
 
 def enabled_only(records: DataFrame, enabled: Sequence[str], source: str = "provider") -> DataFrame:
-    """Records of sources that are configured. The list is short configuration, so it is a literal filter."""
-    return records.where(F.col(source).isin(*enabled)) if enabled else records.where(F.lit(False))
+    """Records of sources that are configured, and lines that could not be parsed, as a source of their own.
+
+    The list is short configuration, so it is a literal filter.
+    """
+    broken = malformed(records)
+    named = records.withColumn(source, F.when(broken, V.UNREADABLE_SOURCE).otherwise(F.col(source)))
+    return named.where(broken | F.coalesce(F.col(source).isin(*enabled), F.lit(False)) if enabled else broken)
+
+
+def unreadable_activity(activity: DataFrame) -> DataFrame:
+    """One row (source, error) if any activity line could not be parsed."""
+    found = activity.where(malformed(activity)).agg(F.count("*").alias("n")).where("n > 0")
+    return found.select(F.lit(V.UNREADABLE_SOURCE).alias("source"), F.lit(V.MALFORMED_RECORD).alias("error"))
 
 
 def latest_per_source(
-    records: DataFrame,
-    source: str = "provider",
-    newest: str = "fetched_at",
-    sources: Sequence[str] = (*V.AI_PROVIDERS, *V.CLOUD_PROVIDERS),
+    records: DataFrame, source: str = "provider", newest: str = "fetched_at", sources: Sequence[str] | None = None
 ) -> DataFrame:
-    """The newest record of each of the named ``sources``; equal times fall back on the values.
+    """The newest record of each source, or of each of the named ``sources``; equal times fall back on the values.
 
-    The newest time per source is a hash aggregate. It has at most one row per name of the list, so it is broadcast
-    and only records of that time are compared as a whole. Records without a readable time count as the oldest.
+    The newest time per source is a hash aggregate of fixed width; only records of that time are then compared as a
+    whole, map-side first. Records without a readable time count as the oldest, and NULL is a source like any other.
     """
-    known = records.where(F.col(source).isin(*sources))
+    known = records if sources is None else records.where(F.col(source).isin(*sources))
     timed = known.withColumn("_at", F.coalesce(parse_iso(F.col(newest)), F.lit("0001-01-01").cast("timestamp_ntz")))
     tops = timed.groupBy(source).agg(F.max("_at").alias("_at"))
     rest = [c for c in records.columns if c not in (source, newest)]
-    same = timed.join(F.broadcast(tops), [source, "_at"])
+    same = meet(timed, tops, [source, "_at"])
     return same.groupBy(source).agg(F.max(F.struct(newest, *rest)).alias("_r")).select(source, "_r.*")
 
 

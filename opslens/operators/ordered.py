@@ -1,10 +1,10 @@
 """Ordered-row operators on long tables (one row per line, turn or call).
 
 One key may own a large share of all rows, so no operator here orders a whole key in one task. The caller gives
-``chunk``: an order-preserving step of the order columns, such as :func:`position_chunk` for integer positions or
-the column of :func:`balanced_chunks` for times and sparse positions. Rows are ordered inside ``(key, chunk)``; what
-crosses a chunk border travels in a table with one row per chunk. Keys and order columns must not be NULL, and
-``order`` must be unique within a key.
+``chunk``: an order-preserving step of the order columns, such as :func:`position_chunk` for dense integer positions or
+the column of :func:`ranked_chunks` for times, sparse positions and bursts. Rows are ordered inside ``(key, chunk)``; what
+crosses a chunk border travels in a table with one row per chunk. NULL is a key, a position and a chunk like any other
+and comes first; no row is lost. ``order`` must be unique within a key.
 """
 
 from collections.abc import Sequence
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens import values as V
-from opslens.session import BROADCAST_ROWS, sized
+from opslens.session import BROADCAST_ROWS, materialize, meet, sized
 
 CHUNK_ROWS = 100_000
 
@@ -24,34 +24,27 @@ def position_chunk(position: str | Column, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(position / rows)
 
 
-def _place(rows: DataFrame, position: str) -> Column:
-    """A number that grows with the position; times count in seconds, free of any time zone."""
-    kind, column = rows.schema[position].dataType.simpleString(), F.col(position)
-    if kind == "timestamp":
-        return F.unix_seconds(column)
-    if kind == "timestamp_ntz":
-        clock = F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
-        return F.unix_date(column.cast("date")).cast("bigint") * 86400 + clock
-    return column
-
-
-def balanced_chunks(
-    rows: DataFrame, key: Sequence[str], position: str, max_rows: int = CHUNK_ROWS, name: str = "chunk"
+def ranked_chunks(
+    rows: DataFrame, key: Sequence[str], order: Sequence[str], max_rows: int = CHUNK_ROWS, name: str = "chunk"
 ) -> DataFrame:
-    """Add ``name``: 0 for keys of at most ``max_rows`` rows, else one of many equal steps of the key's own range.
+    """``rows``, stored, with ``name``: the rank within the key divided by ``max_rows``, so chunks are full but for the last.
 
-    ``position`` is the first order column, a number or a time. There are at most (all rows / ``max_rows``) keys to
-    split; their ranges are stored, counted, and broadcast.
+    Rows are range-partitioned on key and order and numbered inside each partition; the place of a key's run in the
+    partitions before it comes from their counts. Only keys of more than ``max_rows`` rows need these, at most a row
+    for each ``max_rows`` rows and one more for each partition that such a key ends in. The result is read from the
+    stored table: what follows does not read the source again.
     """
-    placed = rows.withColumn("_place", _place(rows, position))
-    ranges = placed.groupBy(*key).agg(
-        F.count("*").alias("_n"), F.min("_place").alias("_low"), F.max("_place").alias("_high")
-    )
-    steps = (F.ceil(F.col("_n") / max_rows) * 4).alias("_steps")
-    hot, _ = sized(ranges.where(F.col("_n") > max_rows).select(*key, "_low", "_high", steps), "ranges", 10 * BROADCAST_ROWS)
-    share = (F.col("_place") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1)
-    step = F.coalesce(F.floor(share * F.col("_steps")).cast("bigint"), F.lit(0).cast("bigint"))
-    return placed.join(hot, [*key], "left").select(*rows.columns, step.alias(name))
+    at = F.monotonically_increasing_id()
+    ordered = rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumn("_at", at)
+    placed = materialize(ordered, "ranked").withColumn("_part", F.shiftright("_at", 33))
+    runs = placed.groupBy(*key, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*key)
+    before = F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counted = runs.withColumns({"_before": F.coalesce(before, F.lit(0)), "_all": F.sum("_n").over(whole)})
+    long, _ = sized(counted.where(F.col("_all") > max_rows).select(*key, "_part", "_first", "_before"), "runs")
+    step = F.floor((F.col("_before") + F.col("_at") - F.col("_first")) / max_rows).cast("bigint")
+    joined = meet(placed, long, [*key, "_part"], "left")
+    return joined.select(*rows.columns, F.coalesce(step, F.lit(0).cast("bigint")).alias(name))
 
 
 def _running(
@@ -86,7 +79,7 @@ def _running(
         for i, n in enumerate(names)
     }
     kept = [c for c in rows.columns if c != "_chunk"]
-    return local.join(offsets, group).select(*kept, "_chunk", *[total[n].alias(n) for n in names], *lowest)
+    return meet(local, offsets, group).select(*kept, "_chunk", *[total[n].alias(n) for n in names], *lowest)
 
 
 def _inside(key: Sequence[str], order: Sequence[str]):
@@ -152,10 +145,12 @@ def first_error_rows(
     earlier = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     later = whole.orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
     none = F.lit(0).cast("bigint")
-    placed = counts.join(first, [*key], "left").withColumns(
+    placed = meet(counts, first, key, "left").withColumns(
         {"_before": F.coalesce(F.sum("_n").over(earlier), none), "_after": F.coalesce(F.sum("_n").over(later), none)}
     )
-    in_hit = F.col("_chunk") == F.col("_first._chunk")
+    has_hit = F.col("_first").isNotNull()
+    in_hit = has_hit & F.col("_chunk").eqNullSafe(F.col("_first._chunk"))
+    from_hit = F.struct("_chunk") >= F.struct(F.col("_first._chunk").alias("_chunk"))  # structs compare with NULL first
     placed = placed.withColumns(
         {
             "_hit_start": F.max(F.when(in_hit, F.col("_before"))).over(whole),
@@ -164,14 +159,14 @@ def first_error_rows(
     )
     needed = (
         F.when(F.col("_first").isNull(), F.col("_after") < tail)
-        .when(F.col("_chunk") >= F.col("_first._chunk"), F.col("_before") - F.col("_hit_end") < keep)
+        .when(from_hit, F.col("_before") - F.col("_hit_end") < keep)
         .otherwise(F.col("_before") + F.col("_n") == F.col("_hit_start"))
     )
     chunks, _ = sized(placed.where(needed).select(*key, "_chunk", "_first"), "chunks", broadcast_rows)
-    near = tagged.join(chunks, [*key, "_chunk"])
+    near = meet(tagged, chunks, [*key, "_chunk"])
     ordered = whole.orderBy(*order)
     numbered = near.withColumns({"_rn": F.row_number().over(ordered), "_rows": F.count("*").over(whole)}).withColumn(
-        "_mark", F.max(F.when(F.col("_at") == F.col("_first._at"), F.col("_rn"))).over(whole)
+        "_mark", F.max(F.when(has_hit & F.col("_at").eqNullSafe(F.col("_first._at")), F.col("_rn"))).over(whole)
     )
     kept = (
         F.when(F.col("_first").isNull(), F.col("_rn") > F.col("_rows") - tail)
@@ -192,22 +187,22 @@ def prune_rows(
 ) -> DataFrame:
     """Drop vendor rows that come after the first error row of their key.
 
-    The first error of each key is stored and counted. If these are few, they are broadcast and one scan does the
-    rest. Otherwise error rows and other rows pass in the scan, and only vendor rows are shuffled to meet the first
-    error of their key, chunk by chunk.
+    The first error of each key is stored and measured. If these are small, they are broadcast and the rows are not
+    shuffled. Otherwise only the vendor rows are, and meet the first error of their key chunk by chunk.
     """
     found = rows.where(error).groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
     first, small = sized(found, "first", broadcast_rows)
     error, vendor = F.coalesce(error, F.lit(False)), F.coalesce(vendor, F.lit(False))
     before = F.col("_first").isNull() | (F.struct(*order) < F.col("_first"))
-    if small:
-        return rows.join(first, [*key], "left").where(error | ~vendor | before).select(*rows.columns)
     tagged = rows.withColumns({"_chunk": chunk, "_vendor": vendor & ~error})
-    passing = tagged.where(~F.col("_vendor")).select(*rows.columns)
+    passing = tagged.where(~F.col("_vendor"))
     late = tagged.where("_vendor")
-    chunks = rows.select(*key, chunk.alias("_chunk")).distinct().join(first, [*key], "left")
-    early = late.join(chunks, [*key, "_chunk"]).where(before).select(*rows.columns)
-    return passing.unionByName(early)
+    if small:
+        met = meet(late, first, key, "left")
+    else:
+        chunks = rows.select(*key, chunk.alias("_chunk")).distinct()
+        met = meet(late, meet(chunks, first, key, "left"), [*key, "_chunk"])
+    return passing.select(*rows.columns).unionByName(met.where(before).select(*rows.columns))
 
 
 def repeated_calls(
@@ -233,7 +228,7 @@ def repeated_calls(
     steps = Window.partitionBy(*key).orderBy("_chunk")
     none = F.array().cast(ends.schema["_tail"].dataType)
     handed = F.concat(*[F.coalesce(F.lag("_tail", j).over(steps), none) for j in range(back, 0, -1)])
-    joined = local.join(ends.select(*group, handed.alias("_handed")), group)
+    joined = meet(local, ends.select(*group, handed.alias("_handed")), group)
 
     def before(j: int) -> Column:
         carried = F.get("_handed", F.size("_handed") - (j - F.col("_rn") + 1))
@@ -277,7 +272,16 @@ def first_breach(
     return first.select(*key, "budget", "_f._at.*", F.col("_f.total").alias("total"))
 
 
-def latest_rows(rows: DataFrame, key: Sequence[str], newest: Sequence[Column], cap: int = 100) -> DataFrame:
-    """At most ``cap`` newest rows per key. Spark cuts each map task to ``cap`` rows per key before the shuffle."""
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*newest)))
-    return ranked.where(F.col("_rank") <= cap).drop("_rank")
+def latest_rows(
+    rows: DataFrame, key: Sequence[str], newest: Sequence[Column], cap: int = 100, salts: int = 256
+) -> DataFrame:
+    """At most ``cap`` newest rows per key, in two stages.
+
+    Spark cuts each map task to ``cap`` rows per key before a shuffle. What is left of a key over very many tasks is cut
+    again in ``salts`` parts, so at most ``salts * cap`` rows of a key meet in one task.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    for group in ([*key, "_salt"], [*key]):
+        ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*newest)))
+        salted = ranked.where(F.col("_rank") <= cap).drop("_rank")
+    return salted.drop("_salt")

@@ -13,8 +13,8 @@ from opslens.functions.money import money_text
 def source_structs(sources: DataFrame) -> DataFrame:
     """The source collection (source, counters, cost, status, error) as exactly one row.
 
-    One nullable struct per source plus a map of error texts. Each source is one row here, so this is a global
-    aggregate over a handful of rows.
+    One nullable struct per known source plus a map of error texts, those of other sources included. Each source is
+    one row here, so this is a global aggregate over a handful of rows.
     """
     pick = lambda name, schema, fields: F.max(
         F.when(F.col("source") == name, F.struct(*[F.col(f) for f in fields]))
@@ -24,10 +24,13 @@ def source_structs(sources: DataFrame) -> DataFrame:
         F.struct(F.lit(n).alias("k"), F.max(F.when(F.col("source") == n, F.col("error"))).alias("v"))
         for n in [*V.AI_PROVIDERS, *V.CLOUD_PROVIDERS]
     ]
+    other = F.col("error").isNotNull() & ~F.coalesce(F.col("source").isin(*V.AI_PROVIDERS, *V.CLOUD_PROVIDERS), F.lit(False))
+    named = F.struct(F.coalesce("source", F.lit(V.UNREADABLE_SOURCE)).alias("k"), F.col("error").alias("v"))
+    others = F.map_from_entries(F.array_sort(F.collect_set(F.when(other, named))))
     return sources.agg(
         *[pick(n, S.USAGE_STATS, usage_fields) for n in V.AI_PROVIDERS],
         *[pick(n, S.COST_STATS, ["cost", "status"]) for n in V.CLOUD_PROVIDERS],
-        F.map_from_entries(F.array(*errors)).alias("errors"),
+        F.map_concat(F.map_from_entries(F.array(*errors)), others).alias("errors"),
     )
 
 

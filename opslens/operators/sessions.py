@@ -1,4 +1,8 @@
-"""Context cost of sessions: every turn is billed for all messages up to it."""
+"""Context cost of sessions: every turn is billed for all messages up to it.
+
+Turns count densely from 0, as a rule, and chunks follow from them; for turns with wide gaps, such as times or byte
+offsets, give the column of ``ranked_chunks`` as ``chunk``. NULL sessions and turns are kept and come first.
+"""
 
 from collections.abc import Sequence
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.text import tokens_floor
 from opslens.operators.ordered import position_chunk, running_sums
+from opslens.session import meet
 
 
 def running_cost(
@@ -69,7 +74,7 @@ def isolated_cost(
         {"_offset": F.coalesce(F.sum("_s").over(before), none), "_tasks": F.coalesce(F.sum("_a").over(before), none)}
     )
     placed = placed.withColumn("_carried", F.coalesce(F.max(F.col("_b") + F.col("_offset")).over(before), none))
-    joined = local.join(placed.select(*group, "_offset", "_tasks", "_carried"), group)
+    joined = meet(local, placed.select(*group, "_offset", "_tasks", "_carried"), group)
     base = F.coalesce(F.col("_base") + F.col("_offset"), F.col("_carried"))
     return joined.select(
         *messages.columns,

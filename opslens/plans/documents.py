@@ -73,12 +73,14 @@ def inline_templates(
 ) -> DataFrame:
     """Lines (root, position, line) of the template files after rendering, with their includes inlined.
 
-    Any file can be included, and its text is rendered like that of a template.
+    Any file can be included. Only the text of templates has its folder mentions replaced; other included text gets the
+    folder slot and the tool names.
     """
     kept = files.where(~is_ignored(F.col(path)))
-    rendered = kept.select(
-        F.col(path).alias("path"), replace_in_order(F.col(text), platform_rules(platform, folder)).alias("content")
-    )
+    rules = platform_rules(platform, folder)
+    included = [rule for rule in rules if rule[0] != V.FOLDER_MENTION]
+    whole, part = (replace_in_order(F.col(text), r) for r in (rules, included))
+    rendered = kept.select(F.col(path).alias("path"), F.when(has_suffix(F.col(path)), whole).otherwise(part).alias("content"))
     return expand_includes(rendered, roots=has_suffix(F.col("path")))
 
 

@@ -28,7 +28,8 @@ def weekly_report(
     """
     newest_usage = M.usage_records(M.latest_per_source(M.enabled_only(usage, enabled)))
     newest_costs = M.cost_records(M.latest_per_source(M.enabled_only(costs, enabled)))
-    one_row = R.source_structs(M.source_union(newest_usage, newest_costs))
+    sources = M.source_union(newest_usage, newest_costs).unionByName(M.unreadable_activity(activity), allowMissingColumns=True)
+    one_row = R.source_structs(sources)
     return R.reports(projects, M.repo_metrics(activity, as_of, days), one_row, "github" in enabled)
 
 

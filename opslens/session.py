@@ -1,7 +1,9 @@
 """Session settings and the shared folder for intermediate tables."""
 
-import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,24 +34,43 @@ def build_session(master: str | None = None, app: str = "opslens", **settings: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local session without one gets a fresh folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="opslens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    """This application's folder for intermediate tables, removed when the application ends normally.
+
+    It lies under ``spark.checkpoint.dir``, which every executor can reach; where that is unset, under the warehouse.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/opslens-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
     return folder
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables that are made inside, once the results that read them are stored."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for name in _SCOPES.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage for iterative jobs: the table outlives any executor and is computed a single time.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/opslens/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,21 +80,18 @@ def sized(
 ) -> tuple[DataFrame, bool]:
     """``df`` as a stored table, marked for broadcast if it is small, and whether it is marked.
 
-    Small means at most ``limit`` rows and ``max_bytes`` of text, as measured on the stored table. A larger table
-    comes back unmarked and is joined by a shuffle.
+    Small means at most ``limit`` rows and ``max_bytes`` of all columns, nested ones included, as measured on the stored
+    table by the length of its rows as JSON. A larger table comes back unmarked and is joined by a shuffle.
     """
     table = materialize(df, name)
-    texts = [f.name for f in table.schema if f.dataType.simpleString() == "string"]
-    text = sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts), F.lit(0))
-    rows, size = table.agg(F.count("*"), text).first()
+    rows, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
     small = rows <= limit and size <= max_bytes
     return (F.broadcast(table) if small else table), small
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Redistribute a small input that would keep most cores idle, ahead of costly row-wise work.
-
-    An input that fills at least half of the cores passes untouched, so large tables are never shuffled here.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
+def meet(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, where NULL equals NULL; the columns ``on`` come from ``left``."""
+    named = right.select(*[F.col(c).alias(f"_right_{c}") if c in on else c for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    joined = left.join(named, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{c}" for c in on])

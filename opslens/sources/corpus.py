@@ -10,33 +10,59 @@ from opslens.functions.text import document_lines
 from opslens import values as V
 
 
-def read_documents(spark: SparkSession, path: str, pattern: str = "*" + V.DOCUMENT_SUFFIX) -> DataFrame:
-    """Whole files (path, content) under ``path`` at any depth; unreadable files are skipped."""
-    reader = spark.read.option("ignoreCorruptFiles", True)
-    files = reader.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+def _located(spark: SparkSession, root: str, by_project: bool, address: str) -> list[Column]:
+    """[project,] path: decoded places below ``root``; with ``by_project`` the first folder is the project."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder)
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
+    start = F.length(plain(F.lit(folder.toUri().toString().rstrip("/")))) + 2
+    encoded = F.replace(F.substring(plain(F.col(address)), start, F.lit(2**31 - 1)), F.lit("+"), F.lit("%2B"))
+    path = F.url_decode(encoded)
+    if not by_project:
+        return [path.alias("path")]
+    slash = F.locate("/", path)
+    return [F.when(slash > 0, F.left(path, slash - 1)).alias("project"), F.substring(path, slash + 1, F.lit(2**31 - 1)).alias("path")]
+
+
+def read_documents(
+    spark: SparkSession, root: str, pattern: str = "*" + V.DOCUMENT_SUFFIX, by_project: bool = False
+) -> DataFrame:
+    """Whole files ([project,] path, content, error) at any depth below ``root``, their paths relative to it.
+
+    A file that cannot be read is a row without content that names the error. Spark's sources list no empty files.
+    """
+    options = {"recursiveFileLookup": True, "pathGlobFilter": pattern}
+    at = F.col("_metadata.file_path").alias("_at")
+    listed = spark.read.format("binaryFile").options(**options).load(root).select(at)
+    files = spark.read.options(ignoreCorruptFiles=True, **options).text(root, wholetext=True)
+    held = files.select(at, F.col("value").alias("content"), F.lit(None).cast("string").alias("error"))
+    unread = listed.join(held.select("_at"), "_at", "left_anti").withColumns(
+        {"content": F.lit(None).cast("string"), "error": F.lit(V.UNREADABLE_FILE)}
+    )
+    return held.unionByName(unread).select(*_located(spark, root, by_project, "_at"), "content", "error")
 
 
-def read_log_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Lines of log files of any size: (path, block, line_no, line).
+def read_log_lines(spark: SparkSession, root: str, pattern: str = "*", by_project: bool = False) -> DataFrame:
+    """Lines of log files of any size: ([project,] path, block, line_no, line).
 
     Files stay splittable: ``block`` is the byte offset of the input split and ``line_no`` grows within it, so
     (block, line_no) orders a file and ``block`` is its chunk. Store the result as a table before running ordered
     operators on it, so that the numbers are given once.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return reader.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
+    return reader.text(root).withColumn("_at", F.col("_metadata.file_path")).select(
+        *_located(spark, root, by_project, "_at"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"),
         F.col("value").alias("line"),
     )
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """File manifest (path, length, modified) of a folder tree, without reading contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+def read_manifest(spark: SparkSession, root: str, by_project: bool = False) -> DataFrame:
+    """File manifest ([project,] path, length, modified) of a folder tree, relative to ``root``, without reading contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    placed = files.select(F.col("_metadata.file_path").alias("_at"), "length", F.col("modificationTime").alias("modified"))
+    return placed.select(*_located(spark, root, by_project, "_at"), "length", "modified")
 
 
 def line_rows(documents: DataFrame, text: str = "content", lines: Column | None = None) -> DataFrame:

@@ -7,19 +7,33 @@ from opslens import schemas as S
 from opslens import values as V
 
 
+def _landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a landing folder, a JSON line each; the text of a line that is no such record stays in ``malformed``.
+
+    A partition folder's value wins over the field of the same name.
+    """
+    lines = spark.read.text(path)
+    folders = [c for c in lines.columns if c != "value"]
+    parsed = F.from_json("value", f"{schema}, malformed string", {"columnNameOfCorruptRecord": "malformed"})
+    rows = lines.where(F.trim("value") != "").select(parsed.alias("_r"), *folders)
+    names = rows.select("_r.*").columns
+    given = [F.col(c).cast("string").alias(c) if c in folders else F.col(f"_r.{c}") for c in names]
+    return rows.select(*given, *[c for c in folders if c not in names])
+
+
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
     """Landed repository activity, one payload per record."""
-    return spark.read.schema(S.ACTIVITY).json(path)
+    return _landed(spark, path, S.ACTIVITY)
 
 
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
     """Landed usage payloads; ``provider`` may be a partition folder (``provider=x/``)."""
-    return spark.read.schema(S.USAGE).json(path)
+    return _landed(spark, path, S.USAGE)
 
 
 def read_costs(spark: SparkSession, path: str) -> DataFrame:
     """Landed daily cost series."""
-    return spark.read.schema(S.COST).json(path)
+    return _landed(spark, path, S.COST)
 
 
 def project_rows(configs: DataFrame, config: str = "config", fallback: dict[str, str | None] | None = None) -> DataFrame:

@@ -1,11 +1,13 @@
 """Alarms per session while its calls stream in."""
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+
+from opslens.operators.ordered import latest_rows, ranked_chunks, repeated_calls
+from opslens.session import meet, scratch
 
 
 def budget_alarms(stream: DataFrame, session: Sequence[str], spent: dict[str, tuple[Column, float]]) -> DataFrame:
@@ -20,31 +22,44 @@ def budget_alarms(stream: DataFrame, session: Sequence[str], spent: dict[str, tu
     return over.select(*session, "_c.budget", "_c.total")
 
 
-def repeat_alarms(stream: DataFrame, session: str, position: str, call: str, times: int = 3) -> DataFrame:
-    """One alarm (session, position, call) each time a call comes the ``times``-th time in a row.
+def write_repeat_alarms(
+    stream: DataFrame,
+    session: str,
+    position: str,
+    call: str,
+    table: str,
+    state: str,
+    checkpoint: str,
+    times: int = 3,
+    keep: Column | None = None,
+) -> StreamingQuery:
+    """Write one alarm (session, position, call) each time a call comes the ``times``-th time in a row.
 
-    The state of a session is its last call and the length of the current run. Only three narrow columns reach the
-    state function; the rows it sees at once are those of one session in one micro-batch, which the trigger bounds
-    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
+    A micro-batch is ordered like any table of calls, in chunks of bounded size, behind the last ``times`` calls of its
+    sessions, so rows may come in any order inside a batch and no session is gathered. The source's own limits
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bound a batch. The last calls are a table in ``state`` with one
+    folder a batch; sessions for which ``keep``, a condition on (session, position, call), no longer holds are dropped
+    from it. A row that is older than the kept calls of its session starts no run. Repeated batches overwrite their folders.
     """
     narrow = stream.select(F.col(session).alias("session"), F.col(position).alias("position"), F.col(call).alias("call"))
-    kind = narrow.schema["session"].dataType.simpleString()
-    place = narrow.schema["position"].dataType.simpleString()
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("position", ignore_index=True)
-        last, length = state.get if state.exists else (None, 0)
-        fresh = rows["call"].ne(rows["call"].shift(fill_value=last))
-        run = fresh.cumsum()
-        nth = rows.groupby(run).cumcount() + 1 + (run == 0) * length
-        state.update((rows["call"].iloc[-1], int(nth.iloc[-1])))
-        hits = rows[nth == times]
-        yield hits.assign(session=key[0])[["session", "position", "call"]]
-
-    return narrow.groupBy("session").applyInPandasWithState(
-        advance,
-        f"session {kind}, position {place}, call string",
-        "last string, length long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    key, order = ["session"], ["position"]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("_new", F.lit(True))
+        if batch_id > 0:
+            before = spark.read.schema(narrow.schema).parquet(f"{state}/batch={batch_id - 1}")
+            rows = rows.unionByName(before.withColumn("_new", F.lit(False)))
+        with scratch(spark):
+            placed = ranked_chunks(rows, key, order)
+            at = F.col("chunk")
+            nth = repeated_calls(placed, key, order, at, ["call"], times)
+            more = repeated_calls(placed, key, order, at, ["call"], times + 1)
+            fresh = placed.where("_new").select("session", "position")
+            alarms = meet(meet(nth, more, [*key, *order], "left_anti"), fresh, [*key, *order], "left_semi")
+            alarms.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+            last = latest_rows(placed.select("session", "position", "call"), key, [F.desc_nulls_last("position")], times)
+            (last if keep is None else last.where(keep)).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+
+    query = narrow.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return query.trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opslens import values as V
+from opslens.session import meet
 
 
 def append_batches(result: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
@@ -32,26 +33,37 @@ def sliding_metrics(
     days: int = V.WINDOW_DAYS,
     late: str = "1 day",
 ) -> DataFrame:
-    """Counters per key over ``days``-long windows that start every day; boundaries lie on whole days."""
-    window = F.window(time, f"{days} days", "1 day")
-    grouped = stream.withWatermark(time, late).groupBy(window.alias("_w"), *key).agg(*counters)
-    rest = [c for c in grouped.columns if c != "_w"]
-    return grouped.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *rest)
+    """Counters per key over ``days``-long windows that start every day; boundaries lie on whole days.
+
+    ``counters`` are named counts and sums. They are kept per day, so a row enters one group, and a window adds up its
+    days. In append mode the watermark closes days and windows, and their state is dropped.
+    """
+    daily = stream.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("_day"), *key).agg(*counters)
+    names = [c for c in daily.columns if c not in ("_day", *key)]
+    window = F.window(F.window_time("_day"), f"{days} days", "1 day")
+    grouped = daily.groupBy(window.alias("_w"), *key).agg(*[F.sum(n).alias(n) for n in names])
+    return grouped.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *key, *names)
 
 
-def write_complete(result: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep a Parquet table equal to the newest complete result of a streaming aggregate.
+def write_updates(result: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Keep the changed rows of every batch of a streaming aggregate, each batch in a folder of its own.
 
-    All groups stay in the state store. For an endless stream of windows use :func:`append_batches`.
+    A repeated batch overwrites its folder, and no reader finds the table empty. :func:`newest_rows` reads it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    query = result.writeStream.outputMode("complete").foreachBatch(write)
+    query = result.writeStream.outputMode("update").foreachBatch(write)
     return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest_rows(table: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The last written row of each key of a table of updates."""
+    last = table.groupBy(*key).agg(F.max("batch").alias("batch"))
+    return meet(table, last, [*key, "batch"]).drop("batch")
+
+
 def as_of_window(windows: DataFrame, as_of: str | datetime) -> DataFrame:
     """The window that ends at the day of ``as_of``."""
     return windows.where(F.col("window_end") == F.lit(str(as_of)[:10]).cast("timestamp"))

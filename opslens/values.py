@@ -169,3 +169,8 @@ USAGE_FORMAT = "• *%s*: model `%s` | In: %d | Out: %d | Cost: $%s"
 COST_TITLE = "☁️ *Infrastructure Costs*"
 COST_FORMAT = "• *%s:* $%s"
 WARNING_FORMAT = ":warning: _%s_"
+
+# Own texts of this library, for input that cannot be read.
+MALFORMED_RECORD = "Malformed record"
+UNREADABLE_FILE = "Unreadable file"
+UNREADABLE_SOURCE = "unreadable"

@@ -1,6 +1,7 @@
 """Run registered queries against their SQL in DuckDB: ``python -m tests.run_checks [sf_dir] [name ...]``."""
 
 import sys
+import tempfile
 import time
 from decimal import Decimal
 
@@ -64,6 +65,7 @@ def main():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checks-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")

@@ -60,7 +60,11 @@ def test_bundles(spark):
         [("p", "w/architecture.md", "A"), ("p", "w/index.md", "I"), ("p", "w/sub/index.md", "S"), ("p", "w/z.md", "Z"), ("p", "w/z.txt", "T"), ("q", "w/z.md", "Z")],
         "project string, path string, content string",
     )
-    assert rows(P.core_bundle(files, ["project"])) == [("p", "=== INDEX.MD ===\nI\n\n=== ARCHITECTURE.MD ===\nA")]
+    assert rows(P.core_bundle(files, ["project"], "w/")) == [("p", "=== INDEX.MD ===\nI\n\n=== ARCHITECTURE.MD ===\nA")]
+    assert rows(P.core_bundle(files, ["project"], "w/sub")) == [("p", "=== INDEX.MD ===\nS")]
+    assert rows(P.core_bundle(files, ["project"])) == []
+    bundle = P.core_bundle(files.withColumn("home", F.lit("w")), ["project"], F.col("home"))
+    assert bundle.count() == 1 and "SortAggregate" not in bundle._jdf.queryExecution().executedPlan().toString()
     assert rows(P.full_bundle(files, ["project"], F.ascii(F.substring("path", 3, 1)))) == [
         ("p", 1, "=== ARCHITECTURE.MD ===\nA"), ("p", 2, "=== INDEX.MD ===\nI"), ("p", 3, "=== INDEX.MD ===\nS"),
         ("p", 4, "=== Z.MD ===\nZ"), ("q", 1, "=== Z.MD ===\nZ"),
@@ -164,7 +168,8 @@ def test_include_closure(spark):
     df = spark.createDataFrame(edges, "src string, dst string")
     got = rows(K.include_closure(df, spark.createDataFrame([("a",), ("d",), ("x",)], "root string")))
     assert got == [("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("a", "e", 4), ("d", "e", 1)]
-    assert rows(K.include_closure(df, max_depth=1)) == sorted((s, d, 1) for s, d in set(edges) if s != d)
+    every = df.select(F.col("src").alias("root"))
+    assert rows(K.include_closure(df, every, max_depth=1)) == sorted((s, d, 1) for s, d in set(edges) if s != d)
 
 
 def expanded_text(df):
@@ -200,9 +205,27 @@ def test_expand_includes(spark):
 
 
 def test_inline_templates(spark):
-    docs = {"r.md": "go\n@part.txt\n@x.log", "part.txt": "- glob {{HARNESS_DIR}}\n@r.md", "x.log": "noise", "s.py": "@r.md"}
+    docs = {"r.md": "go\n@part.txt\n@x.log", "part.txt": "- glob {{HARNESS_DIR}} " + V.FOLDER_MENTION + "\n@r.md", "x.log": "noise", "s.py": "@r.md"}
     got = expanded_text(D.inline_templates(documents(spark, docs), "claude", ".c"))
-    assert got == {"r.md": "go\n- Glob .c\n@r.md\n@x.log"}
+    assert got == {"r.md": "go\n- Glob .c " + V.FOLDER_MENTION + "\n@r.md\n@x.log"}
+
+
+def test_deep_chain_and_hot_include(spark):
+    """A chain of more than 64 documents, and a document that all others include."""
+    docs = {f"c{i}.md": f"line {i}\n@c{i + 1}.md" for i in range(70)} | {"c70.md": "end"}
+    chain = K.expand_includes(documents(spark, docs), roots=F.col("path") == "c0.md").collect()
+    assert sorted(r["line"] for r in chain) == sorted([f"line {i}" for i in range(70)] + ["end"])
+    docs = {f"d{i}.md": f"own {i}\n@all.md" for i in range(40)} | {"all.md": "shared\n@deep.md", "deep.md": "below"}
+    for hot in (5, 10**6):
+        got = expanded_text(K.expand_includes(documents(spark, docs), hot=hot))
+        assert got["d7.md"] == "own 7\nshared\nbelow" and len(got) == 42
+
+
+def test_many_labels(spark):
+    markers = {f"f{i}": f"label{i:03d}" for i in range(100)}
+    files = spark.createDataFrame([("p", f"f{i}") for i in range(100)] + [("q", "x"), (None, "f1")], "project string, path string")
+    got = {r["project"]: r["stack"] for r in C.classify_projects(files, markers=markers).collect()}
+    assert got["p"] == ", ".join(sorted(markers.values())) and got["q"] == V.UNKNOWN_STACK and got[None] == "label001"
 
 
 def test_document_plans(spark):
@@ -239,13 +262,22 @@ def test_file_sources(spark, tmp_path):
     (tmp_path / "w" / "index.md").write_text("one\ntwo")
     (tmp_path / "w" / "sub" / "b.md").write_text("three")
     (tmp_path / "w" / "run.log").write_text("\n".join(f"l{i}" for i in range(500)))
+    (tmp_path / "w" / "sub" / "a b+ü%20.md").write_text("odd")
     docs = SC.read_documents(spark, str(tmp_path / "w"))
-    assert sorted(r["content"] for r in docs.collect()) == ["one\ntwo", "three"]
-    lines = SC.line_rows(docs.where(F.endswith("path", F.lit("index.md"))))
+    assert sorted(map(tuple, docs.collect())) == [
+        ("index.md", "one\ntwo", None), ("sub/a b+ü%20.md", "odd", None), ("sub/b.md", "three", None),
+    ]
+    lines = SC.line_rows(docs.where(F.col("path") == "index.md"))
     assert [(r["line_no"], r["line"]) for r in lines.collect()] == [(0, "one"), (1, "two")]
     log = SC.read_log_lines(spark, str(tmp_path / "w"), "*.log").orderBy("block", "line_no")
     assert [r["line"] for r in log.collect()] == [f"l{i}" for i in range(500)]
-    assert SC.read_manifest(spark, str(tmp_path / "w")).count() == 3
+    assert SC.read_manifest(spark, str(tmp_path / "w")).count() == 4
+    by_project = SC.read_manifest(spark, str(tmp_path), by_project=True)
+    assert {(r["project"], r["path"]) for r in by_project.collect()} >= {("w", "index.md"), ("w", "sub/b.md")}
+    (tmp_path / "w" / "package.json").write_text("{}")
+    (tmp_path / "w" / "sub" / "go.mod").write_text("module x")
+    stacks = dict(rows(C.classify_projects(SC.read_manifest(spark, str(tmp_path), by_project=True))))
+    assert stacks["w"] != V.UNKNOWN_STACK
     manifest = spark.createDataFrame([("p", "b/wiki"), ("p", "c/wiki"), ("q", "x")], "project string, path string")
     assert rows(SC.first_existing(manifest, ["a/wiki", "b/wiki", "c/wiki"], ["project"]).where("location is not null")) == [("p", "b/wiki")]
     assert SC.within_depth(spark.createDataFrame([("a/b/c",), ("a/b",), ("a",)], "path string")).count() == 2
@@ -269,3 +301,36 @@ def test_snapshot(spark, tmp_path):
     rows = spark.createDataFrame([("a", {"k": "v"})], "name string, terms map<string,string>")
     R.write_snapshot(rows, str(tmp_path / "s"))
     assert json.loads(spark.read.text(str(tmp_path / "s")).first()[0]) == {"name": "a", "terms": {"k": "v"}}
+
+
+def test_unreadable_file_is_a_row(spark, tmp_path):
+    (tmp_path / "good.md").write_text("fine")
+    bad = tmp_path / "bad.md.gz"
+    bad.write_bytes(b"\x1f\x8b not really gzip")
+    got = sorted(map(tuple, SC.read_documents(spark, str(tmp_path), "*").collect()))
+    assert got == [("bad.md.gz", None, V.UNREADABLE_FILE), ("good.md", "fine", None)]
+
+
+def test_malformed_lines_are_reported(spark, tmp_path):
+    from opslens.plans.weekly_report import weekly_report
+    from opslens.sources import landing as L
+
+    for name, line in (("usage", '{"provider": "openai", "has_key": tru'), ("costs", "nonsense"), ("activity", '{"repo": 5,')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text(line + "\n\n")
+    activity, usage, costs = (f(spark, str(tmp_path / n)) for f, n in ((L.read_activity, "activity"), (L.read_usage, "usage"), (L.read_costs, "costs")))
+    assert [r["malformed"] is not None for df in (activity, usage, costs) for r in df.collect()] == [True] * 3
+    projects = L.projects(spark.createDataFrame([('{"p": {"repo": "o/r"}}',)], "config string"))
+    for source in ("activity", "usage", "costs"):
+        empty = lambda name, df: df if name == source else df.where("false")  # noqa: B023, E731
+        report = weekly_report(projects, empty("activity", activity), empty("usage", usage), empty("costs", costs), as_of="2024-03-10T00:00:00Z")
+        assert V.MALFORMED_RECORD in str(report.first()["warnings"]), source
+
+
+def test_unknown_source_is_kept(spark):
+    from opslens.operators import metrics as M
+
+    rows_ = [("a", "2024-01-01T00:00:00Z", 1), ("sixth", "2024-01-02T00:00:00Z", 2), (None, None, 3), ("a", "2024-01-03T00:00:00Z", 4)]
+    df = spark.createDataFrame(rows_, "provider string, fetched_at string, x int")
+    assert {(r["provider"], r["x"]) for r in M.latest_per_source(df).collect()} == {("a", 4), ("sixth", 2), (None, 3)}
+    assert {r["provider"] for r in M.latest_per_source(df, sources=["a"]).collect()} == {"a"}

@@ -1,5 +1,7 @@
 """Plans and hot keys: one key holds a third of all rows, and no operator may gather it."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from opslens.operators import corpus as P
 from opslens.operators import metrics as M
 from opslens.operators import ordered as O
 from opslens.operators import sessions as S
-from opslens.session import materialize, shared_folder, spread
+from opslens.session import materialize, scratch, shared_folder, sized
 
 ROWS, STEP = 30_000, 1_000
 
@@ -38,14 +40,25 @@ def test_chunks_bound_the_rows_of_a_hot_key(hot):
     assert per_task_rows(tagged, "k", "c") <= STEP
 
 
-def test_balanced_chunks(spark, hot):
-    times = hot.withColumn("at", F.timestamp_seconds(F.col("i") * 7).cast("timestamp_ntz"))
-    for position in ("i", "at"):
-        got = O.balanced_chunks(times, ["k"], position, max_rows=STEP)
-        assert per_task_rows(got, "k", "chunk") <= STEP and got.count() == ROWS
-        assert got.where("k <> 0 and chunk <> 0").isEmpty() and got.where("k = 0").select("chunk").distinct().count() == 40
-        edges = got.where("k = 0").groupBy("chunk").agg(F.min("i").alias("a"), F.max("i").alias("b")).orderBy("chunk").collect()
-        assert all(x["b"] < y["a"] for x, y in zip(edges, edges[1:]))
+@pytest.mark.parametrize("shape", ["dense", "burst", "sparse", "holes"])
+def test_ranked_chunks(spark, hot, shape):
+    """Full chunks in order, also where one second holds 95 % of the hot key, positions lie far apart or are NULL."""
+    i = F.col("i")
+    second = {
+        "dense": i * 7,
+        "burst": F.when(i % 60 == 0, i).otherwise(12_345),
+        "sparse": i * 100_000,
+        "holes": F.when(i % 10 == 0, F.lit(None)).otherwise(i),
+    }[shape]
+    key = F.when(i % 11 == 5, F.lit(None)).otherwise(F.col("k")) if shape == "holes" else F.col("k")
+    rows = hot.select(key.alias("k"), F.timestamp_seconds(second.cast("long")).cast("timestamp_ntz").alias("at"), "i")
+    got = O.ranked_chunks(rows, ["k"], ["at", "i"], max_rows=STEP)
+    assert per_task_rows(got, "k", "chunk") <= STEP and got.count() == ROWS
+    counts = {r["k"]: r for r in got.groupBy("k").agg(F.count("*").alias("n"), F.max("chunk").alias("c"), F.countDistinct("chunk").alias("d")).collect()}
+    assert all(r["c"] == (r["n"] - 1) // STEP and r["d"] == r["c"] + 1 for r in counts.values())
+    ends = got.where("k = 0").groupBy("chunk").agg(F.min(F.struct("at", "i")).alias("a"), F.max(F.struct("at", "i")).alias("b"))
+    assert ends.alias("x").join(ends.alias("y"), F.expr("x.chunk < y.chunk AND NOT x.b < y.a")).isEmpty()
+    assert got.select("k", "at", "i").exceptAll(rows).isEmpty()
 
 
 def test_running_sums_equal_a_plain_window(spark, hot):
@@ -133,9 +146,38 @@ def test_window_filters_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(ts," in text and "LessThan(ts," in text
 
 
-def test_intermediate_tables(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    table = materialize(spark.range(5), "five")
-    assert table.count() == 5 and "Scan parquet" in plan(table)
-    assert spread(spark.range(8, numPartitions=1)).rdd.getNumPartitions() == 4
-    assert spread(spark.range(8, numPartitions=3)).rdd.getNumPartitions() == 3
+def test_intermediate_tables(spark, tmp_path):
+    folder = shared_folder(spark)
+    assert folder.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/")
+    kept = materialize(spark.range(5), "five")
+    with scratch(spark):
+        table = materialize(spark.range(7), "seven")
+        assert table.count() == 7 and "Scan parquet" in plan(table)
+        files = {f.removeprefix("file://") for f in table.inputFiles()}
+        assert all(os.path.exists(f) for f in files)
+    assert kept.count() == 5 and not any(os.path.exists(f) for f in files)
+
+
+def test_every_column_counts_for_a_broadcast(spark):
+    long = F.repeat(F.lit("x"), 1000)
+    nested = spark.range(100).select("id", F.struct(F.array(long).alias("a")).alias("s"))
+    binary = spark.range(100).select("id", long.cast("binary").alias("b"))
+    mapped = spark.range(100).select("id", F.create_map(F.lit("k"), long).alias("m"))
+    for df in (nested, binary, mapped):
+        assert not sized(df, "wide", max_bytes=50_000)[1] and sized(df, "wide", max_bytes=500_000)[1]
+    assert not sized(spark.range(11), "rows", limit=10)[1] and sized(spark.range(0), "none", limit=0)[1]
+
+
+def test_log_is_read_once_for_its_order_and_once_for_its_rows(spark, tmp_path):
+    """What follows the stored, ordered table does not go back to the source."""
+    hot_path = str(tmp_path / "log")
+    spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("i"), F.lit("a").alias("c")).write.parquet(hot_path)
+    placed = O.ranked_chunks(spark.read.parquet(hot_path), ["k"], ["i"], max_rows=50)
+    for job in (O.repeated_calls(placed, ["k"], ["i"], F.col("chunk"), ["c"]), O.running_sums(placed, ["k"], ["i"], F.col("chunk"), {"s": F.col("i")})):
+        assert hot_path not in plan(job) and job.count() > 0
+
+
+def test_top_rows_meet_in_two_stages(spark, hot):
+    got = O.latest_rows(hot.repartition(12).withColumn("k", F.lit(1)), ["k"], [F.col("i").desc()], cap=5)
+    assert sorted(r["i"] for r in got.collect()) == list(range(ROWS - 5, ROWS))
+    assert "_salt" in plan(got)

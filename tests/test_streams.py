@@ -23,12 +23,24 @@ def test_repeat_alarms_keep_state_between_batches(spark, tmp_path):
     landing.mkdir()
     write_file(landing, "a.json", [("x", 2, "read"), ("x", 1, "read"), ("y", 1, "read")])
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
-    result = A.repeat_alarms(calls(spark, landing), "s", "i", "c")
-    R.append_batches(result, out, check).awaitTermination()
-    write_file(landing, "b.json", [("x", 3, "read"), ("x", 4, "read"), ("x", 5, "edit"), ("x", 6, "edit"), ("x", 7, "edit"), ("y", 2, "edit")])
-    R.append_batches(A.repeat_alarms(calls(spark, landing), "s", "i", "c"), out, check).awaitTermination()
-    got = spark.read.schema(result.schema).parquet(out).collect()
-    assert sorted((r["session"], r["position"], r["call"]) for r in got) == [("x", 3, "read"), ("x", 7, "edit")]
+    state = str(tmp_path / "state")
+    run = lambda: A.write_repeat_alarms(calls(spark, landing), "s", "i", "c", out, state, check).awaitTermination()
+    run()
+    write_file(landing, "b.json", [("x", 5, "edit"), ("x", 3, "read"), ("x", 4, "read"), ("x", 6, "edit"), ("x", 7, "edit"), ("y", 2, "edit")])
+    run()
+    write_file(landing, "c.json", [("x", 8, "edit"), ("x", 9, "go"), ("y", 3, "edit"), ("y", 4, "edit")])
+    run()
+    got = spark.read.parquet(out).collect()
+    assert sorted((r["session"], r["position"], r["call"]) for r in got) == [("x", 3, "read"), ("x", 7, "edit"), ("y", 4, "edit")]
+
+
+def test_expired_sessions_leave_the_state(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    write_file(landing, "a.json", [("x", 1, "r"), ("y", 50, "r")])
+    places = [str(tmp_path / n) for n in ("out", "state", "check")]
+    A.write_repeat_alarms(calls(spark, landing), "s", "i", "c", *places, keep=F.col("position") > 10).awaitTermination()
+    assert [r["session"] for r in spark.read.parquet(places[1]).collect()] == ["y"]
 
 
 def test_budget_alarms(spark, tmp_path):
@@ -36,8 +48,12 @@ def test_budget_alarms(spark, tmp_path):
     landing.mkdir()
     write_file(landing, "a.json", [("x", 2, "r"), ("x", 9, "r"), ("y", 1, "r")])
     result = A.budget_alarms(calls(spark, landing), ["s"], {"tokens": (F.col("i"), 10)})
-    R.write_complete(result, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("x", "tokens", 11.0)]
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    R.write_updates(result, out, check).awaitTermination()
+    write_file(landing, "b.json", [("x", 4, "r"), ("y", 8, "r")])
+    R.write_updates(A.budget_alarms(calls(spark, landing), ["s"], {"tokens": (F.col("i"), 10)}), out, check).awaitTermination()
+    got = {tuple(r) for r in R.newest_rows(spark.read.parquet(out), ["s", "budget"]).collect()}
+    assert got == {("x", "tokens", 15.0)}
 
 
 def test_ingest_takes_each_file_once(spark, tmp_path):
