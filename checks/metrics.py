@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import check, table
+from checks.registry import check, dealt, table
 from opslens import schemas as S
 from opslens.functions import money, temporal
 from opslens.operators import enrich as E
@@ -149,7 +149,7 @@ def activity_payloads(orders):
 
 
 def landed_activity(spark, folder):
-    return activity_payloads(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"))
+    return activity_payloads(dealt(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")))
 
 
 @check(f"SELECT * REPLACE (coalesce(error, '') AS error) FROM ({REPO_SQL})")
@@ -215,7 +215,7 @@ def landed_usage(spark, folder):
             F.when(k() % 4 != 0, F.concat(F.lit("model-"), (k() % 3).cast("string"))).alias("model"),
         )
     )
-    return table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value", "props").select(
+    return dealt(table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")).select(
         "event_id",
         provider.alias("provider"),
         (k() % 13 != 0).alias("has_key"),
@@ -246,7 +246,7 @@ def landed_costs(spark, folder):
     body = F.to_json(
         F.struct(F.array(day(F.col("o_totalprice").cast("decimal(18,2)").cast("string")), day(F.lit("2.50")), day(F.lit("n/a"))).alias("ResultsByTime"))
     )
-    return table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate").select(
+    return dealt(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")).select(
         "o_orderkey",
         F.when(F.col("o_orderstatus") == "P", "gcp").otherwise("aws").alias("provider"),
         (F.col("o_orderkey") % 10 != 0).alias("has_credentials"),

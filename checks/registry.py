@@ -40,5 +40,15 @@ SCHEMAS = {
 }
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to as many partitions as the session setting ``opslens.checks.partitions`` says, if it is set.
+
+    For row-wise work on single small files; large tables come in many splits and leave it unset.
+    """
+    parts = rows.sparkSession.conf.get("opslens.checks.partitions", None)
+    return rows.repartition(int(parts)) if parts else rows
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+    return dealt(rows) if name in ("documents", "pages") else rows

@@ -88,12 +88,13 @@ def expand_includes(
     named = include_targets(documents, path, text).join(there, "target", "left")
     named = named.select("path", "line_no", "line", F.when(F.col("_there"), F.col("target")).alias("target"))
     linked = materialize(plain.unionByName(named), "linked")
-    counts = linked.where(F.col("target").isNotNull()).groupBy(F.col("target").alias("path")).count()
-    names = counts.where(F.col("count") > hot).select("path", F.lit(True).alias("_hot"))
-    hot_lines, small = sized(linked.join(names.select("path"), "path", "left_semi"), "hot")
-    marks = hot_lines.select(F.col("path").alias("target")).distinct().withColumn("_hot", F.lit(True)) if small else None
-    if small and hot_lines.isEmpty():
-        marks = None
+    includes = linked.where(F.col("target").isNotNull())
+    marks = None
+    if includes.count() > hot:  # else no target can have more lines
+        names = includes.groupBy(F.col("target").alias("path")).count().where(F.col("count") > hot).select("path")
+        hot_lines, small = sized(linked.join(names, "path", "left_semi"), "hot")
+        if small and not hot_lines.isEmpty():
+            marks = F.broadcast(hot_lines.select("path").distinct().withColumn("_hot", F.lit(True)))
     chosen = linked if roots is None else linked.where(roots)
     current = chosen.select(
         F.col("path").alias("root"),
@@ -111,7 +112,7 @@ def expand_includes(
         if marks is None:
             inlined = asked.join(linked, "path")
         else:
-            told = asked.join(F.broadcast(marks.withColumnRenamed("target", "path")), "path", "left")
+            told = asked.join(marks, "path", "left")
             everywhere = told.where("_hot").drop("_hot").join(hot_lines, "path")
             inlined = told.where("_hot IS NULL").drop("_hot").join(linked, "path").unionByName(everywhere)
         level = materialize(

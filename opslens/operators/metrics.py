@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from opslens import values as V
 from opslens.functions.money import MONEY, amount
 from opslens.functions.temporal import in_date_range, in_trailing_window, parse_iso
-from opslens.session import meet
+from opslens.session import meet, sized
 
 AsOf = str | datetime
 
@@ -227,12 +227,13 @@ def latest_per_source(
 ) -> DataFrame:
     """The newest record of each source, or of each of the named ``sources``; equal times fall back on the values.
 
-    The newest time per source is a hash aggregate of fixed width; only records of that time are then compared as a
-    whole, map-side first. Records without a readable time count as the oldest, and NULL is a source like any other.
+    The newest time per source is a hash aggregate of fixed width, stored and measured; only records of that time are
+    then compared as a whole, map-side first. Records without a readable time count as the oldest, and NULL is a source
+    like any other.
     """
     known = records if sources is None else records.where(F.col(source).isin(*sources))
     timed = known.withColumn("_at", F.coalesce(parse_iso(F.col(newest)), F.lit("0001-01-01").cast("timestamp_ntz")))
-    tops = timed.groupBy(source).agg(F.max("_at").alias("_at"))
+    tops, _ = sized(timed.groupBy(source).agg(F.max("_at").alias("_at")), "newest")
     rest = [c for c in records.columns if c not in (source, newest)]
     same = meet(timed, tops, [source, "_at"])
     return same.groupBy(source).agg(F.max(F.struct(newest, *rest)).alias("_r")).select(source, "_r.*")

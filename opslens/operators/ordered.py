@@ -27,24 +27,39 @@ def position_chunk(position: str | Column, rows: int = CHUNK_ROWS) -> Column:
 def ranked_chunks(
     rows: DataFrame, key: Sequence[str], order: Sequence[str], max_rows: int = CHUNK_ROWS, name: str = "chunk"
 ) -> DataFrame:
-    """``rows``, stored, with ``name``: the rank within the key divided by ``max_rows``, so chunks are full but for the last.
+    """Add ``name``: the rank within the key divided by ``max_rows``, so chunks are full but for the last.
 
-    Rows are range-partitioned on key and order and numbered inside each partition; the place of a key's run in the
-    partitions before it comes from their counts. Only keys of more than ``max_rows`` rows need these, at most a row
-    for each ``max_rows`` rows and one more for each partition that such a key ends in. The result is read from the
-    stored table: what follows does not read the source again.
+    Keys of at most ``max_rows`` rows are one chunk; if all are, nothing is moved. Else the rows are stored once, and those
+    of the longer keys are range-partitioned on key and order and numbered inside each partition; the place of a key's
+    run in the partitions before it comes from their counts.
     """
-    at = F.monotonically_increasing_id()
-    ordered = rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumn("_at", at)
-    placed = materialize(ordered, "ranked").withColumn("_part", F.shiftright("_at", 33))
+    zero = F.lit(0).cast("bigint")
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
+    hot, _ = sized(counts.select(*key, F.lit(True).alias("_hot")), "hot")
+    if hot.isEmpty():
+        return rows.withColumn(name, zero)
+    stored = materialize(meet(rows, hot, key, "left"), "rows")
+    ordered = stored.where("_hot").repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    placed = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
     runs = placed.groupBy(*key, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    whole = Window.partitionBy(*key)
-    before = F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counted = runs.withColumns({"_before": F.coalesce(before, F.lit(0)), "_all": F.sum("_n").over(whole)})
-    long, _ = sized(counted.where(F.col("_all") > max_rows).select(*key, "_part", "_first", "_before"), "runs")
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets, _ = sized(runs.select(*key, "_part", "_first", F.coalesce(F.sum("_n").over(before), zero).alias("_before")), "runs")
     step = F.floor((F.col("_before") + F.col("_at") - F.col("_first")) / max_rows).cast("bigint")
-    joined = meet(placed, long, [*key, "_part"], "left")
-    return joined.select(*rows.columns, F.coalesce(step, F.lit(0).cast("bigint")).alias(name))
+    long = meet(placed, offsets, [*key, "_part"]).select(*rows.columns, step.alias(name))
+    return stored.where("_hot IS NULL").select(*rows.columns, zero.alias(name)).unionByName(long)
+
+
+def grouped(rows: DataFrame, key: Sequence[str], chunk: Column) -> DataFrame:
+    """``rows`` with ``_chunk`` and ``_group``: key and chunk as one struct, so that NULL is a value like any other.
+
+    Windows and joins on ``_group`` share one partitioning.
+    """
+    return rows.withColumn("_chunk", chunk).withColumn("_group", F.struct(*key, "_chunk"))
+
+
+def _group(key: Sequence[str]) -> Column:
+    return F.struct(*key, "_chunk").alias("_group")
 
 
 def _running(
@@ -58,7 +73,7 @@ def _running(
     """Rows with their ``_chunk``, running sums, and for each entry of ``lowest`` its minimum over the whole key."""
     group = [*key, "_chunk"]
     names, lowest = list(sums), lowest or {}
-    tagged = rows.withColumns({"_chunk": chunk, **{f"_v{i}": sums[n] for i, n in enumerate(names)}})
+    tagged = grouped(rows.withColumns({f"_v{i}": sums[n] for i, n in enumerate(names)}), key, chunk)
     per_chunk = tagged.groupBy(*group).agg(
         *[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))],
         *[F.min(c).alias(f"_m_{n}") for n, c in lowest.items()],
@@ -66,11 +81,11 @@ def _running(
     whole = Window.partitionBy(*key)
     before = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.select(
-        *group,
+        _group(key),
         *[F.sum(f"_s{i}").over(before).alias(f"_o{i}") for i in range(len(names))],
         *[F.min(f"_m_{n}").over(whole).alias(n) for n in lowest],
     )
-    inside = _inside(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = _inside(order).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumns({f"_l{i}": F.sum(f"_v{i}").over(inside) for i in range(len(names))})
     total = {
         n: F.when(F.col(f"_o{i}").isNull(), F.col(f"_l{i}"))
@@ -79,11 +94,11 @@ def _running(
         for i, n in enumerate(names)
     }
     kept = [c for c in rows.columns if c != "_chunk"]
-    return meet(local, offsets, group).select(*kept, "_chunk", *[total[n].alias(n) for n in names], *lowest)
+    return local.join(offsets, "_group").select(*kept, "_chunk", "_group", *[total[n].alias(n) for n in names], *lowest)
 
 
-def _inside(key: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*key, "_chunk").orderBy(*order)
+def _inside(order: Sequence[str]):
+    return Window.partitionBy("_group").orderBy(*order)
 
 
 def running_sums(
@@ -93,7 +108,7 @@ def running_sums(
 
     Each chunk is summed with map-side combine; the sums of earlier chunks are the offset of the next one.
     """
-    return _running(rows, key, order, chunk, sums).drop("_chunk")
+    return _running(rows, key, order, chunk, sums).drop("_chunk", "_group")
 
 
 def row_numbers(
@@ -212,9 +227,10 @@ def repeated_calls(
 
     A chunk hands its last ``times - 1`` calls on to the chunks after it.
     """
-    group, back = [*key, "_chunk"], times - 1
+    back = times - 1
     narrow = rows.select(*key, *order, F.struct(*call).alias("_call"), chunk.alias("_chunk"))
-    inside = _inside(key, order)
+    narrow = narrow.withColumn("_group", _group(key))
+    inside = _inside(order)
     local = narrow.withColumns(
         {
             "_rn": F.row_number().over(inside),
@@ -222,13 +238,14 @@ def repeated_calls(
             **{f"_l{j}": F.lag("_call", j).over(inside) for j in range(1, times)},
         }
     )
-    ends = local.where(F.col("_follows").isNull()).groupBy(*group).agg(
+    ends = local.where(F.col("_follows").isNull()).groupBy("_group").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_call"))), lambda r: r["_call"]).alias("_tail")
     )
+    ends = ends.select("_group", "_group.*", "_tail")
     steps = Window.partitionBy(*key).orderBy("_chunk")
     none = F.array().cast(ends.schema["_tail"].dataType)
     handed = F.concat(*[F.coalesce(F.lag("_tail", j).over(steps), none) for j in range(back, 0, -1)])
-    joined = meet(local, ends.select(*group, handed.alias("_handed")), group)
+    joined = local.join(ends.select("_group", handed.alias("_handed")), "_group")
 
     def before(j: int) -> Column:
         carried = F.get("_handed", F.size("_handed") - (j - F.col("_rn") + 1))
@@ -261,7 +278,7 @@ def first_breach(
     if clock is not None:
         limits["wall_clock"] = (F.timestamp_diff("MICROSECOND", F.col("_begun"), clock) / 1e6, float(max_seconds))
     # Only the first row over a cap within its chunk can be the first of the key.
-    fresh = lambda over: over & ~F.coalesce(F.lag(over).over(_inside(key, order)), F.lit(False))
+    fresh = lambda over: over & ~F.coalesce(F.lag(over).over(_inside(order)), F.lit(False))
     candidate = lambda total, cap: F.when(fresh(F.coalesce(total > cap, F.lit(False))), total)
     marked = totals.withColumns({f"_c{i}": candidate(*limit) for i, limit in enumerate(limits.values())})
     each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_c{i}").alias("total")) for i, n in enumerate(limits)])

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.functions.text import tokens_floor
-from opslens.operators.ordered import position_chunk, running_sums
-from opslens.session import meet
+from opslens.operators.ordered import grouped, position_chunk, running_sums
 
 
 def running_cost(
@@ -59,9 +58,9 @@ def isolated_cost(
     group = [*session, "_chunk"]
     chunk = position_chunk(turn) if chunk is None else chunk
     begins = F.coalesce(F.col(role) == "user", F.lit(False))
-    inside = Window.partitionBy(*group).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_group").orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
     local = (
-        messages.withColumns({"tokens": tokens(F.col(text)), "_chunk": chunk, "_asked": begins.cast("bigint")})
+        grouped(messages.withColumns({"tokens": tokens(F.col(text)), "_asked": begins.cast("bigint")}), session, chunk)
         .withColumns({"_run": F.sum("tokens").over(inside), "_task": F.sum("_asked").over(inside)})
         .withColumn("_base", F.max(F.when(begins, F.col("_run") - F.col("tokens"))).over(inside))
     )
@@ -74,7 +73,7 @@ def isolated_cost(
         {"_offset": F.coalesce(F.sum("_s").over(before), none), "_tasks": F.coalesce(F.sum("_a").over(before), none)}
     )
     placed = placed.withColumn("_carried", F.coalesce(F.max(F.col("_b") + F.col("_offset")).over(before), none))
-    joined = meet(local, placed.select(*group, "_offset", "_tasks", "_carried"), group)
+    joined = local.join(placed.select(F.struct(*group).alias("_group"), "_offset", "_tasks", "_carried"), "_group")
     base = F.coalesce(F.col("_base") + F.col("_offset"), F.col("_carried"))
     return joined.select(
         *messages.columns,

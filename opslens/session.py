@@ -3,7 +3,6 @@
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,8 +89,9 @@ def sized(
 
 
 def meet(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal columns, where NULL equals NULL; the columns ``on`` come from ``left``."""
-    named = right.select(*[F.col(c).alias(f"_right_{c}") if c in on else c for c in right.columns])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
-    joined = left.join(named, same, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{c}" for c in on])
+    """Join on equal columns, where NULL equals NULL; the columns ``on`` come from ``left``.
+
+    The columns are compared as one struct, which is never NULL itself: an ordinary equality join.
+    """
+    named = right.select(F.struct(*on).alias("_on"), *[c for c in right.columns if c not in on])
+    return left.withColumn("_on", F.struct(*on)).join(named, "_on", how).drop("_on")

@@ -169,12 +169,21 @@ def test_every_column_counts_for_a_broadcast(spark):
 
 
 def test_log_is_read_once_for_its_order_and_once_for_its_rows(spark, tmp_path):
-    """What follows the stored, ordered table does not go back to the source."""
+    """With long keys, what follows the stored rows does not go back to the source; without them, nothing is moved."""
     hot_path = str(tmp_path / "log")
     spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("i"), F.lit("a").alias("c")).write.parquet(hot_path)
     placed = O.ranked_chunks(spark.read.parquet(hot_path), ["k"], ["i"], max_rows=50)
     for job in (O.repeated_calls(placed, ["k"], ["i"], F.col("chunk"), ["c"]), O.running_sums(placed, ["k"], ["i"], F.col("chunk"), {"s": F.col("i")})):
         assert hot_path not in plan(job) and job.count() > 0
+    short = O.ranked_chunks(spark.read.parquet(hot_path), ["k"], ["i"], max_rows=500)
+    assert "Exchange" not in plan(short) and per_task_rows(short, "k", "chunk") <= 500
+
+
+def test_windows_and_offsets_share_one_shuffle_of_the_rows(hot):
+    """The running sum inside chunks and the join with the chunk table need the rows dealt by the same column."""
+    text = plan(O.running_sums(hot.select("k", "i", "line"), ["k"], ["i"], O.position_chunk("i", STEP), {"s": F.col("i")}))
+    rows = [line for line in text.splitlines() if "Exchange hashpartitioning(_group" in line]
+    assert len(rows) in (1, 2)  # the rows once; the chunk table once, or broadcast
 
 
 def test_top_rows_meet_in_two_stages(spark, hot):
