@@ -248,8 +248,10 @@ def decode_ids(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            decode = pieces(model).decode
-            texts = [None if ids is None else decode(ids) for ids in (x.as_py() for x in batch.column(1))]
+            decode, lists = pieces(model).decode, batch.column(1)
+            ids, ends = lists.values.to_numpy().tolist(), lists.offsets.to_pylist()
+            there = lists.is_valid().to_pylist()
+            texts = [decode(ids[s:e]) if known else None for s, e, known in zip(ends, ends[1:], there, strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
