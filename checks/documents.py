@@ -258,12 +258,13 @@ for _old, _new in [("{{HARNESS_DIR}}", ".x"), ("@boilerplate-agent", ".x"), *T.V
     f"""
     SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 3) THEN t ELSE {CLAUDE_SQL} END AS content
     FROM (SELECT doc_id, replace(text, ' the ', ' replace ') || chr(10) || '- read_file glob {{{{HARNESS_DIR}}}} {{{{SUBAGENT_SYNTAX}}}}@boilerplate-agent' AS t
-          FROM documents)
+          FROM documents WHERE doc_id % 11 NOT IN (3, 7))
     """
 )
 def rendered_documents(spark, folder):
     doc = F.col("doc_id")
     name = F.when(doc % 4 == 0, "a.md").when(doc % 4 == 1, "b.py").when(doc % 4 == 2, "c.json").otherwise("x/d.txt")
+    name = F.when(doc % 11 == 3, F.concat(F.lit(".git/"), name)).when(doc % 11 == 7, "x/run.log").otherwise(name)
     noted = F.concat(
         F.replace(F.col("text"), F.lit(" the "), F.lit(" replace ")),
         F.lit("\n- read_file glob {{HARNESS_DIR}} {{SUBAGENT_SYNTAX}}@boilerplate-agent"),

@@ -357,7 +357,10 @@ def report_routes(spark, folder):
     SELECT c.project, teams_url AS destination, coalesce(prs_submitted, -1) AS prs_submitted, coalesce(lines_added, -1) AS lines_added,
            (SELECT cost FROM ({CM.LATEST_SQL}) WHERE source = 'aws') AS aws_cost,
            (SELECT model FROM ({CM.LATEST_SQL}) WHERE source = 'openai') AS openai_model,
-           coalesce(r.error, '') AS github_warning
+           coalesce(r.error, '') AS github_warning, coalesce(lines_deleted, -1) AS lines_deleted, coalesce(bugs_closed, -1) AS bugs_closed,
+           coalesce(releases_done, -1) AS releases_done,
+           (SELECT tokens_in FROM ({CM.LATEST_SQL}) WHERE source = 'gemini') AS gemini_tokens_in,
+           (SELECT status FROM ({CM.LATEST_SQL}) WHERE source = 'gcp') AS gcp_status
     FROM ({CM.CONFIG_SQL}) c LEFT JOIN ({CM.REPO_SQL}) r ON r.repo = c.repo WHERE teams_url IS NOT NULL
     """
 )
@@ -372,4 +375,7 @@ def report_records(spark, folder):
         field("stats.aws.cost").cast("double").alias("aws_cost"),
         field("stats.openai.model").alias("openai_model"),
         F.coalesce(field("warnings.github"), F.lit("")).alias("github_warning"),
+        *[F.coalesce(field(f"stats.github.{n}").cast("bigint"), F.lit(-1)).alias(n) for n in ("lines_deleted", "bugs_closed", "releases_done")],
+        field("stats.gemini.tokens_in").cast("bigint").alias("gemini_tokens_in"),
+        field("stats.gcp.status").alias("gcp_status"),
     )

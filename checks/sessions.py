@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import check, table
+from opslens import values as V
 from opslens.functions import text as T
 from opslens.operators import sessions as S
 from opslens.operators.ordered import item_chunks, ranked_chunks, row_numbers
@@ -136,6 +137,6 @@ def document_tokens(spark, folder):
         T.tokens_floor(text).alias("floor_tokens"),
         T.tokens_at_least_one(text).alias("some_tokens"),
         T.tokens(text).alias("tokens"),
-        F.length(T.prefix(text, 5000)).cast("bigint").alias("context_chars"),
-        T.prefix(text, 150).alias("snippet"),
+        F.length(T.prefix(text, V.CONTEXT_PREFIX_CHARS)).cast("bigint").alias("context_chars"),
+        T.prefix(text, V.SNIPPET_CHARS).alias("snippet"),
     )

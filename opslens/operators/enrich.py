@@ -30,7 +30,8 @@ def missing_ids(skeleton: DataFrame, enrichment: DataFrame, on: Sequence[str] =
 def run_metadata(records: DataFrame, key: Sequence[str], tokens: Column, cost: Column, model: Column) -> DataFrame:
     """Total tokens, total cost and the distinct model names of each run.
 
-    Model names are first reduced to one row per run and name, so no set is built from raw rows.
+    Model names are first reduced to one row per run and name, so no set is built from raw rows; the list of a run is as
+    long as it has different models, so ``model`` must be a column of few values.
     """
     per_model = records.groupBy(*key, model.alias("_model")).agg(
         F.sum(tokens).alias("_tokens"), F.sum(cost.cast(MONEY)).alias("_cost")
