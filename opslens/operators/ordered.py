@@ -16,6 +16,7 @@ from opslens import values as V
 from opslens.session import BROADCAST_ROWS, materialize, meet, sized
 
 CHUNK_ROWS = 100_000
+SHORT = {"one_chunk": True}
 
 
 def position_chunk(position: str | Column, rows: int = CHUNK_ROWS) -> Column:
@@ -29,15 +30,16 @@ def ranked_chunks(
 ) -> DataFrame:
     """Add ``name``: the rank within the key divided by ``max_rows``, so chunks are full but for the last.
 
-    Keys of at most ``max_rows`` rows are one chunk; if all are, nothing is moved. Else the rows are stored once, and those
-    of the longer keys are range-partitioned on key and order and numbered inside each partition; the place of a key's
-    run in the partitions before it comes from their counts.
+    Keys of at most ``max_rows`` rows are one chunk; if all are, nothing is moved, and :func:`is_short` tells operators
+    that a key fits one task. Else the rows are stored once, and those of the longer keys are range-partitioned on key and
+    order and numbered inside each partition; the place of a key's run in the partitions before it comes from their
+    counts.
     """
     zero = F.lit(0).cast("bigint")
     counts = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
     hot, _ = sized(counts.select(*key, F.lit(True).alias("_hot")), "hot")
     if hot.isEmpty():
-        return rows.withColumn(name, zero)
+        return rows.withColumn(name, zero.alias(name, metadata=SHORT))
     stored = materialize(meet(rows, hot, key, "left"), "rows")
     ordered = stored.where("_hot").repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
     placed = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), "ranked")
@@ -50,6 +52,11 @@ def ranked_chunks(
     return stored.where("_hot IS NULL").select(*rows.columns, zero.alias(name)).unionByName(long)
 
 
+def is_short(rows: DataFrame, chunk: Column) -> bool:
+    """True if ``chunk`` is a column for which every key was counted to be one chunk."""
+    return rows.select(chunk.alias("c")).schema["c"].metadata == SHORT
+
+
 def grouped(rows: DataFrame, key: Sequence[str], chunk: Column) -> DataFrame:
     """``rows`` with ``_chunk`` and ``_group``: key and chunk as one struct, so that NULL is a value like any other.
 
@@ -73,6 +80,11 @@ def _running(
     """Rows with their ``_chunk``, running sums, and for each entry of ``lowest`` its minimum over the whole key."""
     group = [*key, "_chunk"]
     names, lowest = list(sums), lowest or {}
+    if is_short(rows, chunk):
+        whole = grouped(rows, key, chunk)
+        sofar = _inside(order).rowsBetween(Window.unboundedPreceding, 0)
+        every = Window.partitionBy("_group")
+        return whole.withColumns({n: F.sum(c).over(sofar) for n, c in sums.items()} | {n: F.min(c).over(every) for n, c in lowest.items()})
     tagged = grouped(rows.withColumns({f"_v{i}": sums[n] for i, n in enumerate(names)}), key, chunk)
     per_chunk = tagged.groupBy(*group).agg(
         *[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))],
@@ -152,6 +164,16 @@ def first_error_rows(
     """
     at = F.struct(*order)
     kind = F.when(match, 0) if call_site is None else F.when(match, 0).when(call_site, 1)
+    if is_short(rows, chunk):
+        whole = Window.partitionBy(*key)
+        placed = rows.withColumns({"_rn": F.row_number().over(whole.orderBy(*order)), "_kind": kind})
+        hit = F.min(F.when(F.col("_kind").isNotNull(), F.struct("_rn", "_kind"))).over(whole)
+        placed = placed.withColumns({"_rows": F.count("*").over(whole), "_hit": hit})
+        begin = F.col("_hit._rn") - F.col("_hit._kind")  # a call site takes the row before it along
+        kept = F.when(F.col("_hit").isNull(), F.col("_rn") > F.col("_rows") - tail).otherwise(
+            F.col("_rn").between(begin, begin + keep - 1)
+        )
+        return placed.where(kept).select(*rows.columns)
     tagged = rows.withColumns({"_chunk": chunk, "_at": at})
     counts = tagged.groupBy(*key, "_chunk").agg(F.count("*").alias("_n"))
     hits = tagged.withColumn("_kind", kind).where(F.col("_kind").isNotNull())
@@ -228,6 +250,14 @@ def repeated_calls(
     A chunk hands its last ``times - 1`` calls on to the chunks after it.
     """
     back = times - 1
+    if is_short(rows, chunk):
+        placed = rows.select(*key, *order, F.struct(*call).alias("_call"))
+        steps = Window.partitionBy(*key).orderBy(*order)
+        before = {f"_l{j}": F.lag("_call", j).over(steps) for j in range(1, times)}
+        same = F.lit(True)
+        for n in before:
+            same = same & F.col(n).isNotNull() & F.col(n).eqNullSafe(F.col("_call"))
+        return placed.withColumns(before).where(same).select(*key, *order, "_call.*")
     narrow = rows.select(*key, *order, F.struct(*call).alias("_call"), chunk.alias("_chunk"))
     narrow = narrow.withColumn("_group", _group(key))
     inside = _inside(order)

@@ -179,6 +179,26 @@ def test_log_is_read_once_for_its_order_and_once_for_its_rows(spark, tmp_path):
     assert "Exchange" not in plan(short) and per_task_rows(short, "k", "chunk") <= 500
 
 
+def test_short_and_long_keys_give_the_same(spark, hot):
+    """The plain windows for short keys and the chunked way agree, and the plain ones read the log once, after a count."""
+    line, gaps = F.col("line"), F.when(F.col("i") % 13 == 0, F.lit(None)).otherwise(F.col("k"))
+    path = shared_folder(spark) + "/short_log"
+    hot.where("k < 40").withColumn("k", gaps).write.mode("overwrite").parquet(path)
+    log = spark.read.parquet(path)
+    jobs = {
+        "errors": lambda rows: O.first_error_rows(rows, ["k"], ["i"], F.col("chunk"), T.matches_trace(line), line.startswith("venv")),
+        "repeats": lambda rows: O.repeated_calls(rows, ["k"], ["i"], F.col("chunk"), ["line"], times=2),
+        "sums": lambda rows: O.running_sums(rows, ["k"], ["i"], F.col("chunk"), {"s": F.col("i")}),
+        "breach": lambda rows: O.first_breach(rows, ["k"], ["i"], F.col("chunk"), {"t": (F.col("i"), 30_000)}),
+    }
+    short, long = O.ranked_chunks(log, ["k"], ["i"], max_rows=10**6), O.ranked_chunks(log, ["k"], ["i"], max_rows=100)
+    assert O.is_short(short, F.col("chunk")) and not O.is_short(long, F.col("chunk")) and not O.is_short(log, O.position_chunk("i"))
+    for job in jobs.values():
+        one, other = job(short).drop("chunk"), job(long).drop("chunk")
+        assert one.count() > 0 and one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+        assert plan(one).count("Scan parquet") == 1 or plan(one).count("FileScan parquet") == 1
+
+
 def test_windows_and_offsets_share_one_shuffle_of_the_rows(hot):
     """The running sum inside chunks and the join with the chunk table need the rows dealt by the same column."""
     text = plan(O.running_sums(hot.select("k", "i", "line"), ["k"], ["i"], O.position_chunk("i", STEP), {"s": F.col("i")}))
