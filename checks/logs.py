@@ -20,13 +20,14 @@ GAPS_SQL = """(SELECT event_id, event_type, value, props, CASE WHEN event_id % 1
                       CASE WHEN event_id % 10 <> 7 THEN ts END AS ts FROM events)"""
 
 
-def log(spark, folder, gaps=False):
+def log(spark, folder, gaps=False, rows=O.CHUNK_ROWS):
+    """The log in chunks of at most ``rows`` rows; the checks with gaps make them so small that most keys have several."""
     events = table(spark, folder, "events")
     if gaps:
         hole = lambda c, digit: F.when(F.col("event_id") % 10 != digit, F.col(c))
         events = events.withColumns({"user_id": hole("user_id", 3), "ts": hole("ts", 7)})
     lines = events.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-    return O.ranked_chunks(lines, KEY, ORDER)
+    return O.ranked_chunks(lines, KEY, ORDER, max_rows=rows)
 
 
 FIRST_ERROR_SQL = """
@@ -45,10 +46,10 @@ FIRST_ERROR_SQL = """
 """
 
 
-def first_errors(spark, folder, gaps=False, **options):
+def first_errors(spark, folder, gaps=False, rows=O.CHUNK_ROWS, **options):
     match = (F.col("event_type") == "error") & (F.col("k") >= 90)
     call = (F.col("event_type") == "purchase") & (F.col("k") >= 95)
-    kept = O.first_error_rows(log(spark, folder, gaps), KEY, ORDER, F.col("chunk"), match, call, keep=10, tail=5, **options)
+    kept = O.first_error_rows(log(spark, folder, gaps, rows), KEY, ORDER, F.col("chunk"), match, call, keep=10, tail=5, **options)
     return kept.select("user_id", "event_id", "event_type")
 
 
@@ -59,12 +60,12 @@ def first_error_events(spark, folder):
 
 @check(FIRST_ERROR_SQL.format(k=K, events=GAPS_SQL))
 def first_error_events_with_gaps(spark, folder):
-    return first_errors(spark, folder, gaps=True)
+    return first_errors(spark, folder, gaps=True, rows=50)
 
 
 @check(FIRST_ERROR_SQL.format(k=K, events=GAPS_SQL))
 def first_error_events_with_gaps_shuffled(spark, folder):
-    return first_errors(spark, folder, gaps=True, broadcast_rows=0)
+    return first_errors(spark, folder, gaps=True, rows=50, broadcast_rows=0)
 
 
 PRUNED_SQL = """
@@ -78,9 +79,9 @@ PRUNED_SQL = """
 """
 
 
-def pruned(spark, folder, gaps=False, **options):
+def pruned(spark, folder, gaps=False, rows=O.CHUNK_ROWS, **options):
     error = (F.col("event_type") == "error") & (F.col("k") >= 50)
-    kept = O.prune_rows(log(spark, folder, gaps), KEY, ORDER, F.col("chunk"), error, F.col("event_type") == "view", **options)
+    kept = O.prune_rows(log(spark, folder, gaps, rows), KEY, ORDER, F.col("chunk"), error, F.col("event_type") == "view", **options)
     return kept.select("user_id", "event_id", "event_type")
 
 
@@ -96,7 +97,7 @@ def pruned_events_with_gaps(spark, folder):
 
 @check(PRUNED_SQL.format(k=K, events=GAPS_SQL))
 def pruned_events_with_gaps_shuffled(spark, folder):
-    return pruned(spark, folder, gaps=True, broadcast_rows=0)
+    return pruned(spark, folder, gaps=True, rows=50, broadcast_rows=0)
 
 
 REPEATED_SQL = """
@@ -113,7 +114,7 @@ def repeated_event_types(spark, folder):
 
 @check(REPEATED_SQL.format(events=GAPS_SQL))
 def repeated_event_types_with_gaps(spark, folder):
-    return O.repeated_calls(log(spark, folder, gaps=True), KEY, ORDER, F.col("chunk"), ["event_type"], times=3).drop("ts")
+    return O.repeated_calls(log(spark, folder, gaps=True, rows=50), KEY, ORDER, F.col("chunk"), ["event_type"], times=3).drop("ts")
 
 
 BREACH_SQL = """
@@ -133,9 +134,9 @@ BREACH_SQL = """
 """
 
 
-def breaches(spark, folder, gaps=False):
+def breaches(spark, folder, gaps=False, rows=O.CHUNK_ROWS):
     spent = {"cost": (F.col("value").cast("decimal(18,2)"), 500), "tokens": (F.col("k"), 1000)}
-    found = O.first_breach(log(spark, folder, gaps), KEY, ORDER, F.col("chunk"), spent, F.col("ts"), 10 * 86400)
+    found = O.first_breach(log(spark, folder, gaps, rows), KEY, ORDER, F.col("chunk"), spent, F.col("ts"), 10 * 86400)
     return found.select("user_id", "budget", "event_id", F.round("total", 4).alias("total"))
 
 
@@ -146,7 +147,7 @@ def budget_breaches(spark, folder):
 
 @check(BREACH_SQL.format(k=K, events=GAPS_SQL))
 def budget_breaches_with_gaps(spark, folder):
-    return breaches(spark, folder, gaps=True)
+    return breaches(spark, folder, gaps=True, rows=50)
 
 
 @check("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row_no FROM part")

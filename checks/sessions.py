@@ -33,7 +33,7 @@ def with_gaps(spark, folder):
         "role",
         "text",
     )
-    return ranked_chunks(messages, ["conv_id"], ["turn"])
+    return ranked_chunks(messages, ["conv_id"], ["turn"], max_rows=3)
 
 
 @check(
