@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opslens.llm.spans import SPANS, map_texts
+from opslens.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns.
@@ -309,7 +310,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
         rows, id_col, text_col, lambda: lambda text: (training_regions(text),), [T.StructField("r", T.ArrayType(T.StringType()))]
     )
     counted = found.select(F.explode("r").alias("r")).groupBy("r").count()
-    return fit([(r["r"], r["count"]) for r in counted.orderBy(F.desc("count"), "r").limit(most).collect()])
+    commonest = materialize(counted.orderBy(F.desc("count"), "r").limit(most), "regions")  # cut by executors, not here
+    return fit([(r["r"], r["count"]) for r in commonest.orderBy(F.desc("count"), "r").collect()])
 
 
 def find_pii(

@@ -9,8 +9,8 @@ host suffixes that is no deeper than the deepest rule host. Probes and segments
 ``last`` carries the segment's rule to the probes.
 
 The sort is cut into ranges of (key, salt), so the probes of one hot host, or of one hot url, spread over many ranges;
-each range starts with the segment that is open at its border. The cuts come from a bounded uniform sample of probes
-(20 for each range) and affect balance only.
+each range starts with the segment that is open at its border. The cuts come from a uniform sample of about
+``SAMPLE_PER_RANGE`` urls for each range and affect balance only.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,7 +93,8 @@ def judge_urls(
     segments = rule_segments(rules)
 
     ranges = min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sample = probes.select("key", "salt").orderBy(F.xxhash64("salt", "key")).limit(SAMPLE_PER_RANGE * ranges).collect()
+    share = SAMPLE_PER_RANGE * ranges / max(pages.count(), 1)
+    sample = probes.where(F.rand(7) < share).select("key", "salt").collect()  # about as many rows for any table
     sample = sorted((bytes(r["key"]), r["salt"]) for r in sample)
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
     literals = [F.struct(F.lit(k).alias("key"), F.lit(s).cast("long").alias("salt")) for k, s in cuts]
