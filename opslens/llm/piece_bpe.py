@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from opslens.llm.spans import slices
 
 MARK = "▁"
-MOST_KNOWN = 400_000
+MOST_KNOWN = 250_000
 SHIFT = 21  # characters outside the vocabulary are symbols above it; all symbols are under 2 ** SHIFT
 NEVER = np.iinfo(np.int32).max
 
@@ -249,9 +249,8 @@ def decode_ids(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             decode, lists = pieces(model).decode, batch.column(1)
-            ids, ends = lists.values.to_numpy().tolist(), lists.offsets.to_pylist()
-            there = lists.is_valid().to_pylist()
-            texts = [decode(ids[s:e]) if known else None for s, e, known in zip(ends, ends[1:], there, strict=False)]
+            ids, ends, there = lists.values.to_numpy(), lists.offsets.to_pylist(), lists.is_valid().to_pylist()
+            texts = [decode(ids[s:e].tolist()) if known else None for s, e, known in zip(ends, ends[1:], there, strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
