@@ -16,6 +16,8 @@ each range starts with the segment that is open at its border. The cuts come fro
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opslens.session import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST_RANGES = 256
 SAMPLE_PER_RANGE = 20
@@ -51,12 +53,13 @@ def rule_segments(rules: DataFrame) -> DataFrame:
         .select(
             F.concat(F.array_join(reversed_labels(F.col("host")), "."), F.lit("#"), "path").alias("key"),
             F.struct(F.length(F.concat("host", "path")).alias("size"), F.concat("host", "path").alias("name"), "verdict").alias("rule"),
-            F.length("host").alias("host_size"),
+            "host",
         )
     )
-    prefixes = named.select(
-        "key", F.explode(F.expr("transform(sequence(host_size + 1, length(key)), n -> left(key, n))")).alias("prefix")
-    ).where("prefix <> key")
+    # A prefix can be a rule only if some rule of the host has its length.
+    lengths = named.groupBy("host").agg(F.collect_set(F.length("key")).alias("lengths"))
+    shorter = F.filter("lengths", lambda n: n < F.length("key"))
+    prefixes = named.join(lengths, "host").select("key", F.explode(shorter).alias("n")).select("key", F.expr("left(key, n)").alias("prefix"))
     parents = (
         prefixes.join(named.select(F.col("key").alias("prefix"), "rule"), "prefix")
         .groupBy("key")
@@ -90,7 +93,7 @@ def judge_urls(
         .withColumn("salt", F.abs(F.xxhash64("id", "host", "path")))
         .drop("labels")
     )
-    segments = rule_segments(rules)
+    segments = materialize(rule_segments(rules), "segments")
 
     ranges = min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     share = SAMPLE_PER_RANGE * ranges / max(pages.count(), 1)
