@@ -237,13 +237,15 @@ def near_duplicates(
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The rows of ``docs`` with all columns, one for each component: that with the least id.
+    """The rows of ``docs`` with all columns, one for each component: that with the least id, then the least text hash.
 
-    Of rows that repeat this id one stays. Rows without an id cannot stand for others and stay as they are.
+    Of rows that repeat both one stays, the first by a hash of the whole row. Rows without an id cannot stand for
+    others and stay as they are.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
-    chosen = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__chosen")).distinct()
-    kept = docs.join(chosen, F.col(id_col) == F.col("__chosen")).drop("__chosen")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1)))
-    kept = kept.withColumn("__row", first).where("__row = 1").drop("__row")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("__key", key)
+    found = near_duplicates(named, "__key", text_col, **options)
+    chosen = found.where(F.col("__key") == F.col("component_id")).select("__key").distinct()
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns)))
+    kept = named.join(chosen, "__key").withColumn("__row", first).where("__row = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -107,11 +107,17 @@ def test_long_chain(spark):
 def test_one_of_each(spark, repeated_dir):
     docs = spark.read.parquet(f"{repeated_dir}/documents.parquet")
     nameless = docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))
-    kept = simhash.keep_one_of_each(docs.unionByName(nameless))
+    shared = docs.where("doc_id = 100").withColumn("text", F.lit("another text under an id that is taken, unlike any other here"))
+    every = docs.unionByName(nameless).unionByName(shared)
+    kept = simhash.keep_one_of_each(every)
     assert kept.columns == docs.columns
-    names = [r.doc_id for r in kept.collect()]
+    rows = kept.collect()
+    names = [r.doc_id for r in rows]
     components = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert names.count(None) == 2 and sorted(n for n in names if n is not None) == sorted(components)
+    assert names.count(None) == 2 and any(r.text.startswith("another text") for r in rows if r.text)
+    own = sorted(r.doc_id for r in rows if r.doc_id is not None and not (r.text or "").startswith("another text"))
+    assert own == sorted(components)
+    assert sorted(map(str, simhash.keep_one_of_each(every.repartition(7)).collect())) == sorted(map(str, rows))
 
 
 def signature_set(text):
