@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from opslens.llm.spans import slices
 
 MARK = "▁"
-MOST_KNOWN = 250_000
+MOST_KNOWN = 200_000
+SLICE = 512 * 1024
 SHIFT = 21  # characters outside the vocabulary are symbols above it; all symbols are under 2 ** SHIFT
 NEVER = np.iinfo(np.int32).max
 
@@ -231,7 +232,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
             made = pieces(model).encode([t or "" for t in batch.column(1).to_pylist()])
             ends = np.cumsum([0] + [len(m) // 4 for m in made]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), "<i4")))
@@ -247,7 +248,7 @@ def decode_ids(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             decode, lists = pieces(model).decode, batch.column(1)
             ids, ends, there = lists.values.to_numpy(), lists.offsets.to_pylist(), lists.is_valid().to_pylist()
             texts = [decode(ids[s:e].tolist()) if known else None for s, e, known in zip(ends, ends[1:], there, strict=False)]

@@ -23,8 +23,11 @@ SPANS = T.ArrayType(
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 * 1024 * 1024) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows whose texts have about ``most_bytes`` together, a row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """``batch`` in runs of rows whose texts, or lists of numbers, have about ``most_bytes`` together, a row at least."""
+    values = batch.column(column)
+    lists = pa.types.is_list(values.type)
+    sizes = pc.fill_null(pc.list_value_length(values) if lists else pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    sizes = sizes.astype(np.int64) * (4 if lists else 1)
     runs = np.cumsum(sizes, dtype=np.int64) // most_bytes
     borders = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(batch)]
     for start, end in zip(borders, borders[1:], strict=False):
