@@ -90,7 +90,7 @@ def judge_urls(
         .withColumn("n", depths)
         .withColumn("depth", F.explode(F.sequence(F.lit(1), F.col("n"))))
         .withColumn("key", F.encode(F.concat(F.array_join(F.expr("slice(labels, 1, depth)"), "."), F.lit("#"), "path"), "UTF-8"))
-        .withColumn("salt", F.abs(F.xxhash64("id", "host", "path")))
+        .withColumn("salt", F.shiftrightunsigned(F.xxhash64("id", "host", "path"), 1))
         .drop("labels")
     )
     segments = materialize(rule_segments(rules), "segments")
