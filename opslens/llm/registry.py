@@ -1,5 +1,6 @@
 """Queries of this subpackage, each with its SQL counterpart where SQL can express it."""
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,5 +21,17 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it.
+
+    On a cluster the package is shipped with the job (``--py-files``), and this adds a path that nobody needs.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    given = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in given:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, given)])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -242,10 +242,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows that repeat both one stays, the first by a hash of the whole row. Rows without an id cannot stand for
     others and stay as they are.
     """
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
-    named = docs.where(F.col(id_col).isNotNull()).withColumn("__key", key)
-    found = near_duplicates(named, "__key", text_col, **options)
-    chosen = found.where(F.col("__key") == F.col("component_id")).select("__key").distinct()
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns)))
-    kept = named.join(chosen, "__key").withColumn("__row", first).where("__row = 1")
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("__hash", F.xxhash64(text_col))
+    keyed = named.select(F.struct(F.col(id_col).alias("id"), F.col("__hash").alias("hash")).alias("__key"), text_col)
+    found = near_duplicates(keyed, "__key", text_col, **options)
+    chosen = found.where(F.col("__key") == F.col("component_id")).select(
+        F.col("__key.id").alias(id_col), F.col("__key.hash").alias("__hash")
+    )
+    first = F.row_number().over(Window.partitionBy(id_col, "__hash").orderBy(F.xxhash64(*docs.columns)))
+    kept = named.join(chosen.distinct(), [id_col, "__hash"]).withColumn("__row", first).where("__row = 1")
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
