@@ -1,7 +1,10 @@
 """Every query on edge tables: no crash, one result a row (or piece), the contract's columns and types."""
 
+import os
+
 import pytest
 
+from opslens.llm import registry
 from opslens.llm.queries import QUERIES, SQL
 
 COLUMNS = {
@@ -36,3 +39,11 @@ def test_edge_tables(spark, name, edge_dir, empty_dir, null_dir, repeated_dir):
 def test_registered():
     assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
     assert {n.split("_")[0] for n in SQL} == {"op4", "op9"}
+
+
+def test_workers_find_the_package(spark):
+    registry.importable(spark)
+    registry.importable(spark)
+    paths = spark.sparkContext.environment["PYTHONPATH"].split(os.pathsep)
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(registry.__file__))))
+    assert paths.count(root) == 1 and os.path.isdir(os.path.join(root, "opslens"))
