@@ -11,7 +11,7 @@ Only the classes are wanted, so node pairs that are already in one class are ski
 fingerprint that it joins, and the edges of all buckets are joined into components by Spark.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -236,15 +236,23 @@ def near_duplicates(
     return marked.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    find: Callable[..., DataFrame] = near_duplicates,
+    **options: float,
+) -> DataFrame:
     """The rows of ``docs`` with all columns, one for each component: that with the least id, then the least text hash.
 
+    ``find`` gives the components.
+
     Of rows that repeat both one stays, the first by a hash of the whole row. Rows without an id cannot stand for
     others and stay as they are.
     """
     named = docs.where(F.col(id_col).isNotNull()).withColumn("__hash", F.xxhash64(text_col))
     keyed = named.select(F.struct(F.col(id_col).alias("id"), F.col("__hash").alias("hash")).alias("__key"), text_col)
-    found = near_duplicates(keyed, "__key", text_col, **options)
+    found = find(keyed, "__key", text_col, **options)
     chosen = found.where(F.col("__key") == F.col("component_id")).select(
         F.col("__key.id").alias(id_col), F.col("__key.hash").alias("__hash")
     )
