@@ -1,8 +1,8 @@
 """License scans with a positional index of rare words.
 
 The words of all license templates are weighed by their inverse document frequency over the whole corpus. Those that fewer
-than one document in ``COMMON`` holds, and in any case the two rarest of each template, are indexed with their places. In a text the ``LOOKED_UP`` highest-weighted
-licence words that it holds are looked up; each occurrence and each posting vote for (template, where it would begin), and a
+than one document in ``COMMON`` holds, and in any case the two rarest of each template, are indexed with their places. All
+indexed words of a text are looked up; each occurrence and each posting vote for (template, where it would begin), and a
 beginning with votes of two rare words (or of the template's only one) is a candidate: the postings intersect there. A
 candidate is accepted if the template's mandatory phrases stand in its stretch of the text and at least half of its words
 stand at their places, give or take ``SLACK`` words; that share is its score.
@@ -24,7 +24,6 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 # Fixed phrases and labels.
 BASE = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-LOOKED_UP = 8
 COMMON = 10
 SLACK = 3
 LEAST_SHARE = 0.5
@@ -95,12 +94,9 @@ class Index:
             self.rare[label] = len({w for w in template if w in self.weight})
 
     def candidates(self, words: list[bytes]) -> list[tuple[str, int]]:
-        weight = self.weight
-        hits = [(i, w) for i, w in enumerate(words) if w in weight]
-        chosen = set(sorted({w for _, w in hits}, key=lambda w: (-weight[w], w))[:LOOKED_UP])
         votes: dict[tuple[str, int], set[bytes]] = defaultdict(set)
-        for i, word in hits:
-            if word in chosen:
+        for i, word in enumerate(words):
+            if word in self.weight:
                 for label, place in self.postings[word]:
                     votes[label, i - place].add(word)
         return [at for at, by in votes.items() if len(by) >= min(2, self.rare[at[0]])]
