@@ -80,13 +80,25 @@ class Encoder:
         letters = byte_letters()
         vocabulary = json.loads(tokenizer_json)["model"]["vocab"]
         ranks = {bytes(map(letters.__getitem__, name)): i for name, i in vocabulary.items() if letters.keys() >= set(name)}
-        special = {token["id"] for token in json.loads(tokenizer_json)["added_tokens"]}
+        added = json.loads(tokenizer_json)["added_tokens"]
+        # Other flags would take in white space, hold to word borders or look in changed text; the file's tokens have none set.
+        if any(token[flag] for token in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens with single_word, lstrip or rstrip are not supported")
+        self.added = {token["content"]: np.array([token["id"]], "<u4").tobytes() for token in added if token["content"]}
+        longest_first = sorted(self.added, key=lambda content: -len(content))
+        self.at_added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if added else lambda text: [text]
+        special = {token["id"] for token in added}
         ranks = {name: i for name, i in ranks.items() if i not in special}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cut = regex.compile(pattern).findall
 
+    def encode_whole(self, text: str) -> bytes:
+        """Ids of a text in which the file's added tokens stand for themselves, as in ``encode``."""
+        parts = self.at_added(text)  # ordinary text and added tokens in turn
+        return b"".join(self.added[part] if k % 2 else self.encode(part) for k, part in enumerate(parts) if part)
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids of ordinary text as little-endian unsigned 32-bit integers."""
         if len(text) > LONG_BLANK and re.search(rf"\s{{{LONG_BLANK}}}", text):
             # The library's own splitting overflows its stack on longer runs of white space.
             ids = [i for part in self.cut(text) for i in self.encoding._encode_single_piece(part)]
@@ -113,8 +125,8 @@ def pack_documents(
     """Rows (id, start, length, ids, doc_tokens, sequence_id, offset), one for each piece of a document.
 
     ``ids`` are the piece's token ids as little-endian unsigned 32-bit integers; each document ends with id 0. ``pattern``
-    splits text into the tokenizer's pre-tokens. Special tokens' strings in a text are ordinary text. A null or empty text
-    is the end id alone. Repeated rows are packed each on their own; other columns are not looked at; an empty table
+    splits text into the tokenizer's pre-tokens. The strings of added tokens in a text become their ids, as in the
+    library. A null or empty text is the end id alone. Repeated rows are packed each on their own; other columns are not looked at; an empty table
     gives no rows. The tokenizer file is read once, here, and travels with the tasks.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -124,7 +136,7 @@ def pack_documents(
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_json, pattern).encode
+        encode = encoder(tokenizer_json, pattern).encode_whole
         sequence = count(TaskContext.get().partitionId() << 33)
         waiting: list[tuple] = []  # pieces (id, start, length, ids, doc_tokens)
         filled = 0
