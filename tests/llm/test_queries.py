@@ -18,6 +18,7 @@ COLUMNS = {
     "op8": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9": "page_id bigint, host string, path string, rule string, verdict string",
     "op10": "doc_id bigint, fingerprint string, component_id bigint",
+    "op13": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
 
 
@@ -37,7 +38,7 @@ def test_edge_tables(spark, name, edge_dir, empty_dir, null_dir, repeated_dir):
 
 
 def test_registered():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == [*range(1, 11), 13]
     assert {n.split("_")[0] for n in SQL} == {"op4", "op9"}
 
 
