@@ -6,7 +6,10 @@ import pytest
 from tests.llm import fixtures
 
 
-def write(folder, documents: pd.DataFrame, pages: pd.DataFrame) -> str:
+def write(folder, documents: pd.DataFrame, pages: pd.DataFrame, vectors: list[tuple] = ()) -> str:
+    kinds = {"vec_id": pa.int64(), "embedding": pa.list_(pa.float32()), "label": pa.int32(), "x": pa.string(), "length": pa.string(), "score": pa.string()}
+    columns = list(zip(*vectors, strict=True)) if vectors else [[] for _ in kinds]
+    pq.write_table(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds)), f"{folder}/embeddings.parquet", row_group_size=40)
     text = {"text": pa.string(), "lang": pa.string(), "source": pa.string(), "url": pa.string(), "doc_id": pa.int64(), "n_chars": pa.int64(), "page_id": pa.int64(), "key": pa.string(), "range": pa.string(), "host": pa.string(), "verdict": pa.string()}
     for name, table in (("documents", documents), ("pages", pages)):
         schema = pa.schema([(c, text.get(c, pa.string())) for c in table.columns])
@@ -23,7 +26,7 @@ def edge_rows():
 
 @pytest.fixture(scope="session")
 def edge_dir(tmp_path_factory):
-    return write(tmp_path_factory.mktemp("edge"), fixtures.documents(), fixtures.pages())
+    return write(tmp_path_factory.mktemp("edge"), fixtures.documents(), fixtures.pages(), fixtures.vectors())
 
 
 @pytest.fixture(scope="session")
@@ -31,7 +34,7 @@ def repeated_dir(tmp_path_factory):
     """The edge tables with two rows out of three the same."""
     documents = fixtures.documents()
     same = pd.concat([documents[documents.doc_id == 10]] * (2 * len(documents)))
-    return write(tmp_path_factory.mktemp("repeated"), pd.concat([documents, same]), fixtures.pages())
+    return write(tmp_path_factory.mktemp("repeated"), pd.concat([documents, same]), fixtures.pages(), fixtures.vectors() + fixtures.vectors()[-1:] * 300)
 
 
 @pytest.fixture(scope="session")
@@ -43,4 +46,4 @@ def empty_dir(tmp_path_factory):
 def null_dir(tmp_path_factory):
     """One row, null in every column."""
     documents, pages = fixtures.documents().head(1), fixtures.pages().head(1)
-    return write(tmp_path_factory.mktemp("null"), documents.map(lambda v: None), pages.map(lambda v: None))
+    return write(tmp_path_factory.mktemp("null"), documents.map(lambda v: None), pages.map(lambda v: None), [(None,) * 6])

@@ -64,3 +64,16 @@ def pages() -> pd.DataFrame:
     urls += ["http://example.net/en", "http://example.net?q=/en/", "a://b://net/en/", "http://example.net/en/same"] + ["http://hot.example.net/en/same"] * 200
     table = pd.DataFrame({"page_id": range(len(urls)), "url": urls, "host": "clash", "verdict": "clash", "key": 1, "range": "clash"})
     return pd.concat([table, table.head(6)])
+
+
+def vectors() -> list[tuple]:
+    """Rows (vec_id, embedding, label, clashing columns): nulls, infinities, ties, copies, several dimensions and lengths."""
+    r = random.Random(21)
+    found = [[r.gauss(0, 1) * 2.0 ** r.randrange(-3, 3) for _ in range(8)] for _ in range(150)]
+    found += [[v + r.gauss(0, 0.01) for v in found[k % 5]] for k in range(40)]
+    found += [found[0]] * 30 + [[0.0] * 8, [-0.0] * 8, [0.5] * 8, [-0.001] * 8]
+    found += [None, [], [None] * 8, [1.0, None], [float("nan")] * 8, [float("inf"), 1.0], [3.0], [1.0, 2.0], [1e30, 1.0]]
+    rows = [(5 * i - 40, v, i, "clash", "clash", "clash") for i, v in enumerate(found)]
+    rows += [(None, found[1], 1, "clash", "clash", "clash"), rows[3], rows[8], rows[8]]
+    r.shuffle(rows)
+    return [*rows, (60, found[2], 1, "clash", "clash", "clash")]

@@ -18,6 +18,8 @@ COLUMNS = {
     "op8": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9": "page_id bigint, host string, path string, rule string, verdict string",
     "op10": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op12": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
     "op13": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
 
@@ -25,7 +27,7 @@ COLUMNS = {
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_edge_tables(spark, name, edge_dir, empty_dir, null_dir, repeated_dir):
     op = name.split("_")[0]
-    kind = "pages" if op == "op9" else "documents"
+    kind = {"op9": "pages", "op11": "embeddings", "op12": "embeddings"}.get(op, "documents")
     for folder in (edge_dir, empty_dir, null_dir, repeated_dir):
         got = QUERIES[name](spark, folder)
         assert ", ".join(f"{n} {t}" for n, t in got.dtypes) == COLUMNS[op]
@@ -33,13 +35,15 @@ def test_edge_tables(spark, name, edge_dir, empty_dir, null_dir, repeated_dir):
         source = spark.read.parquet(f"{folder}/{kind}.parquet")
         if op == "op8":
             assert sum(r.length == r.doc_tokens - r.start for r in rows) == source.count()
+        elif kind == "embeddings":
+            assert len({r[0] for r in rows}) <= source.count()
         else:
             assert len(rows) == source.count()
 
 
 def test_registered():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == [*range(1, 11), 13]
-    assert {n.split("_")[0] for n in SQL} == {"op4", "op9"}
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
+    assert {n.split("_")[0] for n in SQL} == {"op4", "op9", "op11"}
 
 
 def test_workers_find_the_package(spark):
