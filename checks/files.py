@@ -9,6 +9,7 @@ from checks.logs import NOISY_SQL, noisy
 from checks.projects import report_messages
 from checks.registry import SQL, check, table
 from opslens import values as V
+from opslens.functions.text import tokens_at_least_one
 from opslens.operators import classify as C
 from opslens.operators import metrics as M
 from opslens.operators import report as R
@@ -118,6 +119,34 @@ def documents_from_files(spark, folder):
     return read.select(F.replace("project", F.lit("source=")).alias("source"), "content")
 
 
+@check(
+    """
+    SELECT source AS project, 1 AS files, CASE WHEN bool_or(doc_id % 97 = 5) THEN 1 ELSE 0 END AS unreadable,
+           CASE WHEN bool_or(doc_id % 97 = 5) THEN 0 ELSE greatest(1, CAST(sum(length(text) + 1) AS BIGINT) // 4) END AS tokens,
+           CAST(sum(octet_length(encode(text)) + CASE WHEN doc_id % 97 = 5 THEN 2 ELSE 1 END) AS BIGINT) AS bytes
+    FROM documents GROUP BY source
+    UNION ALL SELECT 'none', 1, 0, 1, 0
+    """
+)
+def scanned_files(spark, folder):
+    """Every file counts, also one without a byte and those that are no text: a byte that UTF-8 never has ends some documents."""
+    at = place(spark)
+    broken = F.when(F.col("doc_id") % 97 == 5, F.expr("CAST(unhex('FF') AS STRING)")).otherwise("")
+    docs = table(spark, folder, "documents").select("source", "doc_id", F.concat("text", broken).alias("value"))
+    docs.repartition("source").select("source", "value").write.partitionBy("source").text(f"{at}/docs")
+    docs.where("false").select("value").coalesce(1).write.text(f"{at}/docs/source=none")
+    read = SC.read_documents(spark, f"{at}/docs", "*.txt", by_project=True)
+    sizes = SC.read_manifest(spark, f"{at}/docs", by_project=True).where(F.endswith("path", F.lit(".txt")))
+    tokens = F.when(F.col("error").isNull(), tokens_at_least_one(F.col("content"))).otherwise(0)
+    both = read.join(sizes, ["project", "path"]).groupBy(F.replace("project", F.lit("source=")).alias("project"))
+    return both.agg(
+        F.count("*").cast("int").alias("files"),
+        F.count("error").cast("int").alias("unreadable"),
+        F.sum(tokens).alias("tokens"),
+        F.sum("length").alias("bytes"),
+    )
+
+
 # Every third document is no template; its text keeps the folder mention and gets the folder slot and the tool names.
 NAME_SQL = "'d' || {id} || CASE WHEN ({id}) % 3 = 0 THEN '.txt' ELSE '.md' END"
 RENDERED_SQL = f"""

@@ -1,5 +1,6 @@
 """Session settings and the shared folder for intermediate tables."""
 
+import os
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -32,6 +33,17 @@ def build_session(master: str | None = None, app: str = "opslens", **settings: s
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it.
+
+    On a cluster the package is shipped with the job (``--py-files``), and this adds a path that nobody needs.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    given = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in given:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, given)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, removed when the application ends normally.
 

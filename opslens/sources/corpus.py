@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from opslens.functions.paths import depth
 from opslens.functions.text import document_lines
+from opslens.session import importable
+from opslens.sources.files import PARTITION_BYTES, FileTree
 from opslens import values as V
 
 
@@ -24,22 +26,28 @@ def _located(spark: SparkSession, root: str, by_project: bool, address: str) ->
     return [F.when(slash > 0, F.left(path, slash - 1)).alias("project"), F.substring(path, slash + 1, F.lit(2**31 - 1)).alias("path")]
 
 
+def file_tree(
+    spark: SparkSession, root: str, pattern: str = "*", by_project: bool = False, content: bool = True, partition_bytes: int = PARTITION_BYTES
+) -> DataFrame:
+    """All files at any depth below ``root`` whose names match: ([project,] path, length, modified[, content, error])."""
+    importable(spark)
+    spark.dataSource.register(FileTree)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    address = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    options = {"pattern": pattern, "byProject": by_project, "content": content, "partitionBytes": partition_bytes}
+    least = spark.sparkContext.defaultParallelism
+    return spark.read.format("file_tree").options(**options, leastPartitions=least).load(address)
+
+
 def read_documents(
     spark: SparkSession, root: str, pattern: str = "*" + V.DOCUMENT_SUFFIX, by_project: bool = False
 ) -> DataFrame:
     """Whole files ([project,] path, content, error) at any depth below ``root``, their paths relative to it.
 
-    A file that cannot be read is a row without content that names the error. Spark's sources list no empty files.
+    Empty files are rows with an empty text. A file that cannot be read, is not UTF-8 or is larger than a text can be
+    is a row without content that names the error. With ``by_project`` the first folder is the project.
     """
-    options = {"recursiveFileLookup": True, "pathGlobFilter": pattern}
-    at = F.col("_metadata.file_path").alias("_at")
-    listed = spark.read.format("binaryFile").options(**options).load(root).select(at)
-    files = spark.read.options(ignoreCorruptFiles=True, **options).text(root, wholetext=True)
-    held = files.select(at, F.col("value").alias("content"), F.lit(None).cast("string").alias("error"))
-    unread = listed.join(held.select("_at"), "_at", "left_anti").withColumns(
-        {"content": F.lit(None).cast("string"), "error": F.lit(V.UNREADABLE_FILE)}
-    )
-    return held.unionByName(unread).select(*_located(spark, root, by_project, "_at"), "content", "error")
+    return file_tree(spark, root, pattern, by_project).drop("length", "modified")
 
 
 def read_log_lines(spark: SparkSession, root: str, pattern: str = "*", by_project: bool = False) -> DataFrame:
@@ -60,9 +68,7 @@ def read_log_lines(spark: SparkSession, root: str, pattern: str = "*", by_projec
 
 def read_manifest(spark: SparkSession, root: str, by_project: bool = False) -> DataFrame:
     """File manifest ([project,] path, length, modified) of a folder tree, relative to ``root``, without reading contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    placed = files.select(F.col("_metadata.file_path").alias("_at"), "length", F.col("modificationTime").alias("modified"))
-    return placed.select(*_located(spark, root, by_project, "_at"), "length", "modified")
+    return file_tree(spark, root, by_project=by_project, content=False)
 
 
 def line_rows(documents: DataFrame, text: str = "content", lines: Column | None = None) -> DataFrame:

@@ -311,6 +311,42 @@ def test_unreadable_file_is_a_row(spark, tmp_path):
     assert got == [("bad.md.gz", None, V.UNREADABLE_FILE), ("good.md", "fine", None)]
 
 
+def test_every_file_is_a_row(spark, tmp_path):
+    """Empty, hidden, undecodable and vanished files; the tokens of an empty one count, as do all files."""
+    from opslens.sources import files as T
+
+    (tmp_path / "deep" / ".hidden").mkdir(parents=True)
+    (tmp_path / "empty.md").write_text("")
+    (tmp_path / "deep" / ".hidden" / "x.md").write_text("ä")
+    (tmp_path / "deep" / "latin.md").write_bytes("ä".encode("latin-1"))
+    (tmp_path / "deep" / "other.txt").write_text("no")
+    (tmp_path / "deep" / "gone.md").symlink_to(tmp_path / "nowhere.md")
+    docs = SC.read_documents(spark, f"file:{tmp_path}")
+    got = rows(docs.fillna(""))
+    assert got[:2] == [("deep/.hidden/x.md", "ä", ""), ("deep/latin.md", "", V.UNREADABLE_FILE)] and ("empty.md", "", "") in got
+    assert rows(P.token_counts(docs.where("error IS NULL"))) == [("deep/.hidden/x.md", 1), ("empty.md", 1)]
+    manifest = {(r["project"], r["path"]): r["length"] for r in SC.read_manifest(spark, str(tmp_path), by_project=True).collect()}
+    assert manifest[None, "empty.md"] == 0 and manifest["deep", "other.txt"] == 2
+    reader = T.FileTreeReader({"path": str(tmp_path)}, "path string, length bigint, modified timestamp, content string, error string")
+    missing = T.Listed(f"{tmp_path}/never.md", 5, reader.partitions()[0].files[0].modified)
+    assert reader.row(*[T.opened(str(tmp_path))[0], missing, "never.md"])["error"] == V.UNREADABLE_FILE
+
+
+def test_files_are_dealt_in_like_shares():
+    import random
+
+    from opslens.sources import files as T
+
+    r = random.Random(3)
+    files = [T.Listed(f"f{i}", int(r.paretovariate(0.7) * 1000), None) for i in range(3000)]
+    total, most = sum(f.size + T.FILE_COST for f in files), max(f.size for f in files)
+    dealt = T.shares(files, 16 * T.FILE_COST, 1)
+    loads = [sum(f.size + T.FILE_COST for f in share.files) for share in dealt]
+    assert sorted(f.path for share in dealt for f in share.files) == sorted(f.path for f in files)
+    assert max(loads) <= max(most, total / len(dealt)) + 16 * T.FILE_COST
+    assert len(T.shares(files, 10**15, 8)) == 8 and len(T.shares(files[:3], 1, 8)) == 3 and T.shares([], 1, 8)[0].files == []
+
+
 def test_malformed_lines_are_reported(spark, tmp_path):
     from opslens.plans.weekly_report import weekly_report
     from opslens.sources import landing as L
