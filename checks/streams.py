@@ -3,10 +3,9 @@
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from checks import metrics as CM
-from checks.registry import SCHEMAS, check
+from checks.registry import SCHEMAS, check, table
 from opslens.operators import metrics as M
 from opslens.session import shared_folder
 from opslens.streaming import alarms as A
@@ -25,6 +24,18 @@ def finished(query):
     query.awaitTermination()
 
 
+def landed_in_parts(spark, folder, start, by="event_id", parts=3):
+    """Let the events land in ``parts`` ranges of ``by`` and run ``start(stream, folder)`` to its end after each."""
+    at, events = run_folder(spark), table(spark, folder, "events")
+    number = F.col(by) if by == "event_id" else F.unix_micros(F.col(by).cast("timestamp"))
+    cuts = events.select(number.cast("double").alias("n")).approxQuantile("n", [i / parts for i in range(1, parts)], 0.01)
+    place = sum(((number > cut).cast("int") for cut in cuts), F.lit(0))
+    for part in range(parts):
+        events.where(place == part).write.mode("append").parquet(f"{at}/landed")
+        finished(start(spark.readStream.schema(SCHEMAS["events"]).parquet(f"{at}/landed"), at))
+    return at
+
+
 @check(f"SELECT repo, prs_submitted, lines_added, lines_deleted, bugs_closed, releases_done, coalesce(error, '') AS error FROM ({CM.REPO_SQL})")
 def ingested_activity(spark, folder):
     out = run_folder(spark)
@@ -62,14 +73,13 @@ def sliding_event_metrics(spark, folder):
     """
 )
 def streamed_budget_alarms(spark, folder):
-    out = run_folder(spark)
+    """The caps over events that land in three parts, each taken in by a run of its own."""
     spent = {
         "tokens": (F.get_json_object("props", "$.k").cast("bigint"), 3000),
         "cost": (F.col("value").cast("decimal(18,2)"), 1000),
     }
-    result = A.budget_alarms(stream(spark, folder, "events"), ["user_id"], spent)
-    finished(R.write_updates(result, f"{out}/alarms", f"{out}/checkpoint"))
-    table = spark.read.schema(T.StructType([*result.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/alarms")
+    at = landed_in_parts(spark, folder, lambda events, at: R.write_updates(A.budget_alarms(events, ["user_id"], spent), f"{at}/alarms", f"{at}/checkpoint"))
+    table = spark.read.schema("user_id bigint, budget string, total double, batch int").parquet(f"{at}/alarms")
     return R.newest_rows(table, ["user_id", "budget"])
 
 
@@ -84,8 +94,30 @@ def streamed_budget_alarms(spark, folder):
     """
 )
 def streamed_repeat_alarms(spark, folder):
-    out = run_folder(spark)
-    events = stream(spark, folder, "events").select("user_id", "event_id", "event_type")
-    finished(A.write_repeat_alarms(events, "user_id", "event_id", "event_type", f"{out}/alarms", f"{out}/state", f"{out}/checkpoint"))
-    table = spark.read.parquet(f"{out}/alarms")
+    """Runs of calls that begin in one part of the landed events and end in another count, too."""
+    alarms = lambda events: A.repeat_alarms(events, "user_id", "event_id", "event_type")
+    at = landed_in_parts(spark, folder, lambda events, at: R.append_batches(alarms(events), f"{at}/alarms", f"{at}/checkpoint"))
+    table = spark.read.schema("session bigint, position bigint, call string").parquet(f"{at}/alarms")
     return table.select(F.col("session").alias("user_id"), F.col("position").alias("event_id"), F.col("call").alias("event_type"))
+
+
+@check(
+    """
+    SELECT user_id, budget, total FROM (
+      SELECT user_id, min(ts) AS a, max(ts) AS b, (SELECT max(ts) FROM events) AS now FROM events GROUP BY user_id
+    ), (SELECT unnest(['late', 'timed']) AS budget), LATERAL (
+      SELECT CASE WHEN budget = 'late' AND epoch_ms(b) - epoch_ms(a) > 1814400000 THEN 1.0
+                  WHEN budget = 'timed' AND epoch_ms(b) - epoch_ms(a) <= 1814400000 AND epoch_ms(now) - epoch_ms(a) > 1814400001 THEN 1.0 END AS total)
+    WHERE total IS NOT NULL
+    """
+)
+def streamed_clock_alarms(spark, folder):
+    """Users over three weeks after their first event: those whose events go on that long, and by timer those who fell silent."""
+    spent = {"cost": (F.col("value"), float("inf"))}
+    alarms = lambda events: A.budget_alarms(
+        events, ["user_id"], spent, time="ts", max_seconds=21 * 86400
+    )
+    at = landed_in_parts(spark, folder, lambda events, at: R.write_updates(alarms(events), f"{at}/alarms", f"{at}/checkpoint"), by="ts")
+    table = spark.read.schema("user_id bigint, budget string, total double, batch int").parquet(f"{at}/alarms")
+    ends = table.groupBy("user_id").agg(F.max("total").alias("total"))
+    return ends.select("user_id", F.when(F.col("total") > 21 * 86400 + 0.001, "late").otherwise("timed").alias("budget"), F.lit(1.0).alias("total"))

@@ -1,5 +1,7 @@
 import json
+from datetime import timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from opslens.operators import metrics as M
@@ -21,39 +23,87 @@ def write_file(folder, name, rows):
 def test_repeat_alarms_keep_state_between_batches(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
-    write_file(landing, "a.json", [("x", 2, "read"), ("x", 1, "read"), ("y", 1, "read")])
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
-    state = str(tmp_path / "state")
-    run = lambda: A.write_repeat_alarms(calls(spark, landing), "s", "i", "c", out, state, check).awaitTermination()
+    run = lambda: R.append_batches(A.repeat_alarms(calls(spark, landing), "s", "i", "c"), out, check).awaitTermination()
+    write_file(landing, "a.json", [("x", 2, "read"), ("x", 1, "read"), ("y", 1, "read"), (None, 1, "go"), (None, 2, "go")])
     run()
-    write_file(landing, "b.json", [("x", 5, "edit"), ("x", 3, "read"), ("x", 4, "read"), ("x", 6, "edit"), ("x", 7, "edit"), ("y", 2, "edit")])
+    write_file(landing, "b.json", [("x", 5, "edit"), ("x", 3, "read"), ("x", 4, "read"), ("x", 6, "edit"), ("x", 7, "edit"), ("y", 2, "edit"), (None, 3, "go")])
     run()
-    write_file(landing, "c.json", [("x", 8, "edit"), ("x", 9, "go"), ("y", 3, "edit"), ("y", 4, "edit")])
+    write_file(landing, "c.json", [("x", 8, "edit"), ("x", 9, "go"), ("x", 1, "go"), ("y", 3, "edit"), ("y", 4, "edit")])
     run()
-    got = spark.read.parquet(out).collect()
-    assert sorted((r["session"], r["position"], r["call"]) for r in got) == [("x", 3, "read"), ("x", 7, "edit"), ("y", 4, "edit")]
+    got = spark.read.schema("session string, position bigint, call string").parquet(out).drop("batch").collect()
+    assert sorted(map(str, got)) == sorted(map(str, [R_("x", 3, "read"), R_("x", 7, "edit"), R_("y", 4, "edit"), R_(None, 3, "go")]))
 
 
-def test_expired_sessions_leave_the_state(spark, tmp_path):
+R_ = Row("session", "position", "call")
+
+
+def timed(spark, folder):
+    return spark.readStream.schema("s string, i bigint, c string, t timestamp").json(str(folder))
+
+
+def write_timed(folder, name, rows):
+    (folder / name).write_text("\n".join(json.dumps(dict(zip("sict", r))) for r in rows))
+
+
+def state_rows(query):
+    query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress][-1]
+
+
+def test_silent_sessions_leave_the_state(spark, tmp_path):
+    """State follows the sessions that are alive; a session that was forgotten starts anew."""
     landing = tmp_path / "in"
     landing.mkdir()
-    write_file(landing, "a.json", [("x", 1, "r"), ("y", 50, "r")])
-    places = [str(tmp_path / n) for n in ("out", "state", "check")]
-    A.write_repeat_alarms(calls(spark, landing), "s", "i", "c", *places, keep=F.col("position") > 10).awaitTermination()
-    assert [r["session"] for r in spark.read.parquet(places[1]).collect()] == ["y"]
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    alarms = lambda: A.repeat_alarms(timed(spark, landing), "s", "i", "c", times=2, time="t", idle=timedelta(hours=1))
+    write_timed(landing, "a.json", [(f"s{i}", 1, "r", "2024-01-01T00:00:00Z") for i in range(50)])
+    most = state_rows(R.append_batches(alarms(), out, check))
+    write_timed(landing, "b.json", [("s1", 2, "r", "2024-01-01T00:30:00Z"), ("s2", 2, "q", "2024-01-01T00:59:59Z")])
+    state_rows(R.append_batches(alarms(), out, check))
+    write_timed(landing, "c.json", [("s3", 2, "r", "2024-01-01T03:00:00Z")])
+    state_rows(R.append_batches(alarms(), out, check))
+    write_timed(landing, "d.json", [("s1", 3, "r", "2024-01-01T03:30:00Z"), ("s1", 4, "r", "2024-01-01T03:31:00Z")])
+    least = state_rows(R.append_batches(alarms(), out, check))
+    got = spark.read.schema("session string, position bigint, call string").parquet(out).drop("batch").collect()
+    assert sorted(tuple(r)[:2] for r in got) == [("s1", 2), ("s1", 4), ("s3", 2)]
+    assert least < most / 5
 
 
 def test_budget_alarms(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
-    write_file(landing, "a.json", [("x", 2, "r"), ("x", 9, "r"), ("y", 1, "r")])
-    result = A.budget_alarms(calls(spark, landing), ["s"], {"tokens": (F.col("i"), 10)})
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
-    R.write_updates(result, out, check).awaitTermination()
+    spent = {"tokens": (F.col("i"), 10), "cost": (F.col("i").cast("decimal(10,2)"), 14.5)}
+    run = lambda: R.write_updates(A.budget_alarms(calls(spark, landing), ["s"], spent), out, check).awaitTermination()
+    write_file(landing, "a.json", [("x", 2, "r"), ("x", 9, "r"), ("y", 1, "r"), ("z", None, "r"), (None, 20, "r")])
+    run()
     write_file(landing, "b.json", [("x", 4, "r"), ("y", 8, "r")])
-    R.write_updates(A.budget_alarms(calls(spark, landing), ["s"], {"tokens": (F.col("i"), 10)}), out, check).awaitTermination()
-    got = {tuple(r) for r in R.newest_rows(spark.read.parquet(out), ["s", "budget"]).collect()}
-    assert got == {("x", "tokens", 15.0)}
+    run()
+    table = spark.read.schema("s string, budget string, total double, batch int").parquet(out)
+    got = {tuple(r) for r in R.newest_rows(table, ["s", "budget"]).collect()}
+    assert got == {("x", "tokens", 15.0), ("x", "cost", 15.0), (None, "tokens", 20.0), (None, "cost", 20.0)}
+    assert table.where("s IS NULL").select("batch").distinct().count() == 1  # no rows, no work
+
+
+def test_time_is_up_for_a_silent_session(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+
+    def run(name, rows):
+        write_timed(landing, name, rows)
+        alarms = A.budget_alarms(timed(spark, landing), ["s"], {"n": (F.col("i"), 100)}, time="t", max_seconds=60, idle=timedelta(hours=1))
+        return state_rows(R.write_updates(alarms, out, check))
+
+    most = run("a.json", [(f"k{i}", 1, "r", "2024-01-01T00:00:00Z") for i in range(40)] + [("x", 1, "r", "2024-01-01T00:00:00Z")])
+    run("b.json", [("x", 1, "r", "2024-01-01T00:00:59Z"), ("y", 1, "r", "2024-01-01T00:00:30Z")])
+    run("c.json", [("y", 1, "r", "2024-01-01T00:02:00Z")])
+    table = spark.read.schema("s string, budget string, total double, batch int").parquet(out)
+    assert {(r["s"], r["budget"], r["total"]) for r in table.where("s IN ('x', 'y')").collect()} == {("x", "clock", 60.001), ("y", "clock", 90.0)}
+    run("d.json", [("y", 1, "r", "2024-01-01T05:00:00Z")])
+    least = run("e.json", [("y", 200, "r", "2024-01-01T05:00:01Z")])
+    assert least < most / 5
 
 
 def test_ingest_takes_each_file_once(spark, tmp_path):
