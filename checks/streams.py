@@ -103,21 +103,15 @@ def streamed_repeat_alarms(spark, folder):
 
 @check(
     """
-    SELECT user_id, budget, total FROM (
-      SELECT user_id, min(ts) AS a, max(ts) AS b, (SELECT max(ts) FROM events) AS now FROM events GROUP BY user_id
-    ), (SELECT unnest(['late', 'timed']) AS budget), LATERAL (
-      SELECT CASE WHEN budget = 'late' AND epoch_ms(b) - epoch_ms(a) > 1814400000 THEN 1.0
-                  WHEN budget = 'timed' AND epoch_ms(b) - epoch_ms(a) <= 1814400000 AND epoch_ms(now) - epoch_ms(a) > 1814400001 THEN 1.0 END AS total)
-    WHERE total IS NOT NULL
+    SELECT user_id, 'clock' AS budget, CASE WHEN b - a > 1814400000 THEN CAST(b - a AS DOUBLE) / 1000 ELSE 1814400.001 END AS total
+    FROM (SELECT user_id, epoch_ms(min(ts)) AS a, epoch_ms(max(ts)) AS b, (SELECT epoch_ms(max(ts)) FROM events) AS now FROM events GROUP BY user_id)
+    WHERE now - a > 1814400001
     """
 )
 def streamed_clock_alarms(spark, folder):
     """Users over three weeks after their first event: those whose events go on that long, and by timer those who fell silent."""
     spent = {"cost": (F.col("value"), float("inf"))}
-    alarms = lambda events: A.budget_alarms(
-        events, ["user_id"], spent, time="ts", max_seconds=21 * 86400
-    )
+    alarms = lambda events: A.budget_alarms(events, ["user_id"], spent, time="ts", max_seconds=21 * 86400)
     at = landed_in_parts(spark, folder, lambda events, at: R.write_updates(alarms(events), f"{at}/alarms", f"{at}/checkpoint"), by="ts")
     table = spark.read.schema("user_id bigint, budget string, total double, batch int").parquet(f"{at}/alarms")
-    ends = table.groupBy("user_id").agg(F.max("total").alias("total"))
-    return ends.select("user_id", F.when(F.col("total") > 21 * 86400 + 0.001, "late").otherwise("timed").alias("budget"), F.lit(1.0).alias("total"))
+    return R.newest_rows(table, ["user_id", "budget"])
