@@ -104,7 +104,7 @@ def streamed_repeat_alarms(spark, folder):
 @check(
     """
     SELECT user_id, 'clock' AS budget, CASE WHEN b - a > 1814400000 THEN CAST(b - a AS DOUBLE) / 1000 ELSE 1814400.001 END AS total
-    FROM (SELECT user_id, epoch_ms(min(ts)) AS a, epoch_ms(max(ts)) AS b, (SELECT epoch_ms(max(ts)) FROM events) AS now FROM events GROUP BY user_id)
+    FROM (SELECT user_id, epoch_us(min(ts)) // 1000 AS a, epoch_us(max(ts)) // 1000 AS b, (SELECT epoch_us(max(ts)) // 1000 FROM events) AS now FROM events GROUP BY user_id)
     WHERE now - a > 1814400001
     """
 )
