@@ -441,7 +441,7 @@ def expanded_documents(spark, folder):
     WITH RECURSIVE edges AS (
       SELECT doc_id AS src, doc_id // 10 AS dst FROM documents UNION ALL SELECT doc_id, doc_id // 7 FROM documents
     ), reach AS (
-      SELECT 'd' || src AS root, dst AS node, 1 AS depth FROM edges WHERE src <> dst AND src % 3 = 0
+      SELECT 'd' || src AS root, dst AS node, 1 AS depth FROM edges WHERE src <> dst
       UNION
       SELECT r.root, e.dst, r.depth + 1 FROM reach r JOIN edges e ON r.node = e.src WHERE r.root <> 'd' || e.dst AND e.src <> e.dst
     )
@@ -449,9 +449,24 @@ def expanded_documents(spark, folder):
     """
 )
 def include_reachability(spark, folder):
-    """What every third document includes, over the include lines of the documents."""
+    """What each document includes, over the include lines of the documents."""
     doc = F.col("doc_id")
     content = F.concat(F.col("text"), F.lit("\n@d"), F.floor(doc / 10), F.lit("\n@d"), F.floor(doc / 7))
-    docs = table(spark, folder, "documents").select(F.concat(F.lit("d"), doc).alias("path"), content.alias("content"), doc)
-    roots = docs.where(doc % 3 == 0).select(F.col("path").alias("root"))
-    return C.include_closure(C.edge_table(docs), roots)
+    docs = table(spark, folder, "documents").select(F.concat(F.lit("d"), doc).alias("path"), content.alias("content"))
+    return C.include_closure(C.edge_table(docs), docs.select(F.col("path").alias("root")))
+
+
+@check(
+    """
+    WITH RECURSIVE reach AS (
+      SELECT 0 AS node, 0 AS depth UNION ALL
+      SELECT CAST(doc_id AS INTEGER), depth + 1 FROM reach JOIN documents ON doc_id = node + 1
+    )
+    SELECT 'd' || node AS node, depth FROM reach WHERE depth > 0
+    """
+)
+def include_chain_depths(spark, folder):
+    """Every document includes the next one: how far each is from the first."""
+    edges = table(spark, folder, "documents").select(F.concat(F.lit("d"), F.col("doc_id") - 1).alias("src"), F.concat(F.lit("d"), "doc_id").alias("dst"))
+    roots = edges.where("dst = 'd0'").select(F.col("dst").alias("root"))
+    return C.include_closure(edges, roots).select("node", "depth")

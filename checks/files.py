@@ -273,13 +273,14 @@ def stacks_of_many_labels(spark, folder):
     """
     SELECT CAST(i - 1 AS BIGINT) AS at, l[i] AS line FROM (
       SELECT l, unnest(range(1, len(l) + 1)) AS i
-      FROM (SELECT string_split(string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY doc_id), chr(10)) AS l FROM documents WHERE doc_id < 67))
+      FROM (SELECT string_split(string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY doc_id), chr(10)) AS l FROM documents))
     """
 )
 def deep_include_chain(spark, folder):
-    """Document 0 includes 1, that 2, and so on to 66."""
+    """Document 0 includes 1, that 2, and so on to the last of the table."""
     doc = F.col("doc_id")
-    content = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.when(doc < 66, F.concat(F.lit("\n@d"), doc + 1)).otherwise(""))
+    name = F.when(doc < table(spark, folder, "documents").agg(F.max("doc_id")).scalar(), F.concat(F.lit("\n@d"), doc + 1)).otherwise("")
+    content = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), name)
     docs = table(spark, folder, "documents").select(F.concat(F.lit("d"), doc).alias("path"), content.alias("content"))
     lines = expand_includes(docs, roots=F.col("path") == "d0")
     return lines.select((F.size("position") - 1).cast("bigint").alias("at"), "line")

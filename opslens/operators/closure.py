@@ -1,4 +1,8 @@
-"""Include graphs: reachability and text expansion, in rounds that are stored in the shared folder."""
+"""Include graphs: reachability and text expansion, in rounds that are stored in the shared folder.
+
+Rounds double what is known: pairs or places at a distance of up to n give those of up to 2n, so a chain of d documents takes
+log(d) rounds.
+"""
 
 from functools import reduce
 
@@ -9,45 +13,53 @@ from opslens.functions.paths import dirname, resolve
 from opslens.functions.text import document_lines, strip
 from opslens.session import materialize, sized
 
-ROUNDS_AT_ONCE = 8
 HOT_LINES = 10_000
 
 
+def _longer(near: DataFrame, far: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (root, node, depth) of a pair of ``near`` followed by one of ``far``, the least depth of each, without ``known``."""
+    ends = far.select(F.col("root").alias("_mid"), F.col("node").alias("_end"), F.col("depth").alias("_more"))
+    joined = near.withColumnRenamed("node", "_mid").join(ends, "_mid").where(F.col("root") != F.col("_end"))
+    least = joined.groupBy("root", F.col("_end").alias("node")).agg(F.min(F.col("depth") + F.col("_more")).alias("depth"))
+    return least.join(known.select("root", "node"), ["root", "node"], "left_anti")
+
+
+def _walks_on(walks: DataFrame, more: DataFrame) -> DataFrame:
+    """Ends (src, dst) of walks that go on with one of ``more``."""
+    on = more.select(F.col("src").alias("dst"), F.col("dst").alias("_end"))
+    return materialize(walks.join(on, "dst").select("src", F.col("_end").alias("dst")).distinct(), "walks")
+
+
 def include_closure(
     edges: DataFrame, roots: DataFrame, max_depth: int | None = None, src: str = "src", dst: str = "dst"
 ) -> DataFrame:
     """Everything each of ``roots`` (column ``root``) includes, directly or not: (root, node, depth), the smallest depth.
 
-    Each round extends only the pairs found in the round before. They are compared with the earlier pairs of the roots
-    that are still growing; a root that has reached all it can takes no further part. A root never includes itself.
+    Rounds double the distance. Where most documents are roots, a pair at a distance of n to 2n is one at exactly n followed
+    by one of at most n, both pairs that are wanted themselves. Where few are, it is one of at most n followed by the ends of a walk
+    of n steps from any document; the walks double as well. A root never includes itself.
     """
-    links = materialize(
-        edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst")).where(F.col("_src") != F.col("_dst")).distinct(),
-        "edges",
-    )
-    starts = links.join(roots.select(F.col("root").alias("_src")).distinct(), "_src", "left_semi")
-    depth = 1
-    frontier = materialize(
-        starts.select(F.col("_src").alias("root"), F.col("_dst").alias("node"), F.lit(depth).alias("depth")), "round"
-    )
-    rounds, growing = [frontier], frontier
-    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
-        depth += 1
-        reached = (
-            frontier.select("root", F.col("node").alias("_src"))
-            .join(links, "_src")
-            .select("root", F.col("_dst").alias("node"))
-            .where(F.col("root") != F.col("node"))
-            .distinct()
-            .join(growing.select("root", "node"), ["root", "node"], "left_anti")
-        )
-        frontier = materialize(reached.select("root", "node", F.lit(depth).alias("depth")), "round")
-        rounds.append(frontier)
-        still, _ = sized(frontier.select("root").distinct(), "growing")
-        growing = growing.join(still, "root", "left_semi").unionByName(frontier)
-        if depth % ROUNDS_AT_ONCE == 0:
-            growing = materialize(growing, "known")
-    return reduce(DataFrame.unionByName, rounds)
+    links = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst").distinct()
+    walks = materialize(links, "edges")
+    wanted = materialize(roots.select(F.col("root").alias("src")).distinct(), "roots")
+    sources = walks.select("src").distinct()
+    many = 2 * sources.join(wanted, "src", "left_semi").count() >= sources.count()
+    first = walks if many else walks.join(wanted, "src", "left_semi")
+    last = materialize(first.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("depth")), "pairs")
+    levels, known, reach = [last], last, 1
+    while not last.isEmpty() and (max_depth is None or reach < max_depth):
+        if many:
+            last = _longer(last.where(F.col("depth") == reach), known, known)
+        else:
+            steps = walks.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(reach).alias("depth"))
+            last = _longer(known, steps, known)
+        last = materialize(last, "pairs")
+        levels.append(last)
+        known = reduce(DataFrame.unionByName, levels)
+        walks = walks if many else _walks_on(walks, walks)
+        reach *= 2
+    closure = known.join(wanted.withColumnRenamed("src", "root"), "root", "left_semi") if many else known
+    return closure if max_depth is None else closure.where(F.col("depth") <= max_depth)
 
 
 def _is_include(line):
@@ -69,65 +81,123 @@ def include_targets(documents: DataFrame, path: str = "path", text: str = "conte
     return each.where(_is_include(F.col("line"))).withColumn("target", resolve(folder, named))
 
 
+def circular(edges: DataFrame) -> DataFrame:
+    """The documents (path) from which a circle of includes can be reached, over ``edges`` (src, dst) without self-includes.
+
+    They are those with a walk as long as there are documents; walks double in length, as pairs of their ends.
+    """
+    walks = materialize(edges.select("src", "dst").distinct(), "edges")
+    longest, most = 1, walks.select("src").distinct().count()
+    while longest <= most and not walks.isEmpty():
+        walks = _walks_on(walks, walks)
+        longest *= 2
+    return walks.select(F.col("src").alias("path")).distinct()
+
+
+def _below(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Places (root, position, path) of ``outer`` followed by those of ``inner`` whose root is the path of the former."""
+    inner = inner.select(F.col("root").alias("_mid"), F.col("position").alias("_rest"), F.col("path").alias("_end"))
+    joined = outer.withColumnRenamed("path", "_mid").join(inner, "_mid")
+    return joined.select("root", F.concat("position", "_rest").alias("position"), F.col("_end").alias("path"))
+
+
+def include_places(direct: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """All places below the ``starts`` (path; all documents if None) where a document is included, directly or not.
+
+    ``direct`` are the include lines (root, position, path) of documents without circles. Each place is made once: one that is
+    n to 2n levels deep is a place at most n deep, followed by one exactly n deep in the document that stands there.
+    """
+    steps = direct
+    last = steps if starts is None else steps.join(starts.select(F.col("path").alias("root")).distinct(), "root", "left_semi")
+    levels, reach = [materialize(last, "places")], 1
+    while not levels[-1].isEmpty():
+        levels.append(materialize(_below(reduce(DataFrame.unionByName, levels), steps), "places"))
+        reach *= 2
+        steps = levels[-1].where(F.size("position") == reach) if starts is None else materialize(_below(steps, steps), "steps")
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _lines_at(places: DataFrame, lines: DataFrame, includes: DataFrame, hot: int) -> DataFrame:
+    """The ``lines`` (path, line_no, line) of the document at each place: (root, position, line).
+
+    Documents that more than ``hot`` lines include are no join key: their lines are broadcast, if they measure small.
+    """
+    at = lambda joined: joined.select("root", F.array_append("position", F.col("line_no")).alias("position"), "line")
+    if includes.count() <= hot:  # then no document can have more
+        return at(places.join(lines, "path"))
+    names = includes.groupBy(F.col("target").alias("path")).count().where(F.col("count") > hot).select("path")
+    names, few = sized(names.withColumn("_hot", F.lit(True)), "hot_names")
+    hot_lines, small = sized(lines.join(names, "path").drop("_hot"), "hot_lines")
+    if not (few and small):
+        return at(places.join(lines, "path"))
+    told = places.join(names, "path", "left")
+    cold = told.where("_hot IS NULL").join(lines, "path")
+    return at(cold).unionByName(at(told.where("_hot").join(hot_lines, "path")))
+
+
 def expand_includes(
     documents: DataFrame, path: str = "path", text: str = "content", roots: Column | None = None, hot: int = HOT_LINES
 ) -> DataFrame:
     """Text of every document with its includes replaced by the included text: (root, position, line).
 
     ``position`` is an array of line numbers that sorts the lines of a root. A line stays as it is if its target
-    does not exist or is already open on the way from the root, so every chain ends, however deep it is. Each round
-    inlines one level; only lines that still are includes take part, and lines never come together in one group.
-    ``roots`` is a condition on the path column that says which documents to expand; all of them can be included.
-
-    Lines of documents that more than ``hot`` lines include are joined by broadcast if they measure small, so an include
-    that is found everywhere is not one join key; the others are joined by a shuffle.
+    does not exist or is already open on the way from the root, so every chain ends, however deep it is. ``roots`` is a
+    condition on the path column that says which documents to expand; all of them can be included.
+
+    First the places are found where a document stands in a root, as positions without text; lines then move once, to
+    their places. What stands below a document from which no circle can be reached does not depend on the way to it: such places
+    double in depth with each round (``include_places``) and are found once for a document that many include. Documents on the
+    way to a circle are expanded from the root down, a level a round, with the path of open documents, and take the others as a
+    whole. Lines never come together in one group.
     """
     each = _lines_of(documents, path, text)
     plain = each.where(~_is_include(F.col("line"))).withColumn("target", F.lit(None).cast("string"))
     there = documents.select(F.col(path).alias("target"), F.lit(True).alias("_there"))
     named = include_targets(documents, path, text).join(there, "target", "left")
-    named = named.select("path", "line_no", "line", F.when(F.col("_there"), F.col("target")).alias("target"))
-    linked = materialize(plain.unionByName(named), "linked")
-    includes = linked.where(F.col("target").isNotNull())
-    marks = None
-    if includes.count() > hot:  # else no target can have more lines
-        names = includes.groupBy(F.col("target").alias("path")).count().where(F.col("count") > hot).select("path")
-        hot_lines, small = sized(linked.join(names, "path", "left_semi"), "hot")
-        if small and not hot_lines.isEmpty():
-            marks = F.broadcast(hot_lines.select("path").distinct().withColumn("_hot", F.lit(True)))
-    chosen = linked if roots is None else linked.where(roots)
-    current = chosen.select(
-        F.col("path").alias("root"),
-        F.array("line_no").alias("position"),
-        "line",
-        F.when(F.col("target") != F.col("path"), F.col("target")).alias("target"),
-        F.array("path").alias("open"),
-    )
-    done: list[DataFrame] = [current.where(F.col("target").isNull()).select("root", "position", "line")]
-    pending = materialize(current.where(F.col("target").isNotNull()), "pending")
+    # A document is open in itself, so an include of its own stays a line.
+    target = F.when(F.col("_there") & (F.col("target") != F.col("path")), F.col("target"))
+    linked = materialize(plain.unionByName(named.select("path", "line_no", "line", target.alias("target"))), "linked")
+    includes = linked.where("target IS NOT NULL")
+    names = documents.select(F.col(path).alias("path"))
+    wanted = names if roots is None else names.where(roots)
+    rings = materialize(circular(includes.select(F.col("path").alias("src"), F.col("target").alias("dst"))), "rings")
+    direct = includes.select(F.col("path").alias("root"), F.array("line_no").alias("position"), F.col("target").alias("path"))
+    nowhere = F.array().cast("array<int>").alias("position")
+
+    if rings.isEmpty():
+        starts, entries, kept = wanted, None, []
+    else:
+        direct = direct.join(rings.select(F.col("path").alias("root")), "root", "left_anti")
+        entries, kept = _from_rings(linked, rings, wanted)
+        wanted = wanted.join(rings, "path", "left_anti")
+        starts = wanted.unionByName(entries.select("path"))
+    places = include_places(direct, None if roots is None else starts)
+    own = wanted.select(F.col("path").alias("root"), nowhere, "path")
+    mine = places if roots is None else places.join(wanted.select(F.col("path").alias("root")), "root", "left_semi")
+    found = own.unionByName(mine)
+    if entries is not None:
+        found = found.unionByName(entries).unionByName(_below(entries, places))
+    lines = linked.where("target IS NULL").drop("target")
+    return reduce(DataFrame.unionByName, [_lines_at(found, lines, includes, hot), *kept])
+
+
+def _from_rings(linked: DataFrame, rings: DataFrame, wanted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Documents on the way to a circle from the root down: places (root, position, path) of the others, and lines in tables."""
+    into = rings.select(F.col("path").alias("target"), F.lit(True).alias("_into"))
+    lines = materialize(linked.join(rings, "path", "left_semi").join(into, "target", "left"), "ring_lines")
+    roots = wanted.join(rings, "path", "left_semi")
+    pending = roots.select(F.col("path").alias("root"), F.array().cast("array<int>").alias("position"), "path", F.array("path").alias("open"))
+    places, kept = [], []
     while not pending.isEmpty():
-        asked = pending.select(
-            "root", "position", F.col("target").alias("path"), F.array_append("open", F.col("target")).alias("open")
-        )
-        if marks is None:
-            inlined = asked.join(linked, "path")
-        else:
-            told = asked.join(marks, "path", "left")
-            everywhere = told.where("_hot").drop("_hot").join(hot_lines, "path")
-            inlined = told.where("_hot IS NULL").drop("_hot").join(linked, "path").unionByName(everywhere)
-        level = materialize(
-            inlined.select(
-                "root",
-                F.array_append("position", F.col("line_no")).alias("position"),
-                "line",
-                F.when(~F.array_contains("open", F.col("target")), F.col("target")).alias("target"),
-                "open",
-            ),
-            "level",
-        )
-        done.append(level.where(F.col("target").isNull()).select("root", "position", "line"))
-        pending = level.where(F.col("target").isNotNull())
-    return reduce(DataFrame.unionByName, done)
+        found = pending.join(lines, "path").withColumn("target", F.when(~F.array_contains("open", F.col("target")), F.col("target")))
+        found = found.withColumn("position", F.array_append("position", F.col("line_no")))
+        level = materialize(found.select("root", "position", "line", "target", "_into", "open"), "level")
+        kept.append(level.where("target IS NULL").select("root", "position", "line"))
+        met = level.where("target IS NOT NULL").withColumnRenamed("target", "path")
+        places.append(met.where("_into IS NULL").select("root", "position", "path"))
+        pending = met.where("_into").select("root", "position", "path", F.array_append("open", F.col("path")).alias("open"))
+    nothing = pending.select("root", "position", "path")
+    return reduce(DataFrame.unionByName, places, nothing), kept
 
 
 def edge_table(documents: DataFrame, path: str = "path", text: str = "content") -> DataFrame:

@@ -9,6 +9,7 @@ from opslens.operators import corpus as P
 from opslens.operators import enrich as E
 from opslens.operators import gates as G
 from opslens.operators.ordered import position_chunk
+from opslens.session import materialize
 from opslens.plans import documents as D
 from opslens.plans import logs as G2
 from opslens.operators import report as R
@@ -221,6 +222,73 @@ def test_deep_chain_and_hot_include(spark):
         assert got["d7.md"] == "own 7\nshared\nbelow" and len(got) == 42
 
 
+def include_graph(r, n, more):
+    """Documents that include later ones, and ``more`` lines that include any."""
+    docs = {}
+    for i in range(n):
+        lines = [f"text {i}"] + [f"@g{r.randrange(i + 1, n)}" for _ in range(r.randrange(3)) if i + 1 < n] + ["@nothing", "last"]
+        docs[f"g{i}"] = lines
+    for _ in range(more):
+        docs[f"g{r.randrange(n)}"].insert(1, f"@g{r.randrange(n)}")
+    return {k: "\n".join(v) for k, v in docs.items()}
+
+
+def test_include_graphs_against_recursion(spark):
+    import random
+
+    def expand(docs, path, opened):
+        lines = []
+        for line in docs[path].split("\n"):
+            target = line[1:]
+            lines += expand(docs, target, [*opened, target]) if line[0] == "@" and target in docs and target not in opened else [line]
+        return lines
+
+    def depths(edges, root):
+        found, last, depth = {}, {root}, 0
+        while last:
+            depth += 1
+            last = {b for a, b in edges if a in last} - found.keys() - {root}
+            found |= {b: depth for b in last}
+        return {(root, b, d) for b, d in found.items()}
+
+    for seed, more in ((1, 0), (3, 8)):
+        docs = include_graph(random.Random(seed), 14, more)
+        want = {path: "\n".join(expand(docs, path, [path])) for path in docs}
+        files = documents(spark, docs)
+        assert expanded_text(K.expand_includes(files)) == want
+        some = expanded_text(K.expand_includes(files, roots=F.col("path").isin("g0", "g3")))
+        assert some == {k: want[k] for k in ("g0", "g3")}
+        edges = {(k, line[1:]) for k, v in docs.items() for line in v.split("\n") if line[0] == "@" and line[1:] in docs}
+        for roots in (list(docs), ["g2", "g5", "none"]):
+            got = K.include_closure(K.edge_table(files), spark.createDataFrame([(x,) for x in roots], "root string")).collect()
+            assert sorted(map(tuple, got)) == sorted(p for root in roots for p in depths(edges, root)), (seed, roots)
+
+
+def test_shared_includes_are_found_once(spark, monkeypatch):
+    """Diamonds: each document includes the next one twice. Rows written follow the places of the result, rounds the log of the depth."""
+    tables = []
+
+    def counted(df, name):
+        made = materialize(df, name)
+        tables.append((name, made.count()))
+        return made
+
+    monkeypatch.setattr(K, "materialize", counted)
+    docs = {f"d{i}": f"text\n@d{i + 1}\n@d{i + 1}" for i in range(9)} | {"d9": "text"}
+    lines = K.expand_includes(documents(spark, docs))
+    assert lines.groupBy("root").count().where("root = 'd0'").first()["count"] == 2**10 - 1
+    places = [n for name, n in tables if name == "places"]
+    assert sum(places) == lines.count() - len(docs) and len(places) <= 6
+    tables.clear()
+    chain = {f"c{i}": f"text\n@c{i + 1}" for i in range(64)} | {"c64": "text"}
+    assert K.expand_includes(documents(spark, chain), roots=F.col("path") == "c0").count() == 65
+    assert len([n for name, n in tables if name == "places"]) <= 8
+    tables.clear()
+    edges = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert K.include_closure(edges, spark.createDataFrame([(0,)], "root long")).count() == 200
+    assert len([n for name, n in tables if name == "pairs"]) <= 10
+
+
 def test_many_labels(spark):
     markers = {f"f{i}": f"label{i:03d}" for i in range(100)}
     files = spark.createDataFrame([("p", f"f{i}") for i in range(100)] + [("q", "x"), (None, "f1")], "project string, path string")
