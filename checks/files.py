@@ -53,6 +53,17 @@ def weekly_outbox_routes(spark, folder):
     return message_outbox(report).drop("payload")
 
 
+@check(SQL["report_routes"])
+def outbox_written_twice(spark, folder):
+    """A run that is written a second time, and another one beside it, of which only the first is read."""
+    report, at = written_report(spark, folder)
+    for run in ("2024-01", "2024-01", "2024-02", "2024-01"):
+        R.write_outbox(report, f"{at}/outbox", run=run)
+    schema = "project string, destination string, payload string, sink string"
+    outbox = spark.read.schema(schema).json(f"{at}/outbox").where(F.contains("_metadata.file_name", F.lit("2024-01-")))
+    return outbox.drop("payload")
+
+
 def written_logs(spark, folder, text):
     """One log file a source, the texts of its documents in the order of their ids."""
     at = place(spark)

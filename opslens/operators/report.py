@@ -1,5 +1,6 @@
 """Assembling reports per project and rendering them for the sinks."""
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from opslens import schemas as S
 from opslens import values as V
 from opslens.functions.money import money_text
+from opslens.session import importable, qualified
+from opslens.sources.outbox import Outbox
 
 
 def source_structs(sources: DataFrame) -> DataFrame:
@@ -184,9 +187,17 @@ def routed(report: DataFrame) -> DataFrame:
     return rendered.select("project", F.explode(targets).alias("_t")).select("project", "_t.*")
 
 
-def write_outbox(report: DataFrame, path: str, mode: str = "append") -> None:
-    """Write the outbox: one folder per sink, JSON records (project, destination, payload)."""
-    routed(report).write.partitionBy("sink").mode(mode).json(path)
+def write_outbox(report: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
+    """Write the outbox: one folder per sink, JSON records (project, destination, payload).
+
+    ``run`` names the run that the report belongs to, such as its date: a run that has been written is not written again, so a
+    repeated call leaves each record once. Without a name every call is a run of its own.
+    """
+    spark = report.sparkSession
+    importable(spark)
+    spark.dataSource.register(Outbox)
+    options = {"run": run or uuid.uuid4().hex, "by": "sink"}
+    routed(report).write.format("outbox").options(**options).mode(mode).save(qualified(spark, path))
 
 
 def write_snapshot(records: DataFrame, path: str, mode: str = "overwrite", fields: Sequence[str] | None = None) -> None:

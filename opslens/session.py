@@ -44,6 +44,12 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, given)])
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its file system, as Python workers need it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, removed when the application ends normally.
 

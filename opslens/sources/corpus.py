@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.paths import depth
 from opslens.functions.text import document_lines
-from opslens.session import importable
+from opslens.session import importable, qualified
 from opslens.sources.files import PARTITION_BYTES, FileTree
 from opslens import values as V
 
@@ -32,11 +32,9 @@ def file_tree(
     """All files at any depth below ``root`` whose names match: ([project,] path, length, modified[, content, error])."""
     importable(spark)
     spark.dataSource.register(FileTree)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    address = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
     options = {"pattern": pattern, "byProject": by_project, "content": content, "partitionBytes": partition_bytes}
     least = spark.sparkContext.defaultParallelism
-    return spark.read.format("file_tree").options(**options, leastPartitions=least).load(address)
+    return spark.read.format("file_tree").options(**options, leastPartitions=least).load(qualified(spark, root))
 
 
 def read_documents(

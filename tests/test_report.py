@@ -1,6 +1,8 @@
 import json
 from decimal import Decimal
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from opslens import schemas as S
@@ -193,6 +195,56 @@ def test_weekly_report(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "outbox")).groupBy("sink").count().count() == 2
 
 
+def test_outbox_takes_a_run_once(spark, tmp_path):
+    """Repeated, broken and aborted writes of a run; other runs stay."""
+    from opslens.sources import outbox as X
+
+    at = str(tmp_path / "outbox")
+    record = lambda n: pa.RecordBatch.from_pylist([{"sink": s, "project": f"{s}{n}", "payload": None} for s in ("a/b", "c", None)])
+    read = lambda: sorted((r["sink"] or "", r["project"]) for r in spark.read.schema("project string, sink string").json(at).collect())
+    once = [("", "None1"), ("a/b", "a/b1"), ("c", "c1")]
+
+    def write(n, run="one", overwrite=False, tasks=1):
+        writer = X.OutboxWriter(f"file://{at}", run, "sink", overwrite)
+        return writer, [writer.write(iter([record(n)])) for _ in range(tasks)]
+
+    writer, messages = write(0)
+    writer.abort(messages)
+    assert not (tmp_path / "outbox" / "_runs" / "one").exists()
+    write(0)  # a driver that died before the commit
+    writer, messages = write(1, tasks=2)
+    writer.commit([*messages[:1], None])  # the second task is one that Spark does not count
+    assert read() == once
+    for n in (1, 2):
+        writer, messages = write(n)
+        writer.commit(messages)
+        assert read() == once
+    writer, messages = write(3, "one-more")
+    writer.commit(messages)
+    assert len(read()) == 6
+    (tmp_path / "outbox" / "_runs" / "one.done").unlink()  # the attempt broke off after it had moved its files
+    writer, messages = write(1)
+    writer.commit(messages)
+    assert len(read()) == 6 and set(once) < set(read())
+    writer, messages = write(1, "last", overwrite=True)
+    writer.commit(messages)
+    assert read() == once
+    with pytest.raises(ValueError):
+        X.OutboxWriter(at, "../up", "sink", False)
+
+
+def test_outbox_of_a_report(spark, tmp_path):
+    report = build(spark, tmp_path)
+    at = str(tmp_path / "twice")
+    for _ in range(2):
+        R.write_outbox(report, at, run="2024-03-10")
+    assert spark.read.json(at).count() == R.routed(report).count()
+    R.write_outbox(report, at)
+    assert spark.read.json(at).count() == 2 * R.routed(report).count()
+    R.write_outbox(report, at, mode="overwrite")
+    assert spark.read.json(at).count() == R.routed(report).count()
+
+
 def test_source_gating(spark, tmp_path):
     got = {r["project"]: r for r in build(spark, tmp_path, enabled=("openai",)).collect()}
     stats = got["proj-1"]["stats"]
