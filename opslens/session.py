@@ -79,15 +79,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, result: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts lineage for iterative jobs: the table outlives any executor and is computed a single time.
+    Cuts lineage for iterative jobs: the table outlives any executor and is computed a single time. A ``result`` of a
+    :func:`scratch` block stays when the block ends; it belongs to the block around it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    scopes = _SCOPES[:-1] if result else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -210,3 +210,16 @@ def test_top_rows_meet_in_two_stages(spark, hot):
     got = O.latest_rows(hot.repartition(12).withColumn("k", F.lit(1)), ["k"], [F.col("i").desc()], cap=5)
     assert sorted(r["i"] for r in got.collect()) == list(range(ROWS - 5, ROWS))
     assert "_salt" in plan(got)
+
+
+def test_scratch_keeps_results(spark):
+    from opslens.session import materialize, scratch
+
+    with scratch(spark):
+        with scratch(spark):
+            inner, kept = materialize(spark.range(3), "inner"), materialize(spark.range(4), "kept", result=True)
+        assert kept.count() == 4
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            inner.count()
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        kept.count()
