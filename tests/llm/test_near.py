@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from opslens.llm import packing, pii, quality, simhash, spotsigs
+from opslens.llm import pii, quality, simhash, spotsigs
 from opslens.llm.components import connected
 from opslens.llm.queries import QUERIES
 from tests.llm import fixtures
@@ -185,6 +186,8 @@ def test_similar_pairs(spark, threshold):
 
 @pytest.mark.parametrize("table", ["edge", "repeated", "empty", "sf"])
 def test_pipeline(spark, edge_dir, repeated_dir, empty_dir, table, tmp_path):
+    from tests.llm.test_similar import kept_of
+
     folder = {"edge": edge_dir, "repeated": repeated_dir, "empty": empty_dir, "sf": "/root/testdata/sf0.001"}[table]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     stages = []
@@ -198,8 +201,7 @@ def test_pipeline(spark, edge_dir, repeated_dir, empty_dir, table, tmp_path):
     want = {r.doc_id: r.text for r in quality.keep_good(docs).select("doc_id", "text").collect()}
     assert {r.doc_id: r.text for r in stages[0].collect()} == want
     names = sorted(want)
-    codes = [simhash_of(want[n]) for n in names]
-    chosen = {names[k] for k in classes(len(names), near(codes, 4))}
+    chosen = {names[k] for k in kept_of([want[n] for n in names])}
     assert sorted(r.doc_id for r in stages[1].collect()) == sorted(chosen)
     weights = pii.train(stages[1])
     masked = {n: pii.masked(texts[n], weights) for n in chosen}
@@ -211,9 +213,8 @@ def test_pipeline(spark, edge_dir, repeated_dir, empty_dir, table, tmp_path):
     for row in packed_rows(corpus_pipeline.run(spark, folder)):
         lengths[row.doc_id] += row.length
         assert len(row.ids) == 4 * row.length
-    with open(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
-        encode = packing.Encoder(file.read(), corpus_pipeline.public_tokenizers.PATTERN).encode
-    assert lengths == {n: len(encode(t)) // 4 + 1 for n, t in masked.items()}
+    tokenizer = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
+    assert lengths == {n: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for n, t in masked.items()}
 
 
 def packed_rows(df):

@@ -3,10 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from opslens.llm import simhash, similar
+from opslens.session import materialize
 from tests.llm import fixtures
 from tests.llm.test_near import classes, jaccard
 
@@ -43,9 +45,11 @@ def kept_of(texts):
     return {k for k, root in enumerate(classes(len(sets), alike(sets))) if k == root}
 
 
-@pytest.mark.parametrize("rows", [100_000, 50])
-def test_stage_finds_what_is_alike(spark, rows, monkeypatch):
+@pytest.mark.parametrize(("rows", "crowd"), [(100_000, 4000), (50, 3)])
+def test_stage_finds_what_is_alike(spark, rows, crowd, monkeypatch):
     monkeypatch.setattr(similar, "ROWS_AT_ONCE", rows)
+    monkeypatch.setattr(similar, "MOST_PAIRS", rows)
+    monkeypatch.setattr(similar, "CROWD", crowd)
     texts = edited_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
@@ -60,3 +64,54 @@ def test_stage_on_tables(spark, edge_dir, table):
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").fillna("").collect())
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()}
     assert kept == {rows[k][0] for k in kept_of([t for _, t in rows])}
+
+
+def test_forest_joins_what_all_pairs_join():
+    r = np.random.default_rng(6)
+    for _ in range(30):
+        n = int(r.integers(2, 40))
+        i, j = r.integers(0, n, 60), r.integers(0, n, 60)
+        i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+        apart = r.integers(0, 5, len(i))
+        x, y, d = similar.forest(i, j, apart, n)
+        label = classes(n, zip(i.tolist(), j.tolist(), strict=True))
+        assert classes(n, zip(x.tolist(), y.tolist(), strict=True)) == label and len(x) == n - len(set(label))
+        weight, rest = 0, list(range(n))
+        for k in np.argsort(apart, kind="stable").tolist():  # the least sum, by taking pairs in order
+            a, b = rest[i[k]], rest[j[k]]
+            weight += int(apart[k]) if a != b else 0
+            rest = [a if v == b else v for v in rest]
+        assert int(d.sum()) == weight
+
+
+def crowded_texts():
+    """A group whose members differ from each other a little more than a link allows, linked copies among them, and a passage."""
+    r = random.Random(4)
+    base = fixtures.sentence(r, 150).split()
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for place in r.sample(range(5, 145), 4):
+            words[place] = f"own{k}x{place}"
+        texts.append(" ".join(words))
+        if k % 6 == 0:
+            words[70] = "copied"
+            texts.append(" ".join(words))
+    return texts + [" ".join(base[:60]) + " " + fixtures.sentence(r, 30) for _ in range(40)]
+
+
+def test_pairs_follow_the_sets(spark, monkeypatch):
+    """A group of n sets that share most shingles gives a number of pairs that grows like n, not like its square."""
+    sizes = {}
+
+    def counted(df, name, **options):
+        made = materialize(df, name, **options)
+        sizes[name] = made.count()
+        return made
+
+    monkeypatch.setattr(similar, "materialize", counted)
+    texts = crowded_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == kept_of(texts)
+    assert sizes["nearest"] <= len(texts) and sizes["near"] <= 8 * len(texts)

@@ -88,7 +88,6 @@ def test_byte_ids():
 def test_packing_query(spark, edge_dir, table):
     folder = edge_dir if table == "edge" else "/root/testdata/sf0.01"
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     ids = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs}
     rows = QUERIES["op8_sequence_packing"](spark, folder).collect()
