@@ -290,6 +290,28 @@ def recovered_json(spark, folder):
     return table(spark, folder, "events").select("event_id", "event_type", "props").select("event_id", found["k"].alias("k"))
 
 
+@check(
+    """
+    SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS value FROM events WHERE event_type NOT IN ('error', 'click')
+    UNION ALL
+    SELECT event_id, event_type || '_' || user_id, '{"ids":[' || event_id || ',null],"who":"u' || user_id || '"}' FROM events WHERE event_type NOT IN ('error', 'click')
+    """
+)
+def recovered_fields(spark, folder):
+    """Fields whose names are data: all that a recovered object holds, nested values as JSON text."""
+    kind, event = F.col("event_type"), F.col("event_id")
+    inner = F.to_json(F.struct(F.array(event, F.lit(None).cast("bigint")).alias("ids"), F.concat(F.lit("u"), "user_id").alias("who")))
+    object_ = F.format_string('{"k": %s, "%s_%s": %s}', F.get_json_object("props", "$.k"), kind, F.col("user_id"), inner)
+    reply = (
+        F.when(kind == "error", F.concat(F.lit("{broken "), object_))
+        .when(kind == "click", F.concat(object_, F.lit(" and "), object_))
+        .otherwise(F.concat(F.lit("Sure:\n```json\n"), object_, F.lit("\n``` done")))
+    )
+    found = table(spark, folder, "events").select("event_id", jsontext.recover_variant(reply).alias("found"))
+    fields = found.lateralJoin(spark.tvf.variant_explode(F.col("found").outer()))
+    return fields.select("event_id", F.col("key").alias("field"), F.to_json("value").alias("value"))
+
+
 @check(
     """
     SELECT p_partkey, lower(p_brand) || ' guards ' || p_name || chr(10) || '1. ' || p_type || chr(10) || '2. size ' || p_size || chr(10)

@@ -371,6 +371,21 @@ def run_metadata_by_user(spark, folder):
     return got.withColumn("total_cost", F.col("total_cost").cast("double"))
 
 
+@check(
+    """
+    SELECT event_type, count(DISTINCT value) AS models, 1 AS within FROM events GROUP BY event_type
+    """
+)
+def distinct_values_by_type(spark, folder):
+    """Exact counts of a column of many values, and whether the sketches of all users, merged, keep to their bounds."""
+    events = table(spark, folder, "events").select("event_type", "user_id", F.col("value").cast("string").alias("value"))
+    exact = E.model_counts(events, ["event_type"], F.col("value")).select("event_type", "models")
+    parts = E.model_counts(events, ["event_type", "user_id"], F.col("value"))
+    merged = E.merged_counts(parts, ["event_type"])
+    both = exact.join(merged, "event_type")
+    return both.select("event_type", "models", F.col("models").between(F.col("least"), F.col("most")).cast("int").alias("within"))
+
+
 @check(
     f"""
     SELECT user_id, string_agg(event_type || ': API error: ' || e, chr(10) ORDER BY event_type) AS warnings

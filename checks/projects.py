@@ -84,6 +84,27 @@ def forced_tools(spark, folder):
     return found.select("project", "stack", "position", "category", "name", F.coalesce("type", F.lit("")).alias("type"))
 
 
+# A tool for each part, asked for by the digits of its key, by its brand and size, and by a word that no stack has.
+@check(
+    """
+    WITH s AS (SELECT o_orderkey, 'Node ' || o_orderkey || ' on ' || o_orderpriority || ' Brand#' || (o_custkey % 30) || ' 1' AS stack FROM orders),
+    w AS (
+      SELECT p_partkey, unnest([CAST(p_partkey + 1000 AS VARCHAR), CASE WHEN p_partkey % 5 = 0 THEN upper(p_brand) || ' 1' ELSE 'nowhere' END,
+                                CASE WHEN p_partkey = 7 THEN '' ELSE '?' || p_name END]) AS word FROM part WHERE p_partkey % 10 <> 9
+    )
+    SELECT DISTINCT o_orderkey, p_partkey FROM s JOIN w ON contains(lower(stack), lower(word))
+    """
+)
+def forced_of_many_tools(spark, folder):
+    key = F.col("p_partkey")
+    brand = F.when(key % 5 == 0, F.concat(F.upper("p_brand"), F.lit(" 1"))).otherwise("nowhere")
+    words = F.array((key + 1000).cast("string"), brand, F.when(key == 7, "").otherwise(F.concat(F.lit("?"), "p_name")))
+    many = table(spark, folder, "part").select("p_partkey", F.when(key % 10 != 9, words).alias("force_if_keywords"))
+    text = F.concat(F.lit("Node "), "o_orderkey", F.lit(" on "), "o_orderpriority", F.lit(" Brand#"), F.col("o_custkey") % 30, F.lit(" 1"))
+    orders = table(spark, folder, "orders").select("o_orderkey", text.alias("stack"))
+    return C.forced_by_index(orders, many).select("o_orderkey", "p_partkey")
+
+
 @check(
     f"""
     SELECT s.project,

@@ -12,6 +12,9 @@ from opslens.functions.text import bound, document_lines, strip, tokens_at_least
 from opslens.operators.ordered import row_numbers
 from opslens.session import meet, sized
 
+SLOTS = 1 << 24  # counters of a hash function; as bits at most 2 MB
+SKETCH_ROWS = 2
+
 
 def _line_counts(documents: DataFrame, text: str, min_len: int) -> DataFrame:
     """One row per document and distinct long line: the other columns, ``line`` and its ``occurrences``.
@@ -38,26 +41,70 @@ def _line_counts(documents: DataFrame, text: str, min_len: int) -> DataFrame:
     return documents.select(*kept, F.explode(bound(long_lines, runs)).alias("_l")).select(*kept, "_l.*")
 
 
-def line_redundancy(documents: DataFrame, text: str = "content", min_len: int = V.MIN_SHARED_LINE_CHARS) -> DataFrame:
+def repeated_slots(lines: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """A count-min sketch of (line, occurrences) reduced to what a filter needs: (row, word, bits) of the counters above one.
+
+    Each of ``SKETCH_ROWS`` hash functions gives a line one of ``slots`` counters. Tasks add up their own counters before the
+    shuffle, which moves 16 bytes a counter and no text. The table has at most ``SKETCH_ROWS * slots / 64`` rows.
+    """
+    counters = lines.select(F.explode(_slots_of(F.col("line"), slots)).alias("_s"), "occurrences").groupBy("_s.row", "_s.slot")
+    above = counters.agg(F.sum("occurrences").alias("n")).where("n > 1")
+    bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
+    return above.groupBy("row", F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _slots_of(line: Column, slots: int) -> Column:
+    at = lambda row: F.pmod(F.xxhash64(F.lit(row), line), F.lit(slots).cast("bigint"))
+    return F.array(*[F.struct(F.lit(row).alias("row"), at(row).alias("slot")) for row in range(SKETCH_ROWS)])
+
+
+def may_repeat(lines: DataFrame, marks: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The rows of ``lines`` whose counters all are above one: every line that occurs twice, and few others."""
+    columns = lines.columns
+    lines = lines.withColumn("_slots", _slots_of(F.col("line"), slots))
+    for row in range(SKETCH_ROWS):
+        slot = F.col("_slots")[row]["slot"]
+        words = marks.where(F.col("row") == row).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+        set_ = F.expr("shiftright(_bits, cast(_slot & 63 AS int)) & 1") == 1
+        lines = lines.withColumn("_slot", slot).withColumn("_word", F.shiftright(slot, 6)).join(words, "_word").where(set_)
+        lines = lines.drop("_slot", "_word", "_bits")
+    return lines.select(*columns)
+
+
+def _repeated(documents: DataFrame, text: str, min_len: int, slots: int) -> DataFrame:
+    """Lines of each document, with their ``occurrences`` in it, that may occur more than once in all."""
+    lines = _line_counts(documents, text, min_len)
+    marks, _ = sized(repeated_slots(lines, slots), "slots", limit=SKETCH_ROWS * slots // 64)
+    return may_repeat(lines, marks, slots)
+
+
+def line_redundancy(
+    documents: DataFrame, text: str = "content", min_len: int = V.MIN_SHARED_LINE_CHARS, slots: int = SLOTS
+) -> DataFrame:
     """Lines longer than ``min_len`` that occur more than once: (line, occurrences, documents).
 
-    One shuffle of lines that are already counted per document; a line found everywhere costs one row per task.
+    A first pass counts hashes (:func:`repeated_slots`), a second one counts the lines that are left by their text, so lines that
+    occur once are read but not shuffled. A line found everywhere costs one row per task.
     """
-    counted = _line_counts(documents.select(text), text, min_len).groupBy("line").agg(
-        F.sum("occurrences").alias("occurrences"), F.count("*").alias("documents")
-    )
+    return _counted(_repeated(documents.select(text), text, min_len, slots))
+
+
+def _counted(lines: DataFrame) -> DataFrame:
+    counted = lines.groupBy("line").agg(F.sum("occurrences").alias("occurrences"), F.count("*").alias("documents"))
     return counted.where(F.col("occurrences") > 1)
 
 
 def line_postings(
-    documents: DataFrame, doc: str = "path", text: str = "content", min_len: int = V.MIN_SHARED_LINE_CHARS
+    documents: DataFrame, doc: str = "path", text: str = "content", min_len: int = V.MIN_SHARED_LINE_CHARS, slots: int = SLOTS
 ) -> DataFrame:
     """The inverted index of shared lines as rows (line, doc, occurrences), instead of a list per line.
 
-    The shared lines are stored and measured. If they are few, they are broadcast and the documents are not shuffled.
+    The shared lines are stored and measured. If they are few, they are broadcast and the documents are not shuffled; else
+    only lines that may be shared are.
     """
-    shared, _ = sized(line_redundancy(documents, text, min_len).select("line"), "shared")
-    return _line_counts(documents.select(doc, text), text, min_len).join(shared, "line", "left_semi")
+    lines = _repeated(documents.select(doc, text), text, min_len, slots)
+    shared, _ = sized(_counted(lines).select("line"), "shared")
+    return lines.join(shared, "line", "left_semi")
 
 
 def redundancy_summary(documents: DataFrame, text: str = "content", min_len: int = V.MIN_SHARED_LINE_CHARS) -> DataFrame:

@@ -41,3 +41,28 @@ def run_metadata(records: DataFrame, key: Sequence[str], tokens: Column, cost: C
         F.sum("_cost").alias("total_cost"),
         F.array_join(F.array_sort(F.collect_set("_model")), ", ").alias("models_used"),
     )
+
+
+def model_counts(records: DataFrame, key: Sequence[str], model: Column, log_size: int = 12) -> DataFrame:
+    """How many distinct models each key has: ``models`` exactly, and ``sketch``, mergeable, with its estimate and error bound.
+
+    The exact count first reduces to one row per key and model, so no set is built; NULL models do not count. The sketch is an
+    HLL of ``2 ** log_size`` registers: :func:`merged_counts` adds up those of days or sources without going back to the records.
+    """
+    pairs = records.select(*key, model.alias("_model")).groupBy(*key, "_model").agg(F.lit(1).alias("_one"))
+    counted = pairs.groupBy(*key).agg(F.count("_model").alias("models"), F.hll_sketch_agg("_model", log_size).alias("sketch"))
+    return _with_bounds(counted, log_size)
+
+
+def merged_counts(counts: DataFrame, key: Sequence[str], log_size: int = 12) -> DataFrame:
+    """Sketches of several parts as one for each key: (key, sketch, estimate, least, most)."""
+    return _with_bounds(counts.groupBy(*key).agg(F.hll_union_agg("sketch").alias("sketch")), log_size)
+
+
+def _with_bounds(counted: DataFrame, log_size: int) -> DataFrame:
+    """``least`` and ``most`` are three standard errors (1.04 / sqrt(registers), of merged sketches) around the estimate."""
+    error = 3 * 1.04 / 2 ** (log_size / 2)
+    estimate = F.hll_sketch_estimate("sketch")
+    return counted.withColumn("estimate", estimate).withColumns(
+        {"least": F.floor(F.col("estimate") * (1 - error)), "most": F.ceil(F.col("estimate") * (1 + error))}
+    )

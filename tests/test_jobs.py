@@ -41,6 +41,54 @@ def test_line_redundancy(spark):
     assert rows(P.redundancy_summary(docs)) == [(1, 3)]
 
 
+def test_lines_that_occur_once_stay_where_they_are(spark):
+    docs = spark.range(300).select(
+        F.col("id").alias("path"), F.concat(F.lit("a line that all documents share\na line of document number "), "id", F.lit("\nshort")).alias("content")
+    )
+    lines = P._line_counts(docs, "content", 20)
+    marks = P.repeated_slots(lines)
+    left = P.may_repeat(lines, marks)
+    assert marks.count() == P.SKETCH_ROWS and left.count() == 300 and left.select("line").distinct().count() == 1
+    for slots in (1, 64, 4096):  # crowded counters let more lines pass, with the same result
+        assert P.line_redundancy(docs, slots=slots).collect() == [("a line that all documents share", 300, 300)]
+        assert P.line_postings(docs, slots=slots).count() == 300
+
+
+def test_many_tools(spark):
+    """The index against the row-wise match: short, empty, missing and overlapping keywords."""
+    import random
+
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abCd/") for _ in range(n))
+    tools = [(f"t{i}", r.choice([None, [], [word(r.randrange(6)) for _ in range(r.randrange(4))] + [None] * r.randrange(2)])) for i in range(300)]
+    tools = spark.createDataFrame(tools, "name string, force_if_keywords array<string>")
+    stacks = spark.createDataFrame([(i, r.choice([None, "", "c"] + [word(20)] * 9)) for i in range(60)], "project long, stack string")
+    got = C.forced_by_index(stacks, tools)
+    want = stacks.crossJoin(tools).where(C.is_forced(F.struct("force_if_keywords"), F.col("stack")))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 100
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert C.forced_by_index(stacks, tools.where("false")).isEmpty() and C.forced_by_index(stacks.where("false"), tools).isEmpty()
+
+
+def test_recovered_variants(spark):
+    from opslens.functions.jsontext import recover_variant
+
+    texts = ['x ```json\n{"a": {"new": [1, "z"]}, "b": null}``` y', '{"a": 1} {"b": 2}', "{broken", "[1]", "no", None, '{"a": 1}, {"b": 2}', "{}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select(F.to_json(recover_variant(F.col("t"))).alias("v"), F.to_json(recover_variant(F.col("t"), F.parse_json(F.lit('{"f": 1}')))).alias("w")).collect()
+    assert [r["v"] for r in got] == ['{"a":{"new":[1,"z"]},"b":null}', None, None, None, None, None, None, "{}"]
+    assert {r["w"] for r in got[1:7]} == {'{"f":1}'}
+
+
+def test_model_counts(spark):
+    rows_ = spark.range(30000).select((F.col("id") % 3).alias("k"), (F.col("id") % 4).alias("day"), F.concat(F.lit("m"), F.floor(F.col("id") / 2)).alias("m"))
+    exact = {r["k"]: r["models"] for r in E.model_counts(rows_, ["k"], F.col("m")).collect()}
+    assert exact == {0: 10000, 1: 10000, 2: 10000}
+    for r in E.merged_counts(E.model_counts(rows_, ["k", "day"], F.col("m")), ["k"]).collect():
+        assert r["least"] <= 10000 <= r["most"] and r["most"] - r["least"] < 1100
+    assert E.model_counts(rows_.withColumn("m", F.lit(None).cast("string")), ["k"], F.col("m")).first()["models"] == 0
+
+
 def test_reference_payload(spark):
     docs = documents(spark)
     sizes = P.token_counts(docs).withColumnRenamed("path", "doc")
