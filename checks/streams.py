@@ -46,6 +46,21 @@ def ingested_activity(spark, folder):
     return M.combined_pages(table).withColumn("error", F.coalesce("error", F.lit("")))
 
 
+@check(f"SELECT * REPLACE (coalesce(error, '') AS error) FROM ({CM.REPO_SQL})")
+def activity_in_increments(spark, folder):
+    """Orders land in three parts, the oldest last; each run adds its part to the days, and the report reads a week of them."""
+    at, orders = run_folder(spark), table(spark, folder, "orders")
+    number = F.unix_date(F.col("o_orderdate").cast("date")).cast("double")
+    cuts = orders.select(number.alias("n")).approxQuantile("n", [0.9, 0.4], 0.01)
+    bounds = [float("inf"), *cuts, float("-inf")]
+    schema = CM.activity_payloads(orders).schema
+    for high, low in zip(bounds, bounds[1:], strict=False):
+        part = orders.where((number <= high) & (number > low))
+        CM.activity_payloads(part).write.mode("append").parquet(f"{at}/landed")
+        finished(R.write_daily(spark.readStream.schema(schema).parquet(f"{at}/landed"), f"{at}/days", f"{at}/checkpoint"))
+    return R.metrics_of_days(spark, f"{at}/days", CM.ORDERS_AS_OF).withColumn("error", F.coalesce("error", F.lit("")))
+
+
 @check(
     """
     SELECT user_id, strftime(w, '%Y-%m-%d') AS window_start, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors

@@ -12,6 +12,7 @@ from opslens.functions.temporal import in_date_range, in_trailing_window, parse_
 from opslens.session import meet, sized
 
 AsOf = str | datetime
+UNDATED = "undated"
 
 
 def _zero() -> Column:
@@ -98,6 +99,41 @@ def combined_pages(pages: DataFrame) -> DataFrame:
     return counted.groupBy("repo").agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS], F.min("error").alias("error"))
 
 
+def daily_partials(activity: DataFrame) -> DataFrame:
+    """Counters of payloads by the day that they count for: (repo, day, five counters, error), one row a repo, day and error.
+
+    Partials of several batches add up (:func:`combined_days`). The day ``UNDATED`` has a row for every payload, so that a repo
+    without counts is there, and the errors.
+    """
+    repository = F.col("body")["data"]["repository"]
+    kinds = {n: "bigint" for n in V.ACTIVITY_FIELDS}
+    entry = f"array<struct<day: string, {', '.join(f'{n}: {kind}' for n, kind in kinds.items())}>>"
+    zeros = {n: _zero().alias(n) for n in kinds}
+
+    def counted(name: str, field: str, **values: str | None) -> Column:
+        def one(node: Column) -> Column:
+            given = {n: (F.lit(1) if f is None else F.coalesce(node[f], _zero())).cast("bigint").alias(n) for n, f in values.items()}
+            return F.struct(F.date_format(parse_iso(node[field]), "yyyy-MM-dd").alias("day"), *(zeros | given).values())
+
+        return F.coalesce(F.transform(repository[name]["nodes"], one), F.array().cast(entry))
+
+    undated = F.array(F.struct(F.lit(UNDATED).alias("day"), *zeros.values()))
+    dated = F.concat(
+        counted("pullRequests", "createdAt", prs_submitted=None),
+        counted("pullRequests", "mergedAt", lines_added="additions", lines_deleted="deletions"),
+        counted("issues", "closedAt", bugs_closed=None),
+        counted("releases", "createdAt", releases_done=None),
+    )
+    judged = activity.withColumn("error", activity_error(broken=malformed(activity)))
+    entries = F.when(F.col("error").isNull(), F.concat(undated, dated)).otherwise(undated)
+    exploded = judged.select("repo", "error", F.explode(entries).alias("_e")).select("repo", "error", "_e.*")
+    return combined_days(exploded.where("day IS NOT NULL"))
+
+
+def combined_days(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("repo", "day", "error").agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS])
+
+
 def change_counters(
     created: Column, merged: Column, added: Column, deleted: Column, as_of: AsOf, days: int = V.WINDOW_DAYS
 ) -> list[Column]:

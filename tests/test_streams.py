@@ -1,6 +1,7 @@
 import json
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -119,6 +120,30 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert L.read_activity(spark, str(landing)).count() == 2
 
 
+def test_days_add_up_to_the_report(spark, tmp_path):
+    """Three increments, the last one late and repeated: the report over days equals the one over all files."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    days, check = str(tmp_path / "days"), tmp_path / "check"
+    as_of = AS_OF[:10] + "T00:00:00Z"
+    run = lambda: R.write_daily(spark.readStream.schema(ACTIVITY).json(str(landing)), days, str(check)).awaitTermination()
+    broken = activity("o/mixed", MIXED) | {"http_status": 500}
+    parts = [[activity("o/mixed", MIXED), activity("o/none", {})], [broken, activity("p/q", MIXED)], [activity("o/mixed", MIXED)]]
+    for n, rows in enumerate(parts):
+        (landing / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        run()
+        got = sorted(map(str, R.metrics_of_days(spark, days, as_of).collect()))
+        assert got == sorted(map(str, M.repo_metrics(L.read_activity(spark, str(landing)), as_of).collect()))
+    for folder in ("commits/2", "commits/.2.crc"):
+        (check / folder).unlink(missing_ok=True)
+    run()
+    assert sorted(map(str, R.metrics_of_days(spark, days, as_of).collect())) == got and len(got) == 3
+    text = R.metrics_of_days(spark, days, as_of)._jdf.queryExecution().toString()
+    assert "month" in text.split("PartitionFilters")[1][:200]
+    with pytest.raises(ValueError):
+        R.metrics_of_days(spark, days, AS_OF)
+
+
 def test_closed_windows(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
