@@ -65,6 +65,53 @@ def added(text):
     return [(s["kind"], text[s["start"] : s["end"]]) for s in secrets.secret_spans(text) if not s["base"]]
 
 
+V = "Tq8!kd92Lz0p"
+FORMS = [
+    f'config["pwd"] = "{V}"', f"os.environ['DB_PWD'] = '{V}'", f'db_pwd: str = "{V}"', f'let dbPwd: String = "{V}"', f'pwd: Optional[str]="{V}"',
+    f'pwd = """{V}"""', f"pwd = r\'\'\'{V}\'\'\'", f"pwd = `{V}`", f'pwd = ("{V}")', f'pwd = ["{V}", "other"]', f'pwd = {{ "{V}" }}', f'pwd = \\\n    "{V}"',
+    f'pwd =\n  "{V}"', f'pwd = (\n  "{V}"\n)', f"pwd:\n  {V}\n", f"pwd: |\n  {V}\nnext: 1", f"pwd: >-\n  {V}", f"<pwd>{V}</pwd>", f'<db.pwd type="x">{V}</db.pwd>',
+    f'set_pwd("{V}")', f'putenv("DB_PWD", "{V}")', f"conn.setPassphrase( '{V}' )", f'a = B\npwd = a\nB = "{V}"', f'pwd = LATER\nx = 1\nLATER = "{V}"',
+    f'data["a"]["pwd"] := "{V}"', f'"pwd" => "{V}"', f"DB_PWD={V}", f"pwd : {V}", f'x = 1; pwd = "{V}"; y = 2',
+]
+NOT = [
+    "primary_key = customer_identifier", 'auth_url = "https://login.example.org/start/Tq8kd92"', 'pwd = get_value(a, "b")', "pwd = other_name", "pwd:\n\nA line of prose here",
+    f'get_pwd("{V}")', f'name = "{V}"', 'pwd = "changeme"', "pwd: Optional[str] = None", "pwd =\nnext_line9 and more", f'foreign_key = "{V}"', f'primary_key = "{V}"', "pwd = a\na = pwd",
+]
+
+
+@pytest.mark.parametrize("text", FORMS)
+def test_secret_forms(text):
+    """Every form of an assignment gives a span over its value, and nothing else."""
+    for whole in (text, "Some prose. " * 20 + "\n" + text + "\nmore = 5\n"):
+        assert added(whole) == [("pair", V)]
+
+
+@pytest.mark.parametrize("text", NOT)
+def test_no_secret(text):
+    assert added(text) == []
+
+
+def test_lexing_takes_time_in_proportion():
+    import time
+
+    def seconds(text):
+        start = time.process_time()
+        secrets.secret_spans(text)
+        return time.process_time() - start
+
+    units = ['pwd = """', "pwd = `", "a: b ", "set_pwd('", "x['k'", "<pwd>a</pw", "pwd =\n(", "a = a + a\n", "name " * 5 + "=", "pwd: a b c d e f ", "\"'"]
+    for unit in units:
+        seconds(unit * 200)
+        assert seconds(unit * 16000) < 60 * (seconds(unit * 1000) + 0.02), unit
+
+
+def test_long_literals_are_scored_whole():
+    weak, strong = "a" * 20000, "a" * 5000 + "bC3$" * 5000
+    assert added(f'pwd = "{weak}"') == [] and added(f'pwd = "{strong}"') == [("pair", strong)]
+    half = strong[:10000]
+    assert added(f'a = "{half}"\npwd = a + "{strong[10000:]}"')[0][1].endswith(strong[10000:])
+
+
 def test_secret_pairs():
     assert added('K = "zX9qLm20PqWe"\nclient_secret = K\n') == [("pair", "zX9qLm20PqWe")]
     assert ("pair", '"aabb19" + "ccdd1X') not in added('color = "aabb19" + "ccdd1X"')
