@@ -1,7 +1,7 @@
 """Document fingerprints by spot signatures, in DataFrame operations only.
 
 A signature is a common word (the anchor) and the chain of the next ``CHAIN`` content words, hashed to 32 bits; common words
-in between are passed over. Prose is full of anchors and page furniture is not, so signatures sit in the body. A text's
+in between are passed over, and of several common words in a row each is an anchor. Prose is full of anchors and page furniture is not, so signatures sit in the body. A text's
 fingerprint is the sorted set of its signatures. A text without a whole chain has one signature, the hash of its words.
 
 Anchors are found by marking: in the text, reduced to words with one space between them, each common word is tied to the
@@ -40,11 +40,11 @@ def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -
     def chains(tokens: Column) -> Column:
         def hashed(contents: Column) -> Column:
             def at(token: Column, i: Column) -> Column:
-                anchor = F.element_at(F.split(token, "~"), -2)
-                return F.when(F.contains(token, F.lit("~")), F.hash(anchor, F.slice(contents, i + 1, chain)))
+                parts = F.split(token, "~")
+                return F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda anchor: F.hash(anchor, F.slice(contents, i + 1, chain)))
 
             whole = F.slice(tokens, 1, F.greatest(F.size(tokens) - chain + 1, F.lit(0)))
-            return F.array_compact(F.array_distinct(F.transform(whole, at)))
+            return F.array_distinct(F.flatten(F.transform(whole, at)))
 
         contents = F.transform(tokens, lambda t: F.substring_index(t, "~", -1))
         return F.transform(F.array(contents), hashed)[0]

@@ -122,16 +122,23 @@ def test_one_of_each(spark, repeated_dir):
 
 
 def signature_set(text):
+    """From the definition: every common word, with the next content words after it. The last word of a text counts as content."""
     words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
-    content = [(i, w) for i, w in enumerate(words) if w not in spotsigs.ANCHORS or i == len(words) - 1]
     found = set()
-    for k in range(len(content) - spotsigs.CHAIN + 1):
-        i = content[k][0]
-        if i and words[i - 1] in spotsigs.ANCHORS:
-            found.add((words[i - 1], *[w for _, w in content[k : k + spotsigs.CHAIN]]))
+    for i, anchor in enumerate(words[:-1]):
+        if anchor in spotsigs.ANCHORS:
+            chain = [w for k, w in enumerate(words[i + 1 :], i + 1) if w not in spotsigs.ANCHORS or k == len(words) - 1][: spotsigs.CHAIN]
+            if len(chain) == spotsigs.CHAIN:
+                found.add((anchor, *chain))
     return found or {tuple(words)}
 
 
+def test_every_anchor_signs(spark):
+    texts = ["in the house green tree door", "of the in and one two three", "no common words here now", "the the a b c d", "the", ""]
+    sizes = {r.t: r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.size(spotsigs.signatures(F.col("t"))).alias("n")).collect()}
+    assert sizes == {t: len(signature_set(t)) for t in texts} and sizes[texts[0]] == 2
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
