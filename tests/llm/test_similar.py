@@ -50,6 +50,7 @@ def test_stage_finds_what_is_alike(spark, rows, crowd, monkeypatch):
     monkeypatch.setattr(similar, "ROWS_AT_ONCE", rows)
     monkeypatch.setattr(similar, "MOST_PAIRS", rows)
     monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "PIECE", 200 if crowd > 100 else 20)
     texts = edited_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
