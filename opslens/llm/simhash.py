@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.llm.components import connected
-from opslens.session import materialize
+from opslens.session import materialize, sized
 
 SHINGLE = 4
 DISTANCE = 4
@@ -252,10 +252,16 @@ def keep_one_of_each(
     """
     named = docs.where(F.col(id_col).isNotNull()).withColumn("__hash", F.xxhash64(text_col))
     keyed = named.select(F.struct(F.col(id_col).alias("id"), F.col("__hash").alias("hash")).alias("__key"), text_col)
-    found = find(keyed, "__key", text_col, **options)
-    chosen = found.where(F.col("__key") == F.col("component_id")).select(
-        F.col("__key.id").alias(id_col), F.col("__key.hash").alias("__hash")
-    )
+    found = find(keyed, "__key", text_col, **options).groupBy("__key", "component_id").agg(F.count("*").alias("rows"))
+    found = materialize(found, "found")
+    key = [F.col("__key.id").alias(id_col), F.col("__key.hash").alias("__hash")]
+    other = F.col("__key") != F.col("component_id")
     first = F.row_number().over(Window.partitionBy(id_col, "__hash").orderBy(F.xxhash64(*docs.columns)))
-    kept = named.join(chosen.distinct(), [id_col, "__hash"]).withColumn("__row", first).where("__row = 1")
+    # What goes is a smaller table than what stays, and rows are ranked only where some repeat as a whole.
+    gone, _ = sized(found.where(other).select(key), "gone")
+    kept = named.join(gone, [id_col, "__hash"], "left_anti")
+    twice, _ = sized(found.where(~other & (F.col("rows") > 1)).select(key), "twice")
+    if not twice.isEmpty():
+        repeated = kept.join(twice, [id_col, "__hash"], "left_semi").withColumn("__row", first).where("__row = 1").drop("__row")
+        kept = kept.join(twice, [id_col, "__hash"], "left_anti").unionByName(repeated)
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
