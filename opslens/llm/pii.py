@@ -347,6 +347,8 @@ def mask_pii(
 ) -> DataFrame:
     """``docs`` with all columns, the spans of the text replaced by their kind; a null text stays null.
 
+    Texts are read whole, however long; rows that repeat stay repeated and are masked alike; an empty table gives no rows.
+
     If ``length_col`` is given, it takes the length of the new text, wherever that has changed.
     """
     weights = train(docs, id_col, text_col) if weights is None else weights

@@ -161,6 +161,10 @@ def quality_verdicts(
 
 
 def keep_good(docs: DataFrame, rules: Mapping[str, Rule] = BASE_RULES | OWN_RULES, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with all their columns; a null text counts as empty."""
+    """The rows of ``docs`` that no rule rejects, with all their columns.
+
+    A null text counts as empty. Texts are read whole, however long; rows that repeat are judged alike and stay repeated; an
+    empty table gives no rows. Only the text is looked at, whatever the names of the other columns.
+    """
     order = rule_order(docs, rules, text_col)
     return docs.where(~cascade(F.coalesce(F.col(text_col), F.lit("")), rules, order))

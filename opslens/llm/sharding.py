@@ -139,7 +139,9 @@ def assign_shards(
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: Sequence[str] = DIMENSIONS, **columns: str) -> DataFrame:
     """Write the rows of ``docs`` under ``path``, a folder ``shard=N`` for each shard in the order of slots; returns the manifest.
 
-    The manifest has a row for each shard: rows, bytes, and the least and greatest value of every dimension.
+    The manifest has a row for each shard that has rows: rows, bytes, and the least and greatest value of every dimension,
+    nulls aside. Long texts count with all their bytes; rows that repeat have slots of their own; an empty table gives an empty
+    manifest. Every column in ``dimensions`` has to be there.
     """
     assigned = assign_shards(docs, shards, dimensions, carry=True, **columns)
     assigned.select("shard", "slot", "size", "row").write.partitionBy("shard").parquet(path)

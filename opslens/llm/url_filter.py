@@ -76,7 +76,8 @@ def judge_urls(
 ) -> DataFrame:
     """Rows (id, host, path, rule, verdict), one for each row of ``pages``.
 
-    ``rule`` is the winning rule's host and path, null if none fits; then ``verdict`` is ``default``. A null url, or one
+    ``rule`` is the winning rule's host and path, null if none fits; then ``verdict`` is ``default``. The longest host and path
+    win; two rules that fit one url and are equally long are the same host and path, so ``rules`` names each once. A null url, or one
     without ``://``, has an empty host and path. Repeated rows stay repeated; other columns are not looked at. Empty
     tables give no rows; without rules every url gets the default.
     """
