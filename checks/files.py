@@ -293,5 +293,5 @@ def deep_include_chain(spark, folder):
     name = F.when(doc < table(spark, folder, "documents").agg(F.max("doc_id")).scalar(), F.concat(F.lit("\n@d"), doc + 1)).otherwise("")
     content = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), name)
     docs = table(spark, folder, "documents").select(F.concat(F.lit("d"), doc).alias("path"), content.alias("content"))
-    lines = expand_includes(docs, roots=F.col("path") == "d0")
-    return lines.select((F.size("position") - 1).cast("bigint").alias("at"), "line")
+    lines = expand_includes(docs, roots=F.col("path") == "d0", numbered=True)
+    return lines.select(F.col("level").cast("bigint").alias("at"), "line")

@@ -306,6 +306,13 @@ def test_include_graphs_against_recursion(spark):
         assert expanded_text(K.expand_includes(files)) == want
         some = expanded_text(K.expand_includes(files, roots=F.col("path").isin("g0", "g3")))
         assert some == {k: want[k] for k in ("g0", "g3")}
+        for roots in (None, F.col("path").isin("g0", "g3")):
+            told = K.expand_includes(files, roots=roots, numbered=True).collect()
+            levels = sorted((r["root"], tuple(r["position"])) for r in K.expand_includes(files, roots=roots).collect())
+            assert [r["level"] for r in sorted(told, key=lambda r: (r["root"], r["at"]))] == [len(p) - 1 for _, p in levels]
+            assert sorted((r["root"], r["at"], r["line"]) for r in told) == sorted(
+                (k, at, line) for k in (some if roots is not None else want) for at, line in enumerate(want[k].split("\n"))
+            )
         edges = {(k, line[1:]) for k, v in docs.items() for line in v.split("\n") if line[0] == "@" and line[1:] in docs}
         for roots in (list(docs), ["g2", "g5", "none"]):
             got = K.include_closure(K.edge_table(files), spark.createDataFrame([(x,) for x in roots], "root string")).collect()
