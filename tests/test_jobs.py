@@ -344,6 +344,28 @@ def test_shared_includes_are_found_once(spark, monkeypatch):
     assert len([n for name, n in tables if name == "pairs"]) <= 10
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_of_includes_are_not_broadcast(spark, monkeypatch):
+    """Tables of the rounds are tiny as files whatever they hold; positions of a chain take two numbers, not the way."""
+    plans = []
+
+    def planned(df, name):
+        plans.append(plan_of(df))
+        return materialize(df, name)
+
+    monkeypatch.setattr(K, "materialize", planned)
+    chain = documents(spark, {f"c{i}": f"text {i}\n@c{i + 1}" for i in range(9)} | {"c9": "end"})
+    lines = K.expand_includes(chain, roots=F.col("path") == "c0", numbered=True)
+    assert sorted((r["at"], r["level"], r["line"]) for r in lines.collect()) == [(i, i, f"text {i}") for i in range(9)] + [(9, 9, "end")]
+    edges = spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    for roots in (spark.createDataFrame([(0,)], "root long"), spark.range(50).withColumnRenamed("id", "root")):
+        plans.append(plan_of(K.include_closure(edges, roots)))
+    assert "Broadcast" not in "".join([*plans, plan_of(lines)])
+
+
 def test_many_labels(spark):
     markers = {f"f{i}": f"label{i:03d}" for i in range(100)}
     files = spark.createDataFrame([("p", f"f{i}") for i in range(100)] + [("q", "x"), (None, "f1")], "project string, path string")
