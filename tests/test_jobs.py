@@ -67,6 +67,10 @@ def test_many_tools(spark):
     want = stacks.crossJoin(tools).where(C.is_forced(F.struct("force_if_keywords"), F.col("stack")))
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 100
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    for hot in (1, 7):  # runs dealt to several tasks
+        some = C.forced_by_index(stacks, tools, hot=hot)
+        assert sorted(map(str, some.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()  # the pairs are not made distinct by moving them
     assert C.forced_by_index(stacks, tools.where("false")).isEmpty() and C.forced_by_index(stacks.where("false"), tools).isEmpty()
 
 
