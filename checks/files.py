@@ -18,7 +18,7 @@ from opslens.plans import documents as D
 from opslens.plans import logs as PL
 from opslens.plans.weekly_report import message_outbox
 from opslens.plans.weekly_report import weekly_report as weekly_job
-from opslens.session import shared_folder
+from opslens.session import materialize, shared_folder
 from opslens.sources import corpus as SC
 from opslens.sources import landing as L
 
@@ -57,6 +57,7 @@ def weekly_outbox_routes(spark, folder):
 def outbox_written_twice(spark, folder):
     """A run that is written a second time, and another one beside it, of which only the first is read."""
     report, at = written_report(spark, folder)
+    report = materialize(report, "report")
     for run in ("2024-01", "2024-01", "2024-02", "2024-01"):
         R.write_outbox(report, f"{at}/outbox", run=run)
     schema = "project string, destination string, payload string, sink string"

@@ -3,14 +3,14 @@
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens import schemas as S
 from opslens import values as V
 from opslens.functions.money import money_text
 from opslens.session import importable, qualified
-from opslens.sources.outbox import Outbox
+from opslens.sources.outbox import DONE, Outbox
 
 
 def source_structs(sources: DataFrame) -> DataFrame:
@@ -187,13 +187,21 @@ def routed(report: DataFrame) -> DataFrame:
     return rendered.select("project", F.explode(targets).alias("_t")).select("project", "_t.*")
 
 
+def is_written(spark: SparkSession, path: str, run: str) -> bool:
+    """True if the run is marked as done in the outbox."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_runs/{run}.{DONE}")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_outbox(report: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
     """Write the outbox: one folder per sink, JSON records (project, destination, payload).
 
     ``run`` names the run that the report belongs to, such as its date: a run that has been written is not written again, so a
-    repeated call leaves each record once. Without a name every call is a run of its own.
+    repeated call leaves each record once, and makes no report. Without a name every call is a run of its own.
     """
     spark = report.sparkSession
+    if run and mode == "append" and is_written(spark, path, run):
+        return
     importable(spark)
     spark.dataSource.register(Outbox)
     options = {"run": run or uuid.uuid4().hex, "by": "sink"}

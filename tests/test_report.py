@@ -245,6 +245,23 @@ def test_outbox_of_a_report(spark, tmp_path):
     assert spark.read.json(at).count() == R.routed(report).count()
 
 
+def test_finished_run_makes_no_report(spark, tmp_path, monkeypatch):
+    report = spark.createDataFrame([("p", 1)], "project string, n int")
+    made = []
+
+    def routed(df):
+        made.append(1)
+        return df.select("project", F.lit("slack").alias("sink"), F.lit("C1").alias("destination"), F.lit("{}").alias("payload"))
+
+    monkeypatch.setattr(R, "routed", routed)
+    at = str(tmp_path / "finished")
+    for run in ("one", "one", "two", "one"):
+        R.write_outbox(report, at, run=run)
+    assert len(made) == 2 and spark.read.json(at).count() == 2
+    R.write_outbox(report, at, mode="overwrite", run="one")
+    assert len(made) == 3 and spark.read.json(at).count() == 1
+
+
 def test_source_gating(spark, tmp_path):
     got = {r["project"]: r for r in build(spark, tmp_path, enabled=("openai",)).collect()}
     stats = got["proj-1"]["stats"]
