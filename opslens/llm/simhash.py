@@ -42,7 +42,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n))
     starts = [0] + [e + 1 for e in ends[:-1]]
     last = ends[shingle - 1 :] or ends[-1:]
-    hashed = np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, last, strict=False)], "<u8")
+    return majority(np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, last, strict=False)], "<u8"))
+
+
+def majority(hashed: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have; 0 for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashed), ROWS_AT_ONCE):
         part = hashed[at : at + ROWS_AT_ONCE]
@@ -90,6 +94,28 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
     return changed
 
 
+def forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that join the same of ``count`` rows as all (i, j) do, without a circle, the nearest where there is a choice."""
+    taken = joining(i, j, apart, count)
+    return i[taken], j[taken], apart[taken]
+
+
+def joining(i: np.ndarray, j: np.ndarray, apart: np.ndarray, count: int) -> np.ndarray:
+    """Which of the pairs (i, j) make the forest."""
+    label, chosen, rest = np.arange(count), [], np.arange(len(i))
+    while True:
+        rest = rest[label[i[rest]] != label[j[rest]]]
+        if not len(rest):
+            break
+        ends, pair = np.r_[label[i[rest]], label[j[rest]]], np.r_[rest, rest]
+        order = np.lexsort((pair, apart[pair], ends))
+        ends, pair = ends[order], pair[order]
+        least = np.unique(pair[np.r_[True, ends[1:] != ends[:-1]]])
+        chosen.append(least)
+        unite(label, i[least], j[least])
+    return np.concatenate(chosen) if chosen else np.zeros(0, int)
+
+
 class Level:
     """Nodes of one height: the bits that all codes below share, which bits these are, and the nodes' children."""
 
@@ -108,13 +134,26 @@ class Level:
         )
 
 
-def joined_classes(key: np.ndarray, code: np.ndarray, distance: int) -> np.ndarray:
-    """Class labels of codes that are sorted by key and Gray rank; links have one key and at most ``distance`` differing bits."""
+def joined_classes(
+    key: np.ndarray, code: np.ndarray, distance: int, links: list[tuple[np.ndarray, np.ndarray]] | None = None
+) -> np.ndarray:
+    """Class labels of codes that are sorted by key and Gray rank; links have one key and at most ``distance`` differing bits.
+
+    Links that make the classes, one less than a class has members, are added to ``links`` if that is given.
+    """
     n = len(code)
     label = np.arange(n)
+
+    def unite_by(a: np.ndarray, b: np.ndarray) -> bool:
+        if links is not None and len(a):
+            taken = joining(label[a], label[b], np.bitwise_count(code[a] ^ code[b]), n)
+            links.append((a[taken], b[taken]))
+            a, b = links[-1]
+        return unite(label, a, b)
+
     for lag in (1, 2, 3, 4):  # Gray neighbours first: classes that are known early prune the tree
         near = np.flatnonzero((key[lag:] == key[:-lag]) & (np.bitwise_count(code[lag:] ^ code[:-lag]) <= distance))
-        unite(label, near, near + lag)
+        unite_by(near, near + lag)
     levels = [Level(key, code, code, np.arange(n), np.ones(n, int))]
     while len(levels[-1].key) > len(np.unique(levels[-1].key)):
         levels.append(levels[-1].above())
@@ -148,20 +187,25 @@ def joined_classes(key: np.ndarray, code: np.ndarray, distance: int) -> np.ndarr
         if height > 1:
             if len(x):
                 stack.append((height - 1, x, y))
-        elif unite(label, x, y):
+        elif unite_by(x, y):
             classes = bounds()
     return label
 
 
-def bucket_edges(rows: DataFrame, distance: int) -> DataFrame:
-    """Edges (a, b) that join the classes of every bucket; ``rows`` are (key, code), a bucket's rows lie together."""
+def bucket_edges(rows: DataFrame, distance: int, linked: bool = False) -> DataFrame:
+    """Edges (a, b) that join the classes of every bucket; ``rows`` are (key, code), a bucket's rows lie together.
+
+    An edge goes to the first of its class, or is a link of at most ``distance`` differing bits itself if ``linked``.
+    """
 
     def edges(key: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((gray_rank(code), key))
         key, code = key[order], code[order]
-        label = joined_classes(key, code, distance)
+        links = [(np.zeros(0, int),) * 2]
+        label = joined_classes(key, code, distance, links if linked else None)
         moved = np.flatnonzero(label != np.arange(len(label)))
-        ends = [code[moved].view(np.int64), code[label[moved]].view(np.int64)]
+        one, other = map(np.concatenate, zip(*links, strict=True)) if linked else (moved, label[moved])
+        ends = [code[one].view(np.int64), code[other].view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,8 @@
-"""Near-duplicates by the exact Jaccard likeness of word shingles.
+"""Near-duplicates by the exact Jaccard likeness of word shingles, found with the simhash index and completed by prefixes.
+
+First the Gray-order index of :mod:`opslens.llm.simhash` gives candidates: sets whose fingerprints differ in at most
+``DISTANCE`` bits. They are verified on the whole sets. A fingerprint of 64 bits does not see every pair of a likeness of 0.8, so the
+prefix filter below finds the pairs that are left, and only those between sets that the index has not joined are verified.
 
 A text's set holds the 64-bit hashes of its shingles; equal sets count once from here on. Large sets are cut into pieces of
 ``PIECE`` to four times as many hashes by the leading bits of the hashes: if two sets have a likeness of at least t, some piece of
@@ -29,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.components import connected
-from opslens.llm.simhash import unite
+from opslens.llm.simhash import bucket_edges, buckets, forest, majority
 from opslens.llm.spans import slices
 from opslens.session import materialize, scratch, sized
 
 SHINGLE = 5
 LIKENESS = 0.8
+DISTANCE = 6
 SEED = 42
 SAMPLE = 5000
 BINS = 512
@@ -104,10 +109,11 @@ def pieces(found: np.ndarray, likeness: float) -> list[tuple[int, np.ndarray]]:
 
 
 def marked_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, likeness: float) -> DataFrame:
-    """Rows (id, code, sizes, sketch, rare, rare_at, common, common_at): the number of each text's set, and its pieces.
+    """Rows (id, code, fingerprint, sizes, sketch, rare, rare_at, common, common_at): the number of each text's set, and its pieces.
 
-    ``sizes`` and ``sketch`` (``WORDS`` numbers each) are of the pieces, the others the shingles of their prefixes and where these
-    are, piece << 32 | place, apart by whether the sample has them. All lists are null where the task has seen the set before.
+    ``fingerprint`` is the simhash of the set. ``sizes`` and ``sketch`` (``WORDS`` numbers each) are of the pieces, the others the shingles of their prefixes and where these
+    are, piece << 32 | place, apart by whether the sample has them. All but the
+    number are null where the task has seen the set before.
     """
     tokens, counts = common_shingles(docs, text_col, shingle)
 
@@ -136,22 +142,42 @@ def marked_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, liken
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            codes, held = [], []
+            codes, marks, held = [], [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py() or "", shingle)
                 code = xxhash.xxh64_intdigest(found.tobytes(), SEED)
                 codes.append(code)
+                marks.append(None if code in seen else int(np.uint64(majority(found)).view(np.int64)))
                 held.append([None] * len(LISTS) if code in seen else lists(found))
                 if len(seen) >= MOST_SEEN:
                     seen.clear()
                 seen.add(code)
-            arrays = [pa.array(np.array(codes, np.uint64).view(np.int64))]
+            arrays = [pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(marks, pa.int64())]
             arrays += [pa.array(list(column), pa.list_(pa.int64())) for column in zip(*held, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "code", *LISTS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "code", "fingerprint", *LISTS])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, code long, " + ", ".join(f"{n} array<long>" for n in LISTS))
+    return rows.mapInArrow(run, f"id {kind}, code long, fingerprint long, " + ", ".join(f"{n} array<long>" for n in LISTS))
+
+
+def index_links(fresh: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b), a before b, of ``fresh`` sets (code, fingerprint) whose fingerprints differ in at most ``distance`` bits.
+
+    They join all sets that such pairs join: equal fingerprints by their least codes, others by links of the Gray-order index.
+    """
+    own = fresh.select("code", "fingerprint", F.pmod("code", F.lit(SALTS)).alias("salt"))
+    heads = materialize(own.groupBy("fingerprint", "salt").agg(F.min("code").alias("head")), "heads")
+    tops = materialize(heads.groupBy("fingerprint").agg(F.min("head").alias("top")), "tops")
+    dealt = buckets(tops.select(F.col("fingerprint").alias("code")), distance).repartition("key").sortWithinPartitions("key")
+    found = bucket_edges(dealt, distance, linked=True).distinct()
+    for end in ("a", "b"):
+        named = tops.select(F.col("fingerprint").alias(end), F.col("top").alias(f"{end}_top"))
+        found = found.join(named, end).drop(end).withColumnRenamed(f"{end}_top", end)
+    same = own.join(heads, ["fingerprint", "salt"]).select(F.col("code").alias("a"), F.col("head").alias("b"))
+    salted = heads.join(tops, "fingerprint").select(F.col("head").alias("a"), F.col("top").alias("b"))
+    pairs = found.select("a", "b").unionByName(same).unionByName(salted).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def placed(fresh: DataFrame, kind: str) -> DataFrame:
@@ -211,23 +237,6 @@ def possible(bucket: np.ndarray, code: np.ndarray, size: np.ndarray, place: np.n
         i = i[i + lag < len(bucket)]
 
 
-def forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs that join the same of ``count`` rows as all (i, j) do, without a circle, the nearest where there is a choice."""
-    label, chosen, rest = np.arange(count), [], np.arange(len(i))
-    while True:
-        rest = rest[label[i[rest]] != label[j[rest]]]
-        if not len(rest):
-            break
-        ends, pair = np.r_[label[i[rest]], label[j[rest]]], np.r_[rest, rest]
-        order = np.lexsort((pair, apart[pair], ends))
-        ends, pair = ends[order], pair[order]
-        least = np.unique(pair[np.r_[True, ends[1:] != ends[:-1]]])
-        chosen.append(least)
-        unite(label, i[least], j[least])
-    taken = np.concatenate(chosen) if chosen else np.zeros(0, int)
-    return i[taken], j[taken], apart[taken]
-
-
 def by_bucket(rows: DataFrame, columns: list[str], work: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
     """``work`` over arrays of whole buckets, some at a time; ``columns`` are long and begin with bucket, code, size."""
 
@@ -327,7 +336,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, liken
     schema = "a long, b long, apart long"
     near = by_bucket(in_parts(live), [*columns, *SKETCH], joining, schema).groupBy("a", "b").agg(F.min("apart").alias("apart"))
     near = materialize(near, "near")
-    names = fresh.select("code", "id").join(ends(near), "code").groupBy("code").agg(F.min("id").alias("id"))
+    indexed = materialize(index_links(fresh, DISTANCE), "indexed")
+    asked = ends(near.select("a", "b").unionByName(indexed))
+    names = fresh.select("code", "id").join(asked, "code").groupBy("code").agg(F.min("id").alias("id"))
     named, _ = sized(names, "names")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = texts.join(named, "id").select("code", "text").mapInArrow(found_sets, "code long, found array<long>")
@@ -347,15 +358,17 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, liken
             pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
         return pairs.where("coalesce(a_root, a) <> coalesce(b_root, b)").drop("a_root", "b_root")
 
+    links = verified(indexed, "index_links")
+    left = materialize(apart(near, connected(links)), "left")
     other = F.struct("apart", F.col("b").alias("other"))
-    each = near.select(F.col("a").alias("code"), other.alias("next")).unionByName(
-        near.select(F.col("b").alias("code"), F.struct("apart", F.col("a").alias("other")).alias("next"))
+    each = left.select(F.col("a").alias("code"), other.alias("next")).unionByName(
+        left.select(F.col("b").alias("code"), F.struct("apart", F.col("a").alias("other")).alias("next"))
     )
     nearest = each.groupBy("code").agg(F.min("next").alias("next")).select("code", "next.other")
     nearest = nearest.select(F.least("code", "other").alias("a"), F.greatest("code", "other").alias("b")).distinct()
     nearest = materialize(nearest, "nearest")
-    links = verified(nearest, "links")
-    rest = near.select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(nearest, "links"))
+    rest = left.select("a", "b").join(nearest, ["a", "b"], "left_anti")
     links = links.unionByName(verified(apart(rest, connected(links)), "more_links"))
     roots = connected(links)
     unlike = materialize(apart(near.select("a", "b"), roots), "unlike")

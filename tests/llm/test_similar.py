@@ -116,3 +116,34 @@ def test_pairs_follow_the_sets(spark, monkeypatch):
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert kept == kept_of(texts)
     assert sizes["nearest"] <= len(texts) and sizes["near"] <= 8 * len(texts)
+
+
+def test_stage_searches_the_simhash_index(spark, monkeypatch):
+    """Candidates come from the simhash index first; what it joins is verified and not asked of the prefixes again."""
+    tables = {}
+
+    def noted(df, name, **options):
+        made = materialize(df, name, **options)
+        if name in ("indexed", "index_links", "left", "nearest"):
+            tables[name] = {(r["a"], r["b"]) for r in made.collect()}
+        return made
+
+    monkeypatch.setattr(similar, "materialize", noted)
+    texts = edited_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == kept_of(texts)
+
+    sets = {similar.xxhash.xxh64_intdigest(s.tobytes(), similar.SEED): s for s in (similar.shingle_set(t or "") for t in texts)}
+    codes = [int(np.uint64(c).view(np.int64)) for c in sets]
+    place = {c: k for k, c in enumerate(codes)}
+    hashes = [set(s.tolist()) for s in sets.values()]
+    prints = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s) > len(s)) for s in hashes]
+    near = [(i, j) for i in range(len(codes)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= similar.DISTANCE]
+    pairs = lambda name: [(place[a], place[b]) for a, b in tables[name]]
+    assert classes(len(codes), pairs("indexed")) == classes(len(codes), near)
+    assert all((prints[i] ^ prints[j]).bit_count() <= similar.DISTANCE for i, j in pairs("indexed"))
+    assert set(pairs("index_links")) == {p for p in pairs("indexed") if hashes[p[0]] and hashes[p[1]] and jaccard(hashes[p[0]], hashes[p[1]]) >= 0.8 - 1e-9}
+    assert len(tables["index_links"]) >= 25
+    joined = classes(len(codes), pairs("index_links"))
+    assert tables["nearest"] <= tables["left"] and all(joined[i] != joined[j] for i, j in pairs("left"))
