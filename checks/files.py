@@ -28,11 +28,11 @@ def place(spark):
 
 
 def written_report(spark, folder):
-    """The job over landed files; the configuration is a file too."""
+    """The job over landed files, whose bodies become JSON text when they are written; the configuration is a file too."""
     at = place(spark)
-    CM.landed_activity(spark, folder).write.json(f"{at}/activity")
-    CM.landed_usage(spark, folder).drop("event_id").write.partitionBy("provider").json(f"{at}/usage")
-    CM.landed_costs(spark, folder).drop("o_orderkey").write.json(f"{at}/costs")
+    CM.raw_activity(CM.activity_orders(spark, folder)).write.json(f"{at}/activity")
+    CM.raw_usage(spark, folder).drop("event_id").write.partitionBy("provider").json(f"{at}/usage")
+    CM.raw_costs(spark, folder).drop("o_orderkey").write.json(f"{at}/costs")
     CM.landed_configs(spark, folder).select("config").write.text(f"{at}/configs")
     projects = L.projects(spark.read.text(f"{at}/configs").toDF("config"))
     landed = [read(spark, f"{at}/{name}") for name, read in (("activity", L.read_activity), ("usage", L.read_usage), ("costs", L.read_costs))]

@@ -120,7 +120,12 @@ REPO_SQL = """
 """
 
 
-def activity_payloads(orders):
+def parsed(records, schema):
+    """Records with their ``body`` as it comes out of JSON text."""
+    return records.withColumn("body", F.from_json(F.to_json("body"), schema))
+
+
+def raw_activity(orders):
     created = temporal.iso_format(F.col("o_orderdate"))
     merged = F.when(
         F.col("o_orderstatus") == "F", temporal.iso_format(F.col("o_orderdate") + F.make_dt_interval(F.lit(3)))
@@ -138,18 +143,25 @@ def activity_payloads(orders):
         nodes(status == "O", created.alias("closedAt")).alias("issues"),
         nodes(status == "P", created.alias("createdAt")).alias("releases"),
     )
-    body = F.to_json(F.struct(F.struct(repository.alias("repository")).alias("data")))
     return orders.select(
         F.concat(F.lit("org/"), F.col("o_custkey")).alias("repo"),
         F.lit(True).alias("has_token"),
         F.when(F.col("o_orderkey") % 97 == 0, 404).otherwise(200).alias("http_status"),
         F.lit(None).cast("string").alias("exception"),
-        F.from_json(body, S.ACTIVITY_BODY).alias("body"),
+        F.struct(F.struct(repository.alias("repository")).alias("data")).alias("body"),
     )
 
 
+def activity_payloads(orders):
+    return parsed(raw_activity(orders), S.ACTIVITY_BODY)
+
+
+def activity_orders(spark, folder):
+    return dealt(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"))
+
+
 def landed_activity(spark, folder):
-    return activity_payloads(dealt(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")))
+    return activity_payloads(activity_orders(spark, folder))
 
 
 @check(f"SELECT * REPLACE (coalesce(error, '') AS error) FROM ({REPO_SQL})")
@@ -204,16 +216,14 @@ USAGE_SQL = f"""
 """
 
 
-def landed_usage(spark, folder):
+def raw_usage(spark, folder):
     provider = F.when(F.col("user_id") % 3 == 0, "openai").when(F.col("user_id") % 3 == 1, "anthropic").otherwise("gemini")
-    body = F.to_json(
-        F.struct(
-            k().alias("tokens_in"),
-            F.when(k() % 6 != 0, F.col("user_id")).alias("tokens_out"),
-            F.lit(1).alias("prompts"),
-            F.col("value").cast("decimal(18,2)").alias("cost"),
-            F.when(k() % 4 != 0, F.concat(F.lit("model-"), (k() % 3).cast("string"))).alias("model"),
-        )
+    body = F.struct(
+        k().alias("tokens_in"),
+        F.when(k() % 6 != 0, F.col("user_id")).alias("tokens_out"),
+        F.lit(1).alias("prompts"),
+        F.col("value").cast("decimal(18,2)").alias("cost"),
+        F.when(k() % 4 != 0, F.concat(F.lit("model-"), (k() % 3).cast("string"))).alias("model"),
     )
     return dealt(table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")).select(
         "event_id",
@@ -222,10 +232,14 @@ def landed_usage(spark, folder):
         F.when(F.col("event_type") == "error", 401).otherwise(200).alias("http_status"),
         F.lit(None).cast("string").alias("exception"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fetched_at"),
-        F.from_json(body, S.USAGE_BODY).alias("body"),
+        body.alias("body"),
     )
 
 
+def landed_usage(spark, folder):
+    return parsed(raw_usage(spark, folder), S.USAGE_BODY)
+
+
 @check(f"SELECT * REPLACE (coalesce(error, '') AS error, CAST(cost AS DOUBLE) AS cost) FROM ({USAGE_SQL})")
 def usage_with_defaults(spark, folder):
     records = M.usage_records(landed_usage(spark, folder)).drop("fetched_at")
@@ -241,21 +255,23 @@ COST_SQL = """
 """
 
 
-def landed_costs(spark, folder):
+def raw_costs(spark, folder):
     day = lambda a: F.struct(F.struct(F.struct(a.alias("Amount")).alias("UnblendedCost")).alias("Total"))
-    body = F.to_json(
-        F.struct(F.array(day(F.col("o_totalprice").cast("decimal(18,2)").cast("string")), day(F.lit("2.50")), day(F.lit("n/a"))).alias("ResultsByTime"))
-    )
+    body = F.struct(F.array(day(F.col("o_totalprice").cast("decimal(18,2)").cast("string")), day(F.lit("2.50")), day(F.lit("n/a"))).alias("ResultsByTime"))
     return dealt(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")).select(
         "o_orderkey",
         F.when(F.col("o_orderstatus") == "P", "gcp").otherwise("aws").alias("provider"),
         (F.col("o_orderkey") % 10 != 0).alias("has_credentials"),
         F.when(F.col("o_orderkey") % 17 == 0, "denied").alias("exception"),
         temporal.iso_format(F.col("o_orderdate") + F.make_dt_interval(secs=(F.col("o_orderkey") / 1e6).cast("decimal(18,6)"))).alias("fetched_at"),
-        F.from_json(body, S.COST_BODY).alias("body"),
+        body.alias("body"),
     )
 
 
+def landed_costs(spark, folder):
+    return parsed(raw_costs(spark, folder), S.COST_BODY)
+
+
 COST_ROWS_SQL = f"""
     SELECT o_orderkey, provider, CASE WHEN error IS NULL AND provider = 'aws' THEN CAST(total AS DOUBLE) ELSE 0 END AS cost,
            CASE WHEN error IS NOT NULL THEN 'error' WHEN provider = 'gcp' THEN 'stubbed' ELSE 'success' END AS status, error, o_orderdate

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from opslens import values as V
 from opslens.functions.money import MONEY, amount
-from opslens.functions.temporal import in_date_range, in_trailing_window, parse_iso
-from opslens.session import meet, sized
+from opslens.functions.temporal import in_date_range, in_trailing_window, parse_iso, window_start
 
 AsOf = str | datetime
 UNDATED = "undated"
@@ -52,22 +51,24 @@ def activity_error(row: str = "body", broken: Column | None = None) -> Column:
     )
 
 
-def payload_metrics(activity: DataFrame, as_of: AsOf, days: int = V.WINDOW_DAYS) -> DataFrame:
-    """Metrics of each payload (repo, five counters, error), counted inside the row: nothing is exploded or shuffled."""
+def payload_metrics(activity: DataFrame, as_of: AsOf, days: int = V.WINDOW_DAYS, kept: Sequence[str | Column] = ()) -> DataFrame:
+    """Metrics of each payload (repo, five counters, error), counted inside the row: nothing is exploded or shuffled.
+
+    Columns ``kept`` of the records stand before them.
+    """
     repository = F.col("body")["data"]["repository"]
 
     def nodes(name: str) -> Column:
         return repository[name]["nodes"]
 
     def recent(name: str, field: str) -> Column:
-        return F.filter(nodes(name), lambda n: in_trailing_window(parse_iso(n[field]), as_of, days))
+        return F.filter(nodes(name), lambda n: parse_iso(n[field]) >= window_start(as_of, days))
 
     def count(name: str, field: str) -> Column:
         return F.coalesce(F.size(recent(name, field)), _zero()).cast("bigint")
 
     def total(field: str) -> Column:
-        merged = recent("pullRequests", "mergedAt")
-        return F.coalesce(F.aggregate(merged, _zero(), lambda s, n: s + F.coalesce(n[field], _zero())), _zero())
+        return F.coalesce(F.aggregate("_merged", _zero(), lambda s, n: s + F.coalesce(n[field], _zero())), _zero())
 
     counters = {
         "prs_submitted": count("pullRequests", "createdAt"),
@@ -76,8 +77,10 @@ def payload_metrics(activity: DataFrame, as_of: AsOf, days: int = V.WINDOW_DAYS)
         "bugs_closed": count("issues", "closedAt"),
         "releases_done": count("releases", "createdAt"),
     }
-    judged = activity.withColumn("error", activity_error(broken=malformed(activity)))
+    told = {"error": activity_error(broken=malformed(activity)), "_merged": recent("pullRequests", "mergedAt")}
+    judged = activity.withColumns(told)
     return judged.select(
+        *kept,
         "repo",
         *[F.when(F.col("error").isNull(), counters[n]).otherwise(_zero()).alias(n) for n in V.ACTIVITY_FIELDS],
         "error",
@@ -95,7 +98,17 @@ def repo_metrics(activity: DataFrame, as_of: AsOf, days: int = V.WINDOW_DAYS) ->
 
 def combined_pages(pages: DataFrame) -> DataFrame:
     """Payload metrics summed per repo, with the first error text."""
-    counted = pages.groupBy("repo", "error").agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS])
+    return first_errors(pages.groupBy("repo", "error").agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS]))
+
+
+def counted_pages(activity: DataFrame, as_of: AsOf, days: int = V.WINDOW_DAYS) -> DataFrame:
+    """Payload metrics summed per (repo, error), and how many lines of each, ``unreadable``, could not be parsed."""
+    pages = payload_metrics(activity, as_of, days, [malformed(activity).cast("bigint").alias("unreadable")])
+    return pages.groupBy("repo", "error").agg(*[F.sum(n).alias(n) for n in [*V.ACTIVITY_FIELDS, "unreadable"]])
+
+
+def first_errors(counted: DataFrame) -> DataFrame:
+    """Sums per (repo, error) to one row per repo, with the first error text."""
     return counted.groupBy("repo").agg(*[F.sum(n).alias(n) for n in V.ACTIVITY_FIELDS], F.min("error").alias("error"))
 
 
@@ -254,7 +267,12 @@ def enabled_only(records: DataFrame, enabled: Sequence[str], source: str = "prov
 
 def unreadable_activity(activity: DataFrame) -> DataFrame:
     """One row (source, error) if any activity line could not be parsed."""
-    found = activity.where(malformed(activity)).agg(F.count("*").alias("n")).where("n > 0")
+    return unreadable_source(activity.select(malformed(activity).cast("bigint").alias("unreadable")))
+
+
+def unreadable_source(counted: DataFrame) -> DataFrame:
+    """One row (source, error) if ``unreadable`` is above zero anywhere."""
+    found = counted.where("unreadable > 0").agg(F.count("*").alias("n")).where("n > 0")
     return found.select(F.lit(V.UNREADABLE_SOURCE).alias("source"), F.lit(V.MALFORMED_RECORD).alias("error"))
 
 
@@ -263,16 +281,14 @@ def latest_per_source(
 ) -> DataFrame:
     """The newest record of each source, or of each of the named ``sources``; equal times fall back on the values.
 
-    The newest time per source is a hash aggregate of fixed width, stored and measured; only records of that time are
-    then compared as a whole, map-side first. Records without a readable time count as the oldest, and NULL is a source
-    like any other.
+    The records are read once. Those of a task are compared map-side, which sorts them by source inside the task; one a source
+    and task is shuffled. Records without a readable time count as the oldest, and NULL is a source like any other.
     """
     known = records if sources is None else records.where(F.col(source).isin(*sources))
     timed = known.withColumn("_at", F.coalesce(parse_iso(F.col(newest)), F.lit("0001-01-01").cast("timestamp_ntz")))
-    tops, _ = sized(timed.groupBy(source).agg(F.max("_at").alias("_at")), "newest")
     rest = [c for c in records.columns if c not in (source, newest)]
-    same = meet(timed, tops, [source, "_at"])
-    return same.groupBy(source).agg(F.max(F.struct(newest, *rest)).alias("_r")).select(source, "_r.*")
+    top = F.max(F.struct("_at", newest, *rest)).alias("_r")
+    return timed.groupBy(source).agg(top).select(source, *[f"_r.{c}" for c in (newest, *rest)])
 
 
 def source_union(usage: DataFrame, costs: DataFrame) -> DataFrame:

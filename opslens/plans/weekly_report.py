@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from opslens import values as V
 from opslens.operators import metrics as M
 from opslens.operators import report as R
+from opslens.session import materialize
 
 ALL_SOURCES = ("github", *V.AI_PROVIDERS, *V.CLOUD_PROVIDERS)
 
@@ -23,14 +24,17 @@ def weekly_report(
 ) -> DataFrame:
     """Reports (project, stats, warnings, slack_channel_id, teams_url) for the window that ends at ``as_of``.
 
-    Activity shuffles once, as partial sums per repo; each global source is reduced to its newest record and
-    reaches the projects as one scalar row.
+    Activity is read and shuffled once, as partial sums per repo and error, which are stored: the projects and the count of
+    unreadable lines both come from them. Each global source is reduced to its newest record and reaches the projects as one
+    scalar row.
     """
     newest_usage = M.usage_records(M.latest_per_source(M.enabled_only(usage, enabled)))
     newest_costs = M.cost_records(M.latest_per_source(M.enabled_only(costs, enabled)))
-    sources = M.source_union(newest_usage, newest_costs).unionByName(M.unreadable_activity(activity), allowMissingColumns=True)
+    pages = materialize(M.counted_pages(activity, as_of, days), "pages")
+    sources = M.source_union(newest_usage, newest_costs).unionByName(M.unreadable_source(pages), allowMissingColumns=True)
     one_row = R.source_structs(sources)
-    return R.reports(projects, M.repo_metrics(activity, as_of, days), one_row, "github" in enabled)
+    metrics = M.first_errors(pages).hint("merge")  # one row a repo: no size for a broadcast, however small its files are
+    return R.reports(projects, metrics, one_row, "github" in enabled)
 
 
 def message_outbox(report: DataFrame) -> DataFrame:

@@ -10,15 +10,18 @@ from opslens import values as V
 def _landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a landing folder, a JSON line each; the text of a line that is no such record stays in ``malformed``.
 
-    A partition folder's value wins over the field of the same name.
+    A partition folder's value wins over the field of the same name. Each line is parsed once, whatever is asked of its fields
+    afterwards: filters on them would move below a plain projection and take the parser with them, but not below ``inline``.
     """
     lines = spark.read.text(path)
     folders = [c for c in lines.columns if c != "value"]
     parsed = F.from_json("value", f"{schema}, malformed string", {"columnNameOfCorruptRecord": "malformed"})
-    rows = lines.where(F.trim("value") != "").select(parsed.alias("_r"), *folders)
-    names = rows.select("_r.*").columns
-    given = [F.col(c).cast("string").alias(c) if c in folders else F.col(f"_r.{c}") for c in names]
-    return rows.select(*given, *[c for c in folders if c not in names])
+    told = [F.col(c).alias(f"_folder_{k}") for k, c in enumerate(folders)]
+    rows = lines.where(F.trim("value") != "").select(*told, F.inline(F.array(parsed)))
+    names = rows.columns[len(folders) :]
+    value = {c: F.col(f"_folder_{k}") for k, c in enumerate(folders)}
+    given = [value[c].cast("string").alias(c) if c in folders else F.col(c) for c in names]
+    return rows.select(*given, *[value[c].alias(c) for c in folders if c not in names])
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:

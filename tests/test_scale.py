@@ -223,3 +223,29 @@ def test_scratch_keeps_results(spark):
             inner.count()
     with pytest.raises(Exception):  # noqa: B017, PT011
         kept.count()
+
+
+def test_landed_lines_are_read_and_parsed_once(spark, tmp_path):
+    from opslens.plans.weekly_report import weekly_report
+    from opslens.sources import landing as L
+
+    day = '"fetched_at": "2024-03-0%d", "body": {'
+    body = '{"data": {"repository": {"issues": {"nodes": [{"closedAt": "2024-03-09T00:00:00Z"}]}}}}'
+    lines = {
+        "activity": [f'{{"repo": "o/r", "has_token": true, "http_status": 200, "body": {body}}}', '{"repo": "o/r", "has_token": true, "http_status": 500}'],
+        "usage": [f'{{"provider": "openai", "has_key": true, "http_status": 200, {day % k}"tokens_in": {k}}}}}' for k in (2, 3, 1)],
+        "costs": [f'{{"provider": "aws", "has_credentials": true, {day % k}}}}}' for k in (1, 2)],
+    }
+    for name, each in lines.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text("\n".join(each) + "\n")
+    activity, usage, costs = (f(spark, str(tmp_path / n)) for f, n in ((L.read_activity, "activity"), (L.read_usage, "usage"), (L.read_costs, "costs")))
+    newest = M.latest_per_source(M.enabled_only(usage, ["openai", "gemini"]))
+    optimized = newest._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("from_json") == 1 and optimized.count("Relation") == 1 and newest.first()["body"]["tokens_in"] == 3
+    projects = L.projects(spark.createDataFrame([('{"p": {"repo": "o/r"}}',)], "config string"))
+    report = weekly_report(projects, activity, usage, costs, as_of="2024-03-10T00:00:00Z")
+    assert not [f for f in report.inputFiles() if "/activity/" in f]  # their sums are stored
+    row = report.first()
+    assert row["stats"]["github"]["bugs_closed"] == 1 and row["stats"]["openai"]["tokens_in"] == 3
+    assert row["warnings"] == {"github": "API error: 500"}
