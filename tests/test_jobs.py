@@ -1,4 +1,5 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -74,6 +75,41 @@ def test_many_tools(spark):
     assert C.forced_by_index(stacks, tools.where("false")).isEmpty() and C.forced_by_index(stacks.where("false"), tools).isEmpty()
 
 
+def test_many_tools_with_one_common_keyword(spark):
+    """Pairs of the most common keyword are made without a look at the text, in generated code."""
+    numbers = spark.range(400)
+    stacks = numbers.select(F.col("id").alias("project"), F.concat(F.lit("Common words "), "id").alias("stack"))
+    words = F.array(F.concat(F.lit("S "), "id"), F.concat(F.lit("missing"), "id"), F.lit("COMMON words"))
+    tools = numbers.select(F.concat(F.lit("t"), "id").alias("name"), words.alias("force_if_keywords"))
+    for most_pairs in (C.MOST_PAIRS, 5000):  # 32 parts
+        got = C.forced_by_index(stacks, tools, most_pairs=most_pairs).select("project", "name")
+        found = got.collect()
+        assert len(found) == len(set(found)) == 400 * 400
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert re.search(r"\*\(\d+\) SortMergeJoin", plan) and "exists(" not in plan
+
+
+def test_many_tools_with_many_keywords(spark, monkeypatch):
+    """Long lists, long keywords that share their runs, characters of several bytes and rows that come twice."""
+    import random
+
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("aBé") for _ in range(n))
+    tools = [(f"t{i % 90}", [r.choice([None, word(r.randrange(1, 12))]) for _ in range(r.randrange(9))]) for i in range(100)]
+    tools += tools[:5] + [("none", None), ("any", ["zzz", ""])]
+    tools = spark.createDataFrame(tools, "name string, force_if_keywords array<string>")
+    stacks = [(i, r.choice([None, ""] + [word(60)] * 9)) for i in range(50)]
+    stacks = spark.createDataFrame(stacks + stacks[:5], "project long, stack string")
+    want = stacks.crossJoin(tools).where(C.is_forced(F.struct("force_if_keywords"), F.col("stack")))
+    wanted = sorted(map(str, want.collect()))
+    assert len(wanted) > 500
+    measured = C.sized
+    for limit, hot, most_pairs in ((1000, C.HOT_RUN, C.MOST_PAIRS), (0, 3, 20)):  # lookups broadcast, and none
+        monkeypatch.setattr(C, "sized", lambda df, name, limit=limit: measured(df, name, limit))
+        got = C.forced_by_index(stacks, tools, hot=hot, most_pairs=most_pairs)
+        assert sorted(map(str, got.select(want.columns).collect())) == wanted
+
+
 def test_recovered_variants(spark):
     from opslens.functions.jsontext import recover_variant
 
